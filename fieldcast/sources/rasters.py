@@ -70,14 +70,20 @@ def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 )
 
 
+def decode_tiles(files: DataFrame) -> DataFrame:
+    """Raw tiles (tile, content) to cells: big-endian 16-bit numbers, row 0 north.
+
+    A task holds one tile of at most 26 MB at a time and streams it out row by row.
+    """
+    return files.select("tile", "content").mapInPandas(_cells, "tile string, row bigint, col bigint, z double")
+
+
 def read_hgt(spark: SparkSession, folder: str) -> DataFrame:
-    """Cells of every .hgt tile (big-endian 16-bit, row 0 north). One task reads one file of at
-    most 26 MB and streams it out row by row."""
+    """Cells of every .hgt file of a folder tree."""
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.hgt")
         .load(folder)
     )
-    named = files.select(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("tile"), "content")
-    return named.mapInPandas(_cells, "tile string, row bigint, col bigint, z double")
+    return decode_tiles(files.select(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("tile"), "content"))
