@@ -16,19 +16,23 @@ DOMAIN = ["zone_id"]
 
 
 def dataset_manifest(df: DataFrame, name: str) -> DataFrame:
-    """One JSON row that describes a featured table."""
-    profile = metrics.dataset_profile(df)
+    """One row that describes a featured table: extent, stations, profile and columns."""
+    one = F.lit(1).alias("_one")
     extent = df.agg(
-        F.lit(name).alias("dataset_name"),
-        F.min("timestamp").cast("string").alias("start_time"),
-        F.max("timestamp").cast("string").alias("end_time"),
-        F.approx_count_distinct("point_id", 0.01).alias("spatial_points"),
+        one,
+        F.min("timestamp").alias("start_time"),
+        F.max("timestamp").alias("end_time"),
         *[F.min(c).alias(f"min_{c}") for c in ("latitude", "longitude")],
         *[F.max(c).alias(f"max_{c}") for c in ("latitude", "longitude")],
     )
-    one = F.lit(1).alias("_one")
-    joined = extent.withColumn("_one", one).join(profile.withColumn("_one", one), "_one").drop("_one")
-    return joined.withColumn("columns", F.lit(",".join(df.columns)))
+    stations = df.select("zone_id", "point_id").distinct().agg(one, F.count(F.lit(1)).alias("spatial_points"))
+    profile = metrics.dataset_profile(df).withColumn("_one", one)
+    return (
+        extent.join(stations, "_one")
+        .join(profile, "_one")
+        .drop("_one")
+        .withColumns({"dataset_name": F.lit(name), "columns": F.lit(",".join(df.columns))})
+    )
 
 
 def ingest_zones(
