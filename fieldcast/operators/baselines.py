@@ -26,13 +26,17 @@ RESIDUALS = {
 }
 
 
-def leave_one_out(df: DataFrame, domain: list[str], targets: dict[str, str]) -> DataFrame:
+def leave_one_out(
+    df: DataFrame, domain: list[str], targets: dict[str, str], source: DataFrame | None = None
+) -> DataFrame:
     """Mean of the other stations of the domain at that hour; a lone station keeps its own value.
 
     Sums and counts come from a map-side combined aggregate joined back by the domain keys,
     so a crowded domain is never sorted in one task and a skewed join side can be split.
+    `source` is the same set of rows before other work was done on them; reading it for the
+    sums keeps that work from running twice.
     """
-    totals = df.groupBy(*domain).agg(
+    totals = (df if source is None else source).groupBy(*domain).agg(
         *[F.sum(c).alias(f"_sum_{c}") for c in targets],
         *[F.count(c).alias(f"_n_{c}") for c in targets],
     )
@@ -54,9 +58,9 @@ def domain_elevation(df: DataFrame) -> DataFrame:
     return catalogs.zones(df.sparkSession).select("zone_id").join(means, "zone_id")
 
 
-def with_elevation_delta(df: DataFrame) -> DataFrame:
+def with_elevation_delta(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
     """Height above the domain mean. The means are bounded by the zone catalogue, hence broadcast."""
-    means = F.broadcast(domain_elevation(df))
+    means = F.broadcast(domain_elevation(df if source is None else source))
     return df.join(means, "zone_id").withColumn(
         "delta_elevation_m", F.col("elevation_m") - F.col("domain_mean_elevation_m")
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fieldcast.functions import spraying
 from fieldcast.functions.physics import clip, vapour_pressure_deficit
-from fieldcast.operators.timeseries import chunk_number, running_totals, runs
+from fieldcast.operators.timeseries import chunk_number, count_runs, running_totals, runs
 
 # --- fixed values ----------------------------------------------------------------------
 INVERSION_GAP_C = 0.4
@@ -86,28 +86,23 @@ def degree_days(t_max: Column, t_min: Column, base: Column) -> Column:
     return clip((t_max + t_min) / 2.0 - base, low=0.0)
 
 
-def stress_indices(
-    series: DataFrame, key: list[str], base_c: Column | None = None, max_c: Column | None = None
-) -> DataFrame:
-    """Vapour pressure deficit, heat hours, inversion, frost and degree days per location.
-
-    First one partial row per key and 24-row chunk, then one row per key, so a long series
-    is never gathered whole.
-    """
-    base_c = F.lit(DEFAULT_BASE_C) if base_c is None else base_c
-    max_c = F.lit(DEFAULT_MAX_C) if max_c is None else max_c
+def _hourly(series: DataFrame, base_c: Column | None, max_c: Column | None) -> DataFrame:
     temp = F.col("downscaled_temp_1km_c")
     gap = F.col("baseline_temp_c") - temp
-    rows = series.withColumns({"_base": base_c, "_max": max_c})
-    rows = running_totals(rows, key, "timestamp", {"_no": F.lit(1).cast("bigint")})
-    rows = rows.withColumns(
+    return series.withColumns(
         {
-            "_chunk": chunk_number(F.col("_no")),
+            "_base": F.lit(DEFAULT_BASE_C) if base_c is None else base_c,
+            "_max": F.lit(DEFAULT_MAX_C) if max_c is None else max_c,
             "_vpd": vapour_pressure_deficit(temp, F.col("relative_humidity_pct"), 0.0),
             "_gap": F.when(gap > INVERSION_GAP_C, gap),
         }
     )
-    chunks = rows.groupBy(*key, "_chunk").agg(
+
+
+def _chunk_sums() -> list[Column]:
+    """Partial results of one 24-row chunk."""
+    temp = F.col("downscaled_temp_1km_c")
+    return [
         F.count(F.lit(1)).alias("_hours"),
         F.sum("_vpd").alias("_vpd_sum"),
         F.count("_vpd").alias("_vpd_n"),
@@ -118,26 +113,78 @@ def stress_indices(
         F.min(temp).alias("_t_min"),
         F.max(temp).alias("_t_max"),
         F.max("_base").alias("_base"),
-    )
-    return chunks.groupBy(*key).agg(
-        F.sum("_hours").alias("hours"),
-        (F.sum("_vpd_sum") / F.nullif(F.sum("_vpd_n"), F.lit(0))).alias("mean_vpd_kpa"),
-        F.max("_vpd_max").alias("max_vpd_kpa"),
-        (F.sum("_gap_n") >= INVERSION_HOURS).alias("thermal_inversion_risk"),
-        F.coalesce(F.sum("_gap_sum") / F.nullif(F.sum("_gap_n"), F.lit(0)), F.lit(0.0)).alias("inversion_strength_c"),
-        (F.min("_t_min") <= FROST_C).alias("frost_risk"),
-        F.sum(degree_days(F.col("_t_max"), F.col("_t_min"), F.col("_base"))).alias("gdd_accumulated_c_days"),
-        F.sum("_hot").alias("heat_stress_hours"),
-    )
+        F.sum(F.col("downscaled_temp_1km_c") - F.col("baseline_temp_c")).alias("_shift"),
+    ]
+
+
+def _stress_columns(chunk: Column | None = None) -> list[Column]:
+    """Results from the chunk rows; `chunk` tells chunk rows from others in a mixed table."""
+    def of(name: str) -> Column:
+        return F.col(name) if chunk is None else F.when(chunk, F.col(name))
+
+    gained = degree_days(of("_t_max"), of("_t_min"), F.col("_base"))
+    return [
+        F.sum(of("_hours")).alias("hours"),
+        (F.sum(of("_shift")) / F.sum(of("_hours"))).alias("mean_delta_t_c"),
+        (F.sum(of("_vpd_sum")) / F.nullif(F.sum(of("_vpd_n")), F.lit(0))).alias("mean_vpd_kpa"),
+        F.max(of("_vpd_max")).alias("max_vpd_kpa"),
+        (F.sum(of("_gap_n")) >= INVERSION_HOURS).alias("thermal_inversion_risk"),
+        F.coalesce(F.sum(of("_gap_sum")) / F.nullif(F.sum(of("_gap_n")), F.lit(0)), F.lit(0.0)).alias(
+            "inversion_strength_c"
+        ),
+        (F.min(of("_t_min")) <= FROST_C).alias("frost_risk"),
+        F.sum(gained).alias("gdd_accumulated_c_days"),
+        F.sum(of("_hot")).alias("heat_stress_hours"),
+    ]
+
+
+def stress_indices(
+    series: DataFrame, key: list[str], base_c: Column | None = None, max_c: Column | None = None, short: bool = False
+) -> DataFrame:
+    """Vapour pressure deficit, heat hours, inversion, frost and degree days per location.
+
+    First one partial row per key and 24-row chunk, then one row per key, so a long series
+    is never gathered whole.
+    """
+    one = {"_no": F.lit(1).cast("bigint")}
+    rows = running_totals(_hourly(series, base_c, max_c), key, "timestamp", one, short=short)
+    chunks = rows.withColumn("_chunk", chunk_number(F.col("_no"))).groupBy(*key, "_chunk").agg(*_chunk_sums())
+    return chunks.groupBy(*key).agg(*_stress_columns())
 
 
 def indices(
-    series: DataFrame, key: list[str], base_c: Column | None = None, max_c: Column | None = None
+    series: DataFrame, key: list[str], base_c: Column | None = None, max_c: Column | None = None, short: bool = False
 ) -> DataFrame:
-    """The full report row: stress indices plus the count of spray windows and the first one."""
-    windows = earliest_windows(spray_windows(series, key), key)
-    return (
-        stress_indices(series, key, base_c, max_c)
-        .join(windows, key, "left")
-        .withColumn("spray_windows", F.coalesce("spray_windows", F.lit(0)))
+    """The full report row: stress indices plus the count of spray windows and the first one.
+
+    Chunks and spray windows are two grouping sets of one aggregation over one ordered pass,
+    so the series behind them is not computed once per part.
+    """
+    inputs = _spray_inputs()
+    rows = _hourly(series, base_c, max_c).withColumn("suitability", spraying.suitability(*inputs))
+    rows = count_runs(rows, key, "timestamp", spraying.in_window(*inputs), "_window", "_no", short)
+    rows = rows.withColumn("_chunk", chunk_number(F.col("_no")))
+    keys = [F.col(k) for k in key]
+    sets = [[*keys, F.col("_chunk")], [*keys, F.col("_window")]]
+    parts = rows.groupingSets(sets, *keys, F.col("_chunk"), F.col("_window")).agg(
+        F.grouping("_chunk").alias("_is_window"),
+        *_chunk_sums(),
+        F.min("timestamp").alias("_start"),
+        F.max("timestamp").alias("_end"),
+        F.avg("suitability").alias("_score"),
+    )
+    window = (
+        (F.col("_is_window") == 1) & F.col("_window").isNotNull() & (F.col("_hours") >= spraying.MIN_WINDOW_HOURS)
     )
+    first = F.min(F.when(window, F.struct("_start", "_end", "_hours", "_score"))).alias("_w")
+    report = parts.groupBy(*key).agg(
+        *_stress_columns(F.col("_is_window") == 0), F.count_if(window).alias("spray_windows"), first
+    )
+    return report.withColumns(
+        {
+            "first_window_start": F.col("_w._start"),
+            "first_window_end": F.col("_w._end"),
+            "first_window_hours": F.col("_w._hours"),
+            "first_window_score": F.col("_w._score"),
+        }
+    ).drop("_w")

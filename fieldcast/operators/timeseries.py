@@ -4,6 +4,9 @@ A key may hold a large share of all rows, so no operator here sorts a whole seri
 one task. Running totals are built per calendar month first and carried over from month
 to month; operators that reach a fixed number of rows away work on blocks of rows with
 that many rows copied in from the neighbouring blocks. Both give the same rows as a plain window.
+
+`short=True` is for series whose length has a bound, such as a forecast cut to its horizon
+of at most 168 hours: there the plain window is used, as its groups are small.
 """
 
 from __future__ import annotations
@@ -24,13 +27,22 @@ def _before(spec: WindowSpec) -> WindowSpec:
 
 
 def running_totals(
-    df: DataFrame, key: list[str], order: str, totals: dict[str, Column], yearly: dict[str, Column] | None = None
+    df: DataFrame, key: list[str], order: str, totals: dict[str, Column], yearly: dict[str, Column] | None = None,
+    short: bool = False,
 ) -> DataFrame:
     """Add running sums, in `order`, within `key`; those in `yearly` restart each calendar year.
 
-    Every value is a non-null expression over the row.
+    Every value is a non-null expression over the row. The monthly sums are a second pass
+    over `df`, so call this on a stored or cheap table rather than after heavy joins.
     """
     values = {**totals, **(yearly or {})}
+    if short:
+        spec, year = W.partitionBy(*key), W.partitionBy(*key, F.year(order))
+        sums = {
+            n: F.sum(v).over((spec if n in totals else year).orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+            for n, v in values.items()
+        }
+        return df.withColumns(sums)
     rows = df.withColumn(MONTH, F.date_trunc("month", order)).withColumns(
         {f"_add_{name}": value for name, value in values.items()}
     )
@@ -55,9 +67,9 @@ def running_totals(
     return summed.drop(MONTH, *[f"_add_{n}" for n in values], *[f"_carry_{n}" for n in values])
 
 
-def number_rows(df: DataFrame, key: list[str], order: str, name: str = "row_no") -> DataFrame:
+def number_rows(df: DataFrame, key: list[str], order: str, name: str = "row_no", short: bool = False) -> DataFrame:
     """1, 2, 3, ... within each key."""
-    return running_totals(df, key, order, {name: F.lit(1).cast("bigint")})
+    return running_totals(df, key, order, {name: F.lit(1).cast("bigint")}, short=short)
 
 
 def near_rows(
@@ -69,9 +81,13 @@ def near_rows(
     ahead: int = 0,
     numbered: str | None = None,
     block_rows: int = BLOCK_ROWS,
+    short: bool = False,
 ) -> DataFrame:
     """Evaluate window expressions that reach at most `back` rows into the past and `ahead`
     rows into the future. `numbered` names an existing row number column."""
+    if short:
+        plain = W.partitionBy(*key).orderBy(order)
+        return df.withColumns({name: make(plain) for name, make in columns.items()})
     if back + ahead >= block_rows:
         raise ValueError("a block must be longer than the reach of the windows")
     row_no = numbered or "_row_no"
@@ -173,15 +189,19 @@ def fill_within(df: DataFrame, key: list[str], order: str, columns: list[str]) -
     return filled.select(*[F.col(f"_fill_{c}").alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
-def runs(df: DataFrame, key: list[str], order: str, flag: Column, run: str = "run_id") -> DataFrame:
-    """Keep flagged rows and number the unbroken runs they form."""
+def count_runs(df: DataFrame, key: list[str], order: str, flag: Column, run: str, row_no: str, short: bool = False) -> DataFrame:
+    """Number all rows, and number the unbroken runs of flagged rows (null on the others)."""
+    one = F.lit(1).cast("bigint")
     counted = running_totals(
-        df.withColumn("_flag", flag),
-        key,
-        order,
-        {"_all": F.lit(1).cast("bigint"), "_hits": F.col("_flag").cast("bigint")},
+        df.withColumn("_flag", flag), key, order, {row_no: one, "_hits": F.col("_flag").cast("bigint")}, short=short
     )
-    return counted.filter("_flag").withColumn(run, F.col("_all") - F.col("_hits")).drop("_flag", "_all", "_hits")
+    return counted.withColumn(run, F.when(F.col("_flag"), F.col(row_no) - F.col("_hits"))).drop("_flag", "_hits")
+
+
+def runs(df: DataFrame, key: list[str], order: str, flag: Column, run: str = "run_id", short: bool = False) -> DataFrame:
+    """Keep flagged rows and number the unbroken runs they form."""
+    counted = count_runs(df, key, order, flag, run, "_all", short)
+    return counted.filter(F.col(run).isNotNull()).drop("_all")
 
 
 def chunk_number(row_no: Column, rows: int = 24) -> Column:

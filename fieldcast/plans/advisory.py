@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldcast.functions.text import clock, fixed
 from fieldcast.operators import indices, lookups
+from fieldcast.plans.forecasts import first_hours
 
 # --- fixed values: thresholds and wording ------------------------------------------------
 HEAT_HOURS = 4
@@ -190,11 +191,18 @@ def reply(plans: DataFrame) -> DataFrame:
     return plans.withColumn("reply", F.concat_ws("\n", *lines))
 
 
-def consultations(requests: DataFrame, series: DataFrame, soil: DataFrame, key: list[str]) -> DataFrame:
-    """One advisory row per request (key, crop, crop_stage); the crop sets the temperature limits."""
+def consultations(
+    requests: DataFrame, series: DataFrame, soil: DataFrame, key: list[str], hours: int = 48
+) -> DataFrame:
+    """One advisory row per request (key, crop, crop_stage) over the first `hours` of its series.
+
+    The crop sets the temperature limits. A cut series has at most 168 rows.
+    """
     profiles = lookups.crop_profiles(requests)
     limits = profiles.select(*key, "base_temp_c", "critical_max_temp_c")
-    crop_series = series.join(limits, key)
-    report = indices.indices(crop_series, key, F.col("base_temp_c"), F.col("critical_max_temp_c"))
+    near = first_hours(series, key, hours)
+    report = indices.indices(
+        near.join(limits, key), key, F.col("base_temp_c"), F.col("critical_max_temp_c"), short=True
+    )
     facts = profiles.join(report, key).join(soil, key, "left")
     return action_plan(facts)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fieldcast.functions import physics
 from fieldcast.operators import baselines, spatial, terrain, timeseries
 from fieldcast.operators.quality import add_missing, drop_incomplete, serving_defaults
+from fieldcast.session import settle
 
 POINT = ["zone_id", "point_id"]
 DOMAIN_HOUR = ["zone_id", "timestamp"]
@@ -65,42 +66,55 @@ def with_terrain(df: DataFrame, points: DataFrame) -> DataFrame:
     return joined.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in neutral.items()})
 
 
-def with_domain(obs: DataFrame) -> DataFrame:
-    return baselines.with_elevation_delta(obs).withColumn(
+def with_domain(rows: DataFrame, source: DataFrame | None = None) -> DataFrame:
+    return baselines.with_elevation_delta(rows, source).withColumn(
         "theoretical_lapse_delta_c", physics.lapse_delta(F.col("delta_elevation_m"))
     )
 
 
-def with_baselines(obs: DataFrame, targets: dict[str, str] = baselines.TARGETS) -> DataFrame:
-    if "vpd_local_kpa" in targets:
-        local = physics.vapour_pressure_deficit(F.col("temperature_2m_c"), F.col("relative_humidity_2m_pct"))
-        obs = obs.withColumn("vpd_local_kpa", local)
-    based = baselines.leave_one_out(obs, DOMAIN_HOUR, targets)
+def _with_local_vpd(obs: DataFrame, targets: dict[str, str]) -> DataFrame:
+    if "vpd_local_kpa" not in targets:
+        return obs
+    local = physics.vapour_pressure_deficit(F.col("temperature_2m_c"), F.col("relative_humidity_2m_pct"))
+    return obs.withColumn("vpd_local_kpa", local)
+
+
+def with_baselines(
+    obs: DataFrame, targets: dict[str, str] = baselines.TARGETS, source: DataFrame | None = None
+) -> DataFrame:
+    """Leave-one-out baselines and residuals; `source` are the untouched observations."""
+    slim = None if source is None else _with_local_vpd(source, targets)
+    based = baselines.leave_one_out(_with_local_vpd(obs, targets), DOMAIN_HOUR, targets, slim)
     names = [n for n, (own, _) in baselines.RESIDUALS.items() if own in targets]
     return baselines.residuals(based, names)
 
 
 def engineer_features(obs: DataFrame) -> DataFrame:
     """Single-target training table: baseline, residual, cycles, interactions, 3-row lag."""
-    rows = with_baselines(with_domain(obs), baselines.TEMPERATURE_ONLY)
+    rows = timeseries.number_rows(obs, POINT, "timestamp", "_row_no")
+    rows = with_baselines(with_domain(rows, obs), baselines.TEMPERATURE_ONLY, obs)
     rows = rows.withColumns(physics.calendar_columns(F.col("timestamp")))
     rows = rows.withColumns(_weather_interactions())
     lag = {"thermal_inertia_lag_3h": timeseries.difference("baseline_temp_c", 3)}
-    rows = timeseries.near_rows(rows, POINT, "timestamp", lag, back=3)
-    return drop_incomplete(rows.drop("domain_mean_elevation_m"))
+    rows = timeseries.near_rows(rows, POINT, "timestamp", lag, back=3, numbered="_row_no")
+    return drop_incomplete(rows.drop("domain_mean_elevation_m", "_row_no"))
 
 
 def engineer_multitarget(obs: DataFrame, radius: float = spatial.TRAINING_RADIUS_DEG, fill: bool = True) -> DataFrame:
-    """Multi-target training table with terrain, memory terms and extended interactions."""
-    rows = with_baselines(with_domain(obs))
-    rows = rows.withColumns(physics.calendar_columns(F.col("timestamp")))
-    rows = with_terrain(rows, spatial.lattice_terrain(station_list(obs), radius, ["zone_id"]))
-    rows = rows.withColumns(_weather_interactions()).withColumns(_surface_interactions())
+    """Multi-target training table with terrain, memory terms and extended interactions.
+
+    Filling the gaps passes over the finished rows twice, so they are settled first; with
+    `fill=False` nothing runs and the gaps stay.
+    """
     # Row numbers and year-to-date degree days share one pass over the months.
     rows = timeseries.running_totals(
-        rows, POINT, "timestamp", {"_row_no": F.lit(1).cast("bigint")},
+        obs, POINT, "timestamp", {"_row_no": F.lit(1).cast("bigint")},
         {"accumulated_gdd_c": F.coalesce(physics.hourly_degree_share(F.col("temperature_2m_c")), F.lit(0.0))},
     )
+    rows = with_baselines(with_domain(rows, obs), source=obs)
+    rows = rows.withColumns(physics.calendar_columns(F.col("timestamp")))
+    rows = with_terrain(rows, spatial.lattice_terrain(station_list(obs), radius, ["zone_id"]))
+    rows = rows.withColumns(_weather_interactions()).withColumns(_surface_interactions())
     memory = {
         "thermal_inertia_lag_3h": timeseries.difference("baseline_temp_c", 3),
         "antecedent_precipitation_7d_mm": timeseries.trailing_sum("precipitation_mm", 168),
@@ -116,7 +130,7 @@ def engineer_multitarget(obs: DataFrame, radius: float = spatial.TRAINING_RADIUS
     if not fill:
         return rows
     numbers = [f.name for f in rows.schema if f.dataType.typeName() == "double"]
-    return timeseries.fill_within(rows, POINT, "timestamp", numbers)
+    return timeseries.fill_within(settle(rows), POINT, "timestamp", numbers)
 
 
 def engineer_zone_features(
@@ -124,14 +138,14 @@ def engineer_zone_features(
     radii: tuple[float, float] = terrain.TPI_RADII_M,
 ) -> DataFrame:
     """Fleet training table: raster terrain where a tile covers the station, else the lattice."""
-    rows = with_baselines(with_domain(obs))
+    rows = with_baselines(with_domain(obs, obs), source=obs)
     rows = rows.withColumns(physics.calendar_columns(F.col("timestamp")))
     stations = station_list(obs)
-    lattice = spatial.lattice_terrain(stations, spatial.FLEET_RADIUS_DEG, ["zone_id"])
+    ground = spatial.lattice_terrain(stations, spatial.FLEET_RADIUS_DEG, ["zone_id"])
     if dem is not None:
         raster = terrain.sample_terrain(stations, dem, tiles, radii)
-        lattice = terrain.with_lattice_fallback(raster, lattice, POINT)
-    rows = with_terrain(rows, lattice)
+        ground = terrain.with_lattice_fallback(raster, ground, POINT)
+    rows = with_terrain(rows, ground)
     rows = rows.withColumn("vapor_pressure_deficit_kpa", _weather_interactions()["vapor_pressure_deficit_kpa"])
     rows = rows.withColumns(_surface_interactions("fleet"))
     return rows.withColumn(
@@ -151,31 +165,39 @@ def domain_lag(rows: DataFrame) -> DataFrame:
     return rows.join(lagged.drop("_mean"), DOMAIN_HOUR, "left")
 
 
-def complete_features(rows: DataFrame, radius: float = spatial.TRAINING_RADIUS_DEG) -> DataFrame:
-    """Add whichever model input is missing, then treat unknown numbers as zero."""
+def complete_features(
+    rows: DataFrame, radius: float = spatial.TRAINING_RADIUS_DEG, stations: DataFrame | None = None
+) -> DataFrame:
+    """Add whichever model input is missing, then treat unknown numbers as zero.
+
+    `stations` saves a pass over `rows` when the station list is at hand.
+    """
     temp = "baseline_temp_c" if "baseline_temp_c" in rows.columns else "temperature_2m_c"
     rows = add_missing(rows, _weather_interactions(temp))
     if "thermal_inertia_lag_3h" not in rows.columns:
         rows = domain_lag(rows) if temp == "baseline_temp_c" else rows.withColumn("thermal_inertia_lag_3h", F.lit(0.0))
     if any(c not in rows.columns for c in TERRAIN):
-        points = spatial.lattice_terrain(station_list(rows), radius, ["zone_id"])
-        rows = with_terrain(rows.drop(*TERRAIN), points)
+        listed = station_list(rows) if stations is None else stations
+        rows = with_terrain(rows.drop(*TERRAIN), spatial.lattice_terrain(listed, radius, ["zone_id"]))
     return add_missing(rows, _surface_interactions()).na.fill(0.0)
 
 
 def serving_features(
     forecast: DataFrame, key: list[str], terrain_rows: DataFrame | None = None, covariates: str | None = None,
-    domain_mean: float = physics.DEFAULT_DOMAIN_ELEVATION_M,
+    domain_mean: float = physics.DEFAULT_DOMAIN_ELEVATION_M, hours: int | None = None,
 ) -> DataFrame:
     """Model inputs of a forecast series, with defaults for what the forecast lacks.
 
-    `terrain_rows` has the key, a 2 km position index, slope and aspect components.
+    `terrain_rows` has the key, a 2 km position index, slope and aspect components. `hours`
+    keeps the first rows only; a forecast is short, so its windows are plain ones.
     """
-    lagged = timeseries.number_rows(forecast, key, "timestamp", "_row_no")
-    starts = forecast.groupBy(*key).agg(F.min_by(F.struct("temperature_2m_c"), "timestamp").alias("_s"))
-    lagged = lagged.join(starts.select(*key, F.col("_s.temperature_2m_c").alias("_start")), key)
+    rows = timeseries.number_rows(forecast, key, "timestamp", "_row_no", short=True)
+    if hours is not None:
+        rows = rows.filter(F.col("_row_no") <= hours)
+    start = {"_start": lambda w: F.first("temperature_2m_c").over(w)}
+    rows = timeseries.near_rows(rows, key, "timestamp", start, short=True)
     lag = {"thermal_inertia_lag_3h": timeseries.forecast_lag("temperature_2m_c", "_row_no", "_start")}
-    rows = timeseries.near_rows(lagged, key, "timestamp", lag, back=3, numbered="_row_no").drop("_row_no", "_start")
+    rows = timeseries.near_rows(rows, key, "timestamp", lag, back=3, short=True).drop("_row_no", "_start")
     rows = serving_defaults(rows, covariates)
     neutral = dict(zip(TERRAIN, spatial.NO_NEIGHBOURS.values()))
     if terrain_rows is not None:

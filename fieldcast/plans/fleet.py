@@ -98,26 +98,40 @@ def serving_gap(served: DataFrame, coarse: DataFrame, key: list[str]) -> DataFra
     return pairs.withColumn("t_proxy", proxy)
 
 
-def leakage_audit(obs: DataFrame, bumped: Column, bump_c: float, names: list[str] | None = None) -> DataFrame:
-    """Change in every feature and in the target of rows whose own temperature is raised.
+def raise_one_reading(obs: DataFrame, bump_c: float) -> DataFrame:
+    """Add `raised`: true on one reading per zone, picked by hash, and `bumped_temp_c`.
+
+    One row per zone, at most fifteen, is broadcast.
+    """
+    order = F.md5(F.concat("point_id", F.date_format("timestamp", "yyyy-MM-dd HH")))
+    picked = obs.groupBy("zone_id").agg(F.min_by(F.struct("point_id", "timestamp"), order).alias("_p"))
+    picked = catalogs.zones(obs.sparkSession).select("zone_id").join(picked, "zone_id")
+    hit = (F.col("point_id") == F.col("_p.point_id")) & (F.col("timestamp") == F.col("_p.timestamp"))
+    marked = obs.join(F.broadcast(picked), "zone_id").withColumn("raised", hit)
+    bump = F.when(F.col("raised"), F.lit(bump_c)).otherwise(F.lit(0.0))
+    return marked.withColumn("bumped_temp_c", F.col("temperature_2m_c") + bump).drop("_p")
+
+
+def leakage_audit(obs: DataFrame, bump_c: float, names: list[str] | None = None) -> DataFrame:
+    """Change in the features and in the target of a reading whose own temperature is raised.
 
     A leak-free plan changes the target by the bump and no feature at all.
     """
     names = names or residual_models.FEATURES_28
-    raised = obs.withColumn(
-        "temperature_2m_c", F.col("temperature_2m_c") + F.when(bumped, F.lit(bump_c)).otherwise(F.lit(0.0))
-    )
+    marked = settle(raise_one_reading(obs, bump_c))
     hour = ["zone_id", "point_id", "timestamp"]
-    before = features.complete_features(features.engineer_features(obs))
-    after = features.complete_features(features.engineer_features(raised))
     target = residual_models.TARGET
-    marked = before.filter(bumped).select(*hour, *[F.col(n).alias(f"_b_{n}") for n in [*names, target]])
-    pairs = marked.join(after.select(*hour, *names, target), hour)
-    biggest = None
-    for name in names:
-        gap = F.abs(F.col(name) - F.col(f"_b_{name}"))
-        biggest = gap if biggest is None else F.greatest(biggest, gap)
-    return pairs.select(
+    stations = features.station_list(marked)
+
+    def run(rows: DataFrame) -> DataFrame:
+        table = features.complete_features(features.engineer_features(rows), stations=stations)
+        return table.filter("raised").select(*hour, *names, target)
+
+    before = run(marked.drop("bumped_temp_c"))
+    after = run(marked.drop("temperature_2m_c").withColumnRenamed("bumped_temp_c", "temperature_2m_c"))
+    old = before.select(*hour, *[F.col(n).alias(f"_b_{n}") for n in [*names, target]])
+    biggest = F.greatest(*[F.abs(F.col(n) - F.col(f"_b_{n}")) for n in names])
+    return old.join(after, hour).select(
         *hour, biggest.alias("max_feature_change"), (F.col(target) - F.col(f"_b_{target}")).alias("target_change")
     )
 

@@ -112,17 +112,12 @@ def series_summary(series: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
-def point_forecast(features: DataFrame, places: DataFrame, key: list[str], hours: int = 48) -> DataFrame:
-    """One row per place: zone, horizon, mean shift and the stress indices of its series."""
-    cut = first_hours(features, key, hours)
-    series = hourly_series(downscale(cut), key)
-    report = indices.indices(series, key)
+def point_forecast(features: DataFrame, places: DataFrame, key: list[str]) -> DataFrame:
+    """One row per place: zone, horizon, mean shift and the stress indices of its series.
+
+    `features` are serving features already cut to the horizon (at most 168 rows per place).
+    """
+    series = hourly_series(downscale(features), key)
+    report = indices.indices(series, key, short=True)
     routed = spatial.route(places.select(*key, "latitude", "longitude"))
-    return (
-        routed.join(series_summary(series, key), key)
-        .join(report.drop("hours"), key)
-        .select(
-            *key, "latitude", "longitude", "zone_id", "in_exact_bounds", "hours_evaluated", "mean_delta_t_c",
-            *[c for c in report.columns if c not in (*key, "hours")],
-        )
-    )
+    return routed.join(report, key).withColumnRenamed("hours", "hours_evaluated")

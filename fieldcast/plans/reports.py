@@ -208,7 +208,8 @@ def temperature_anomalies(daily: DataFrame, normal: DataFrame, key: list[str]) -
     up, down = F.col("tmax_c") - F.col("tmax_normal_c"), F.col("tmin_c") - F.col("tmin_normal_c")
     rows = rows.withColumns({"tmax_departure_c": up, "tmin_departure_c": down})
     hot, cold = F.col("tmax_c"), F.col("tmin_c")
-    up, down = F.col("tmax_departure_c"), F.col("tmin_departure_c")
+    # Departures are reported to a tenth of a degree, and classed as reported.
+    up, down = (F.round(F.col(f"{x}_departure_c") + 1e-9, 1) for x in ("tmax", "tmin"))
     heat = _wave(
         (hot >= SEVERE_HEAT_C) | ((hot >= HEAT_FROM_C) & (up > SEVERE_DEPARTURE_C)),
         (hot >= HEAT_C) | ((hot >= HEAT_FROM_C) & (up >= WAVE_DEPARTURE_C)),

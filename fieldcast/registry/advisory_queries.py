@@ -53,8 +53,10 @@ def _cases(templates: dict[str, str], other: str | None = None) -> str:
     return f"CASE verdict_category {whens}" + (f" ELSE {fill_sql(other)}" if other else "") + " END"
 
 
-PLAN_SQL = f"""{t.SERIES_SQL}, {POINTS_ONLY}, {PROFILES_SQL}, {STRESS}, {FLAG_SQL}, {WINDOWS_SQL}, {FIRST_SQL},
-soil AS (SELECT zone_id, point_id, avg(soil_moisture_m3m3) AS soil_moisture_m3m3 FROM series GROUP BY 1, 2),
+CUT_SQL = t.SERIES_SQL.replace("series AS (", "all_series AS (") + """,
+series AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY zone_id, point_id ORDER BY timestamp) AS nth FROM all_series) WHERE nth <= 96)"""
+PLAN_SQL = f"""{CUT_SQL}, {POINTS_ONLY}, {PROFILES_SQL}, {STRESS}, {FLAG_SQL}, {WINDOWS_SQL}, {FIRST_SQL},
+soil AS (SELECT zone_id, point_id, avg(soil_moisture_m3m3) AS soil_moisture_m3m3 FROM all_series GROUP BY 1, 2),
 facts AS (SELECT profiles.*, stress.* EXCLUDE (zone_id, point_id), gdd_accumulated_c_days, coalesce(spray_windows, 0) AS spray_windows, first_window_start, first_window_end, first_window_hours,
   first_window_score, soil_moisture_m3m3, CASE WHEN soil_moisture_m3m3 < 0.12e0 THEN '{advisory.DRY_TEXT}' WHEN soil_moisture_m3m3 < 0.22e0 THEN '{advisory.MOIST_TEXT}' ELSE '{advisory.WET_TEXT}' END AS moisture_status
   FROM profiles JOIN stress USING (zone_id, point_id) JOIN gdd USING (zone_id, point_id) JOIN soil USING (zone_id, point_id) LEFT JOIN first_window USING (zone_id, point_id)),
@@ -84,7 +86,7 @@ def soil(spark, sf, series):
 
 def plans(spark, sf):
     series = t.series(spark, sf)
-    return advisory.consultations(requests(spark, sf), series, soil(spark, sf, series), features.POINT)
+    return advisory.consultations(requests(spark, sf), series, soil(spark, sf, series), features.POINT, 96)
 
 
 TEXTS = {

@@ -50,15 +50,17 @@ def _(spark, sf):
 
 @query("p2_model_inputs", f"{ID} {ALL_28}", f"WITH {FULL_SQL} SELECT * FROM complete")
 def _(spark, sf):
-    rows = features.complete_features(features.engineer_features(t.obs(spark, sf)))
+    obs = t.obs(spark, sf)
+    rows = features.complete_features(features.engineer_features(obs), stations=features.station_list(obs))
     return rows.select("point_id", "timestamp", *residual_models.FEATURES_28)
 
 
 @query("p3_missing_inputs_only", f"{ID} vapor_pressure_deficit_kpa:d latent_cooling_potential:d thermal_inertia_lag_3h:d slope_magnitude_deg:d",
        f"""WITH {FULL_SQL} SELECT point_id, timestamp, 1.5e0 AS vapor_pressure_deficit_kpa, et0_evapotranspiration_mm * 1.5e0 AS latent_cooling_potential, thermal_inertia_lag_3h, slope_magnitude_deg FROM complete""")
 def _(spark, sf):
-    rows = features.engineer_features(t.obs(spark, sf)).withColumn("vapor_pressure_deficit_kpa", F.lit(1.5))
-    return features.complete_features(rows)
+    obs = t.obs(spark, sf)
+    rows = features.engineer_features(obs).withColumn("vapor_pressure_deficit_kpa", F.lit(1.5))
+    return features.complete_features(rows, stations=features.station_list(obs))
 
 
 MULTI_SQL = f"""{LOCAL_SQL}, {POINTS_ONLY}, {lattice_sql('0.28e0')}, {base_features('based')},
@@ -122,7 +124,7 @@ serving AS (SELECT *, delta_elevation_m * -0.0065e0 AS theoretical_lapse_delta_c
   FROM filled JOIN (SELECT zone_id, point_id, topographic_position_index, slope_magnitude_deg, aspect_sin, aspect_cos FROM lattice) USING (zone_id, point_id))"""
 
 
-def serving(spark, sf):
+def serving(spark, sf, hours=None):
     from fieldcast.operators import spatial
 
     rows = t.obs(spark, sf)
@@ -134,7 +136,7 @@ def serving(spark, sf):
         }
     )
     ground = spatial.lattice_terrain(features.station_list(rows), spatial.FLEET_RADIUS_DEG, ["zone_id"])
-    return features.serving_features(gaps, features.POINT, ground)
+    return features.serving_features(gaps, features.POINT, ground, hours=hours)
 
 
 @query("d4_serving_features", f"{ID} {ALL_28}", f"WITH {SERVING_SQL} SELECT * FROM serving")
@@ -167,9 +169,8 @@ islands AS (SELECT *, rn - row_number() OVER (PARTITION BY zone_id, point_id, go
          first_window_hours, first_window_score, hours_evaluated, mean_delta_t_c
        FROM points JOIN stress USING (zone_id, point_id) JOIN gdd USING (zone_id, point_id) JOIN mean_shift USING (zone_id, point_id) LEFT JOIN first_window USING (zone_id, point_id)""")
 def _(spark, sf):
-    rows = serving(spark, sf)
     places = t.points(spark, sf).select("point_id", "latitude", "longitude")
-    return forecasts.point_forecast(rows, places, ["point_id"], 48)
+    return forecasts.point_forecast(serving(spark, sf, 48), places, ["point_id"])
 
 
 @query("d22_dataset_manifest", "dataset_name:s start_time:t end_time:t spatial_points:i min_latitude:d max_latitude:d total_rows:i total_columns:i null_values:i max_abs_residual_c:d",

@@ -25,7 +25,7 @@ def signal(spark, sf):
     noise = (F.crc32(F.concat("point_id", c("timestamp").cast("string"))) % 100) / 100.0
     temp = 30.0 - 0.0065 * c("elevation_m") + 0.05 * c("relative_humidity_2m_pct") + noise
     obs = t.obs(spark, sf).withColumn("temperature_2m_c", temp)
-    rows = features.complete_features(features.engineer_features(obs))
+    rows = features.complete_features(features.engineer_features(obs), stations=features.station_list(obs))
     # Fits pass over the rows many times; the plan behind them runs once.
     return settle(rows.select("zone_id", "point_id", "timestamp", "temperature_2m_c", "residual_anomaly_c", "latitude", "longitude", *residual_models.FEATURES_28))
 
@@ -150,7 +150,8 @@ def _(spark, sf):
 @query("m12_fleet_training", f"zone_id:s rows:i {ERRORS} {GAINS} error:s")
 def _(spark, sf):
     rows = signal(spark, sf)
-    found = sorted(r[0] for r in rows.select("zone_id").distinct().limit(15).collect())
+    # The zone names, at most fifteen of them, decide how many fits there are.
+    found = sorted(r[0] for r in rows.select("zone_id").distinct().collect())
     return fleet.train_fleet(rows, found, **SMALL)
 
 
@@ -171,13 +172,14 @@ def _(spark, sf):
     return metrics.rollup_by_place(pairs, "point_id", "t_proxy", "t_base", "downscaled_value")
 
 
-@query("m15_leakage_audit", "point_id:s timestamp:t max_feature_change:d target_change:d",
-       f"WITH {t.OBS_SQL} SELECT point_id, timestamp, 0.0e0 AS max_feature_change, 5.0e0 AS target_change FROM obs WHERE event_no % 400 = 7")
+RAISED_SQL = "SELECT zone_id, arg_min(point_id, md5(point_id || strftime(timestamp, '%Y-%m-%d %H'))) AS point_id, arg_min(timestamp, md5(point_id || strftime(timestamp, '%Y-%m-%d %H'))) AS timestamp FROM obs GROUP BY 1"
+
+
+@query("m15_leakage_audit", "zone_id:s point_id:s timestamp:t max_feature_change:d target_change:d",
+       f"WITH {t.OBS_SQL} SELECT *, 0.0e0 AS max_feature_change, 5.0e0 AS target_change FROM ({RAISED_SQL})")
 def _(spark, sf):
-    # Raised hours lie far apart, so that no other raised station shares an hour or a lag with them.
-    rows = t.obs(spark, sf)
-    alone = rows.groupBy("zone_id", "timestamp").agg(F.count_if(c("event_no") % 400 == 7).alias("raised"))
-    return fleet.leakage_audit(rows, c("event_no") % 400 == 7, 5.0)
+    # One station at one hour per zone, so that no two raised values meet in one baseline.
+    return fleet.leakage_audit(t.obs(spark, sf), 5.0)
 
 
 @query("m16_batch_scoring", "point_id:s timestamp:t zone_id:s downscaled_value:d confidence_score:d")

@@ -129,12 +129,11 @@ def _(spark, sf):
 
 ANOMALY_SQL = f"""{NORMAL_SQL},
 anomaly AS (SELECT point_id, date, tmax_c, tmin_c, tmax_c - nx AS tmax_departure_c, tmin_c - nn AS tmin_departure_c,
-  CASE WHEN tmax_c >= 47 OR (tmax_c >= 40 AND tmax_c - nx > 6.4e0) THEN 'severe heat wave' WHEN tmax_c >= 45 OR (tmax_c >= 40 AND tmax_c - nx >= 4.5e0) THEN 'heat wave' ELSE 'none' END AS heat_wave,
-  CASE WHEN tmin_c <= 2 OR (tmin_c <= 10 AND tmin_c - nn < -6.4e0) THEN 'severe cold wave' WHEN tmin_c <= 4 OR (tmin_c <= 10 AND tmin_c - nn <= -4.5e0) THEN 'cold wave' ELSE 'none' END AS cold_wave FROM joined)"""
+  CASE WHEN tmax_c >= 47 OR (tmax_c >= 40 AND round(tmax_c - nx + 1e-9, 1) > 6.4e0) THEN 'severe heat wave' WHEN tmax_c >= 45 OR (tmax_c >= 40 AND round(tmax_c - nx + 1e-9, 1) >= 4.5e0) THEN 'heat wave' ELSE 'none' END AS heat_wave,
+  CASE WHEN tmin_c <= 2 OR (tmin_c <= 10 AND round(tmin_c - nn + 1e-9, 1) < -6.4e0) THEN 'severe cold wave' WHEN tmin_c <= 4 OR (tmin_c <= 10 AND round(tmin_c - nn + 1e-9, 1) <= -4.5e0) THEN 'cold wave' ELSE 'none' END AS cold_wave FROM joined)"""
 
 
 def anomalies(spark, sf):
-    # A hair above the boundary values, so that neither engine's last bit decides a class.
     rows = t.daily(spark, sf)
     return reports.temperature_anomalies(rows, reports.normals(rows, ["point_id"], PERIOD), ["point_id"])
 
