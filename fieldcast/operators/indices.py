@@ -65,21 +65,20 @@ def spray_windows(series: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
+def _first_window(opens: Column, end: str = "_end", hours: str = "_hours", score: str = "_score") -> list[Column]:
+    """Start, end, length and score of the window that opens first."""
+    return [
+        F.min(opens).alias("first_window_start"),
+        F.min_by(end, opens).alias("first_window_end"),
+        F.min_by(hours, opens).alias("first_window_hours"),
+        F.min_by(score, opens).alias("first_window_score"),
+    ]
+
+
 def earliest_windows(windows: DataFrame, key: list[str]) -> DataFrame:
     """Per location: how many windows, and the first of them."""
-    first = F.min(F.struct("start_time", "end_time", "duration_hours", "suitability_score"))
-    return (
-        windows.groupBy(*key)
-        .agg(F.count(F.lit(1)).alias("spray_windows"), first.alias("_w"))
-        .select(
-            *key,
-            "spray_windows",
-            F.col("_w.start_time").alias("first_window_start"),
-            F.col("_w.end_time").alias("first_window_end"),
-            F.col("_w.duration_hours").alias("first_window_hours"),
-            F.col("_w.suitability_score").alias("first_window_score"),
-        )
-    )
+    first = _first_window(F.col("start_time"), "end_time", "duration_hours", "suitability_score")
+    return windows.groupBy(*key).agg(F.count(F.lit(1)).alias("spray_windows"), *first)
 
 
 def degree_days(t_max: Column, t_min: Column, base: Column) -> Column:
@@ -176,15 +175,7 @@ def indices(
     window = (
         (F.col("_is_window") == 1) & F.col("_window").isNotNull() & (F.col("_hours") >= spraying.MIN_WINDOW_HOURS)
     )
-    first = F.min(F.when(window, F.struct("_start", "_end", "_hours", "_score"))).alias("_w")
-    report = parts.groupBy(*key).agg(
-        *_stress_columns(F.col("_is_window") == 0), F.count_if(window).alias("spray_windows"), first
+    opens = F.when(window, F.col("_start"))
+    return parts.groupBy(*key).agg(
+        *_stress_columns(F.col("_is_window") == 0), F.count_if(window).alias("spray_windows"), *_first_window(opens)
     )
-    return report.withColumns(
-        {
-            "first_window_start": F.col("_w._start"),
-            "first_window_end": F.col("_w._end"),
-            "first_window_hours": F.col("_w._hours"),
-            "first_window_score": F.col("_w._score"),
-        }
-    ).drop("_w")

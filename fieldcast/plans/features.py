@@ -59,10 +59,13 @@ def station_list(obs: DataFrame) -> DataFrame:
     return obs.select(*POINT, "latitude", "longitude", "elevation_m").distinct()
 
 
-def with_terrain(df: DataFrame, points: DataFrame) -> DataFrame:
-    """Attach per-point terrain; a point without any gets the neutral values."""
+def with_terrain(df: DataFrame, points: DataFrame, also: list[str] | None = None) -> DataFrame:
+    """Attach per-point terrain; a point without any gets the neutral values.
+
+    `also` names further per-point columns that ride along, to save a join of the rows.
+    """
     neutral = dict(zip(TERRAIN, spatial.NO_NEIGHBOURS.values()))
-    joined = df.join(points.select(*POINT, *TERRAIN), POINT, "left")
+    joined = df.join(points.select(*POINT, *TERRAIN, *(also or [])), POINT, "left")
     return joined.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in neutral.items()})
 
 
@@ -103,7 +106,7 @@ def engineer_features(obs: DataFrame) -> DataFrame:
 def engineer_multitarget(obs: DataFrame, radius: float = spatial.TRAINING_RADIUS_DEG, fill: bool = True) -> DataFrame:
     """Multi-target training table with terrain, memory terms and extended interactions.
 
-    Filling the gaps passes over the finished rows twice, so they are settled first; with
+    Filling the gaps passes over the finished rows again, so they are settled first; with
     `fill=False` nothing runs and the gaps stay.
     """
     # Row numbers and year-to-date degree days share one pass over the months.
@@ -113,7 +116,9 @@ def engineer_multitarget(obs: DataFrame, radius: float = spatial.TRAINING_RADIUS
     )
     rows = with_baselines(with_domain(rows, obs), source=obs)
     rows = rows.withColumns(physics.calendar_columns(F.col("timestamp")))
-    rows = with_terrain(rows, spatial.lattice_terrain(station_list(obs), radius, ["zone_id"]))
+    heads = timeseries.first_known(obs, POINT, "timestamp", {"_head": "soil_moisture_0_to_7cm_m3m3"})
+    ground = spatial.lattice_terrain(station_list(obs), radius, ["zone_id"]).join(heads, POINT, "left")
+    rows = with_terrain(rows, ground, ["_head"])
     rows = rows.withColumns(_weather_interactions()).withColumns(_surface_interactions())
     memory = {
         "thermal_inertia_lag_3h": timeseries.difference("baseline_temp_c", 3),
@@ -121,16 +126,23 @@ def engineer_multitarget(obs: DataFrame, radius: float = spatial.TRAINING_RADIUS
         "_moisture_24h": lambda w: F.lag("soil_moisture_0_to_7cm_m3m3", 24).over(w),
     }
     rows = timeseries.near_rows(rows, POINT, "timestamp", memory, back=168, numbered="_row_no")
-    heads = timeseries.first_known(obs, POINT, "timestamp", {"_head": "soil_moisture_0_to_7cm_m3m3"})
-    rows = rows.join(heads, POINT, "left").withColumn(
-        "soil_moisture_lag_24h_m3m3", F.coalesce("_moisture_24h", "_head")
-    )
+    rows = rows.withColumn("soil_moisture_lag_24h_m3m3", F.coalesce("_moisture_24h", "_head"))
     rows = rows.drop("_moisture_24h", "_head", "_row_no", "domain_mean_elevation_m")
     rows = rows.withColumns(_extended_interactions())
     if not fill:
         return rows
-    numbers = [f.name for f in rows.schema if f.dataType.typeName() == "double"]
-    return timeseries.fill_within(settle(rows), POINT, "timestamp", numbers)
+    return fill_gaps(settle(rows))
+
+
+def fill_gaps(stored: DataFrame) -> DataFrame:
+    """Fill the unknown numbers of a stored table within each station.
+
+    One pass counts the gaps; only columns that have any are ordered and filled.
+    """
+    numbers = [f.name for f in stored.schema if f.dataType.typeName() == "double"]
+    counts = stored.agg(*[F.count_if(F.col(n).isNull()).alias(n) for n in numbers]).first()
+    gaps = [n for n in numbers if counts[n]]
+    return timeseries.fill_within(stored, POINT, "timestamp", gaps) if gaps else stored
 
 
 def engineer_zone_features(

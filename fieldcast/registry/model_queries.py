@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldcast.operators import lookups, metrics, residual_models, spatial, splits
+from fieldcast.operators import metrics, residual_models, spatial, splits
 from fieldcast.plans import features, fleet, forecasts
 from fieldcast.registry import tables as t
 from fieldcast.registry.aggregate_queries import ERRORS, SCORED_SQL, SPLIT_SQL, compare_sql, gap, scored
 from fieldcast.registry.aggregate_queries import GAP_SQL
 from fieldcast.registry.base import query
-from fieldcast.registry.source_queries import scratch
-from fieldcast.session import settle
+from fieldcast.session import settle, shared_folder
 
 c = F.col
 DOMAIN = ["zone_id"]
@@ -69,7 +68,7 @@ def _(spark, sf):
     rows = signal(spark, sf)
     labels = splits.three_way(rows, DOMAIN)
     model = residual_models.train_residual_model(rows, labels, DOMAIN, **SMALL)
-    root = scratch(spark)
+    root = shared_folder(spark)
     residual_models.save(model, root)
     again = residual_models.load(root)
     results = residual_models.evaluate(residual_models.score(rows, again), DOMAIN)
@@ -194,7 +193,7 @@ def _(spark, sf):
 @query("d23_zone_ingest", "zone_id:s stations:i rows:i",
        f"WITH {t.OBS_SQL} SELECT zone_id, count(DISTINCT point_id) AS stations, count(*) AS rows FROM obs GROUP BY 1")
 def _(spark, sf):
-    rows, table = t.obs(spark, sf), scratch(spark)
+    rows, table = t.obs(spark, sf), shared_folder(spark)
     first = rows.filter("zone_id = 'ACZ_01' and point_no < 10")
     fleet.ingest_zones(spark, first, table)
     fleet.ingest_zones(spark, rows, table)

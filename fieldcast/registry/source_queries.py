@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from fieldcast.plans import extraction
 from fieldcast.registry import tables as t
 from fieldcast.registry.base import query
 from fieldcast.schemas import HOURLY_COLUMNS, OBS_HOURLY
+from fieldcast.session import shared_folder, spread
 from fieldcast.sources import bulletins, files, rasters, satellites, weather
 
 c = F.col
@@ -19,16 +17,6 @@ WEATHER = " ".join(f"{x}:d" for x in HOURLY_COLUMNS.values())
 NUMBER = "(point_no + day(timestamp))"
 
 
-def scratch(spark) -> str:
-    """A new folder below the cluster's shared one; a local session uses its own temporary folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        root = tempfile.mkdtemp(prefix="fieldcast-")
-    return f"{root}/{uuid.uuid4().hex}"
-
-
 def solar_gap(fallback: str) -> str:
     return f"* REPLACE (CASE WHEN {NUMBER} % 7 = 0 THEN {fallback} ELSE solar_radiation_w_m2 END AS solar_radiation_w_m2)"
 
@@ -80,21 +68,21 @@ def table_rows(spark, sf):
 
 @query("s7_csv_scan", ROUND_TRIP, f"WITH {t.OBS_SQL} SELECT * FROM obs")
 def _(spark, sf):
-    path = scratch(spark) + ".csv"
+    path = shared_folder(spark) + ".csv"
     files.write_csv(table_rows(spark, sf), path)
     return files.read_first(spark, [path + ".absent", path])
 
 
 @query("s8_zone_parquet_sink", ROUND_TRIP, f"WITH {t.OBS_SQL} SELECT * FROM obs")
 def _(spark, sf):
-    path = scratch(spark)
+    path = shared_folder(spark)
     files.write_zones(table_rows(spark, sf), path)
     return spark.read.parquet(path)
 
 
 @query("s9_csv_sink", "zone_id:s rows:i rain_mm:d", f"WITH {t.OBS_SQL} SELECT zone_id, count(*) AS rows, sum(precipitation_mm) AS rain_mm FROM obs GROUP BY 1")
 def _(spark, sf):
-    path = scratch(spark)
+    path = shared_folder(spark)
     files.write_csv(table_rows(spark, sf), path)
     back = files.read_csv(spark, path, OBS_HOURLY)
     return back.groupBy("zone_id").agg(F.count(F.lit(1)).alias("rows"), F.sum("precipitation_mm").alias("rain_mm"))
@@ -102,7 +90,7 @@ def _(spark, sf):
 
 @query("s10_json_sink", ROUND_TRIP, f"WITH {t.OBS_SQL} SELECT * FROM obs")
 def _(spark, sf):
-    path = scratch(spark)
+    path = shared_folder(spark)
     files.write_json(table_rows(spark, sf), path)
     return spark.read.schema(OBS_HOURLY).json(path)
 
@@ -163,7 +151,7 @@ def _(spark, sf):
     # Every third page carries a marked bulletin container around its body.
     wrapped = F.concat(F.lit("<p>outside the bulletin, long enough to be taken for a paragraph of it</p><div class='x bulletin-content'>"), c("html"),
                        F.lit("</div><p>after the bulletin, long enough to be taken for a paragraph of it too</p>"))
-    pages = t.table(spark, sf, "pages").withColumn("html", F.when(c("page_id") % 3 == 0, wrapped).otherwise(c("html")))
+    pages = spread(t.table(spark, sf, "pages")).withColumn("html", F.when(c("page_id") % 3 == 0, wrapped).otherwise(c("html")))
     rows = bulletins.from_pages(pages, "html", " imd_agromet_bulletin ", {"district": c("url"), "language": F.lit("en")})
     return rows.withColumn("district", c("metadata")["district"])
 
@@ -249,7 +237,7 @@ def flat(rows):
 
 @query("d19_extract_bulletin", f"event_id:i {EXTRACTED}", f"WITH {t.BULLETINS_SQL} {EXTRACTED_SQL}")
 def _(spark, sf):
-    return flat(extraction.extract_bulletins(t.bulletins(spark, sf)))
+    return flat(extraction.extract_bulletins(spread(t.bulletins(spark, sf))))
 
 
 @query("d20_validate_extraction", "event_id:i min_temp_c:d max_temp_c:d warnings:s source_hash:s errors:s",
@@ -263,4 +251,4 @@ def _(spark, sf):
         F.lit('{"district": "x", "min_temp_c": '), (e % 80 - 10).cast("string"), F.lit(', "max_temp_c": 40, "warnings": ["Nil", " Squall "]}')
     )
     reply = F.when(e % 7 == 0, F.lit("```json\n{broken\n```")).when(e % 2 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
-    return flat(extraction.validate_extractions(t.bulletins(spark, sf).withColumn("reply", reply)))
+    return flat(extraction.validate_extractions(spread(t.bulletins(spark, sf)).withColumn("reply", reply)))

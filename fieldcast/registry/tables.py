@@ -74,10 +74,10 @@ def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.get_json_object("props", "$.k").cast("int").alias("k"),
     )
     first = events.groupBy("point_no", "timestamp").agg(
-        F.min("event_id").alias("event_no"), F.min_by(F.struct("value", "k"), "event_id").alias("_f")
+        F.min("event_id").alias("event_no"), F.min_by("value", "event_id").alias("v"), F.min_by("k", "event_id").alias("k")
     )
     placed = first.select(
-        "point_no", "timestamp", "event_no", F.col("_f.value").alias("v"), F.col("_f.k").alias("k"),
+        "point_no", "timestamp", "event_no", "v", "k",
         (F.floor(F.col("point_no") / 36) % 15 + 1).cast("int").alias("zone_no"),
         (F.col("point_no") % 36).alias("slot"),
         F.hour("timestamp").alias("h"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,19 +30,35 @@ def build_session(app: str = "fieldcast", master: str | None = None, **extra: st
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the one the cluster names in `spark.checkpoint.dir`.
+
+    Only a local session without that setting gets a temporary folder of its own.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        root = tempfile.mkdtemp(prefix="fieldcast-")
+    return f"{root}/{uuid.uuid4().hex}"
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint, so a lost executor never forces a full recompute.
+    """Cut lineage: write the rows once as Parquet to shared storage and go on from there.
+
+    A lost executor then costs a re-read, and later passes read only the columns they need.
+    """
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Give row-heavy work (regular expressions, pages) as many tasks as there are cores.
 
-    The folder is the one the cluster names in `spark.checkpoint.dir`. Only a local
-    session without that setting gets a folder of its own.
+    For a plain scan. One that comes in fewer pieces than that is redistributed; a large
+    table is split by the scan already and passes through without a shuffle.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="fieldcast-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    pieces = scan._jdf.queryExecution().toRdd().getNumPartitions()
+    return scan.repartition(cores) if pieces < cores else scan
