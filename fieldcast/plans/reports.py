@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldcast.functions import spraying
+from fieldcast.functions.text import fixed
 from fieldcast.operators import timeseries
 
 # --- fixed values ----------------------------------------------------------------------
@@ -251,7 +252,7 @@ def rule_advisories(facts: DataFrame, rules: DataFrame, key: list[str]) -> DataF
     for name, score in SEVERITY.items():
         rank = (F if rank is None else rank).when(F.col("risk_level") == name, F.lit(score))
     evidence = F.concat_ws(
-        " ", "metric", "comparison", F.format_string("%.2f", "threshold"), F.lit(":"), F.format_string("%.2f", F.round("value", 2))
+        " ", "metric", "comparison", fixed(F.col("threshold"), 2), F.lit(":"), fixed(F.col("value"), 2)
     )
     entry = F.struct((-rank).alias("order"), "rule_id", "risk_level", "action", evidence.alias("evidence"))
     return fired.groupBy(*key).agg(F.sort_array(F.collect_list(entry)).alias("triggered")).select(

@@ -16,19 +16,19 @@ c = F.col
 
 
 @query("j1_hourly_value_on_rows", "point_id:s timestamp:t mean_c:d",
-       f"WITH {t.OBS_SQL}, m AS (SELECT zone_id, timestamp, avg(temperature_2m_c) AS mean_c FROM obs WHERE k % 3 <> 0 GROUP BY 1, 2) "
+       f"WITH {t.OBS_SQL}, m AS (SELECT zone_id, timestamp, avg(temperature_2m_c) AS mean_c FROM obs WHERE temperature_2m_c > 30 GROUP BY 1, 2) "
        "SELECT * FROM obs LEFT JOIN m USING (zone_id, timestamp)")
 def _(spark, sf):
     rows = t.obs(spark, sf)
-    means = baselines.hourly_mean(rows.filter("k % 3 <> 0"), "temperature_2m_c", "mean_c")
+    means = baselines.hourly_mean(rows.filter("temperature_2m_c > 30"), "temperature_2m_c", "mean_c")
     return rows.join(means, features.DOMAIN_HOUR, "left")
 
 
 @query("j2_point_terrain_with_defaults", "point_id:s timestamp:t topographic_position_index:d slope_magnitude_deg:d aspect_sin:d aspect_cos:d",
-       f"""WITH {t.OBS_SQL} SELECT point_id, timestamp, CASE WHEN point_no % 3 = 0 THEN 0.0e0 ELSE elevation_m - 400 END AS topographic_position_index,
-       CASE WHEN point_no % 3 = 0 THEN 0.5e0 ELSE point_no % 20 END AS slope_magnitude_deg, 0.0e0 AS aspect_sin, 1.0e0 AS aspect_cos FROM obs""")
+       f"""WITH {t.OBS_SQL} SELECT point_id, timestamp, CASE WHEN elevation_m < 450 THEN 0.0e0 ELSE elevation_m - 400 END AS topographic_position_index,
+       CASE WHEN elevation_m < 450 THEN 0.5e0 ELSE point_no % 20 END AS slope_magnitude_deg, 0.0e0 AS aspect_sin, 1.0e0 AS aspect_cos FROM obs""")
 def _(spark, sf):
-    known = t.points(spark, sf).filter("point_no % 3 <> 0").withColumns(
+    known = t.points(spark, sf).filter("elevation_m >= 450").withColumns(
         {
             "topographic_position_index": c("elevation_m") - 400.0, "slope_magnitude_deg": (c("point_no") % 20).cast("double"),
             "aspect_sin": F.lit(None).cast("double"), "aspect_cos": F.lit(None).cast("double"),
@@ -174,7 +174,7 @@ def _(spark, sf):
 
 @query("j11_archive_before_forecast", "point_id:s date:y tmax_c:d tmin_c:d precipitation_mm:d source:s",
        f"""WITH {t.DAILY_SQL}, a AS (SELECT *, 'archive' AS source FROM daily WHERE status = 'F'),
-       f AS (SELECT point_id, date, tmax_c + 1 AS tmax_c, tmin_c, NULL AS precipitation_mm, 'forecast' AS source FROM daily WHERE order_no % 3 > 0),
+       f AS (SELECT point_id, date, tmax_c + 1 AS tmax_c, tmin_c, NULL AS precipitation_mm, 'forecast' AS source FROM daily WHERE precipitation_mm > 2),
        f2 AS (SELECT * FROM f WHERE tmin_c > 2)
        SELECT point_id, date, CASE WHEN a.source IS NULL THEN f2.tmax_c ELSE a.tmax_c END AS tmax_c, CASE WHEN a.source IS NULL THEN f2.tmin_c ELSE a.tmin_c END AS tmin_c,
          CASE WHEN a.source IS NULL THEN f2.precipitation_mm ELSE a.precipitation_mm END AS precipitation_mm, coalesce(a.source, f2.source) AS source
@@ -182,7 +182,7 @@ def _(spark, sf):
 def _(spark, sf):
     rows = t.daily(spark, sf)
     archive = rows.filter("status = 'F'").withColumn("source", F.lit("archive"))
-    forecast = rows.filter("order_no % 3 > 0").withColumns(
+    forecast = rows.filter("precipitation_mm > 2").withColumns(
         {
             "tmax_c": c("tmax_c") + 1, "tmin_c": F.when(c("tmin_c") > 2, c("tmin_c")),
             "precipitation_mm": F.lit(None).cast("double"), "source": F.lit("forecast"),
@@ -247,19 +247,19 @@ def _(spark, sf):
 
 @query("j14_forecast_with_coarse_row", "point_id:s timestamp:t t_base:d downscaled_value:d t_proxy:d",
        f"""WITH {t.OBS_SQL} SELECT point_id, timestamp, temperature_2m_c AS t_base, temperature_2m_c + k / 100.0e0 AS downscaled_value,
-       temperature_2m_c + -0.0065e0 * (elevation_m - 380) AS t_proxy FROM obs WHERE k % 4 <> 0""")
+       temperature_2m_c + -0.0065e0 * (elevation_m - 380) AS t_proxy FROM obs""")
 def _(spark, sf):
     coarse = t.obs(spark, sf)
-    served = coarse.filter("k % 4 <> 0").withColumns(
+    served = coarse.withColumns(
         {"delta_elevation_m": c("elevation_m") - 380.0, "downscaled_value": c("temperature_2m_c") + c("k") / 100.0}
     )
     return fleet.serving_gap(served, coarse, features.POINT)
 
 
 @query("j15_pending_points", "zone_id:s point_id:s",
-       f"WITH {t.POINTS_SQL} SELECT zone_id, point_id FROM points WHERE point_id NOT IN (SELECT point_id FROM obs WHERE k = 5)")
+       f"WITH {t.POINTS_SQL} SELECT zone_id, point_id FROM points WHERE point_id NOT IN (SELECT point_id FROM obs WHERE temperature_2m_c > 44.5e0)")
 def _(spark, sf):
-    landed = t.obs(spark, sf).filter("k = 5")
+    landed = t.obs(spark, sf).filter("temperature_2m_c > 44.5")
     return lookups.pending(t.points(spark, sf), landed, features.POINT)
 
 

@@ -173,7 +173,7 @@ RULES_SQL = f"rules AS (SELECT * FROM (VALUES {t.values([(*r, i, s) for i, (r, s
 @query("c9_rule_advisories", "point_id:s risk_level:s recommended_action:s matched_rules:s evidence:s",
        f"""WITH {DEFAULT_STRESS}, {RULES_SQL}, long_ AS (SELECT zone_id, point_id, 'heat_stress_hours' AS metric, heat_stress_hours * 1.0e0 AS value FROM stress UNION ALL SELECT zone_id, point_id, 'mean_vpd_kpa', mean_vpd_kpa FROM stress
          UNION ALL SELECT zone_id, point_id, 'inversion_strength_c', inversion_strength_c FROM stress UNION ALL SELECT zone_id, point_id, 'gdd_accumulated_c_days', gdd_accumulated_c_days FROM gdd),
-       fired AS (SELECT *, metric || ' ' || cmp || ' ' || printf('%.2f', threshold) || ' : ' || printf('%.2f', round(value, 2)) AS ev FROM long_ JOIN rules USING (metric)
+       fired AS (SELECT *, metric || ' ' || cmp || ' ' || printf('%.2f', threshold) || ' : ' || printf('%.2f', round(value + 1e-7, 2)) AS ev FROM long_ JOIN rules USING (metric)
          WHERE (cmp = '>=' AND value >= threshold) OR (cmp = '<=' AND value <= threshold))
        SELECT zone_id, point_id, arg_min(risk_level, (-score, rule_id)) AS risk_level, arg_min(action, (-score, rule_id)) AS recommended_action, string_agg(rule_id, ',' ORDER BY -score, rule_id) AS matched_rules,
          string_agg(ev, ';' ORDER BY -score, rule_id) AS evidence FROM fired GROUP BY 1, 2""")

@@ -114,12 +114,12 @@ def _(spark, sf):
 
 @query("w11_first_source_wins", "point_id:s date:y tmax_c:d source:s",
        f"""WITH {t.DAILY_SQL}, both_ AS (SELECT point_id, date, tmax_c, 'archive' AS source, 1 AS p FROM daily WHERE status = 'F'
-       UNION ALL SELECT point_id, date, tmax_c + 1 AS tmax_c, 'forecast' AS source, 2 AS p FROM daily WHERE order_no % 2 = 0)
+       UNION ALL SELECT point_id, date, tmax_c + 1 AS tmax_c, 'forecast' AS source, 2 AS p FROM daily WHERE tmin_c > 1)
        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY point_id, date ORDER BY p) AS rn FROM both_) WHERE rn = 1""")
 def _(spark, sf):
     rows = t.daily(spark, sf)
     archive = rows.filter("status = 'F'").withColumn("source", F.lit("archive"))
-    forecast = rows.filter("order_no % 2 = 0").withColumns({"tmax_c": c("tmax_c") + 1, "source": F.lit("forecast")})
+    forecast = rows.filter("tmin_c > 1").withColumns({"tmax_c": c("tmax_c") + 1, "source": F.lit("forecast")})
     return lookups.merge_daily(archive, forecast, ["point_id"])
 
 
