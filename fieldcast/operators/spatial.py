@@ -117,13 +117,23 @@ def _within(left: DataFrame, right: DataFrame, domain: list[str], radius: float)
     return pairs.filter((F.col("distance_deg") > 0) & (F.col("distance_deg") <= radius)).drop("_row", "_col")
 
 
+def _sites(points: DataFrame, domain: list[str]) -> DataFrame:
+    """One row per coordinate: how many points share it and the sum of their elevations."""
+    return points.groupBy(*domain, "latitude", "longitude").agg(
+        F.count(F.lit(1)).alias("n_count"), F.sum("elevation_m").alias("n_sum")
+    )
+
+
 def neighbours(points: DataFrame, radius: float, domain: list[str] | None = None) -> DataFrame:
-    """Every pair of points whose coordinates differ and lie within `radius` degrees."""
+    """Pairs of different coordinates within `radius` degrees.
+
+    The neighbouring side carries the number of points there and their elevation sum, so
+    points piled on one coordinate appear once instead of pairing with each other's neighbours.
+    """
     domain = domain or []
-    other = points.select(
-        *domain, *[F.col(c).alias(f"n_{c}") for c in points.columns if c not in domain]
-    )
-    return _within(points, other, domain, radius)
+    sites = _sites(points, domain)
+    other = sites.withColumnsRenamed({"latitude": "n_latitude", "longitude": "n_longitude"})
+    return _within(sites.drop("n_count", "n_sum"), other, domain, radius)
 
 
 def _pull(delta: str, metres: float) -> Column:
@@ -139,17 +149,7 @@ def neighbourhood(points: DataFrame, radius: float, domain: list[str] | None = N
     meets its neighbours as a single row and no pair of points is ever formed.
     """
     domain = domain or []
-    sites = points.groupBy(*domain, "latitude", "longitude").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("elevation_m").alias("z")
-    )
-    other = sites.select(
-        *domain,
-        F.col("latitude").alias("n_latitude"),
-        F.col("longitude").alias("n_longitude"),
-        F.col("n").alias("n_count"),
-        F.col("z").alias("n_sum"),
-    )
-    pairs = _within(sites.drop("n", "z"), other, domain, radius).withColumns(
+    pairs = neighbours(points, radius, domain).withColumns(
         {"_ns": _pull("d_lat", METRES_PER_DEGREE_NS), "_ew": _pull("d_lon", METRES_PER_DEGREE_EW)}
     )
     count, total = F.col("n_count"), F.col("n_sum")

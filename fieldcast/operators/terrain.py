@@ -156,31 +156,30 @@ def _geometry(sites: DataFrame, radii: tuple[float, float]) -> DataFrame:
 
 
 def _lookups(boxes: int) -> Column:
-    """Cells a site reads, each with its weight in every result."""
+    """Cells a site reads, each with its weight in every result, as one array expression."""
     names = ["w_z", "w_east", "w_south"] + [f"w_box{i}" for i in range(boxes)]
 
-    def cell(row: Column, col: Column, **weights: Column | float) -> Column:
-        values = [weights.get(n, 0.0) for n in names]
-        lits = [v if isinstance(v, Column) else F.lit(float(v)) for v in values]
-        return F.struct(
-            row.alias("row"), col.alias("col"), *[v.alias(n) for v, n in zip(lits, names)]
-        )
+    def cell(row: str, col: str, **weights: object) -> str:
+        values = ", ".join(f"'{n}', double({weights.get(n, 0.0)})" for n in names)
+        return f"named_struct('row', {row}, 'col', {col}, {values})"
 
-    r, c, fr, fc = F.col("row_corner"), F.col("col_corner"), F.col("row_share"), F.col("col_share")
+    shares = {0: "(1 - {a}_share)", 1: "{a}_share"}
     cells = [
-        cell(r, c, w_z=(1 - fr) * (1 - fc)),
-        cell(r, c + 1, w_z=(1 - fr) * fc),
-        cell(r + 1, c, w_z=fr * (1 - fc)),
-        cell(r + 1, c + 1, w_z=fr * fc),
+        cell(f"row_corner + {i}", f"col_corner + {j}", w_z=f"{shares[i].format(a='row')} * {shares[j].format(a='col')}")
+        for i in (0, 1)
+        for j in (0, 1)
     ]
     for dr, dc, east, south in HORN:
-        cells.append(cell(F.col("row_kernel") + dr, F.col("col_kernel") + dc, w_east=east, w_south=south))
+        cells.append(
+            cell(
+                f"row_kernel + {dr}", f"col_kernel + {dc}", w_east=f"{east} / (8 * dx_m)", w_south=f"{south} / (8 * dy_m)"
+            )
+        )
     for i in range(boxes):
-        top, low = F.col(f"row_lo{i}") - 1, F.col(f"row_hi{i}") - 1
-        left, right = F.col(f"col_lo{i}") - 1, F.col(f"col_hi{i}") - 1
-        for row, col, sign in ((low, right, 1.0), (top, right, -1.0), (low, left, -1.0), (top, left, 1.0)):
-            cells.append(cell(row, col, **{f"w_box{i}": sign}))
-    return F.array(*cells)
+        for row, vertical in ((f"row_hi{i} - 1", 1.0), (f"row_lo{i} - 1", -1.0)):
+            for col, horizontal in ((f"col_hi{i} - 1", 1.0), (f"col_lo{i} - 1", -1.0)):
+                cells.append(cell(row, col, **{f"w_box{i}": vertical * horizontal}))
+    return F.expr(f"array({', '.join(cells)})")
 
 
 def sample_terrain(
@@ -193,23 +192,26 @@ def sample_terrain(
     """
     boxes = len(radii) + 1
     located = _geometry(row_col(tile_for_points(points, tiles)), radii)
-    usable = located.filter("n_rows >= 3 and n_cols >= 3")
-    asked = usable.select("latitude", "longitude", "tile", F.explode(_lookups(boxes)).alias("_cell")).select(
-        "latitude", "longitude", "tile", "_cell.*"
-    )
-    needed = dem.join(usable.select("tile").distinct(), "tile", "left_semi").join(
+    site = ["latitude", "longitude", "tile", "kind"]
+    # A tile too small for the kernel keeps its site, with nothing to read.
+    wanted = F.when((F.col("n_rows") >= 3) & (F.col("n_cols") >= 3), _lookups(boxes))
+    asked = located.select(*site, F.explode_outer(wanted).alias("_cell")).select(*site, "_cell.*")
+    needed = dem.join(located.select("tile").distinct(), "tile", "left_semi").join(
         tiles.select("tile", "nodata"), "tile"
     )
-    read = asked.join(box_sums(needed), ["tile", "row", "col"])
+    read = asked.join(box_sums(needed), ["tile", "row", "col"], "left")
     gap = 1.0 - F.col("known")
     sums = []
     for name in ("z", "east", "south"):
         sums.append(F.sum(F.col(f"w_{name}") * F.col("value")).alias(f"_{name}"))
         sums.append(F.sum(F.col(f"w_{name}") * gap).alias(f"_{name}_gap"))
     for i in range(boxes):
-        sums.append(F.sum(F.col(f"w_box{i}") * F.col("sum_value")).alias(f"_sum{i}"))
-        sums.append(F.sum(F.col(f"w_box{i}") * F.col("sum_known")).alias(f"_known{i}"))
-    facts = located.join(read.groupBy("latitude", "longitude").agg(*sums), ["latitude", "longitude"], "left")
+        weight = F.col(f"w_box{i}")
+        sums.append(F.sum(weight * F.col("sum_value")).alias(f"_sum{i}"))
+        sums.append(F.sum(weight * F.col("sum_known")).alias(f"_known{i}"))
+        # Corners also give the size of the box, known or not.
+        sums.append(F.sum(weight * (F.col("row") + 1) * (F.col("col") + 1)).alias(f"_cells{i}"))
+    facts = read.groupBy(*site).agg(*sums)
     # Invalid cells count with the mean of the valid cells of the widest window.
     mean = F.when(F.col("_known0") > 0.5, F.col("_sum0") / F.nullif(F.col("_known0"), F.lit(0.0)))
 
@@ -221,21 +223,21 @@ def sample_terrain(
     facts = facts.withColumn("_mean", mean).withColumns(
         {
             "elevation_m": F.when(F.col("_known0") > 0.5, whole("z")),
-            "dz_east": whole("east") / (8.0 * F.col("dx_m")),
-            "dz_south": whole("south") / (8.0 * F.col("dy_m")),
+            "dz_east": F.when(F.col("_known0") > 0.5, whole("east")),
+            "dz_south": F.when(F.col("_known0") > 0.5, whole("south")),
         }
     )
     slope, aspect = slope_and_aspect(F.col("dz_east"), F.col("dz_south"))
-    facts = facts.withColumns({"slope_magnitude_deg": slope, "aspect_deg": aspect})
-    outputs = ["elevation_m", "slope_magnitude_deg", "aspect_deg"]
-    for i, radius in enumerate(radii, 1):
-        cells = (F.col(f"row_hi{i}") - F.col(f"row_lo{i}")) * (F.col(f"col_hi{i}") - F.col(f"col_lo{i}"))
-        missing = cells - F.col(f"_known{i}")
-        around = (F.col(f"_sum{i}") + missing * F.col("_mean")) / F.nullif(cells, F.lit(0))
-        name = f"tpi_{int(radius)}m"
-        facts = facts.withColumn(name, F.col("elevation_m") - around)
-        outputs.append(name)
-    facts = facts.select("latitude", "longitude", "tile", F.col("kind").alias("source"), *outputs)
+    around = {
+        f"tpi_{int(radius)}m": F.col("elevation_m")
+        - (F.col(f"_sum{i}") + (F.col(f"_cells{i}") - F.col(f"_known{i}")) * F.col("_mean"))
+        / F.nullif(F.col(f"_cells{i}"), F.lit(0.0))
+        for i, radius in enumerate(radii, 1)
+    }
+    facts = facts.withColumns({"slope_magnitude_deg": slope, "aspect_deg": aspect, **around})
+    facts = facts.select(
+        *site[:3], F.col("kind").alias("source"), "elevation_m", "slope_magnitude_deg", "aspect_deg", *around
+    )
     own = points.drop("elevation_m")
     sampled = own.join(facts, ["latitude", "longitude"], "left")
     sine, cosine = aspect_components(F.col("aspect_deg"))

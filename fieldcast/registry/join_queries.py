@@ -9,7 +9,6 @@ from fieldcast.functions import text
 from fieldcast.operators import baselines, lookups, spatial, terrain
 from fieldcast.plans import features, fleet, forecasts
 from fieldcast.registry import tables as t
-from fieldcast.registry.aggregate_queries import PAIRS_SQL
 from fieldcast.registry.base import query
 
 c = F.col
@@ -37,11 +36,13 @@ def _(spark, sf):
     return features.with_terrain(t.obs(spark, sf), known)
 
 
-@query("j3_neighbours", "point_id:s neighbour_id:s distance_deg:d",
-       f"WITH {t.POINTS_SQL}, {PAIRS_SQL.format(radius='0.45e0')} SELECT point_id, neighbour_id, sqrt(d_lat ** 2 + d_lon ** 2) AS distance_deg FROM pairs")
+@query("j3_neighbours", "zone_id:s latitude:d longitude:d n_latitude:d n_longitude:d n_count:i distance_deg:d",
+       f"""WITH {t.POINTS_SQL}, s AS (SELECT zone_id, latitude, longitude, count(*) AS n_count FROM points GROUP BY 1, 2, 3)
+       SELECT a.*, b.latitude AS n_latitude, b.longitude AS n_longitude, b.n_count, sqrt((b.latitude - a.latitude) ** 2 + (b.longitude - a.longitude) ** 2) AS distance_deg
+       FROM (SELECT zone_id, latitude, longitude FROM s) a JOIN s b ON a.zone_id = b.zone_id AND sqrt((b.latitude - a.latitude) ** 2 + (b.longitude - a.longitude) ** 2) > 0
+         AND sqrt((b.latitude - a.latitude) ** 2 + (b.longitude - a.longitude) ** 2) <= 0.45e0""")
 def _(spark, sf):
-    points = t.points(spark, sf).select("zone_id", "point_id", "latitude", "longitude")
-    return spatial.neighbours(points, 0.45, ["zone_id"]).withColumnRenamed("n_point_id", "neighbour_id")
+    return spatial.neighbours(t.points(spark, sf), 0.45, ["zone_id"])
 
 
 ROUTE_SQL = f"""{t.LOCATIONS_SQL}, {t.ZONES_SQL},

@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.compression.codec": "snappy",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Plans are built from thousands of small expressions; recording the Python line of each is slow.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
