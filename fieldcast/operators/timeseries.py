@@ -115,7 +115,13 @@ def difference(column: str, steps: int) -> Callable[[WindowSpec], Column]:
 
 
 def trailing_sum(column: str, rows: int) -> Callable[[WindowSpec], Column]:
-    return lambda w: F.sum(column).over(w.rowsBetween(1 - rows, 0))
+    """Sum of the last `rows` rows, as a difference of two growing sums (constant work per row)."""
+    def make(w: WindowSpec) -> Column:
+        upto, before = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(W.unboundedPreceding, -rows)
+        total = F.sum(column).over(upto) - F.coalesce(F.sum(column).over(before), F.lit(0.0))
+        return F.when(F.count(column).over(upto) > F.count(column).over(before), total)
+
+    return make
 
 
 def first_known(df: DataFrame, key: list[str], order: str, columns: dict[str, str]) -> DataFrame:

@@ -43,14 +43,23 @@ def _first(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(strip(F.regexp_extract(text, pattern, group)), F.lit(""))
 
 
-def extract(text: Column) -> dict[str, Column]:
+def _found(text: Column) -> dict[str, Column]:
+    """What several values are drawn from, so that each pattern runs over the text once."""
+    return {
+        "_span": _numbers(text, ANY_TEMP),
+        "_low": _numbers(text, MIN_TEMP),
+        "_high": _numbers(text, MAX_TEMP),
+        "_rain": _numbers(text, RAIN),
+        "_dry": text.rlike(DRY),
+    }
+
+
+def _values(text: Column) -> dict[str, Column]:
     """Lowest minimum, highest maximum, rain range or wording, strongest wind, warnings, advice.
 
     What the text does not say stays null.
     """
-    span = _numbers(text, ANY_TEMP)
-    low, high = _numbers(text, MIN_TEMP), _numbers(text, MAX_TEMP)
-    rain, dry = _numbers(text, RAIN), text.rlike(DRY)
+    span, rain, dry = F.col("_span"), F.col("_rain"), F.col("_dry")
     zero = F.when(dry, F.lit(0.0))
     warnings = F.flatten(
         F.transform(F.regexp_extract_all(text, F.lit(WARNING), F.lit(1)), lambda w: F.split(w, r"\s*,\s*"))
@@ -59,8 +68,8 @@ def extract(text: Column) -> dict[str, Column]:
         "district": F.initcap(_first(text, DISTRICT)),
         "valid_from": _first(text, VALID, 1),
         "valid_to": _first(text, VALID, 2),
-        "min_temp_c": F.coalesce(F.array_min(low), F.array_min(span)),
-        "max_temp_c": F.coalesce(F.array_max(high), F.array_max(span)),
+        "min_temp_c": F.coalesce(F.array_min("_low"), F.array_min(span)),
+        "max_temp_c": F.coalesce(F.array_max("_high"), F.array_max(span)),
         "rainfall_min_mm": F.coalesce(F.array_min(rain), zero),
         "rainfall_max_mm": F.coalesce(F.array_max(rain), zero),
         "rainfall_qualifier": F.when((F.size(rain) == 0) & ~dry, _first(text, RAIN_WORDS)),
@@ -74,7 +83,8 @@ def extract(text: Column) -> dict[str, Column]:
 
 def extract_bulletins(bulletins: DataFrame, text: str = "raw_text") -> DataFrame:
     """Extraction plus fingerprint and the list of failed checks."""
-    rows = bulletins.withColumns(extract(F.col(text)))
+    found = _found(F.col(text))
+    rows = bulletins.withColumns(found).withColumns(_values(F.col(text))).drop(*found)
     rows = rows.withColumn("source_hash", fingerprint(F.col(text)))
     return with_errors(rows, extraction_checks())
 

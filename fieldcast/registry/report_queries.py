@@ -81,6 +81,7 @@ grown AS (SELECT d.point_id, date, crop_key, sowing_date, greatest(0.0e0, (great
 
 
 def sown(spark, sf):
+    """A season sown in June 1996, reported as of the end of that year."""
     rows = t.daily(spark, sf).filter(c("date") < F.lit("1997-01-01").cast("date"))
     names = F.array(*[F.lit(x[0]) for x in catalogs.CROPS])
     number = F.substring("point_id", 4, 20).cast("bigint") % 6
