@@ -170,11 +170,7 @@ def _lookups(boxes: int) -> Column:
         for j in (0, 1)
     ]
     for dr, dc, east, south in HORN:
-        cells.append(
-            cell(
-                f"row_kernel + {dr}", f"col_kernel + {dc}", w_east=f"{east} / (8 * dx_m)", w_south=f"{south} / (8 * dy_m)"
-            )
-        )
+        cells.append(cell(f"row_kernel + {dr}", f"col_kernel + {dc}", w_east=east, w_south=south))
     for i in range(boxes):
         for row, vertical in ((f"row_hi{i} - 1", 1.0), (f"row_lo{i} - 1", -1.0)):
             for col, horizontal in ((f"col_hi{i} - 1", 1.0), (f"col_lo{i} - 1", -1.0)):
@@ -192,7 +188,7 @@ def sample_terrain(
     """
     boxes = len(radii) + 1
     located = _geometry(row_col(tile_for_points(points, tiles)), radii)
-    site = ["latitude", "longitude", "tile", "kind"]
+    site = ["latitude", "longitude", "tile", "kind", "dx_m", "dy_m"]
     # A tile too small for the kernel keeps its site, with nothing to read.
     wanted = F.when((F.col("n_rows") >= 3) & (F.col("n_cols") >= 3), _lookups(boxes))
     asked = located.select(*site, F.explode_outer(wanted).alias("_cell")).select(*site, "_cell.*")
@@ -223,8 +219,9 @@ def sample_terrain(
     facts = facts.withColumn("_mean", mean).withColumns(
         {
             "elevation_m": F.when(F.col("_known0") > 0.5, whole("z")),
-            "dz_east": F.when(F.col("_known0") > 0.5, whole("east")),
-            "dz_south": F.when(F.col("_known0") > 0.5, whole("south")),
+            # Sums of whole-metre cells stay exact; only then are they divided.
+            "dz_east": F.when(F.col("_known0") > 0.5, whole("east")) / (8.0 * F.col("dx_m")),
+            "dz_south": F.when(F.col("_known0") > 0.5, whole("south")) / (8.0 * F.col("dy_m")),
         }
     )
     slope, aspect = slope_and_aspect(F.col("dz_east"), F.col("dz_south"))
