@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldcast.llm.rows import buffers, whole
@@ -35,20 +35,21 @@ _SCHEMA = pa.schema([("step", pa.int32()), ("kind", pa.int32()), ("shard", pa.in
 Question = tuple[int, np.ndarray, np.ndarray]
 
 
-def chunked(docs: DataFrame, text: str = "text", key: str = "doc_id", chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
-    """chunk, doc_id, text of all rows (null text: empty), and how many high bits of a key name its shard."""
-    slim = docs.select(F.col(key).cast("bigint").alias("doc_id"), whole(text).alias("text"))
+def chunked(docs: DataFrame, text: str = "text", key: str = "doc_id", chunk_bytes: int = CHUNK_BYTES, extra: dict[str, Column] | None = None) -> tuple[DataFrame, int]:
+    """chunk, doc_id, text of all rows (null text: empty) and extra columns; how many high bits of a key name its shard."""
+    extra = extra or {}
+    slim = docs.select(F.col(key).cast("bigint").alias("doc_id"), whole(text).alias("text"), *(v.alias(k) for k, v in extra.items()))
     size = slim.agg(F.sum(F.octet_length("text") + F.lit(8))).first()[0] or 0
     n = max(1, math.ceil(size / chunk_bytes))
     chunk = F.pmod(F.xxhash64("doc_id", F.octet_length("text"), F.substring("text", 1, 64)), F.lit(n)).alias("chunk")
-    return slim.select(chunk, "doc_id", "text"), max(0, math.ceil(math.log2(max(1, size / SHARD_BYTES))))
+    return slim.select(chunk, "doc_id", "text", *extra), max(0, math.ceil(math.log2(max(1, size / SHARD_BYTES))))
 
 
 class Texts:
     """The texts of a chunk in order of (doc_id, text), null ids last: all their bytes, and where each text starts."""
 
     def __init__(self, table: pa.Table):
-        table = table.select(["chunk", "doc_id", "text"]).combine_chunks()
+        table = table.combine_chunks()
         self.chunk = table["chunk"][0].as_py() if table.num_rows else 0
         ids = table["doc_id"].to_numpy(zero_copy_only=False) if not table["doc_id"].null_count else table["doc_id"].fill_null(np.iinfo(np.int64).max).to_numpy()
         order = np.argsort(ids, kind="stable")
@@ -57,6 +58,7 @@ class Texts:
         table = table.take(order)
         self.ids, self.keys = table["doc_id"], ids[order].astype(np.int64)
         self.bytes, self.at = buffers(table["text"])
+        self.extra = {name: table[name].to_numpy(zero_copy_only=False) for name in table.column_names if name not in ("chunk", "doc_id", "text")}
 
 
 def cut(keys: np.ndarray, bits: int, width: int = 8) -> np.ndarray:
@@ -119,7 +121,7 @@ def answer(asked: DataFrame, decide: Callable[..., np.ndarray | tuple[np.ndarray
     """
 
     def run(table: pa.Table) -> pa.Table:
-        rows = list(zip(*(table[c].to_pylist() for c in _SCHEMA.names)))
+        rows = sorted(zip(*(table[c].to_pylist() for c in _SCHEMA.names)), key=lambda r: (r[3], r[0], r[1]))  # in one order whatever arrives first
         if rows[0][2] < 0:
             return _table([(s, k, int.from_bytes(keys, "little"), c, None, l, n) for s, k, _, c, keys, l, n in rows])
         kind, shard = rows[0][1], rows[0][2] & 0xFFFFFFFF

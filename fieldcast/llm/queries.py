@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldcast.llm import additive_model, block_dedup, packing, perfect_hash, simhash, suffix_dedup
+from fieldcast.llm import additive_model, block_dedup, packing, perfect_hash, simhash, suffix_dedup, suffix_tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,6 +47,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("starts").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query("op3_probabilistic_suffix_tree")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(table(spark, sf_dir, "documents"), remainder(7) == 2)
+
+
 @query("op6_fixed_block_anchors")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = block_dedup.later_passages(table(spark, sf_dir, "documents"))
