@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldcast.llm import additive_model, block_dedup, packing, perfect_hash, simhash, suffix_dedup, suffix_tree
+from fieldcast.llm import additive_model, block_dedup, packing, perfect_hash, projection_forest, simhash, suffix_dedup, suffix_tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,6 +72,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(hexadecimal("print"), 16, "0").alias("fingerprint"), "component_id")
 
 
+@query("op9_projection_forest")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection_forest.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 OP10_SQL = r"""
 WITH bare AS (
     SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body FROM documents
