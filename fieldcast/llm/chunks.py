@@ -58,7 +58,7 @@ class Texts:
         table = table.take(order)
         self.ids, self.keys = table["doc_id"], ids[order].astype(np.int64)
         self.bytes, self.at = buffers(table["text"])
-        self.extra = {name: table[name].to_numpy(zero_copy_only=False) for name in table.column_names if name not in ("chunk", "doc_id", "text")}
+        self.extra = {name: table[name] for name in table.column_names if name not in ("chunk", "doc_id", "text")}
 
 
 def cut(keys: np.ndarray, bits: int, width: int = 8) -> np.ndarray:

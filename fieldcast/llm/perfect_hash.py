@@ -30,11 +30,15 @@ INDEX = "shard int, sizes array<bigint>, bits binary, digests binary, chars arra
 GROUPS = "digest binary, keep_id bigint, group_size bigint, member boolean"
 
 
+def digest(text: str) -> Column:
+    """SHA-256 of a text without its white space."""
+    return F.unhex(F.sha2(F.regexp_replace(whole(text), SPACE + "+", ""), 256))
+
+
 def fingerprints(docs: DataFrame, is_history: Column, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, digest of the text without white space, code points of the original text, whether it is history."""
-    bare = F.regexp_replace(whole(text), SPACE + "+", "")
     return docs.select(
-        F.col(key).cast("bigint").alias("doc_id"), F.unhex(F.sha2(bare, 256)).alias("digest"), F.char_length(whole(text)).cast("bigint").alias("chars"),
+        F.col(key).cast("bigint").alias("doc_id"), digest(text).alias("digest"), F.char_length(whole(text)).cast("bigint").alias("chars"),
         F.coalesce(is_history, F.lit(False)).alias("past"),
     )
 

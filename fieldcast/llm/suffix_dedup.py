@@ -128,9 +128,11 @@ class _State:
         self.window_keys, self.window_twice, _, self.window_back = _counted(windows)
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: int = THRESHOLD, digit: int = DIGIT, whole_characters: bool = False) -> DataFrame:
+def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: int = THRESHOLD, digit: int = DIGIT, whole_characters: bool = False, carry: list[str] | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, starts and ends of the maximal removed spans, kept bytes: a row for each row of `docs`.
 
+    The columns that `carry` names come along as carried_0, carried_1, ... of that row.
+
     A byte is removed if a stretch of `threshold` bytes over it also starts anywhere else in
     the texts, the same one included; stretches are judged on the input and may overlap.
     `whole_characters` keeps a character of which some bytes would stay, so that what is kept
@@ -140,7 +142,9 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", thr
     null id is as good as any; a row that occurs twice repeats itself and loses all its
     bytes if it is long enough. No rows give no rows; other columns are not looked at.
     """
-    chunks, bits = c.chunked(docs, text, key)
+    carried = {f"carried_{i}": name for i, name in enumerate(carry or [])}
+    chunks, bits = c.chunked(docs, text, key, extra={k: docs[name] for k, name in carried.items()})
+    schema = ", ".join([SPANS, *(f"{k} {docs.schema[name].dataType.simpleString()}" for k, name in carried.items())])
     state = lambda texts: _State(texts, threshold, digit, bits)
 
     def first(texts: c.Texts, said: c.Said) -> list[c.Question]:
@@ -174,10 +178,10 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", thr
             rows["kept"].append((texts.bytes[a:b][~gone[a:b]] if len(starts) else texts.bytes[a:b]).tobytes())
         whole, listed = pa.int64(), pa.list_(pa.int64())
         kinds = {"n_bytes": whole, "n_removed": whole, "starts": listed, "ends": listed, "kept": pa.binary()}
-        return pa.table({"doc_id": texts.ids} | {name: pa.array(v, kinds[name]) for name, v in rows.items()})
+        return pa.table({"doc_id": texts.ids} | {name: pa.array(v, kinds[name]) for name, v in rows.items()} | texts.extra)
 
     bit = np.dtype(np.uint8)
     said = c.answer(c.ask(chunks, None, 0, first, bits, 5), _repeated, bits, {0: bit}, 5)
     said = c.answer(c.ask(chunks, said, 1, second, bits), _second, bits, {0: bit, 1: CONTEXT})
     said = c.answer(c.ask(chunks, said, 2, third, bits), _repeated, bits, {0: bit})
-    return c.finish(chunks, said, result, SPANS)
+    return c.finish(chunks, said, result, schema)

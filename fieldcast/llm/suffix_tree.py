@@ -131,7 +131,7 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", key: str = "doc
     chunks, bits = c.chunked(docs, text, key, extra={"held": F.coalesce(held_out, F.lit(False))})
 
     def state(texts: c.Texts, said: c.Said, levels: int, gains: bool) -> _State:
-        s = _State(texts, texts.extra["held"], bits)
+        s = _State(texts, texts.extra["held"].to_numpy(), bits)
         if levels or gains:
             s.root(said)
         for d in range(1, levels + 1):
@@ -166,7 +166,7 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", key: str = "doc
         n = len(texts.ids)
         per = lambda v: np.bincount(s.doc, v, n) if n else np.zeros(0)
         return pa.table({
-            "doc_id": texts.ids, "held_out": pa.array(texts.extra["held"]), "n_tokens": pa.array(np.diff(s.at)), "n_known": pa.array(per(s.count > 0).astype(np.int64)),
+            "doc_id": texts.ids, "held_out": texts.extra["held"], "n_tokens": pa.array(np.diff(s.at)), "n_known": pa.array(per(s.count > 0).astype(np.int64)),
             "train_tokens": pa.array(np.full(n, s.n)), "base_score": pa.array(per(s.base) / np.log(10)), "score": pa.array(per(s.log) / np.log(10)),
         })
 
