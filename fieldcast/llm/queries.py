@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldcast.llm import additive_model, block_dedup, packing, perfect_hash, projection_forest, simhash, suffix_dedup, suffix_tree
+from fieldcast.llm import additive_model, block_dedup, line_join, packing, perfect_hash, projection_forest, sentence_pieces, simhash, suffix_dedup, suffix_tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,6 +52,18 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.score(table(spark, sf_dir, "documents"), remainder(7) == 2)
 
 
+@query("op4_segment_edit_join")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_join.line_classes(table(spark, sf_dir, "documents"))
+    return found.select("line_id", F.sha2("line", 256).alias("line_sha256"), "doc_id", "copies", "n_links", "class_id", "class_doc_id")
+
+
+@query("op5_sentence_pieces")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sentence_pieces.encode(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query("op6_fixed_block_anchors")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = block_dedup.later_passages(table(spark, sf_dir, "documents"))
