@@ -112,7 +112,9 @@ class Pieces:
             for ch in out:
                 if ch[0] != " " or (kept and kept[-1][0] != " "):
                     kept.append(ch)
-            out = kept[:-1] if kept and kept[-1][0] == " " else kept
+            while kept and kept[-1][0] in (" ", MARK if self.escape else " "):
+                kept.pop()
+            out = kept
         if self.prefix and out:
             out.insert(0, (" ", out[0][1], out[0][1]))
         space = MARK if self.escape else " "
@@ -186,8 +188,13 @@ class Pieces:
     def decode(self, ids: list[int]) -> str:
         """The text of some ids: control pieces are nothing, the mark in front is dropped, a byte that is no text is U+FFFD."""
         kinds, surfaces = self.kinds, self.surfaces
-        first = next((i for i in ids if kinds[i] != CONTROL), None)
-        strip = first is not None and (self.prefix or self.squeeze) and kinds[first] in (NORMAL, UNUSED) and self.pieces[first].startswith(MARK)
+        strip = 0  # marks in front that are dropped: one, or where white space is squeezed one of each piece until there is text
+        for i in ids if self.prefix or self.squeeze else []:
+            if kinds[i] != CONTROL:
+                marked = kinds[i] in (NORMAL, UNUSED) and self.pieces[i].startswith(MARK)
+                strip += marked
+                if not (marked and self.squeeze and self.pieces[i] == MARK):
+                    break
         if not any(kinds[i] == CONTROL for i in ids[1:-1]):
             try:
                 return b"".join([surfaces[i] for i in ids])[strip:].decode()

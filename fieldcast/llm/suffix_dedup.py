@@ -31,7 +31,7 @@ SLICE = 1 << 19
 SPANS = "doc_id bigint, n_bytes bigint, n_removed bigint, starts array<bigint>, ends array<bigint>, kept binary"
 
 
-def _entries(texts: c.Texts, threshold: int, digit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _entries(texts: c.Texts, threshold: int, digit: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """first digit, second digit, first and last suffix of every run of suffixes that share their first digit."""
     n = len(texts.bytes)
     step = np.zeros(n + 1, np.int64)
@@ -39,8 +39,8 @@ def _entries(texts: c.Texts, threshold: int, digit: int) -> tuple[np.ndarray, np
     np.add.at(step, np.maximum(texts.at[:-1], texts.at[1:] - threshold + 1), -1)
     valid = np.cumsum(step[:n]) > 0
     found = []
-    for a in range(0, n, SLICE):
-        b = min(n, a + SLICE)
+    for a in range(0, n, size):
+        b = min(n, a + size)
         if not valid[a:b].any():
             continue
         stretch = c.Stretches(c.BYTES[texts.bytes[a : b + threshold - 1]])
@@ -56,17 +56,17 @@ def _entries(texts: c.Texts, threshold: int, digit: int) -> tuple[np.ndarray, np
     return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def _windows(texts: c.Texts, one: np.ndarray, first: np.ndarray, last: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+def _windows(texts: c.Texts, one: np.ndarray, first: np.ndarray, last: np.ndarray, threshold: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each suffix of some runs through the threshold, and where it starts."""
     starts, of = c.spread(first, last)
     out = np.empty(len(starts), np.uint64)
     order = np.argsort(starts, kind="stable")
     placed = starts[order]
-    edges = np.searchsorted(placed, np.arange(0, len(texts.bytes) + SLICE, SLICE))
+    edges = np.searchsorted(placed, np.arange(0, len(texts.bytes) + size, size))
     for k, (x, y) in enumerate(zip(edges[:-1], edges[1:])):
         if y > x:
-            a = k * SLICE
-            stretch = c.Stretches(c.BYTES[texts.bytes[a : a + SLICE + threshold]])
+            a = k * size
+            stretch = c.Stretches(c.BYTES[texts.bytes[a : a + size + threshold]])
             out[order[x:y]] = stretch.hash(placed[x:y] - a, placed[x:y] - a + threshold)
     return c.mix(out ^ (one[of] * np.uint64(5))), starts
 
@@ -99,9 +99,9 @@ def _second(kind: int, keys: np.ndarray, load: np.ndarray, chunk: np.ndarray) ->
 class _State:
     """What a chunk knows after each step; worked out anew each time from its texts and the answers."""
 
-    def __init__(self, texts: c.Texts, threshold: int, digit: int, bits: int):
-        self.texts, self.threshold = texts, threshold
-        self.one, self.two, self.first, self.last = _entries(texts, threshold, digit)
+    def __init__(self, texts: c.Texts, threshold: int, digit: int, bits: int, size: int):
+        self.texts, self.threshold, self.size = texts, threshold, size
+        self.one, self.two, self.first, self.last = _entries(texts, threshold, digit, size)
         self.keys, self.twice, _, self.back = _counted(c.cut(self.one, bits, 5))
 
     def alive(self, said: c.Said) -> None:
@@ -124,11 +124,11 @@ class _State:
         mine = np.zeros(len(self.two), bool)
         mine[self.two_at] = two & 2 > 0
         part = mine & split[self.one_back].astype(bool)
-        windows, self.starts = _windows(self.texts, self.one[part], self.first[part], self.last[part], self.threshold)
+        windows, self.starts = _windows(self.texts, self.one[part], self.first[part], self.last[part], self.threshold, self.size)
         self.window_keys, self.window_twice, _, self.window_back = _counted(windows)
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: int = THRESHOLD, digit: int = DIGIT, whole_characters: bool = False, carry: list[str] | None = None) -> DataFrame:
+def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: int = THRESHOLD, digit: int = DIGIT, whole_characters: bool = False, carry: list[str] | None = None, slice_bytes: int = SLICE) -> DataFrame:
     """doc_id, n_bytes, n_removed, starts and ends of the maximal removed spans, kept bytes: a row for each row of `docs`.
 
     The columns that `carry` names come along as carried_0, carried_1, ... of that row.
@@ -145,7 +145,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", thr
     carried = {f"carried_{i}": name for i, name in enumerate(carry or [])}
     chunks, bits = c.chunked(docs, text, key, extra={k: docs[name] for k, name in carried.items()})
     schema = ", ".join([SPANS, *(f"{k} {docs.schema[name].dataType.simpleString()}" for k, name in carried.items())])
-    state = lambda texts: _State(texts, threshold, digit, bits)
+    state = lambda texts: _State(texts, threshold, digit, bits, slice_bytes)
 
     def first(texts: c.Texts, said: c.Said) -> list[c.Question]:
         s = state(texts)

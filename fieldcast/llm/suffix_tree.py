@@ -60,8 +60,8 @@ def _worth(kind: int, keys: np.ndarray, load: np.ndarray, chunk: np.ndarray) ->
 class _State:
     """What a chunk knows after each step; worked out anew each time from its texts and the answers."""
 
-    def __init__(self, texts: c.Texts, held: np.ndarray, bits: int):
-        self.texts, self.held, self.bits = texts, held, bits
+    def __init__(self, texts: c.Texts, held: np.ndarray, bits: int, least: int, gain: float):
+        self.bits, self.least, self.gain = bits, least, gain
         starts, ends, at = c.words(texts)
         n = len(texts.ids)
         self.at = at + np.arange(n + 1)  # one end token after the words of each text
@@ -89,7 +89,7 @@ class _State:
     def candidates(self, depth: int) -> None:
         """Tokens whose `depth` words before are a candidate, and what stands before each of them."""
         index = np.flatnonzero((self.place >= depth) & self.state)
-        self.of = index[self.often[index - 1] >= LEAST]
+        self.of = index[self.often[index - 1] >= self.least]
         self.before = self.context[self.of - 1]
         self.pair_keys, self.pair_back = np.unique(c.cut(c.mix(self.before * np.uint64(3) + c.mix(self.tokens[self.of] ^ np.uint64(depth))), self.bits, WIDTH), return_inverse=True)
         self.context_keys, self.context_back = np.unique(self.before, return_inverse=True)
@@ -108,7 +108,7 @@ class _State:
     def descend(self, said: c.Said, depth: int) -> None:
         """Take up the contexts of this depth that are retained, and let their tokens be predicted from there."""
         worth = said.of(2 * depth, 0, WORTH)[self.context_back] if len(self.context_back) else np.zeros(0, WORTH)
-        kept = worth["gain"] >= GAIN
+        kept = worth["gain"] >= self.gain
         of, follow, often = self.of[kept], self.follow[kept], self.often[self.of - 1][kept]
         share = np.maximum(follow - DISCOUNT, 0) / often + DISCOUNT * worth["kinds"][kept] / often * np.exp(self.log[of])
         self.log[of] = np.log(np.maximum(share, 1e-300))
@@ -119,7 +119,7 @@ class _State:
         self.context, self.often, self.state = context, n, state
 
 
-def score(docs: DataFrame, held_out: Column, text: str = "text", key: str = "doc_id", depth: int = DEPTH) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, text: str = "text", key: str = "doc_id", depth: int = DEPTH, least: int = LEAST, gain: float = GAIN) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row for each row of `docs`.
 
     Rows that `held_out` marks teach nothing. Tokens are words in lower case (A-Z only) and
@@ -131,7 +131,7 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", key: str = "doc
     chunks, bits = c.chunked(docs, text, key, extra={"held": F.coalesce(held_out, F.lit(False))})
 
     def state(texts: c.Texts, said: c.Said, levels: int, gains: bool) -> _State:
-        s = _State(texts, texts.extra["held"].to_numpy(), bits)
+        s = _State(texts, texts.extra["held"].to_numpy(), bits, least, gain)
         if levels or gains:
             s.root(said)
         for d in range(1, levels + 1):
