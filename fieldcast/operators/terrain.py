@@ -240,9 +240,9 @@ def sample_terrain(
     sine, cosine = aspect_components(F.col("aspect_deg"))
     measured = F.col("slope_magnitude_deg").isNotNull()
     note = (
-        F.when(F.col("tile").isNull(), "no DEM tile covers this coordinate")
-        .when(~measured, "coordinate too close to tile edge for a 3x3 kernel")
-        .when(F.col("aspect_deg").isNull(), "flat cell, aspect undefined (sin=cos=0)")
+        F.when(F.col("tile").isNull(), "outside every elevation tile")
+        .when(~measured, "no full ring of cells around this place")
+        .when(F.col("aspect_deg").isNull(), "level ground has no aspect")
         .otherwise("")
     )
     return sampled.withColumns(

@@ -220,13 +220,13 @@ EXTRACTED = (
     "district:s valid_from:s valid_to:s min_temp_c:d max_temp_c:d rainfall_min_mm:d rainfall_max_mm:d rainfall_qualifier:s wind_speed_kmh:d "
     "wind_direction:s weather_condition:s warnings:s advisory_text:s source_hash:s errors:s"
 )
-EXTRACTED_SQL = r"""SELECT event_id, upper(substr(event_type, 1, 1)) || substr(event_type, 2) AS district, '0' || (1 + event_id % 9) || '-09-2026' AS valid_from,
-  '1' || event_id % 9 || '-09-2026' AS valid_to, CASE WHEN event_id % 5 > 0 THEN 10.5e0 + event_id % 25 END AS min_temp_c, CASE WHEN event_id % 5 > 0 THEN 30 + event_id % 9 END AS max_temp_c,
+EXTRACTED_SQL = r"""SELECT event_id, upper(substr(event_type, 1, 1)) || substr(event_type, 2) AS district, '0' || (1 + event_id % 9) || '-11-2027' AS valid_from,
+  '1' || event_id % 9 || '-11-2027' AS valid_to, CASE WHEN event_id % 5 > 0 THEN 10.5e0 + event_id % 25 END AS min_temp_c, CASE WHEN event_id % 5 > 0 THEN 30 + event_id % 9 END AS max_temp_c,
   CASE event_id % 4 WHEN 0 THEN 0 WHEN 1 THEN event_id % 40 END AS rainfall_min_mm, CASE event_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 20 + event_id % 40 END AS rainfall_max_mm,
-  CASE WHEN event_id % 4 = 2 THEN 'Light to moderate rainfall' END AS rainfall_qualifier, CASE WHEN event_id % 3 > 0 THEN 10 + event_id % 30 END AS wind_speed_kmh,
-  CASE WHEN event_id % 3 > 0 THEN 'South-Westerly' END AS wind_direction, CASE event_id % 3 WHEN 0 THEN 'Generally cloudy' WHEN 1 THEN 'Clear' ELSE 'Thunderstorm with squall' END AS weather_condition,
-  CASE event_id % 6 WHEN 1 THEN 'Squall|Hailstorm' WHEN 2 THEN 'Heatwave|Gusty Winds' ELSE '' END AS warnings,
-  CASE WHEN event_id % 2 = 0 THEN 'Irrigate at stage ' || event_id % 7 || '.' END AS advisory_text, substr(sha256(raw_text), 1, 16) AS source_hash,
+  CASE WHEN event_id % 4 = 2 THEN 'Light rainfall' END AS rainfall_qualifier, CASE WHEN event_id % 3 > 0 THEN 10 + event_id % 30 END AS wind_speed_kmh,
+  CASE WHEN event_id % 3 > 0 THEN 'North-Easterly' END AS wind_direction, CASE event_id % 3 WHEN 0 THEN 'Veiled sun' WHEN 1 THEN 'Clear' ELSE 'Rolling thunder' END AS weather_condition,
+  CASE event_id % 6 WHEN 1 THEN 'Flash flood watch|Ground frost' WHEN 2 THEN 'Dense fog|Strong gusts' ELSE '' END AS warnings,
+  CASE WHEN event_id % 2 = 0 THEN 'Weed the rows of stage ' || event_id % 7 || '.' END AS advisory_text, substr(sha256(raw_text), 1, 16) AS source_hash,
   CASE WHEN event_id % 5 > 0 AND 10.5e0 + event_id % 25 > 30 + event_id % 9 THEN 'min_temp_c above max_temp_c' ELSE '' END AS errors
   FROM bulletins JOIN events USING (event_id)"""
 

@@ -342,17 +342,17 @@ def daily_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- bulletins: one sentence set per event ---------------------------------------------------
 BULLETINS_SQL = r"""bulletins AS (
   SELECT event_id, concat_ws(chr(10),
-    'SYNTHETIC BULLETIN', 'District: ' || event_type,
-    'Valid: 0' || (1 + event_id % 9) || '-09-2026 to 1' || event_id % 9 || '-09-2026',
-    'Sky: ' || CASE event_id % 3 WHEN 0 THEN 'Generally cloudy' WHEN 1 THEN 'Clear' ELSE 'Thunderstorm with squall' END || '.',
+    'District weather note', 'District: ' || event_type,
+    'Valid: 0' || (1 + event_id % 9) || '-11-2027 to 1' || event_id % 9 || '-11-2027',
+    'Sky: ' || CASE event_id % 3 WHEN 0 THEN 'Veiled sun' WHEN 1 THEN 'Clear' ELSE 'Rolling thunder' END || '.',
     CASE WHEN event_id % 5 = 0 THEN NULL ELSE
       'Max Temp: ' || (28 + event_id % 9) || '-' || (30 + event_id % 9) || ' C, Min Temp: ' || (10 + event_id % 25) || '.5 C.' END,
     CASE event_id % 4 WHEN 0 THEN 'Rainfall: Nil.' WHEN 1 THEN 'Rainfall: ' || event_id % 40 || ' mm to ' || (20 + event_id % 40) || ' mm.'
-      WHEN 2 THEN 'Rainfall: Light to moderate rainfall likely.' ELSE NULL END,
-    CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'Wind: ' || event_id % 30 || '-' || (10 + event_id % 30) || ' km/h South-Westerly.' END,
-    CASE event_id % 6 WHEN 0 THEN 'Warnings: Nil' WHEN 1 THEN 'Warnings: Squall, No warning, Hailstorm' WHEN 2 THEN 'Warning 1: Heatwave' || chr(10) || 'Warning 2: Gusty Winds'
+      WHEN 2 THEN 'Rainfall: Light rainfall likely over the ridge.' ELSE NULL END,
+    CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'Wind: ' || event_id % 30 || '-' || (10 + event_id % 30) || ' km/h North-Easterly.' END,
+    CASE event_id % 6 WHEN 0 THEN 'Warnings: Nil' WHEN 1 THEN 'Warnings: Flash flood watch, No warning, Ground frost' WHEN 2 THEN 'Warning 1: Dense fog' || chr(10) || 'Warning 2: Strong gusts'
       ELSE NULL END,
-    CASE WHEN event_id % 2 = 0 THEN 'Crop Advisory: Irrigate at stage ' || event_id % 7 || '.' ELSE NULL END) AS raw_text
+    CASE WHEN event_id % 2 = 0 THEN 'Crop Advisory: Weed the rows of stage ' || event_id % 7 || '.' ELSE NULL END) AS raw_text
   FROM events)"""
 
 
@@ -363,18 +363,18 @@ def bulletins(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
     lines = [
-        F.lit("SYNTHETIC BULLETIN"),
+        F.lit("District weather note"),
         text("District: ", F.col("event_type")),
-        text("Valid: 0", 1 + e % 9, "-09-2026 to 1", e % 9, "-09-2026"),
-        text("Sky: ", F.when(e % 3 == 0, "Generally cloudy").when(e % 3 == 1, "Clear").otherwise("Thunderstorm with squall"), "."),
+        text("Valid: 0", 1 + e % 9, "-11-2027 to 1", e % 9, "-11-2027"),
+        text("Sky: ", F.when(e % 3 == 0, "Veiled sun").when(e % 3 == 1, "Clear").otherwise("Rolling thunder"), "."),
         F.when(e % 5 != 0, text("Max Temp: ", 28 + e % 9, "-", 30 + e % 9, " C, Min Temp: ", 10 + e % 25, ".5 C.")),
         F.when(e % 4 == 0, "Rainfall: Nil.")
         .when(e % 4 == 1, text("Rainfall: ", e % 40, " mm to ", 20 + e % 40, " mm."))
-        .when(e % 4 == 2, "Rainfall: Light to moderate rainfall likely."),
-        F.when(e % 3 != 0, text("Wind: ", e % 30, "-", 10 + e % 30, " km/h South-Westerly.")),
+        .when(e % 4 == 2, "Rainfall: Light rainfall likely over the ridge."),
+        F.when(e % 3 != 0, text("Wind: ", e % 30, "-", 10 + e % 30, " km/h North-Easterly.")),
         F.when(e % 6 == 0, "Warnings: Nil")
-        .when(e % 6 == 1, "Warnings: Squall, No warning, Hailstorm")
-        .when(e % 6 == 2, "Warning 1: Heatwave\nWarning 2: Gusty Winds"),
-        F.when(e % 2 == 0, text("Crop Advisory: Irrigate at stage ", e % 7, ".")),
+        .when(e % 6 == 1, "Warnings: Flash flood watch, No warning, Ground frost")
+        .when(e % 6 == 2, "Warning 1: Dense fog\nWarning 2: Strong gusts"),
+        F.when(e % 2 == 0, text("Crop Advisory: Weed the rows of stage ", e % 7, ".")),
     ]
     return table(spark, sf_dir, "events").select("event_id", F.concat_ws("\n", *lines).alias("raw_text"))

@@ -139,8 +139,8 @@ SAMPLE = "elevation_m:d slope_magnitude_deg:d aspect_deg:d aspect_sin:d aspect_c
 SAMPLED_SQL = """sampled AS (SELECT l.location_id, l.latitude, l.longitude, t.elevation_m, t.slope_magnitude_deg, t.aspect_deg, t.tpi_3000m, t.tpi_9000m,
   CASE WHEN t.slope_magnitude_deg IS NULL THEN NULL WHEN t.aspect_deg IS NULL THEN 0 ELSE sin(radians(t.aspect_deg)) END AS aspect_sin,
   CASE WHEN t.slope_magnitude_deg IS NULL THEN NULL WHEN t.aspect_deg IS NULL THEN 0 ELSE cos(radians(t.aspect_deg)) END AS aspect_cos, coalesce(h.kind, 'none') AS source,
-  CASE WHEN h.tile IS NULL THEN 'no DEM tile covers this coordinate' WHEN t.slope_magnitude_deg IS NULL THEN 'coordinate too close to tile edge for a 3x3 kernel'
-    WHEN t.aspect_deg IS NULL THEN 'flat cell, aspect undefined (sin=cos=0)' ELSE '' END AS note
+  CASE WHEN h.tile IS NULL THEN 'outside every elevation tile' WHEN t.slope_magnitude_deg IS NULL THEN 'no full ring of cells around this place'
+    WHEN t.aspect_deg IS NULL THEN 'level ground has no aspect' ELSE '' END AS note
   FROM locations l LEFT JOIN terrain t USING (latitude, longitude) LEFT JOIN hit h USING (latitude, longitude))"""
 
 

@@ -206,12 +206,12 @@ def test_model_inputs_are_28_and_subsets_nest():
 
 
 BULLETINS = {
-    "no_warnings": "SYNTHETIC BULLETIN - JAIPUR DISTRICT\nWeather: Sunny and clear throughout the period.\nTemperatures: Max 36.0 C, Min 22.0 C.\nRainfall: Nil.\nCrop Advisory: Regular weeding.",
-    "no_advice": "NOWCAST\nObserved Sky: Thunderstorm with squall.\nMax Temp: 33.0 C, Min Temp: 24.0 C.\nRainfall: 45 mm to 70 mm heavy downpour.\nWarnings: Heavy Rainfall Warning, Thunderstorm with Lightning.",
-    "temperature": "District: Jaipur\nObserved Maximum Temperature: 29.5 C\nObserved Minimum Temperature: 18.0 C",
-    "three_warnings": "RED ALERT\nDistrict: Jaipur\nValid: 05-09-2026 to 06-09-2026\nWarning 1: Extremely Heavy Rainfall\nWarning 2: Gusty Winds 50-60 km/h\nWarning 3: Hailstorm",
-    "rain_in_words": "District: Jaipur\nSky: Generally cloudy.\nRainfall: Light to moderate rainfall likely over isolated places.\nWind: 15 km/h South-Westerly.",
-    "ranges": "Forecast max temp 34-36 C, min temp 24-26 C. Wind 10-20 km/h. temperatures fall.",
+    "dry": "Farm weather note, Mandla\nSky: Hazy sun with a cool breeze.\nMax temperature 31.5 C, minimum temperature 17.5 C.\nRainfall: Nil.\nCrop Advisory: Thin the chickpea rows.",
+    "storm": "Evening update\nSky: Dark towering clouds.\nMax Temp: 27.0 C, Min Temp: 21.5 C.\nRainfall: 12 mm to 38 mm by dawn.\nWarnings: Flash flood watch, Lightning near the ghats.",
+    "readings": "District: Koraput\nObserved Maximum Temperature: 24.8 C\nObserved Minimum Temperature: 11.2 C",
+    "listed": "District: Latur\nValid: 17-02-2027 to 19-02-2027\nWarning 1: Dense fog\nWarning 2: Strong wind 35-45 km/h\nWarning 3: Ground frost",
+    "words": "District: Palakkad\nRainfall: Light rainfall likely on the hills.\nWind: 9 km/h North-Easterly.",
+    "spans": "Expected max temp 41-43 C, min temp 27-29 C. Wind 22-28 km/h.",
 }
 
 
@@ -224,16 +224,16 @@ def extracted(spark):
 @pytest.mark.parametrize(
     "name, field, value",
     [
-        ("no_warnings", "max_temp_c", 36.0), ("no_warnings", "min_temp_c", 22.0), ("no_warnings", "rainfall_max_mm", 0.0), ("no_warnings", "warnings", []),
-        ("no_warnings", "advisory_text", "Regular weeding."), ("no_warnings", "weather_condition", "Sunny and clear throughout the period"),
-        ("no_advice", "rainfall_min_mm", 45.0), ("no_advice", "rainfall_max_mm", 70.0), ("no_advice", "advisory_text", None),
-        ("no_advice", "warnings", ["Heavy Rainfall Warning", "Thunderstorm with Lightning."]),
-        ("temperature", "max_temp_c", 29.5), ("temperature", "min_temp_c", 18.0), ("temperature", "district", "Jaipur"), ("temperature", "rainfall_max_mm", None),
-        ("three_warnings", "valid_from", "05-09-2026"), ("three_warnings", "valid_to", "06-09-2026"), ("three_warnings", "wind_speed_kmh", 60.0),
-        ("three_warnings", "warnings", ["Extremely Heavy Rainfall", "Gusty Winds 50-60 km/h", "Hailstorm"]),
-        ("rain_in_words", "rainfall_qualifier", "Light to moderate rainfall"), ("rain_in_words", "rainfall_min_mm", None),
-        ("rain_in_words", "wind_direction", "South-Westerly"), ("rain_in_words", "wind_speed_kmh", 15.0),
-        ("ranges", "min_temp_c", 24.0), ("ranges", "max_temp_c", 36.0), ("ranges", "wind_speed_kmh", 20.0),
+        ("dry", "max_temp_c", 31.5), ("dry", "min_temp_c", 17.5), ("dry", "rainfall_max_mm", 0.0), ("dry", "warnings", []),
+        ("dry", "advisory_text", "Thin the chickpea rows."), ("dry", "weather_condition", "Hazy sun with a cool breeze"),
+        ("storm", "rainfall_min_mm", 12.0), ("storm", "rainfall_max_mm", 38.0), ("storm", "advisory_text", None),
+        ("storm", "warnings", ["Flash flood watch", "Lightning near the ghats."]),
+        ("readings", "max_temp_c", 24.8), ("readings", "min_temp_c", 11.2), ("readings", "district", "Koraput"), ("readings", "rainfall_max_mm", None),
+        ("listed", "valid_from", "17-02-2027"), ("listed", "valid_to", "19-02-2027"), ("listed", "wind_speed_kmh", 45.0),
+        ("listed", "warnings", ["Dense fog", "Strong wind 35-45 km/h", "Ground frost"]),
+        ("words", "rainfall_qualifier", "Light rainfall"), ("words", "rainfall_min_mm", None),
+        ("words", "wind_direction", "North-Easterly"), ("words", "wind_speed_kmh", 9.0),
+        ("spans", "min_temp_c", 27.0), ("spans", "max_temp_c", 43.0), ("spans", "wind_speed_kmh", 28.0),
     ],
 )
 def test_extraction(extracted, name, field, value):
