@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldcast import catalogs
+from fieldcast.operators.keys import meet
 
 # Target column -> baseline column.
 TARGETS = {
@@ -40,7 +40,7 @@ def leave_one_out(
         *[F.sum(c).alias(f"_sum_{c}") for c in targets],
         *[F.count(c).alias(f"_n_{c}") for c in targets],
     )
-    joined = df.join(totals, domain)
+    joined = meet(df, totals, domain)
     others = {
         base: F.when(
             F.col(f"_n_{c}") > 1, (F.col(f"_sum_{c}") - F.col(c)) / F.nullif(F.col(f"_n_{c}") - 1, F.lit(0))
@@ -53,15 +53,13 @@ def leave_one_out(
 
 
 def domain_elevation(df: DataFrame) -> DataFrame:
-    """Row-weighted mean elevation per zone: at most one row per catalogue zone."""
-    means = df.groupBy("zone_id").agg(F.avg("elevation_m").alias("domain_mean_elevation_m"))
-    return catalogs.zones(df.sparkSession).select("zone_id").join(means, "zone_id")
+    """Row-weighted mean elevation per zone, whatever zones there are."""
+    return df.groupBy("zone_id").agg(F.avg("elevation_m").alias("domain_mean_elevation_m"))
 
 
 def with_elevation_delta(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
-    """Height above the domain mean. The means are bounded by the zone catalogue, hence broadcast."""
-    means = F.broadcast(domain_elevation(df if source is None else source))
-    return df.join(means, "zone_id").withColumn(
+    """Height above the domain mean; a zone without any known height keeps its rows with null."""
+    return meet(df, domain_elevation(df if source is None else source), ["zone_id"]).withColumn(
         "delta_elevation_m", F.col("elevation_m") - F.col("domain_mean_elevation_m")
     )
 

@@ -10,6 +10,13 @@ from fieldcast import catalogs
 from fieldcast.functions.text import strip
 
 
+def one_each(records: DataFrame, key: str, order: Column) -> DataFrame:
+    """The last record of each key in some order, so that a lookup never multiplies rows; ties go by the whole record."""
+    rest = [c for c in records.columns if c != key]
+    last = F.max(F.struct(order.alias("_order"), *rest)).alias("_last")
+    return records.groupBy(key).agg(last).select(key, *[F.col(f"_last.{c}").alias(c) for c in rest])
+
+
 def location_aliases(locations: DataFrame) -> DataFrame:
     """alias -> location_id from id, name, local name and id stem; the later location wins."""
     names = F.array(
@@ -30,9 +37,8 @@ def find_locations(requests: DataFrame, locations: DataFrame, identifier: str =
     """Resolve free-form identifiers; what is unknown keeps null location columns."""
     asked = requests.withColumn("_alias", F.lower(strip(F.col(identifier))))
     aliases = location_aliases(locations).withColumnRenamed("alias", "_alias")
-    return (
-        asked.join(aliases, "_alias", "left").join(locations.drop("ordinal"), "location_id", "left").drop("_alias")
-    )
+    known = one_each(locations, "location_id", F.col("ordinal")).drop("ordinal")
+    return asked.join(aliases, "_alias", "left").join(known, "location_id", "left").drop("_alias")
 
 
 def pilot_locations(locations: DataFrame, pilots: list[str]) -> DataFrame:
@@ -81,8 +87,8 @@ def with_benchmark(rows: DataFrame) -> DataFrame:
 
 
 def with_model(rows: DataFrame, registry: DataFrame, default_path: str) -> DataFrame:
-    """Model path of the row's zone, else the default model."""
-    models = registry.select("zone_id", F.col("model_path").alias("_path"))
+    """Model path of the row's zone (the last by name if it has several), else the default model."""
+    models = registry.groupBy("zone_id").agg(F.max("model_path").alias("_path"))
     return (
         rows.join(models, "zone_id", "left")
         .withColumn("is_default_model", F.col("_path").isNull())
@@ -104,8 +110,9 @@ def short_key(identifier: Column, known: list[str] | None = None) -> Column:
 def with_telemetry(
     rows: DataFrame, telemetry: DataFrame, identifier: str, known: list[str] | None = None
 ) -> DataFrame:
-    """Cached satellite telemetry by raw key first, by normalised key otherwise."""
+    """Cached satellite telemetry by raw key first, by normalised key otherwise; the latest record of a key counts."""
     fields = [c for c in telemetry.columns if c != "location_key"]
+    telemetry = one_each(telemetry, "location_key", F.col("timestamp"))
 
     def keyed(prefix: str) -> DataFrame:
         return telemetry.select(

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldcast.functions.physics import lapse_delta
+from fieldcast.operators.keys import meet
 from fieldcast.operators import metrics, splits
 
 TARGET = "residual_anomaly_c"
@@ -95,7 +96,7 @@ def lapse_score(rows: DataFrame) -> DataFrame:
 def fitted_lapse_score(train: DataFrame, rows: DataFrame, domain: list[str]) -> DataFrame:
     """One-variable least squares of the residual on height, fitted on `train` per domain."""
     line = metrics.line_fit(train, "delta_elevation_m", TARGET, domain)
-    joined = rows.join(line, domain)
+    joined = meet(rows, line, domain)
     return with_residual(joined, F.col("intercept") + F.col("slope") * F.col("delta_elevation_m")).drop(
         "slope", "intercept"
     )

@@ -74,11 +74,14 @@ def box_lattice(boxes: DataFrame, key: list[str], step_deg: float) -> DataFrame:
 
 
 def zone_lattice(requests: DataFrame) -> DataFrame:
-    """`points_count` evenly spread points per zone: a square lattice cut after that many."""
+    """`points_count` evenly spread points per zone: a square lattice cut after that many.
+
+    A zone that is not in the catalogue has no box: its points keep null coordinates.
+    """
     zones = catalogs.zones(requests.sparkSession).select(
         "zone_id", "zone_name", "south", "north", "west", "east"
     )
-    sized = requests.join(F.broadcast(zones), "zone_id").withColumn(
+    sized = requests.join(F.broadcast(zones), "zone_id", "left").withColumn(
         "_side", F.ceil(F.sqrt("points_count")).cast("int")
     )
     grid = sized.withColumn("_no", F.explode(F.expr("sequence(0, int(points_count) - 1)")))
@@ -222,12 +225,11 @@ def overlapping_scenes(
     start: str | None = None,
     end: str | None = None,
     online_only: bool = True,
-    limit: int = 100,
-    most: int = 500,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Scenes that touch a box (west, south, east, north) and a time span; newest first.
+    """All scenes that touch a box (west, south, east, north) and a time span.
 
-    `limit` is clamped to 1..`most`; a top-k report, planned as TakeOrderedAndProject.
+    With `limit` the newest so many, a top-k report planned as TakeOrderedAndProject.
     """
     west, south, east, north = box
     found = scenes.filter(
@@ -239,7 +241,7 @@ def overlapping_scenes(
         found = found.filter(F.col("acquired") <= F.lit(end).cast("timestamp_ntz"))
     if online_only:
         found = found.filter(F.col("online") == "Y")
-    return found.orderBy(F.desc("acquired"), "scene_id").limit(min(most, max(1, limit)))
+    return found if limit is None else found.orderBy(F.desc("acquired"), "scene_id").limit(limit)
 
 
 def bounding_box(points: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -17,6 +17,7 @@ from fieldcast.operators.spatial import covering
 
 TPI_RADII_M = (300.0, 2000.0)
 FLAT = 1e-12
+NODATA = -32768.0
 # Horn kernel: (row offset, col offset, weight of the eastward, weight of the southward change).
 HORN = [
     (-1, -1, -1.0, -1.0), (-1, 0, 0.0, -2.0), (-1, 1, 1.0, -1.0),
@@ -34,8 +35,14 @@ def slope_and_aspect(dz_east: Column, dz_south: Column) -> tuple[Column, Column]
     return slope, F.when(~flat, aspect)
 
 
+def known_height(dem: DataFrame) -> Column:
+    """The height of a cell, null where it is the tile's nodata value or impossible."""
+    return valid_elevation(F.col("z"), F.col("nodata") if "nodata" in dem.columns else F.lit(NODATA))
+
+
 def horn_grid(dem: DataFrame, dx_m: float, dy_m: float) -> DataFrame:
-    """Slope and aspect of every cell that has all eight neighbours."""
+    """Slope and aspect of every cell that has all eight neighbours with known heights."""
+    dem = dem.withColumn("z", known_height(dem))
     along = W.partitionBy("tile", "row").orderBy("col")
     across = W.partitionBy("tile", "col").orderBy("row")
     west, east = F.lag("z").over(along), F.lead("z").over(along)
@@ -51,7 +58,7 @@ def horn_grid(dem: DataFrame, dx_m: float, dy_m: float) -> DataFrame:
             ),
             "dz_south": F.when(stacked, (F.lead("_s").over(across) - F.lag("_s").over(across)) / (8.0 * dy_m)),
         }
-    ).filter("dz_east is not null and dz_south is not null")
+    ).filter("z is not null and dz_east is not null and dz_south is not null")
     slope, aspect = slope_and_aspect(F.col("dz_east"), F.col("dz_south"))
     return kernels.withColumns({"slope_deg": slope, "aspect_deg": aspect}).drop("_d", "_s")
 
@@ -64,14 +71,15 @@ def _sliding(value: str, spec: W, radius: int) -> Column:
 
 
 def tpi_grid(dem: DataFrame, radius: int) -> DataFrame:
-    """Elevation minus the mean of the square around each cell, clipped at the tile edge."""
+    """Elevation minus the mean of the known heights in the square around each cell, clipped at the tile edge."""
+    dem = dem.withColumn("z", known_height(dem))
     along = W.partitionBy("tile", "row").orderBy("col")
     across = W.partitionBy("tile", "col").orderBy("row")
-    rows = dem.withColumn("_one", F.lit(1.0)).withColumns(
-        {"_z": _sliding("z", along, radius), "_n": _sliding("_one", along, radius)}
+    rows = dem.withColumns({"_one": F.col("z").isNotNull().cast("double"), "_k": F.coalesce("z", F.lit(0.0))}).withColumns(
+        {"_z": _sliding("_k", along, radius), "_n": _sliding("_one", along, radius)}
     )
     boxes = rows.withColumns({"_zz": _sliding("_z", across, radius), "_nn": _sliding("_n", across, radius)})
-    return boxes.withColumn("tpi_m", F.col("z") - F.col("_zz") / F.col("_nn")).drop("_one", "_z", "_n", "_zz", "_nn")
+    return boxes.withColumn("tpi_m", F.col("z") - F.col("_zz") / F.nullif(F.col("_nn"), F.lit(0.0))).drop("_one", "_k", "_z", "_n", "_zz", "_nn")
 
 
 def fill_window(dem: DataFrame, by: list[str], nodata: float = -32768.0) -> DataFrame:
@@ -263,7 +271,8 @@ def rounded(samples: DataFrame) -> DataFrame:
 
 
 def bilinear(points: DataFrame, dem: DataFrame, tiles: DataFrame) -> DataFrame:
-    """Elevation alone: four cells per distinct coordinate, weights kept within 0..1."""
+    """Elevation alone: four cells per distinct coordinate, weights kept within 0..1; null if one of them is unknown."""
+    dem = dem.withColumn("z", known_height(dem))
     sites = row_col(tile_for_points(points, tiles))
     for axis, size in (("row", "n_rows"), ("col", "n_cols")):
         corner = _bounded(F.floor(f"{axis}_f"), F.lit(0).cast("bigint"), F.col(size) - 2)
@@ -289,7 +298,7 @@ def bilinear(points: DataFrame, dem: DataFrame, tiles: DataFrame) -> DataFrame:
     return (
         asked.join(dem, ["tile", "row", "col"])
         .groupBy("latitude", "longitude", "tile")
-        .agg(F.sum(F.col("weight") * F.col("z")).alias("elevation_m"))
+        .agg(F.when(F.count("z") == F.count(F.lit(1)), F.sum(F.col("weight") * F.col("z"))).alias("elevation_m"))
     )
 
 

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fieldcast.operators.keys import AT, meet
+
 MONTH = "_month"
 BLOCK = "_block"
 BLOCK_ROWS = 4096
@@ -32,7 +34,8 @@ def running_totals(
 ) -> DataFrame:
     """Add running sums, in `order`, within `key`; those in `yearly` restart each calendar year.
 
-    Every value is a non-null expression over the row. The monthly sums are a second pass
+    Every value is a non-null expression over the row. Rows without a key are a series of
+    their own, and rows without a time come first. The monthly sums are a second pass
     over `df`, so call this on a stored or cheap table rather than after heavy joins.
     """
     values = {**totals, **(yearly or {})}
@@ -43,16 +46,14 @@ def running_totals(
             for n, v in values.items()
         }
         return df.withColumns(sums)
-    rows = df.withColumn(MONTH, F.date_trunc("month", order)).withColumns(
-        {f"_add_{name}": value for name, value in values.items()}
-    )
+    rows = df.withColumns({f"_add_{name}": value for name, value in values.items()} | {AT: F.struct(*key, F.date_trunc("month", order).alias(MONTH))})
     # One row per key and month: a century of hours is at most 1200 rows per key.
-    months = rows.groupBy(*key, MONTH).agg(*[F.sum(f"_add_{n}").alias(f"_sum_{n}") for n in values])
-    ahead = _before(W.partitionBy(*key).orderBy(MONTH))
-    ahead_this_year = _before(W.partitionBy(*key, F.year(MONTH)).orderBy(MONTH))
+    months = rows.groupBy(AT).agg(*[F.sum(f"_add_{n}").alias(f"_sum_{n}") for n in values])
+    own, month = [F.col(f"{AT}.{k}") for k in key], F.col(f"{AT}.{MONTH}")
+    ahead = _before(W.partitionBy(*own).orderBy(month))
+    ahead_this_year = _before(W.partitionBy(*own, F.year(month)).orderBy(month))
     carried = months.select(
-        *key,
-        MONTH,
+        AT,
         *[
             F.coalesce(F.sum(f"_sum_{n}").over(ahead if n in totals else ahead_this_year), F.lit(0)).alias(
                 f"_carry_{n}"
@@ -60,11 +61,11 @@ def running_totals(
             for n in values
         ],
     )
-    inside = W.partitionBy(*key, MONTH).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    summed = rows.join(carried, [*key, MONTH]).withColumns(
+    inside = W.partitionBy(AT).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    summed = rows.join(carried, AT).withColumns(
         {name: F.col(f"_carry_{name}") + F.sum(f"_add_{name}").over(inside) for name in values}
     )
-    return summed.drop(MONTH, *[f"_add_{n}" for n in values], *[f"_carry_{n}" for n in values])
+    return summed.drop(AT, *[f"_add_{n}" for n in values], *[f"_carry_{n}" for n in values])
 
 
 def number_rows(df: DataFrame, key: list[str], order: str, name: str = "row_no", short: bool = False) -> DataFrame:
@@ -141,7 +142,7 @@ def lag_with_backfill(
     lagged = near_rows(df, key, order, {"_lag": lambda w: F.lag(column, steps).over(w)}, back=steps)
     heads = first_known(df, key, order, {"_head": column})
     return (
-        lagged.join(heads, key, "left")
+        meet(lagged, heads, key)
         .withColumn(name, F.coalesce("_lag", "_head"))
         .drop("_lag", "_head")
     )
@@ -166,22 +167,21 @@ def year_to_date(df: DataFrame, key: list[str], order: str, value: Column, name:
 
 def fill_within(df: DataFrame, key: list[str], order: str, columns: list[str]) -> DataFrame:
     """Take the next known value of the same key, or the last known one at the end."""
-    rows = df.withColumn(MONTH, F.date_trunc("month", order))
+    rows = df.withColumn(AT, F.struct(*key, F.date_trunc("month", order).alias(MONTH)))
     known = {c: F.when(F.col(c).isNotNull(), F.col(order)) for c in columns}
-    months = rows.groupBy(*key, MONTH).agg(
+    months = rows.groupBy(AT).agg(
         *[F.min_by(c, known[c]).alias(f"_first_{c}") for c in columns],
         *[F.max_by(c, known[c]).alias(f"_last_{c}") for c in columns],
     )
-    spec = W.partitionBy(*key).orderBy(MONTH)
+    spec = W.partitionBy(*[F.col(f"{AT}.{k}") for k in key]).orderBy(F.col(f"{AT}.{MONTH}"))
     after = spec.rowsBetween(1, W.unboundedFollowing)
     carried = months.select(
-        *key,
-        MONTH,
+        AT,
         *[F.first(f"_first_{c}", ignorenulls=True).over(after).alias(f"_next_{c}") for c in columns],
         *[F.last(f"_last_{c}", ignorenulls=True).over(_before(spec)).alias(f"_prev_{c}") for c in columns],
     )
-    inside = W.partitionBy(*key, MONTH).orderBy(order)
-    filled = rows.join(carried, [*key, MONTH]).withColumns(
+    inside = W.partitionBy(AT).orderBy(order)
+    filled = rows.join(carried, AT).withColumns(
         {
             f"_fill_{c}": F.coalesce(
                 F.first(c, ignorenulls=True).over(inside.rowsBetween(0, W.unboundedFollowing)),

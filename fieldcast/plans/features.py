@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldcast.functions import physics
+from fieldcast.operators.keys import meet
 from fieldcast.operators import baselines, spatial, terrain, timeseries
 from fieldcast.operators.quality import add_missing, drop_incomplete, serving_defaults
 from fieldcast.session import settle
@@ -65,7 +66,7 @@ def with_terrain(df: DataFrame, points: DataFrame, also: list[str] | None = None
     `also` names further per-point columns that ride along, to save a join of the rows.
     """
     neutral = dict(zip(TERRAIN, spatial.NO_NEIGHBOURS.values()))
-    joined = df.join(points.select(*POINT, *TERRAIN, *(also or [])), POINT, "left")
+    joined = meet(df, points.select(*POINT, *TERRAIN, *(also or [])), POINT)
     return joined.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in neutral.items()})
 
 
@@ -117,7 +118,7 @@ def engineer_multitarget(obs: DataFrame, radius: float = spatial.TRAINING_RADIUS
     rows = with_baselines(with_domain(rows, obs), source=obs)
     rows = rows.withColumns(physics.calendar_columns(F.col("timestamp")))
     heads = timeseries.first_known(obs, POINT, "timestamp", {"_head": "soil_moisture_0_to_7cm_m3m3"})
-    ground = spatial.lattice_terrain(station_list(obs), radius, ["zone_id"]).join(heads, POINT, "left")
+    ground = meet(spatial.lattice_terrain(station_list(obs), radius, ["zone_id"]), heads, POINT)
     rows = with_terrain(rows, ground, ["_head"])
     rows = rows.withColumns(_weather_interactions()).withColumns(_surface_interactions())
     memory = {
@@ -174,7 +175,7 @@ def domain_lag(rows: DataFrame) -> DataFrame:
     lagged = timeseries.near_rows(
         means, ["zone_id"], "timestamp", {"thermal_inertia_lag_3h": timeseries.difference("_mean", 3)}, back=3
     )
-    return rows.join(lagged.drop("_mean"), DOMAIN_HOUR, "left")
+    return meet(rows, lagged.drop("_mean"), DOMAIN_HOUR)
 
 
 def complete_features(

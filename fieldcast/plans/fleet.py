@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldcast import catalogs
 from fieldcast.operators import lookups, metrics, residual_models, spatial, splits
+from fieldcast.operators.keys import meet
 from fieldcast.plans import features
 from fieldcast.session import settle
 from fieldcast.sources import files
@@ -36,23 +37,32 @@ def dataset_manifest(df: DataFrame, name: str) -> DataFrame:
 
 
 def ingest_zones(
-    spark: SparkSession, observations: DataFrame, table: str, points_per_zone: int = catalogs.STATIONS_PER_ZONE
+    spark: SparkSession, observations: DataFrame, table: str, dem: DataFrame | None = None, tiles: DataFrame | None = None
 ) -> DataFrame:
-    """Add the zones' missing stations to the table and return the stations that were missing.
+    """Add the hours that the table lacks and return the stations that gained any.
 
-    `observations` are landed hourly rows. A zone with anything new is written again as a
-    whole, since its baselines depend on every station; the other zones stay untouched.
+    `observations` are landed hourly rows, in any portions: stations and hours that landed
+    before stay. An hour is known by zone, station and time, nulls included; the first
+    delivery of an hour counts. A zone with anything new is written again as a whole, since
+    its baselines depend on every station; the other zones stay untouched.
     """
+    raw = observations.columns
+    hour = F.struct("zone_id", "point_id", "timestamp").alias("_hour")
     try:
-        landed = spark.read.parquet(table).select("zone_id", "point_id")
+        landed = spark.read.parquet(table).select(*raw)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        landed = observations.select("zone_id", "point_id").limit(0)
-    todo = settle(lookups.pending(features.station_list(observations).select("zone_id", "point_id"), landed, ["zone_id", "point_id"]))
-    changed = observations.join(todo.select("zone_id").distinct(), "zone_id", "left_semi")
-    files.write_zones(features.engineer_zone_features(changed), table)
-    return todo
+        landed = observations.limit(0)
+    row = F.struct(*raw)
+    once = observations.groupBy(hour).agg(F.min(row).alias("_row"))
+    fresh = settle(once.join(landed.select(hour).distinct(), "_hour", "left_anti").select("_row.*"))
+    zones = fresh.select(F.struct("zone_id").alias("_zone")).distinct()
+    before = landed.withColumn("_zone", F.struct("zone_id")).join(zones, "_zone", "left_semi").drop("_zone")
+    # Settled, because the zones are read from the table that they are then written to.
+    whole = settle(before.unionByName(fresh))
+    files.write_zones(features.engineer_zone_features(whole, dem, tiles), table)
+    return fresh.select("zone_id", "point_id").distinct()
 
 
 def train_fleet(rows: DataFrame, zones: list[str], model_root: str | None = None, **settings) -> DataFrame:
@@ -68,10 +78,10 @@ def train_fleet(rows: DataFrame, zones: list[str], model_root: str | None = None
                 residual_models.save(model, f"{model_root}/{zone.lower()}")
             test = splits.keep_points(part, labels.filter("part = 'test'"), ["zone_id", "point_id"])
             row = residual_models.evaluate(residual_models.score(test, model)).withColumn("error", F.lit(None).cast("string"))
-        except Exception as failure:  # noqa: BLE001 - isolate one zone's failure
+        except (IllegalArgumentException, ValueError) as failure:  # too little data to split or fit
             row = residual_models.evaluate(
                 residual_models.with_residual(part.limit(0), F.lit(0.0))
-            ).withColumn("error", F.lit(type(failure).__name__))
+            ).withColumn("error", F.lit(f"{type(failure).__name__}: {failure}"[:200]))
         row = row.withColumn("zone_id", F.lit(zone))
         results = row if results is None else results.unionByName(row)
     return results
@@ -99,15 +109,11 @@ def serving_gap(served: DataFrame, coarse: DataFrame, key: list[str]) -> DataFra
 
 
 def raise_one_reading(obs: DataFrame, bump_c: float) -> DataFrame:
-    """Add `raised`: true on one reading per zone, picked by hash, and `bumped_temp_c`.
-
-    One row per zone, at most fifteen, is broadcast.
-    """
+    """Add `raised`: true on one reading per zone, picked by hash, and `bumped_temp_c`."""
     order = F.md5(F.concat("point_id", F.date_format("timestamp", "yyyy-MM-dd HH")))
     picked = obs.groupBy("zone_id").agg(F.min_by(F.struct("point_id", "timestamp"), order).alias("_p"))
-    picked = catalogs.zones(obs.sparkSession).select("zone_id").join(picked, "zone_id")
     hit = (F.col("point_id") == F.col("_p.point_id")) & (F.col("timestamp") == F.col("_p.timestamp"))
-    marked = obs.join(F.broadcast(picked), "zone_id").withColumn("raised", hit)
+    marked = meet(obs, picked, ["zone_id"]).withColumn("raised", F.coalesce(hit, F.lit(False)))
     bump = F.when(F.col("raised"), F.lit(bump_c)).otherwise(F.lit(0.0))
     return marked.withColumn("bumped_temp_c", F.col("temperature_2m_c") + bump).drop("_p")
 

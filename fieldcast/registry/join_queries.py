@@ -235,7 +235,7 @@ SCENES_SQL = """scenes AS (SELECT printf('SC_%07d', o_orderkey) AS scene_id, o_o
 
 @query("j13_scene_overlap", "scene_id:s acquired:t west:d south:d",
        f"""WITH {SCENES_SQL} SELECT * FROM scenes WHERE west <= 77 AND east >= 75 AND south <= 28 AND north >= 26 AND online = 'Y' AND acquired >= TIMESTAMP '1996-01-01'
-       AND acquired <= TIMESTAMP '2001-12-31' ORDER BY acquired DESC, scene_id LIMIT 500""")
+       AND acquired <= TIMESTAMP '2001-12-31'""")
 def _(spark, sf):
     key = c("o_orderkey")
     scenes = t.table(spark, sf, "orders").select(
@@ -243,7 +243,7 @@ def _(spark, sf):
         (70.0 + c("o_custkey") % 20).alias("west"), (70.5 + c("o_custkey") % 20 + key % 3).alias("east"),
         (20.0 + key % 13).alias("south"), (20.4 + key % 13).alias("north"),
     )
-    return spatial.overlapping_scenes(scenes, (75.0, 26.0, 77.0, 28.0), "1996-01-01", "2001-12-31", limit=9000)
+    return spatial.overlapping_scenes(scenes, (75.0, 26.0, 77.0, 28.0), "1996-01-01", "2001-12-31")
 
 
 @query("j14_forecast_with_coarse_row", "point_id:s timestamp:t t_base:d downscaled_value:d t_proxy:d",

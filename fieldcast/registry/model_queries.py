@@ -194,8 +194,10 @@ def _(spark, sf):
        f"WITH {t.OBS_SQL} SELECT zone_id, count(DISTINCT point_id) AS stations, count(*) AS rows FROM obs GROUP BY 1")
 def _(spark, sf):
     rows, table = t.obs(spark, sf), shared_folder(spark)
-    # The low stations land first; the second run finds and adds all the others.
-    fleet.ingest_zones(spark, rows.filter("elevation_m < 500"), table)
+    # Low stations land first, then high ones alone, then everything: later hours of all stations.
+    early = F.dayofmonth("timestamp") <= 14
+    fleet.ingest_zones(spark, rows.where((c("elevation_m") < 500) & early), table)
+    fleet.ingest_zones(spark, rows.where((c("elevation_m") >= 500) & early), table)
     fleet.ingest_zones(spark, rows, table)
     landed = spark.read.parquet(table).groupBy("zone_id", "point_id").agg(F.count(F.lit(1)).alias("n"))
     return landed.groupBy("zone_id").agg(F.count(F.lit(1)).alias("stations"), F.sum("n").alias("rows"))

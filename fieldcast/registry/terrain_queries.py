@@ -47,9 +47,10 @@ BOUND = "least(n_{a} - 2, greatest(0, CAST(floor({b}_f) AS BIGINT)))"
 @query("r3_bilinear_elevation", f"{PLACES} elevation_m:d",
        f"""WITH {SITES_SQL}, k AS (SELECT *, {BOUND.format(a='rows', b='row')} AS r0, {BOUND.format(a='cols', b='col')} AS c0 FROM frac),
        w AS (SELECT *, least(1.0e0, greatest(0.0e0, row_f - r0)) AS fr, least(1.0e0, greatest(0.0e0, col_f - c0)) AS fc FROM k)
+       , known AS (SELECT * REPLACE (CASE WHEN z BETWEEN -500 AND 9000 THEN z END AS z) FROM dem)
        SELECT latitude, longitude, (a.z * (1 - fc) + b.z * fc) * (1 - fr) + (d.z * (1 - fc) + e.z * fc) * fr AS elevation_m FROM w
-       JOIN dem a ON a.tile = w.tile AND a.row = r0 AND a.col = c0 JOIN dem b ON b.tile = w.tile AND b.row = r0 AND b.col = c0 + 1
-       JOIN dem d ON d.tile = w.tile AND d.row = r0 + 1 AND d.col = c0 JOIN dem e ON e.tile = w.tile AND e.row = r0 + 1 AND e.col = c0 + 1""")
+       JOIN known a ON a.tile = w.tile AND a.row = r0 AND a.col = c0 JOIN known b ON b.tile = w.tile AND b.row = r0 AND b.col = c0 + 1
+       JOIN known d ON d.tile = w.tile AND d.row = r0 + 1 AND d.col = c0 JOIN known e ON e.tile = w.tile AND e.row = r0 + 1 AND e.col = c0 + 1""")
 def _(spark, sf):
     return terrain.bilinear(t.locations(spark, sf), t.dem(spark, sf), t.tiles(spark, sf))
 
@@ -63,8 +64,8 @@ def neighbours9(value: str = "z") -> str:
     return ", ".join(parts)
 
 
-HORN_SQL = f"""{t.DEM_SQL},
-nine AS (SELECT d.tile, d.row, d.col, count(*) AS cells, {neighbours9('n.z')} FROM dem d JOIN dem n ON n.tile = d.tile AND n.row BETWEEN d.row - 1 AND d.row + 1
+HORN_SQL = f"""{t.DEM_SQL}, known AS (SELECT * FROM dem WHERE z BETWEEN -500 AND 9000),
+nine AS (SELECT d.tile, d.row, d.col, count(*) AS cells, {neighbours9('n.z')} FROM known d JOIN known n ON n.tile = d.tile AND n.row BETWEEN d.row - 1 AND d.row + 1
   AND n.col BETWEEN d.col - 1 AND d.col + 1 GROUP BY 1, 2, 3 HAVING count(*) = 9),
 slopes AS (SELECT *, ((z02 + 2 * z12 + z22) - (z00 + 2 * z10 + z20)) / 240.0e0 AS dz_east, ((z20 + 2 * z21 + z22) - (z00 + 2 * z01 + z02)) / 240.0e0 AS dz_south FROM nine)"""
 ASPECT = "CASE WHEN NOT (abs({e}) < 1e-12 AND abs({s}) < 1e-12) THEN (degrees(atan2(-({e}), {s})) + 360) % 360 END"
@@ -83,7 +84,7 @@ def _(spark, sf):
 
 
 @query("r6_topographic_position", "tile:s row:i col:i tpi_m:d",
-       f"""WITH {t.DEM_SQL} SELECT d.tile, d.row, d.col, any_value(d.z) - avg(n.z) AS tpi_m FROM dem d JOIN dem n ON n.tile = d.tile
+       f"""WITH {t.DEM_SQL} SELECT d.tile, d.row, d.col, any_value(CASE WHEN d.z BETWEEN -500 AND 9000 THEN d.z END) - avg(CASE WHEN n.z BETWEEN -500 AND 9000 THEN n.z END) AS tpi_m FROM dem d JOIN dem n ON n.tile = d.tile
        AND n.row BETWEEN d.row - 3 AND d.row + 3 AND n.col BETWEEN d.col - 3 AND d.col + 3 GROUP BY 1, 2, 3""")
 def _(spark, sf):
     return terrain.tpi_grid(t.dem(spark, sf), 3)

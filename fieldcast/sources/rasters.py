@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,20 +28,37 @@ def corner(name: Column) -> tuple[Column, Column]:
     return part(1, 2, "N"), part(3, 4, "E")
 
 
+def raw_side(length: Column) -> Column:
+    """Cells along the edge of a square raw tile of two bytes a cell; null for any other length."""
+    side = F.round(F.sqrt(length / 2)).cast("bigint")
+    return F.when((side >= 2) & (side * side * 2 == length), side)
+
+
+def unreadable(files: DataFrame) -> DataFrame:
+    """Raw tiles among files (path, length) that are left out, and why."""
+    named = files.withColumn("tile", F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)).filter(F.col("path").rlike(KINDS[1][1]))
+    reason = F.when(raw_side(F.col("length")).isNull(), "length is no square of two-byte cells").when(corner(F.col("tile"))[0].isNull(), "name gives no corner")
+    return named.select("path", "tile", "length", reason.alias("reason")).filter("reason is not null")
+
+
 def catalogue(files: DataFrame) -> DataFrame:
-    """Tiles among files (path, length): kind and preference by suffix, extent by name and size."""
+    """Tiles among files (path, length): kind and preference by suffix, extent by name and size.
+
+    Raw tiles of an impossible length are left out here and in the scan; `unreadable` has them.
+    """
     kind, priority = F.lit(None).cast("string"), F.lit(None).cast("int")
     for name, pattern, rank in reversed(KINDS):
         kind = F.when(F.col("path").rlike(pattern), name).otherwise(kind)
         priority = F.when(F.col("path").rlike(pattern), rank).otherwise(priority)
     tile = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)
-    side = F.when(F.col("length") >= SIDES[0] * SIDES[0] * 2, SIDES[0]).otherwise(SIDES[1]).cast("bigint")
+    guessed = F.when(F.col("length") >= SIDES[0] * SIDES[0] * 2, SIDES[0]).otherwise(SIDES[1]).cast("bigint")
+    side = F.when(F.col("path").rlike(KINDS[1][1]), raw_side(F.col("length"))).otherwise(guessed)
     south, west = corner(F.col("tile"))
     return (
         files.withColumns({"kind": kind, "priority": priority, "tile": tile})
         .filter("kind is not null")
         .withColumns({"south": south, "west": west, "n_rows": side, "n_cols": side})
-        .filter("south is not null")
+        .filter("south is not null and n_rows is not null")
         .withColumns(
             {
                 "north": F.col("south") + 1.0,
@@ -62,8 +80,10 @@ def list_tiles(spark: SparkSession, folder: str) -> DataFrame:
 def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for tile, content in zip(batch["tile"], batch["content"]):
-            side = next((s for s in SIDES if len(content) >= s * s * 2), int(np.sqrt(len(content) // 2)))
-            grid = np.frombuffer(content, dtype=">i2", count=side * side).reshape(side, side)
+            side = math.isqrt(len(content) // 2)
+            if side < 2 or side * side * 2 != len(content):
+                continue
+            grid = np.frombuffer(content, dtype=">i2").reshape(side, side)
             for row in range(side):
                 yield pd.DataFrame(
                     {"tile": tile, "row": row, "col": np.arange(side), "z": grid[row].astype("float64")}

@@ -27,17 +27,27 @@ def split_empty(docs: DataFrame, part: str = "hourly") -> tuple[DataFrame, DataF
 
 
 def _rows(docs: DataFrame, part: str, columns: dict[str, str], keep: list[str | Column], replace: dict[str, Column]) -> DataFrame:
-    """Zip the arrays of one part; shorter arrays are padded with null. Rows end where `time` ends."""
+    """Zip the arrays of one part; shorter arrays are padded with null. Rows end where `time` ends.
+
+    Entries with an unreadable time are left out here; `malformed_times` has them.
+    """
     arrays = {"time": F.col(f"{part}.time")}
     arrays |= {name: F.coalesce(replace.get(name, F.col(f"{part}.{name}")), F.array().cast("array<double>")) for name in columns}
     lifted = docs.select(*keep, *[value.alias(f"_{name}") for name, value in arrays.items()])
+    readable = F.try_to_timestamp(F.col("_time")) if part == "hourly" else F.try_to_date("_time")
     kept = [c for c in lifted.columns if not c.startswith("_")]
     zipped = F.arrays_zip(*[F.col(f"_{name}") for name in arrays])
-    return lifted.select(*kept, F.explode(zipped).alias("_r")).filter("_r._time is not null").select(*kept, "_r.*")
+    return lifted.select(*kept, F.explode(zipped).alias("_r")).select(*kept, "_r.*").filter(readable.isNotNull())
+
+
+def malformed_times(docs: DataFrame, part: str) -> DataFrame:
+    """Quarantine: entries of `hourly` or `daily` whose time cannot be read, with the place they came from."""
+    read = F.try_to_timestamp(F.col("time")) if part == "hourly" else F.try_to_date("time").cast("timestamp")
+    return docs.select(*PLACE, F.explode(f"{part}.time").alias("time")).where(F.col("time").isNotNull() & read.isNull())
 
 
 def archive_rows(docs: DataFrame) -> DataFrame:
-    """Hourly observations. A missing gust series falls back to the wind series."""
+    """Hourly observations with a readable time. A missing gust series falls back to the wind series."""
     gusts = F.coalesce("hourly.wind_gusts_10m", "hourly.wind_speed_10m")
     rows = _rows(
         docs, "hourly", HOURLY_COLUMNS, [*PLACE, F.coalesce("elevation", F.lit(0.0)).alias("elevation_m")],
@@ -46,7 +56,7 @@ def archive_rows(docs: DataFrame) -> DataFrame:
     return rows.select(
         *PLACE,
         "elevation_m",
-        F.to_timestamp("_time").alias("timestamp"),
+        F.try_to_timestamp(F.col("_time")).alias("timestamp"),
         *[F.col(f"_{name}").alias(column) for name, column in HOURLY_COLUMNS.items()],
     )
 
@@ -58,7 +68,7 @@ def forecast_rows(docs: DataFrame) -> DataFrame:
     return rows.select(
         *PLACE,
         "elevation_m",
-        F.to_timestamp("_time").alias("timestamp"),
+        F.try_to_timestamp(F.col("_time")).alias("timestamp"),
         *[
             (solar if column == "solar_radiation_w_m2" else F.col(f"_{name}")).alias(column)
             for name, column in FORECAST_COLUMNS.items()
@@ -71,7 +81,7 @@ def daily_rows(docs: DataFrame) -> DataFrame:
     rows = _rows(docs, "daily", DAILY_COLUMNS, PLACE, {})
     return rows.select(
         *PLACE,
-        F.to_date("_time").alias("date"),
+        F.try_to_date("_time").alias("date"),
         F.col("_temperature_2m_max").alias("tmax_c"),
         F.col("_temperature_2m_min").alias("tmin_c"),
         F.col("_precipitation_sum").alias("precipitation_mm"),
@@ -99,6 +109,6 @@ def read_power(spark: SparkSession, path: str) -> DataFrame:
 def power_rows(docs: DataFrame) -> DataFrame:
     """Daily satellite climatology; the service's fill value becomes null, bad dates are left out."""
     values = ["t2m_c", "precip_corr_mm", "rh2m_pct", "solar_radiation_mj_m2"]
-    return docs.filter(F.col("date").rlike(r"^\d{8}$")).select(
-        "point_id", F.to_date("date", "yyyyMMdd").alias("date"), *[mask_nodata(F.col(v)).alias(v) for v in values]
+    return docs.filter(F.try_to_date("date", "yyyyMMdd").isNotNull() & F.col("date").rlike(r"^\d{8}$")).select(
+        "point_id", F.try_to_date("date", "yyyyMMdd").alias("date"), *[mask_nodata(F.col(v)).alias(v) for v in values]
     )
