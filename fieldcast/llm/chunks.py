@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,21 +37,39 @@ Question = tuple[int, np.ndarray, np.ndarray]
 
 
 def chunked(docs: DataFrame, text: str = "text", key: str = "doc_id", chunk_bytes: int = CHUNK_BYTES, extra: dict[str, Column] | None = None) -> tuple[DataFrame, int]:
-    """chunk, doc_id, text of all rows (null text: empty) and extra columns; how many high bits of a key name its shard."""
+    """Bundles of rows (doc_id, text with null as empty, extra columns) by chunk; how many high bits of a key name its shard."""
     extra = extra or {}
     slim = docs.select(F.col(key).cast("bigint").alias("doc_id"), whole(text).alias("text"), *(v.alias(k) for k, v in extra.items()))
     size = slim.agg(F.sum(F.octet_length("text") + F.lit(8))).first()[0] or 0
     n = max(1, math.ceil(size / chunk_bytes))
     chunk = F.pmod(F.xxhash64("doc_id", F.octet_length("text"), F.substring("text", 1, 64)), F.lit(n)).alias("chunk")
-    return slim.select(chunk, "doc_id", "text", *extra), max(0, math.ceil(math.log2(max(1, size / SHARD_BYTES))))
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row for each chunk in a batch of texts: what goes there, compressed."""
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
+        for batch in batches:
+            of = batch.column("chunk").to_numpy()
+            order = np.argsort(of, kind="stable")
+            names, starts = np.unique(of[order], return_index=True)
+            rows = pa.table(batch.drop_columns(["chunk"])).take(pa.array(order)).combine_chunks()
+            bundles = []
+            for first, end in zip(starts.tolist(), [*starts[1:].tolist(), len(order)]):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema, options=options) as writer:
+                    # Taken, not sliced: a slice would bring all bytes of the batch along.
+                    writer.write_table(rows.take(pa.array(np.arange(first, end))))
+                bundles.append(sink.getvalue().to_pybytes())
+            yield pa.record_batch({"chunk": pa.array(names, pa.int64()), "texts": pa.array(bundles, pa.binary())})
+
+    dealt = slim.select(chunk, "doc_id", "text", *extra).mapInArrow(bundle, "chunk bigint, texts binary")
+    return dealt, max(0, math.ceil(math.log2(max(1, size / SHARD_BYTES))))
 
 
 class Texts:
     """The texts of a chunk in order of (doc_id, text), null ids last: all their bytes, and where each text starts."""
 
     def __init__(self, table: pa.Table):
-        table = table.combine_chunks()
-        self.chunk = table["chunk"][0].as_py() if table.num_rows else 0
+        self.chunk = table["chunk"][0].as_py()
+        table = pa.concat_tables([pa.ipc.open_stream(b.as_buffer()).read_all() for b in table["texts"]]).combine_chunks()
         ids = table["doc_id"].to_numpy(zero_copy_only=False) if not table["doc_id"].null_count else table["doc_id"].fill_null(np.iinfo(np.int64).max).to_numpy()
         order = np.argsort(ids, kind="stable")
         if len(ids) > len(np.unique(ids)):
@@ -58,7 +77,7 @@ class Texts:
         table = table.take(order)
         self.ids, self.keys = table["doc_id"], ids[order].astype(np.int64)
         self.bytes, self.at = buffers(table["text"])
-        self.extra = {name: table[name] for name in table.column_names if name not in ("chunk", "doc_id", "text")}
+        self.extra = {name: table[name] for name in table.column_names if name not in ("doc_id", "text")}
 
 
 def cut(keys: np.ndarray, bits: int, width: int = 8) -> np.ndarray:
@@ -67,6 +86,25 @@ def cut(keys: np.ndarray, bits: int, width: int = 8) -> np.ndarray:
     return keys if low <= 0 else (keys >> np.uint64(low)) << np.uint64(low)
 
 
+def pack(rows: np.ndarray) -> bytes:
+    """An array with all first bytes of its entries in front, then all second bytes, and so on, compressed.
+
+    Sorted keys and small counts have planes that hardly change.
+    """
+    planes = np.ascontiguousarray(rows).view(np.uint8).reshape(len(rows), -1).T if len(rows) else rows
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpack(data: bytes, width: int) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, -1).T)
+
+
+def _loads(rows: list[bytes], kind: np.dtype | type) -> np.ndarray:
+    kind = np.dtype(kind)
+    return np.concatenate([unpack(r, kind.itemsize) for r in rows]).view(kind).ravel() if rows else np.zeros(0, kind)
+
+
 def _send(step: int, chunk: int, kind: int, keys: np.ndarray, load: np.ndarray, bits: int, width: int, everywhere: bool) -> Iterator[tuple]:
     of = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
     own = np.ascontiguousarray(((keys << np.uint64(bits)) if width < 8 else keys) >> np.uint64(64 - 8 * width))
@@ -74,7 +112,7 @@ def _send(step: int, chunk: int, kind: int, keys: np.ndarray, load: np.ndarray,
     starts = np.searchsorted(of, np.arange((1 << bits) + 1))
     for shard, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist())):
         if b > a or everywhere:
-            yield step, kind, (kind << 32) + shard, chunk, own[a:b].tobytes(), load[a:b].tobytes(), None
+            yield step, kind, (kind << 32) + shard, chunk, pack(own[a:b]), pack(load[a:b]), None
 
 
 def _table(rows: list[tuple]) -> pa.Table:
@@ -89,7 +127,7 @@ class Said:
         self.rows = sorted(zip(*(table[c].to_pylist() for c in ("step", "kind", "shard", "load", "note", "chunk"))), key=lambda r: r[:3]) if table is not None else []
 
     def of(self, step: int, kind: int, kind_of: np.dtype | type) -> np.ndarray:
-        return np.frombuffer(b"".join(r[3] for r in self.rows if r[:2] == (step, kind)), kind_of)
+        return _loads([r[3] for r in self.rows if r[:2] == (step, kind)], kind_of)
 
     def notes(self, step: int, kind_of: np.dtype | type) -> np.ndarray:
         return np.array([np.frombuffer(r[4], kind_of) for r in self.rows if r[0] == step and r[4]])
@@ -125,15 +163,15 @@ def answer(asked: DataFrame, decide: Callable[..., np.ndarray | tuple[np.ndarray
         if rows[0][2] < 0:
             return _table([(s, k, int.from_bytes(keys, "little"), c, None, l, n) for s, k, _, c, keys, l, n in rows])
         kind, shard = rows[0][1], rows[0][2] & 0xFFFFFFFF
-        sizes = [len(r[4]) // width for r in rows]
+        own = [unpack(r[4], width) for r in rows]
+        sizes = [len(x) for x in own]
         raw = np.zeros((sum(sizes), 8), np.uint8)
-        raw[:, :width] = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(-1, width)
-        keys = raw.view(np.uint64).ravel()
-        entries = np.frombuffer(b"".join(r[5] for r in rows), load[kind])
+        raw[:, :width] = np.concatenate(own)
+        keys, entries = raw.view(np.uint64).ravel(), _loads([r[5] for r in rows], load[kind])
         found = decide(kind, keys, entries, np.repeat(np.array([r[3] for r in rows], np.int64), sizes))
         found, note = found if isinstance(found, tuple) else (found, None)
         ends = np.cumsum(sizes)
-        return _table([(r[0], kind, shard, r[3], None, found[e - n : e].tobytes(), note.tobytes() if note is not None else None) for r, n, e in zip(rows, sizes, ends.tolist())])
+        return _table([(r[0], kind, shard, r[3], None, pack(found[e - n : e]), note.tobytes() if note is not None else None) for r, n, e in zip(rows, sizes, ends.tolist())])
 
     return asked.groupBy("shard").applyInArrow(run, ROWS)
 

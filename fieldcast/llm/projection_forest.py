@@ -1,7 +1,8 @@
 """Near-duplicate embeddings by a forest of random-projection trees.
 
 A tree has one random direction for each level and a threshold for each node: the median of
-the node's sample along that direction. Vectors within `spill` of a threshold go both ways.
+the node's sample along that direction. Vectors near a threshold go both ways; near is `spill`
+times the spread, along a random direction, of the difference of a pair that is just a link.
 Vectors are compared in double precision within the leaves of all trees; what passes is a
 link, and links are united into components.
 
@@ -28,21 +29,28 @@ from pyspark.sql import functions as F
 from fieldcast.llm.components import components
 from fieldcast.session import settle
 
-COSINE, TREES, SPILL, LEAF, SAMPLE, DENSE = 0.9, 8, 0.02, 192, 20_000, 2048
+COSINE, TREES, SPILL, LEAF, SAMPLE, DENSE = 0.9, 6, 0.36, 768, 20_000, 2048
 #: Sample vectors that a split is made from at least.
 LEAST_SAMPLE = 16
+#: Levels of a tree at most, so that tree and node fit 32 bits.
+LEVELS = 24
 
 
 def unit(vectors: pa.Array, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
     """Vectors of length one in double precision, and which rows have one: not null, of `dimensions` finite components, not zero."""
-    lengths = np.array([len(v) if v is not None and None not in v else -1 for v in vectors.to_pylist()])
-    fits = lengths == dimensions
-    x = np.array([v for v, ok in zip(vectors.to_pylist(), fits) if ok], float).reshape(-1, dimensions)
+    rows = vectors.to_pylist()
+    fits = np.array([v is not None and len(v) == dimensions and None not in v for v in rows], bool)
+    x = np.array([v for v, ok in zip(rows, fits) if ok], float).reshape(-1, dimensions)
     most = np.abs(x).max(1, initial=0)
     good = np.isfinite(most) & (most > 0)
     fits[fits] = good
-    x = x[good] / most[good, None]
-    return x / np.linalg.norm(x, axis=1)[:, None], fits
+    return scaled(x[good]), fits
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    x = x.astype(float)
+    x /= np.abs(x).max(1, initial=0, keepdims=True)
+    return x / np.linalg.norm(x, axis=1)[:, None]
 
 
 @dataclass
@@ -61,16 +69,16 @@ class Forest:
             while stack:
                 node, rows = stack.pop()
                 if node not in nodes:
-                    yield (tree << 40) + node, rows
+                    yield (tree << LEVELS) + node, rows
                     continue
                 at = places[rows, node.bit_length() - 1] - nodes[node]
                 stack += [(2 * node, rows[at <= self.spill]), (2 * node + 1, rows[at > -self.spill])]
 
 
-def grow(x: np.ndarray, n: int, trees: int = TREES, spill: float = SPILL, leaf: int = LEAF, seed: int = 9) -> Forest:
+def grow(x: np.ndarray, n: int, cosine: float = COSINE, trees: int = TREES, spill: float = SPILL, leaf: int = LEAF, seed: int = 9) -> Forest:
     """A forest for n vectors, fitted on the sample x of them."""
-    random = np.random.default_rng(seed)
-    levels = max(1, math.ceil(math.log2(max(2, n / leaf)))) + 4
+    random, spill = np.random.default_rng(seed), spill * math.sqrt((2 - 2 * cosine) / x.shape[1])
+    levels = min(LEVELS - 1, math.ceil(math.log2(max(2, n / leaf))) + 4)
     directions = random.normal(size=(trees, x.shape[1], levels))
     directions /= np.linalg.norm(directions, axis=1, keepdims=True)
     thresholds: list[dict[int, float]] = []
@@ -92,24 +100,20 @@ def grow(x: np.ndarray, n: int, trees: int = TREES, spill: float = SPILL, leaf:
     return Forest(directions, thresholds, spill)
 
 
-def _compare(table: pa.Table, cosine: float, dimensions: int) -> pa.Table:
+def _compare(table: pa.Table, cosine: float, dimensions: int, kind: type) -> pa.Table:
     """Of one leaf, or of two of its parts: links counted here for each vector, and links that span what is linked."""
-    x = np.array(table["unit"].to_pylist(), float).reshape(-1, dimensions)
+    x = scaled(np.frombuffer(b"".join(table["vector"].to_pylist()), kind).reshape(-1, dimensions))
     ids, copies, side, leaf = table["node"].to_numpy(), table["copies"].to_numpy(), table["side"].to_numpy(), table["leaf"][0].as_py()
     order = np.lexsort((ids, side))
     x, ids, copies, side = x[order], ids[order], copies[order], side[order]
     n, m = len(x), int((side == 0).sum())
     near = x @ x.T >= cosine
     np.fill_diagonal(near, False)
-    lists = table["leaves"].to_pylist()
-    known: dict[int, int] = {}
-    rows, columns = [], []
-    for i, k in enumerate(order):
-        for other in lists[k]:
-            if other < leaf:
-                rows.append(i), columns.append(known.setdefault(other, len(known)))
-    before = np.zeros((n, max(1, len(known))), np.float32)
-    before[rows, columns] = 1
+    flat = [np.frombuffer(v, np.int32) for v in table["leaves"].take(pa.array(order)).to_pylist()]
+    row, numbers = np.repeat(np.arange(n), [len(v) for v in flat]), np.concatenate(flat)
+    earlier, column = np.unique(numbers[numbers < leaf], return_inverse=True)
+    before = np.zeros((n, max(1, len(earlier))), np.float32)
+    before[row[numbers < leaf], column] = 1
     counted = near & (before @ before.T == 0)
     if 0 < m < n:  # two parts: pairs within one of them are met where that part meets itself
         counted[:m, :m] = counted[m:, m:] = False
@@ -152,7 +156,8 @@ def near_duplicates(
     taken = nodes.orderBy(F.xxhash64("hash.y"), "node").select("vector").limit(sample).toArrow()["vector"]
     sizes = [len(v) for v in taken.to_pylist()]
     dimensions = max(set(sizes), key=lambda s: (sizes.count(s), s)) if sizes else 1
-    forest = grow(unit(taken, dimensions)[0], n, trees, spill, leaf)
+    forest = grow(unit(taken, dimensions)[0], n, cosine, trees, spill, leaf)
+    kind = np.float32 if vectors.schema[vector].dataType.elementType.typeName() == "float" else np.float64
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,16 +167,17 @@ def near_duplicates(
             for number, rows in forest.leaves(x):
                 for i in rows.tolist():
                     numbers[i].append(number)
-            yield pa.record_batch({"node": batch.column("node"), "copies": batch.column("copies"), "unit": pa.array(list(x), pa.list_(pa.float64())), "leaves": pa.array(numbers, pa.list_(pa.int64()))})
+            own = [np.array(v, kind).tobytes() for v in batch.column("vector").to_pylist()]
+            packed = [np.array(v, np.int32).tobytes() for v in numbers]
+            yield pa.record_batch({"node": batch.column("node"), "copies": batch.column("copies"), "vector": pa.array(own, pa.binary()), "within": pa.array(numbers, pa.list_(pa.int32())), "leaves": pa.array(packed, pa.binary())})
 
-    placed = nodes.select("node", "copies", "vector").mapInArrow(place, "node bigint, copies bigint, unit array<double>, leaves array<bigint>")
-    placed = settle(placed)
-    crowded = placed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().select("leaf", F.ceil(F.col("count") / dense).cast("int").alias("parts")).where("parts > 1")
-    dealt = placed.withColumn("leaf", F.explode("leaves")).join(crowded, "leaf", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    placed = settle(nodes.select("node", "copies", "vector").mapInArrow(place, "node bigint, copies bigint, vector binary, within array<int>, leaves binary"))
+    crowded = placed.select(F.explode("within").alias("leaf")).groupBy("leaf").count().select("leaf", F.ceil(F.col("count") / dense).cast("int").alias("parts")).where("parts > 1")
+    dealt = placed.withColumn("leaf", F.explode("within")).join(crowded, "leaf", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct((F.least(p, own) * F.col("parts") + F.greatest(p, own)).alias("part"), (own > p).cast("int").alias("side")))
-    dealt = dealt.select("leaf", "node", "copies", "unit", "leaves", F.explode(pair).alias("p")).select("leaf", "p.part", "p.side", "node", "copies", "unit", "leaves")
-    met = settle(dealt.groupBy("leaf", "part").applyInArrow(lambda t: _compare(t, cosine, dimensions), "a bigint, b bigint, links bigint"))
+    dealt = dealt.select("leaf", "node", "copies", "vector", "leaves", F.explode(pair).alias("p")).select("leaf", "p.part", "p.side", "node", "copies", "vector", "leaves")
+    met = settle(dealt.groupBy("leaf", "part").applyInArrow(lambda t: _compare(t, cosine, dimensions, kind), "a bigint, b bigint, links bigint"))
 
     counts = met.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     reached = components(met.where("b IS NOT NULL"), "a", "b")

@@ -26,11 +26,13 @@ from fieldcast.llm import chunks as c
 #: Words of context at most; occurrences and gain (natural log units) a state needs; discount of its counts.
 DEPTH, LEAST, GAIN, DISCOUNT = 2, 64, 24.0, 0.6
 #: Bytes of a key that travel beside the shard's bits.
-WIDTH = 6
+WIDTH = 5
+#: Larger chunks have fewer repeats of one word pair among them.
+CHUNK_BYTES = 6 << 20
 
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 TOTALS = np.dtype("<i8")
-#: What a context has gained in all, and how many different words follow it.
+#: What a context has gained, and how many different words follow it, in a chunk's share.
 WORTH = np.dtype([("gain", "<f4"), ("kinds", "<f4")])
 
 _END = c.mix(np.array([7], np.uint64))[0]
@@ -50,18 +52,23 @@ def _vocabulary(kind: int, keys: np.ndarray, load: np.ndarray, chunk: np.ndarray
     return groups.back(sums).astype(np.uint32), np.array([sums.sum(), (sums > 0).sum()], TOTALS)
 
 
-def _worth(kind: int, keys: np.ndarray, load: np.ndarray, chunk: np.ndarray) -> np.ndarray:
-    groups, out = c.Groups(keys), np.zeros(len(keys), WORTH)
-    for name in ("gain", "kinds"):
-        out[name] = groups.back(groups.of(np.add, load[name].astype(np.float64)))
-    return out
+def _kinds(gain: float):
+    def decide(kind: int, keys: np.ndarray, load: np.ndarray, chunk: np.ndarray) -> np.ndarray:
+        """How many different words follow a context; 0 where it gains too little to be a state."""
+        groups = c.Groups(keys)
+        if not len(keys):
+            return np.zeros(0, np.uint32)
+        total = {name: groups.of(np.add, load[name].astype(np.float64)) for name in ("gain", "kinds")}
+        return groups.back(np.where(total["gain"] >= gain, np.rint(total["kinds"]), 0).astype(np.uint32))
+
+    return decide
 
 
 class _State:
     """What a chunk knows after each step; worked out anew each time from its texts and the answers."""
 
-    def __init__(self, texts: c.Texts, held: np.ndarray, bits: int, least: int, gain: float):
-        self.bits, self.least, self.gain = bits, least, gain
+    def __init__(self, texts: c.Texts, held: np.ndarray, bits: int, least: int):
+        self.bits, self.least = bits, least
         starts, ends, at = c.words(texts)
         n = len(texts.ids)
         self.at = at + np.arange(n + 1)  # one end token after the words of each text
@@ -107,10 +114,10 @@ class _State:
 
     def descend(self, said: c.Said, depth: int) -> None:
         """Take up the contexts of this depth that are retained, and let their tokens be predicted from there."""
-        worth = said.of(2 * depth, 0, WORTH)[self.context_back] if len(self.context_back) else np.zeros(0, WORTH)
-        kept = worth["gain"] >= self.gain
+        kinds = said.of(2 * depth, 0, np.uint32)[self.context_back].astype(np.float64) if len(self.context_back) else np.zeros(0)
+        kept = kinds > 0
         of, follow, often = self.of[kept], self.follow[kept], self.often[self.of - 1][kept]
-        share = np.maximum(follow - DISCOUNT, 0) / often + DISCOUNT * worth["kinds"][kept] / often * np.exp(self.log[of])
+        share = np.maximum(follow - DISCOUNT, 0) / often + DISCOUNT * kinds[kept] / often * np.exp(self.log[of])
         self.log[of] = np.log(np.maximum(share, 1e-300))
         context, n, state = np.zeros(len(self.tokens), np.uint64), np.zeros(len(self.tokens)), np.zeros(len(self.tokens), bool)
         context[self.of] = c.mix(self.before * np.uint64(3) + c.mix(self.tokens[self.of] ^ np.uint64(depth)))
@@ -128,10 +135,10 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", key: str = "doc
     A null text is empty and is its end alone; a null mark teaches; a null id is as good as
     any; repeated rows teach twice. No rows give no rows; other columns are not looked at.
     """
-    chunks, bits = c.chunked(docs, text, key, extra={"held": F.coalesce(held_out, F.lit(False))})
+    chunks, bits = c.chunked(docs, text, key, CHUNK_BYTES, extra={"held": F.coalesce(held_out, F.lit(False))})
 
     def state(texts: c.Texts, said: c.Said, levels: int, gains: bool) -> _State:
-        s = _State(texts, texts.extra["held"].to_numpy(), bits, least, gain)
+        s = _State(texts, texts.extra["held"].to_numpy(), bits, least)
         if levels or gains:
             s.root(said)
         for d in range(1, levels + 1):
@@ -174,5 +181,5 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", key: str = "doc
     said = c.answer(c.ask(chunks, None, 0, tokens, bits, everywhere=True), _vocabulary, bits, {0: number})
     for d in range(1, depth + 1):
         said = c.answer(c.ask(chunks, said, 2 * d - 1, pairs(d), bits, WIDTH), _total, bits, {0: number}, WIDTH)
-        said = c.answer(c.ask(chunks, said, 2 * d, contexts(d), bits), _worth, bits, {0: WORTH})
+        said = c.answer(c.ask(chunks, said, 2 * d, contexts(d), bits), _kinds(gain), bits, {0: WORTH})
     return c.finish(chunks, said, result, SCORES)

@@ -222,7 +222,8 @@ def test_embeddings_linked_by_cosine(spark, dense):
     assert sum(n for _, n, _ in want) > 1000
     found = Counter((r.vec_id, r.n_links, r.component_id) for r in got)
     exact = sum((found & want).values())
-    assert exact >= 0.99 * len(rows), (found - want, want - found)
+    assert exact >= 0.98 * len(rows), (found - want, want - found)
+    assert sum(r.n_links for r in got) >= 0.98 * sum(k[1] * n for k, n in want.items())
     assert sum(r.n_links for r in got) <= sum(k[1] * n for k, n in want.items())
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
