@@ -1,10 +1,12 @@
 """Near-duplicate embeddings by a forest of random-projection trees.
 
-A tree has one random direction for each level and a threshold for each node: the median of
-the node's sample along that direction. Vectors near a threshold go both ways; near is `spill`
+A tree has one random direction for each level and a threshold for each node: a middle value of
+the node's sample along that direction, where it is thinnest. Vectors near a threshold go both ways; near is `spill`
 times the spread, along a random direction, of the difference of a pair that is just a link.
 Vectors are compared in double precision within the leaves of all trees; what passes is a
-link, and links are united into components.
+link, and links are united into components. A node that is thick even there is a cluster about as wide as
+a link; it stays one leaf, since each cut would part some of its pairs. Trees are added until
+linked pairs of the sample meet often enough, however many levels the table needs.
 
 The thresholds are fitted on at most `sample` vectors, which bounds what travels to every
 task; every vector is put into every tree. A pair that meets in several leaves counts in the
@@ -30,6 +32,12 @@ from fieldcast.llm.components import components
 from fieldcast.session import settle
 
 COSINE, TREES, SPILL, LEAF, SAMPLE, DENSE = 0.9, 6, 0.36, 768, 20_000, 2048
+#: Share of a node within the spill of its threshold from which on the node is not cut.
+THICK = 0.3
+#: Where thresholds may lie.
+MIDDLE = (0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65)
+#: Share of linked pairs that must meet; sample vectors it is measured on, pairs it takes, and trees at most.
+RECALL, PROBED, LEAST_PAIRS, MOST_TREES = 0.95, 2000, 50, 24
 #: Sample vectors that a split is made from at least.
 LEAST_SAMPLE = 16
 #: Levels of a tree at most, so that tree and node fit 32 bits.
@@ -75,29 +83,47 @@ class Forest:
                 stack += [(2 * node, rows[at <= self.spill]), (2 * node + 1, rows[at > -self.spill])]
 
 
+def _tree(places: np.ndarray, n: int, spill: float, leaf: int) -> dict[int, float]:
+    """The thresholds of one tree; places: where each sample vector lies along the direction of each level."""
+    nodes, stack = {}, [(1, np.arange(len(places)))]
+    while stack:
+        node, rows = stack.pop()
+        level = node.bit_length() - 1
+        if level >= places.shape[1] or len(rows) < LEAST_SAMPLE or len(rows) * n <= leaf * len(places):
+            continue
+        at = places[rows, level]
+        cuts = np.quantile(at, MIDDLE)
+        around = (np.abs(at[:, None] - cuts) <= spill).mean(0)
+        thinnest = min(range(len(cuts)), key=lambda k: (around[k], abs(MIDDLE[k] - 0.5)))
+        if around[thinnest] > THICK:
+            continue  # one tight cluster: cutting it further would part its pairs
+        middle = nodes[node] = float(cuts[thinnest])
+        stack += [(2 * node, rows[at <= middle + spill]), (2 * node + 1, rows[at > middle - spill])]
+    return nodes
+
+
+def meeting(forest: Forest, x: np.ndarray, cosine: float) -> tuple[int, int]:
+    """How many pairs of x are links, and how many of them share a leaf."""
+    near, together = np.triu(x @ x.T >= cosine, 1), np.zeros((len(x), len(x)), bool)
+    for _, rows in forest.leaves(x):
+        together[np.ix_(rows, rows)] = True
+    return int(near.sum()), int((near & together).sum())
+
+
 def grow(x: np.ndarray, n: int, cosine: float = COSINE, trees: int = TREES, spill: float = SPILL, leaf: int = LEAF, seed: int = 9) -> Forest:
-    """A forest for n vectors, fitted on the sample x of them."""
+    """A forest for n vectors, fitted on the sample x of them: `trees` trees, and more while too few linked pairs of the sample meet."""
     random, spill = np.random.default_rng(seed), spill * math.sqrt((2 - 2 * cosine) / x.shape[1])
     levels = min(LEVELS - 1, math.ceil(math.log2(max(2, n / leaf))) + 4)
-    directions = random.normal(size=(trees, x.shape[1], levels))
-    directions /= np.linalg.norm(directions, axis=1, keepdims=True)
-    thresholds: list[dict[int, float]] = []
-    for tree in range(trees):
-        places, nodes, stack = x @ directions[tree], {}, [(1, np.arange(len(x)))]
-        while stack:
-            node, rows = stack.pop()
-            level = node.bit_length() - 1
-            if level >= levels or len(rows) < LEAST_SAMPLE or len(rows) * n <= leaf * len(x):
-                continue
-            at = places[rows, level]
-            middle = float(np.median(at))
-            low, high = rows[at <= middle + spill], rows[at > middle - spill]
-            if max(len(low), len(high)) > 0.95 * len(rows):
-                continue  # one tight cluster: cutting it further would only copy it
-            nodes[node] = middle
-            stack += [(2 * node, low), (2 * node + 1, high)]
-        thresholds.append(nodes)
-    return Forest(directions, thresholds, spill)
+    directions, thresholds = np.zeros((0, x.shape[1], levels)), []
+    while True:
+        more = random.normal(size=(trees if not thresholds else 2, x.shape[1], levels))
+        more /= np.linalg.norm(more, axis=1, keepdims=True)
+        directions = np.concatenate([directions, more])
+        thresholds += [_tree(x @ d, n, spill, leaf) for d in more]
+        forest = Forest(directions, thresholds, spill)
+        pairs, found = meeting(forest, x[:PROBED], cosine)
+        if pairs < LEAST_PAIRS or found >= RECALL * pairs or len(thresholds) + 2 > MOST_TREES:
+            return forest
 
 
 def _compare(table: pa.Table, cosine: float, dimensions: int, kind: type) -> pa.Table:
