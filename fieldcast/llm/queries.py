@@ -54,8 +54,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_segment_edit_join")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_join.line_classes(table(spark, sf_dir, "documents"))
-    return found.select("line_id", F.sha2("line", 256).alias("line_sha256"), "doc_id", "copies", "n_links", "class_id", "class_doc_id")
+    found = line_join.line_members(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "line_id", F.sha2("line", 256).alias("line_sha256"), "times", "copies", "first_doc_id", "n_links", "class_id", "class_doc_id")
 
 
 @query("op5_sentence_pieces")
