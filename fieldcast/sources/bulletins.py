@@ -19,13 +19,18 @@ CONTAINERS = [
 CONTAINER_MIN_CHARS = 31
 PAGE_MIN_CHARS = 60
 INLINE = "a|abbr|b|br|em|font|i|mark|q|s|small|span|strong|sub|sup|u"
+# Tags that end a paragraph, cell or item; any other tag in it, such as an image or a field, is part of it.
+BLOCKS = (
+    "address|article|aside|blockquote|body|caption|center|col|colgroup|dd|details|dialog|dir|div|dl|dt|fieldset|figcaption|figure|footer|form|"
+    "h[1-6]|head|header|hgroup|hr|html|legend|li|main|menu|nav|ol|p|pre|search|section|summary|table|tbody|td|template|tfoot|th|thead|title|tr|ul"
+)
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
 UNSEEN = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
 
 
 def _block(tags: str) -> str:
-    """A block tag and its text up to the next tag that is not inline."""
-    return rf"(?is)<(?:{tags})(?:\s[^>]*+)?>((?:[^<]++|</?(?:{INLINE})\b[^>]*+>)*+)"
+    """A block tag and its text up to the next tag of a block."""
+    return rf"(?is)<(?:{tags})(?:\s[^>]*+)?>((?:[^<]++|</?(?!(?:{BLOCKS})\b)[a-z][^>]*+>)*+)"
 
 
 def _inside(page: Column, tag: str, attribute: str, value: str) -> Column:
@@ -61,7 +66,7 @@ def paragraphs(markup: Column, tags: str, least: int) -> Column:
 
 def page_text(html: Column) -> Column:
     """Text of the bulletin container, else of every long paragraph or cell; null if there is none."""
-    page = F.regexp_replace(html, UNSEEN, "")
+    page = F.regexp_replace(F.regexp_replace(html, UNSEEN, ""), r"(?i)<wbr\b[^>]*>", "")
     container = F.coalesce(*[_inside(page, *c) for c in CONTAINERS])
     found = F.when(
         container.isNotNull(), paragraphs(container, "p|td|li", CONTAINER_MIN_CHARS)
