@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldcast.llm import additive_model, block_dedup, line_join, packing, perfect_hash, projection_forest, sentence_pieces, simhash, suffix_dedup, suffix_tree
+from fieldcast.llm import (
+    additive_model, block_dedup, conversation_repair, filter_audit, line_join, packing, perfect_hash, projection_forest, sentence_pieces, simhash, suffix_dedup, suffix_tree, token_files, twins,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -104,3 +106,19 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half the documents stand for history, the other half for a new delivery; both are in the result."""
     found = perfect_hash.exact_dedup(table(spark, sf_dir, "documents"), remainder(2) == 0)
     return found.select("doc_id", "keep_id", "group_size", "kept", hexadecimal("digest").alias("text_sha256"))
+
+
+@query("op11_auction_repair", twins.CONVERSATIONS)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.digests(conversation_repair.repair(conversation_repair.damage(table(spark, sf_dir, "conversations"))))
+
+
+@query("op12_filter_interactions", twins.FILTERS)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_ranked_token_files")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_files.write(table(spark, sf_dir, "documents"))
+    return token_files.read(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
