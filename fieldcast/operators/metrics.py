@@ -89,9 +89,9 @@ def day_night(df: DataFrame, truth: str, baseline: str, model: str, timestamp: s
     )
 
 
-def fold_summary(folds: DataFrame) -> DataFrame:
+def fold_summary(folds: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Means over the folds and the population spread of the gain."""
-    return folds.agg(
+    return folds.groupBy(*(by or [])).agg(
         F.count(F.lit(1)).alias("folds"),
         F.avg("baseline_rmse").alias("mean_baseline_rmse"),
         F.avg("downscaled_rmse").alias("mean_downscaled_rmse"),

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException, IllegalArgumentException
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldcast import catalogs
-from fieldcast.operators import lookups, metrics, residual_models, spatial, splits
+from fieldcast.operators import boosting, lookups, metrics, residual_models, spatial, splits
 from fieldcast.operators.keys import meet
 from fieldcast.plans import features
 from fieldcast.session import settle
@@ -65,37 +65,36 @@ def ingest_zones(
     return fresh.select("zone_id", "point_id").distinct()
 
 
-def train_fleet(rows: DataFrame, zones: list[str], model_root: str | None = None, **settings) -> DataFrame:
-    """One model per zone, at most fifteen; every fit runs over all executors. A zone that
-    cannot be trained becomes a row with its error instead of stopping the others."""
-    results = None
-    for zone in zones:
-        part = rows.filter(F.col("zone_id") == zone)
-        try:
-            labels = splits.three_way(part, DOMAIN)
-            model = residual_models.train_residual_model(part, labels, DOMAIN, **settings)
-            if model_root:
-                residual_models.save(model, f"{model_root}/{zone.lower()}")
-            test = splits.keep_points(part, labels.filter("part = 'test'"), ["zone_id", "point_id"])
-            row = residual_models.evaluate(residual_models.score(test, model)).withColumn("error", F.lit(None).cast("string"))
-        except (IllegalArgumentException, ValueError) as failure:  # too little data to split or fit
-            row = residual_models.evaluate(
-                residual_models.with_residual(part.limit(0), F.lit(0.0))
-            ).withColumn("error", F.lit(f"{type(failure).__name__}: {failure}"[:200]))
-        row = row.withColumn("zone_id", F.lit(zone))
-        results = row if results is None else results.unionByName(row)
-    return results
+def train_fleet(rows: DataFrame, root: str, version: str = "1", settings: boosting.Settings = residual_models.FLEET) -> DataFrame:
+    """Train, evaluate and register every zone's own model, all of them side by side.
+
+    One row per zone. A zone that cannot be trained or tested becomes a row with its error and
+    does not stop the others.
+    """
+    labels = splits.three_way(rows, DOMAIN)
+    trees = residual_models.train_zone_models(rows, labels, settings)
+    added = residual_models.register(rows, labels, trees, root, version)
+    sizes = rows.groupBy("zone_id").agg(F.count(F.lit(1)).alias("records"), F.count_distinct("point_id").alias("stations"))
+    error = F.when(F.col("trees").isNull(), "no training station").when(F.col("test_samples").isNull(), "no test station")
+    return meet(sizes, added, DOMAIN).withColumn("error", error)
 
 
 def temporal_holdout(scored: DataFrame, labels: DataFrame, unseen_year: int) -> DataFrame:
-    """Errors in a year the model never saw: all stations, and unseen stations only."""
+    """Errors in a year: all stations, those of the test split, and each season."""
     year = scored.filter(F.year("timestamp") == unseen_year)
     unseen = splits.keep_points(year, labels.filter("part = 'test'"), ["zone_id", "point_id"])
-    return (
-        residual_models.evaluate(year)
-        .withColumn("scope", F.lit("all_points"))
-        .unionByName(residual_models.evaluate(unseen).withColumn("scope", F.lit("unseen_points")))
-    )
+    seasons = residual_models.evaluate(year.withColumn("scope", metrics.season(F.col("timestamp"))), ["scope"])
+    everything = residual_models.evaluate(year).withColumn("scope", F.lit("all_points"))
+    return everything.unionByName(residual_models.evaluate(unseen).withColumn("scope", F.lit("unseen_points"))).unionByName(seasons)
+
+
+def trained_holdout(rows: DataFrame, unseen_year: int, settings: boosting.Settings = residual_models.ZONE) -> DataFrame:
+    """Models of the years before, evaluated in a year they never saw; the test stations were not in their training either."""
+    labels = splits.three_way(rows, DOMAIN)
+    before = rows.filter(F.year("timestamp") < unseen_year)
+    trees = residual_models.train_zone_models(before, labels, settings)
+    scored = residual_models.score_trees(rows.filter(F.year("timestamp") == unseen_year), trees)
+    return temporal_holdout(settle(scored), labels, unseen_year)
 
 
 def serving_gap(served: DataFrame, coarse: DataFrame, key: list[str]) -> DataFrame:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldcast import catalogs
 from fieldcast.functions import physics
-from fieldcast.operators import indices, lookups, residual_models, spatial, timeseries
+from fieldcast.operators import indices, lookups, model_registry, residual_models, spatial, timeseries
 
 SERIES_DIGITS = {
     "baseline_temp_c": 2, "downscaled_temp_1km_c": 2, "delta_t_c": 2, "relative_humidity_pct": 1,
@@ -70,22 +69,16 @@ def finish(scored: DataFrame, overrides: str | None = None) -> DataFrame:
     )
 
 
-def downscale(features: DataFrame, models: dict[str, PipelineModel] | None = None, default: str = "") -> DataFrame:
-    """Predict residuals: with the zone's model where there is one, else the default model.
+def downscale(features: DataFrame, registry: DataFrame | None = None, default_zone: str = catalogs.LIVE_ZONE, inputs: list[str] | None = None) -> DataFrame:
+    """Predict residuals with the latest registered model of each row's zone, or the default zone's where there is none.
 
-    Without models the analytic lapse rate is used. At most fifteen zone models exist, so
-    the union has few branches; each is a narrow scan of its own zone partitions.
+    One pass over the rows serves all models. Without a registry the analytic lapse rate is used.
     """
-    if not models:
+    if registry is None:
         return finish(residual_models.lapse_score(features))
-    parts = None
-    named = [z for z in models if z != default]
-    for name, model in models.items():
-        zone = F.col("zone_id")
-        rows = features.filter(zone == name if name != default else ~zone.isin(named) | zone.isNull())
-        part = residual_models.score(rows, model)
-        parts = part if parts is None else parts.unionByName(part)
-    return finish(parts)
+    routed = model_registry.routed(features, registry, default_zone)
+    scored = model_registry.predict(routed, inputs or residual_models.FEATURES_28, "model_path", "predicted_residual_c")
+    return finish(residual_models.with_residual(scored, F.col("predicted_residual_c")))
 
 
 def hourly_series(downscaled: DataFrame, key: list[str]) -> DataFrame:

@@ -4,24 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldcast.operators import metrics, residual_models, spatial, splits
+from fieldcast.operators import boosting, metrics, model_registry, residual_models, splits
 from fieldcast.plans import features, fleet, forecasts
 from fieldcast.registry import tables as t
-from fieldcast.registry.aggregate_queries import ERRORS, SCORED_SQL, SPLIT_SQL, compare_sql, gap, scored
-from fieldcast.registry.aggregate_queries import GAP_SQL
+from fieldcast.registry.aggregate_queries import ERRORS, GAP_SQL, SCORED_SQL, SEASON_CASE, SPLIT_SQL, compare_sql, errors_sql, gap, scored
 from fieldcast.registry.base import query
 from fieldcast.session import settle, shared_folder
 
 c = F.col
 DOMAIN = ["zone_id"]
 GAINS = "mae_improvement_pct:d rmse_improvement_pct:d"
-# Few and shallow trees: a check of the plumbing, not of accuracy.
-SMALL = {"trees": 8, "depth": 4, "step": 0.3}
+TEMP_SQL = "30.0e0 - 0.0065e0 * elevation_m + 0.05e0 * relative_humidity_2m_pct + (37 * event_no) % 100 / 100.0e0"
+#: Days of the month stand for months, so that the hours cover two years.
+MOVED_SQL = "timestamp + to_months(CAST((day(timestamp) - 1) % 24 AS INTEGER))"
+SIGNAL_SQL = f"""{t.OBS_SQL}, raw_signal AS (SELECT * REPLACE ({TEMP_SQL} AS temperature_2m_c) FROM obs),
+signal AS ({t.loo_sql('raw_signal', {'temperature_2m_c': 'baseline_temp_c'})})"""
 
 
 def signal(spark, sf):
     """Model inputs of observations whose temperature depends on height, humidity and noise."""
-    noise = (F.crc32(F.concat("point_id", c("timestamp").cast("string"))) % 100) / 100.0
+    noise = (37 * c("event_no")) % 100 / 100.0
     temp = 30.0 - 0.0065 * c("elevation_m") + 0.05 * c("relative_humidity_2m_pct") + noise
     obs = t.obs(spark, sf).withColumn("temperature_2m_c", temp)
     rows = features.complete_features(features.engineer_features(obs), stations=features.station_list(obs))
@@ -29,6 +31,15 @@ def signal(spark, sf):
     return settle(rows.select("zone_id", "point_id", "timestamp", "temperature_2m_c", "residual_anomaly_c", "latitude", "longitude", *residual_models.FEATURES_28))
 
 
+def two_years(rows):
+    return rows.withColumn("timestamp", F.expr("timestamp + make_interval(0, CAST((day(timestamp) - 1) % 24 AS INT))"))
+
+
+def plain_errors(rows, by):
+    """Counts and errors of the coarse baseline, which need no model."""
+    return residual_models.evaluate(residual_models.with_residual(rows, F.lit(0.0)), by)
+
+
 @query("m1_three_way_split", "zone_id:s point_id:s part:s", f"WITH {SPLIT_SQL} SELECT * FROM split")
 def _(spark, sf):
     return splits.three_way(t.obs(spark, sf), DOMAIN)
@@ -43,18 +54,48 @@ def _(spark, sf):
     return splits.evenly_spaced(t.obs(spark, sf), DOMAIN)
 
 
-@query("m3_spatial_cross_validation", f"fold:i rows:i {ERRORS} {GAINS}")
+@query("m3_spatial_cross_validation", f"zone_id:s fold:i rows:i val_points_count:i best_iteration:i {ERRORS} {GAINS}")
 def _(spark, sf):
-    return residual_models.cross_validate(signal(spark, sf), DOMAIN, 3, **SMALL)
+    return residual_models.cross_validate(signal(spark, sf))
 
 
-@query("m4_boosted_residual_model", f"zone_id:s rows:i {ERRORS} {GAINS}")
+BASE = "baseline_mae:d baseline_rmse:d baseline_r2:d"
+BASE_SQL = errors_sql("temperature_2m_c", "baseline_temp_c", "baseline")
+
+
+@query("m3_fold_baselines", f"zone_id:s fold:i rows:i val_points_count:i {BASE}",
+       f"""WITH {SIGNAL_SQL}, listed AS (SELECT zone_id, point_id, ntile(5) OVER (PARTITION BY zone_id ORDER BY md5(point_id || '42'), point_id) AS fold FROM (SELECT DISTINCT zone_id, point_id FROM signal))
+       SELECT zone_id, fold, count(*) AS rows, count(DISTINCT point_id) AS val_points_count, {BASE_SQL} FROM signal JOIN listed USING (zone_id, point_id) GROUP BY 1, 2""")
 def _(spark, sf):
     rows = signal(spark, sf)
+    labelled = rows.join(splits.folds(rows, DOMAIN), features.POINT)
+    stations = labelled.groupBy("zone_id", "fold").agg(F.count_distinct("point_id").alias("val_points_count"))
+    return plain_errors(labelled, ["zone_id", "fold"]).join(stations, ["zone_id", "fold"])
+
+
+@query("m3_cross_validation_summary", "zone_id:s folds:i mean_baseline_rmse:d mean_downscaled_rmse:d mean_rmse_improvement_pct:d std_rmse_improvement_pct:d")
+def _(spark, sf):
+    return metrics.fold_summary(residual_models.cross_validate(signal(spark, sf)), DOMAIN)
+
+
+def zone_models(rows, settings=residual_models.ZONE):
     labels = splits.three_way(rows, DOMAIN)
-    model = residual_models.train_residual_model(rows, labels, DOMAIN, **SMALL)
+    return labels, residual_models.train_zone_models(rows, labels, settings)
+
+
+@query("m4_boosted_residual_model", f"zone_id:s rows:i {ERRORS} {GAINS}")
+def _(spark, sf):
+    rows = signal(spark, sf)
+    labels, trees = zone_models(rows)
     test = splits.keep_points(rows, labels.filter("part = 'test'"), features.POINT)
-    return residual_models.evaluate(residual_models.score(test, model), DOMAIN)
+    return residual_models.evaluate(residual_models.score_trees(test, trees), DOMAIN)
+
+
+@query("m4_split_baselines", f"zone_id:s part:s rows:i {BASE}",
+       f"WITH {SIGNAL_SQL}, {SPLIT_SQL[len(t.OBS_SQL) + 2:]} SELECT zone_id, part, count(*) AS rows, {BASE_SQL} FROM signal JOIN split USING (zone_id, point_id) GROUP BY 1, 2")
+def _(spark, sf):
+    rows = signal(spark, sf)
+    return plain_errors(rows.join(splits.three_way(rows, DOMAIN), features.POINT), ["zone_id", "part"])
 
 
 @query("m5_quality_gate", "zone_id:s baseline_rmse:d downscaled_rmse:d gate_passed:b",
@@ -63,57 +104,48 @@ def _(spark, sf):
     return metrics.quality_gate(residual_models.evaluate(scored(spark, sf), DOMAIN))
 
 
-@query("m6_model_registry", "zone_id:s model_path:s rows:i downscaled_rmse:d anchor_mean_elevation_m:d anchor_points:s min_lat:d max_lon:d features_list:s")
+@query("m6_model_registry", "zone_id:s version:s test_samples:i train_samples:i val_samples:i trees:i stored_trees:i downscaled_rmse:d gate_passed:b anchor_mean_elevation_m:d anchor_points:s min_lat:d max_lon:d features_list:s")
 def _(spark, sf):
-    rows = signal(spark, sf)
-    labels = splits.three_way(rows, DOMAIN)
-    model = residual_models.train_residual_model(rows, labels, DOMAIN, **SMALL)
-    root = shared_folder(spark)
-    residual_models.save(model, root)
-    again = residual_models.load(root)
-    results = residual_models.evaluate(residual_models.score(rows, again), DOMAIN)
-    means = rows.groupBy("zone_id").agg(F.avg("elevation_m").alias("domain_mean_elevation_m"))
-    stations = features.station_list(rows).join(means, "zone_id")
-    return residual_models.registry_rows(
-        results, splits.anchor_points(stations, DOMAIN), spatial.bounding_box(rows, DOMAIN), "models"
-    )
+    rows, root = signal(spark, sf), shared_folder(spark)
+    labels, trees = zone_models(rows)
+    residual_models.register(rows, labels, trees, root, "1")
+    latest = model_registry.current(model_registry.entries(spark, root))
+    # What the registered paths hold, read back from there.
+    stored = spark.read.parquet(f"{root}/trees/version=1").groupBy("model").agg(F.count_if(c("tree") >= 0).alias("stored_trees"))
+    return latest.join(stored, latest["zone_id"] == stored["model"])
 
 
 def importances(spark, sf):
-    model = residual_models.fit(signal(spark, sf), residual_models.boosted(**SMALL), residual_models.FEATURES_28)
-    return residual_models.importances(spark, model, residual_models.FEATURES_28)
+    return boosting.importance(zone_models(signal(spark, sf))[1], residual_models.FEATURES_28)
 
 
-@query("m7_feature_importances", "feature:s importance:d")
+@query("m7_feature_importances", "zone_id:s feature:s importance:d")
 def _(spark, sf):
-    return importances(spark, sf)
+    return importances(spark, sf).withColumnRenamed("model", "zone_id")
 
 
-@query("t3_top_importances", "feature:s importance:d")
+@query("t3_top_importances", "zone_id:s rank:i feature:s importance:d")
 def _(spark, sf):
-    return residual_models.top_importances(importances(spark, sf))
-
-
-def parts(spark, sf):
-    rows = signal(spark, sf)
-    labelled = rows.join(splits.three_way(rows, DOMAIN), features.POINT)
-    return [labelled.filter(c("part") == p).drop("part") for p in ("train", "validation", "test")]
+    return residual_models.top_importances(importances(spark, sf)).withColumnRenamed("model", "zone_id")
 
 
 @query("m8_random_forest", f"zone_id:s rows:i {ERRORS} {GAINS}")
 def _(spark, sf):
-    train, _, test = parts(spark, sf)
-    model = residual_models.fit(train, residual_models.forest(10, 6), residual_models.FEATURES_21)
-    return residual_models.evaluate(residual_models.score(test, model), DOMAIN)
+    rows = signal(spark, sf)
+    labelled = rows.join(splits.three_way(rows, DOMAIN), features.POINT)
+    model = residual_models.fit(labelled.filter("part = 'train'"), residual_models.forest(), residual_models.FEATURES_21)
+    return residual_models.evaluate(residual_models.score(labelled.filter("part = 'test'"), model), DOMAIN)
 
 
 @query("m9_shallow_and_deep_boosting", f"n_features:i rows:i {ERRORS} {GAINS}")
 def _(spark, sf):
-    train, _, test = parts(spark, sf)
-    table = None
-    for names, depth in ((residual_models.FEATURES_17, 3), (residual_models.FEATURES_21, 5)):
-        model = residual_models.fit(train, residual_models.boosted(6, depth, 0.3), names)
-        row = residual_models.evaluate(residual_models.score(test, model)).withColumn("n_features", F.lit(len(names)))
+    rows = signal(spark, sf)
+    labels = splits.three_way(rows, DOMAIN)
+    test, table = splits.keep_points(rows, labels.filter("part = 'test'"), features.POINT), None
+    unheld = labels.filter("part <> 'validation'")
+    for names, settings, parts in ((residual_models.FEATURES_17, residual_models.SHALLOW, unheld), (residual_models.FEATURES_21, residual_models.DEEP, labels), (residual_models.FEATURES_28, residual_models.DEEP, labels)):
+        trees = residual_models.train_zone_models(rows, parts, settings, names)
+        row = residual_models.evaluate(residual_models.score_trees(test, trees, names)).withColumn("n_features", F.lit(len(names)))
         table = row if table is None else table.unionByName(row)
     return table
 
@@ -132,9 +164,14 @@ def _(spark, sf):
     )
 
 
+def board(spark, sf):
+    rows = signal(spark, sf)
+    return residual_models.leaderboard(rows, splits.three_way(rows, DOMAIN))
+
+
 @query("m11_leaderboard", f"model:s n_features:i rows:i {ERRORS} {GAINS}")
 def _(spark, sf):
-    return residual_models.leaderboard(*parts(spark, sf), DOMAIN, trees=5)
+    return board(spark, sf)
 
 
 @query("u5_stacked_leaderboard", "model:s downscaled_rmse:d rank:i")
@@ -142,23 +179,26 @@ def _(spark, sf):
     from pyspark.sql import Window as W
 
     # Seven rows, one per model.
-    board = residual_models.leaderboard(*parts(spark, sf), DOMAIN, trees=3)
-    return board.withColumn("rank", F.row_number().over(W.partitionBy("rows").orderBy("downscaled_rmse")))
+    return board(spark, sf).withColumn("rank", F.row_number().over(W.partitionBy("rows").orderBy("downscaled_rmse")))
 
 
-@query("m12_fleet_training", f"zone_id:s rows:i {ERRORS} {GAINS} error:s")
+@query("m12_fleet_training", f"zone_id:s records:i stations:i test_samples:i trees:i {ERRORS} {GAINS} gate_passed:b error:s")
 def _(spark, sf):
-    rows = signal(spark, sf)
-    # The zone names, at most fifteen of them, decide how many fits there are.
-    found = sorted(r[0] for r in rows.select("zone_id").distinct().collect())
-    return fleet.train_fleet(rows, found, **SMALL)
+    return fleet.train_fleet(signal(spark, sf), shared_folder(spark))
 
 
 @query("m13_temporal_holdout", f"scope:s rows:i {ERRORS} {GAINS}",
-       f"""WITH {SCORED_SQL}, {SPLIT_SQL[len(t.OBS_SQL) + 2:]}
-       SELECT 'all_points' AS scope, * FROM ({compare_sql('scored')}) UNION ALL SELECT 'unseen_points' AS scope, * FROM ({compare_sql("(SELECT * FROM scored JOIN split USING (zone_id, point_id) WHERE part = 'test')")})""")
+       f"""WITH {SCORED_SQL}, {SPLIT_SQL[len(t.OBS_SQL) + 2:]}, moved AS (SELECT * REPLACE ({MOVED_SQL} AS timestamp) FROM scored),
+       year_of AS (SELECT *, timestamp AS date FROM moved WHERE year(timestamp) = 2025), seasons AS (SELECT *, {SEASON_CASE} AS scope FROM year_of)
+       SELECT 'all_points' AS scope, * FROM ({compare_sql('year_of')}) UNION ALL BY NAME SELECT 'unseen_points' AS scope, * FROM ({compare_sql("(SELECT * FROM year_of JOIN split USING (zone_id, point_id) WHERE part = 'test')")})
+       UNION ALL BY NAME ({compare_sql('seasons', 'scope')})""")
+def _(spark, sf):
+    return fleet.temporal_holdout(two_years(scored(spark, sf)), splits.three_way(t.obs(spark, sf), DOMAIN), 2025)
+
+
+@query("m13_trained_holdout", f"scope:s rows:i {ERRORS} {GAINS}")
 def _(spark, sf):
-    return fleet.temporal_holdout(scored(spark, sf), splits.three_way(t.obs(spark, sf), DOMAIN), 2024)
+    return fleet.trained_holdout(two_years(signal(spark, sf)), 2025)
 
 
 @query("m14_serving_gap", "point_id:s total_hours:i baseline_mae:d downscaled_mae:d baseline_rmse:d downscaled_rmse:d rmse_improvement_pct:d",
@@ -181,13 +221,20 @@ def _(spark, sf):
     return fleet.leakage_audit(t.obs(spark, sf), 5.0)
 
 
-@query("m16_batch_scoring", "point_id:s timestamp:t zone_id:s downscaled_value:d confidence_score:d")
+def fleet_registry(spark, sf):
+    """Registered models of all zones but the last by name, whose rows the default zone's model serves."""
+    rows, root = signal(spark, sf), shared_folder(spark)
+    last = rows.agg(F.max("zone_id")).first()[0]
+    taught = rows.filter(c("zone_id") != last) if rows.select("zone_id").distinct().count() > 1 else rows
+    labels, trees = zone_models(taught)
+    residual_models.register(taught, labels, trees, root, "1")
+    return rows, model_registry.entries(spark, root)
+
+
+@query("m16_batch_scoring", "point_id:s timestamp:t zone_id:s model_zone:s downscaled_value:d confidence_score:d")
 def _(spark, sf):
-    rows = signal(spark, sf)
-    zone = rows.agg(F.min("zone_id")).first()[0]
-    own = residual_models.fit(rows.filter(c("zone_id") == zone), residual_models.boosted(4, 3, 0.3), residual_models.FEATURES_28)
-    default = residual_models.fit(rows, residual_models.boosted(4, 3, 0.3), residual_models.FEATURES_28)
-    return forecasts.downscale(rows, {zone: own, "default": default}, "default")
+    rows, registry = fleet_registry(spark, sf)
+    return forecasts.downscale(rows, registry, registry.agg(F.min("zone_id")).first()[0])
 
 
 @query("d23_zone_ingest", "zone_id:s stations:i rows:i",
