@@ -11,7 +11,7 @@ A folder has `ranks` (the renumbering), `manifest` (files in the order of the do
 
     magic "FCT1", documents (u32), ids (u64), control bytes (u64), data bytes (u64)
     for each document its id (i64), whether it has one (u8), its number of ids (u64)
-    control bytes, data bytes
+    control bytes of each document (a document begins a new one), data bytes of each document
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from functools import cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,27 +39,33 @@ SHARD_BYTES = 4 << 20
 MAGIC, HEAD = b"FCT1", np.dtype([("magic", "S4"), ("documents", "<u4"), ("ids", "<u8"), ("control", "<u8"), ("data", "<u8")])
 ROW = np.dtype([("id", "<i8"), ("known", "u1"), ("n", "<u8")])
 MANIFEST = "name string, piece bigint, number bigint, documents bigint, ids bigint"
-#: Spans between white space that are remembered are at most this long; so many letters are remembered at once.
-UNIT, MEMORY = 48, 16 << 20
+#: Letters of spans between white space that a worker remembers at once.
+MEMORY = 8 << 20
 
 #: Bytes of each of the four ids of a control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 
 
-def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """Control and data bytes of ranks below 2**32."""
+def pack(ranks: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Control bytes, where each document's begin, data bytes, where each document's begin; `at` says where its ranks (below 2**32) begin.
+
+    The last control byte of a document that its ids do not fill is filled with zero bits.
+    """
     ranks = np.ascontiguousarray(ranks, "<u4")
     extra = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    padded = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
-    padded[: len(ranks)] = extra
-    control = padded.reshape(-1, 4) @ np.array([1, 4, 16, 64], np.uint8)
-    held = np.arange(4) <= extra[:, None]
-    return control.astype(np.uint8).tobytes(), ranks.view(np.uint8).reshape(-1, 4)[held].tobytes()
-
-
-def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
-    """The ranks again."""
-    size = LENGTHS[control].reshape(-1)[:n]
+    controls = np.concatenate([[0], np.cumsum(-(-np.diff(at) // 4))])
+    slots = np.zeros(4 * controls[-1], np.uint8)
+    slots[np.arange(len(ranks)) + np.repeat(4 * controls[:-1] - at[:-1], np.diff(at))] = extra
+    control = (slots.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
+    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) <= extra[:, None]]
+    return control, controls, data, np.concatenate([[0], np.cumsum(extra, dtype=np.int64) + np.arange(1, len(ranks) + 1)])[at]
+
+
+def unpack(control: np.ndarray, data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The ranks of documents of these sizes, end to end."""
+    first = np.cumsum(-(-sizes // 4) * 4) - -(-sizes // 4) * 4
+    held = np.arange(sizes.sum()) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
+    size = LENGTHS[control].reshape(-1)[held]
     place = np.cumsum(size, dtype=np.int64) - size
     out = data[place].astype(np.uint32)
     for k in (1, 2, 3):
@@ -67,71 +74,116 @@ def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-@cache
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
-#: White space at which a text can be cut: every id comes from one span between it.
-_BREAK = re.compile(r"[ \t\n\r]+")
+#: A word of Latin letters (those that have one lower-case letter and stay themselves when composed) with signs after it: two units of the vocabulary's splitting.
+_WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+)([!-&(-/:-@\[-`{-~]*)\Z")
 
 
 class Encoder:
-    """Whole texts to ids. A span between white space always gives the same ids, so short ones are remembered, up to so many letters."""
+    """Whole texts to ids.
 
-    def __init__(self, path: str, end: int):
-        self.coder, self.end, self.known, self.letters = _tokenizer(path), np.array([end], "<u4").tobytes(), {"": b""}, 0
-
-    def _ids(self, spans: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.coder.encode_batch_fast(spans, add_special_tokens=False)]
+    White space separates ids, so each different span between it is encoded once and remembered, up to
+    so many letters. A plain word goes to the library's vocabulary model at once, in lower case
+    and as the characters that stand for its bytes there; anything else takes the library's whole way.
+    """
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text and the end id, as little-endian unsigned 32-bit integers."""
+    def __init__(self, path: str, end: int):
+        from tokenizers import Tokenizer
+
+        self.coder = Tokenizer.from_file(path)
+        self.type = np.dtype("<u2" if self.coder.get_vocab_size() <= 1 << 16 else "<u4")
+        self.end, self.known, self.units, self.letters = np.array([end], self.type).tobytes(), {}, {}, 0
+        stand = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.stand = {b: chr(b) for b in stand} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(stand)))}
+
+    def _unit(self, unit: str) -> bytes:
+        found = self.units.get(unit)
+        if found is None:
+            seen = unit if unit.isascii() else "".join(map(self.stand.__getitem__, unit.encode()))
+            found = self.units[unit] = np.array([t.id for t in self.coder.model.tokenize(seen)], self.type).tobytes()
+        return found
+
+    def _learn(self, spans: list[str]) -> None:
         if self.letters > MEMORY:
-            self.known, self.letters = {"": b""}, 0
-        known, split = self.known, [_BREAK.split(text) for text in texts]
-        new = list({span for spans in split for span in spans if span not in known})
-        short, long_ = [s for s in new if len(s) <= UNIT], [s for s in new if len(s) > UNIT]
-        known.update(zip(short, self._ids(short)))
-        self.letters += sum(map(len, short))
-        once = dict(zip(long_, self._ids(long_))) if long_ else {}
-        get = (lambda s: known[s] if s in known else once[s]) if once else known.__getitem__
-        return [b"".join(map(get, spans)) + self.end for spans in split]
+            self.units, self.letters = {}, 0
+        whole_way = []
+        for span in spans:
+            plain = _WORD.match(span)
+            if plain:
+                word, signs = plain.groups()
+                self.known[span] = self._unit(word.lower()) + (self._unit(signs) if signs else b"")
+                self.letters += len(span)
+            else:
+                whole_way.append(span)
+        for at in range(0, len(whole_way), 4096):
+            part = whole_way[at : at + 4096]
+            for span, found in zip(part, self.coder.encode_batch_fast(part, add_special_tokens=False)):
+                self.known[span] = np.array(found.ids, self.type).tobytes()
+                self.letters += len(span)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each with the end id, end to end; and where each begins."""
+        split = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        words = split.flatten().dictionary_encode()
+        different = words.dictionary.to_pylist()
+        if self.letters > MEMORY:
+            self.known = {}
+        self._learn([s for s in different if s not in self.known])
+        found = [self.known[s] for s in different] + [self.end]
+        flat = np.frombuffer(b"".join(found), self.type)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // self.type.itemsize
+        ends = np.cumsum(split.value_lengths().to_numpy(zero_copy_only=False))
+        codes = np.insert(words.indices.to_numpy(zero_copy_only=False), ends, len(different))
+        length = size[codes]
+        after = np.cumsum(length)
+        ids = flat[np.arange(after[-1] if len(after) else 0) + np.repeat((np.cumsum(size) - size)[codes] - (after - length), length)]
+        return ids, np.concatenate([[0], after[ends + np.arange(len(ends))]])
 
 
-def tokens(docs: DataFrame, text: str = "text", key: str = "doc_id", tokenizer: str = TOKENIZER, end: int = END, batch_chars: int = 4 << 20) -> DataFrame:
-    """doc_id and ids of every whole text (null: empty) with the end id."""
+@cache
+def _encoder(path: str, end: int) -> Encoder:
+    """One for each worker, so that what it remembers outlives a task."""
+    return Encoder(path, end)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(tokenizer, end)
-        for batch in batches:
-            names, texts, at, size = batch.column(0), batch.column(1).to_pylist(), 0, 0
-            for k, value in enumerate(texts):
-                size += len(value)
-                if size >= batch_chars or k + 1 == len(texts):
-                    yield pa.RecordBatch.from_arrays([names[at : k + 1], pa.array(coder.encode(texts[at : k + 1]), pa.binary())], ["doc_id", "ids"])
-                    at, size = k + 1, 0
 
-    return docs.select(F.col(key).cast("bigint").alias("doc_id"), whole(text).alias("text")).mapInArrow(run, "doc_id bigint, ids binary")
+def _binary(data: np.ndarray, at: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(np.ascontiguousarray(at, np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of a binary column end to end, and where each value starts."""
+    """All bytes of a binary column end to end, and where each value begins."""
     column = column.cast(pa.large_binary())
     at = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
-    return np.frombuffer(column.buffers()[2], "<u4", (at[-1] - at[0]) // 4, at[0]), (at - at[0]) // 4
+    return np.frombuffer(column.buffers()[2], np.uint8, at[-1] - at[0], at[0]), at - at[0]
+
+
+def _pieces(lengths: np.ndarray, bound: int) -> Iterator[slice]:
+    """Consecutive rows of about so many letters."""
+    group = (np.cumsum(lengths) - lengths) // bound
+    cuts = np.flatnonzero(np.diff(group)) + 1
+    yield from (slice(a, b) for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(lengths)]) if b > a)
+
+
+def tokens(docs: DataFrame, text: str = "text", key: str = "doc_id", tokenizer: str = TOKENIZER, end: int = END, batch_bytes: int = 8 << 20) -> DataFrame:
+    """doc_id and ids of every whole text (null: empty) with the end id, in two bytes each where the vocabulary allows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _encoder(tokenizer, end)
+        for batch in batches:
+            for part in _pieces(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64), batch_bytes):
+                ids, at = coder.encode(batch.column(1)[part])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[part], _binary(ids.view(np.uint8), at * coder.type.itemsize)], ["doc_id", "ids"])
+
+    return docs.select(F.col(key).cast("bigint").alias("doc_id"), whole(text).alias("text")).mapInArrow(run, "doc_id bigint, ids binary")
 
 
-def frequencies(coded: DataFrame) -> DataFrame:
+def frequencies(coded: DataFrame, kind: np.dtype) -> DataFrame:
     """How often each id occurs; a task sends one row for each different id it holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
         for batch in batches:
             if len(batch):
-                count = np.bincount(_flat(batch.column(0))[0])
+                count = np.bincount(_flat(batch.column(0))[0].view(kind))
                 if len(count) > len(total):
                     total = np.pad(total, (0, len(count) - len(total)))
                 total[: len(count)] += count
@@ -168,8 +220,9 @@ def write(docs: DataFrame, folder: str | None = None, text: str = "text", key: s
     """
     spark = docs.sparkSession
     folder = folder or shared_folder(spark)
+    kind = _encoder(tokenizer, end).type
     coded = settle(tokens(docs, text, key, tokenizer, end))
-    counts = sorted(((-r.n, r.id) for r in frequencies(coded).collect()))
+    counts = sorted(((-r.n, r.id) for r in frequencies(coded, kind).collect()))
     by_rank = np.array([i for _, i in counts], np.int64)
     spark.createDataFrame(list(enumerate(by_rank.tolist())), "rank bigint, id bigint").coalesce(1).write.parquet(f"{folder}/ranks")
     rank_of = np.zeros(int(by_rank.max(initial=-1)) + 1, np.uint32)
@@ -178,27 +231,28 @@ def write(docs: DataFrame, folder: str | None = None, text: str = "text", key: s
     system, base = _system(shards)
     system.create_dir(base, recursive=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+            for part in _pieces(lengths, 8 << 20):
+                ids, at = _flat(batch.column(1)[part])
+                control, c, data, d = pack(rank_of[ids.view(kind)], at // kind.itemsize)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[part], pa.array(np.diff(at) // kind.itemsize, pa.int64()), _binary(control, c), _binary(data, d)], ["doc_id", "n", "control", "data"])
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, piece, held, size = 0, None, [], 0
 
         def close() -> pa.RecordBatch:
-            rows = np.array([(i or 0, i is not None, len(r)) for i, r in held], ROW)
-            all_ranks = np.concatenate([r for _, r in held])
-            control, data = pack(all_ranks)
-            name = f"{piece:08d}-{number:06d}.bin"
-            _put(shards, name, [np.array([(MAGIC, len(held), len(all_ranks), len(control), len(data))], HEAD).tobytes(), rows.tobytes(), control, data])
-            return pa.RecordBatch.from_pylist([{"name": name, "piece": piece, "number": number, "documents": len(held), "ids": len(all_ranks)}])
+            rows = np.array([(i or 0, i is not None, n) for i, n, _, _ in held], ROW)
+            control, data = b"".join(x for _, _, x, _ in held), b"".join(x for _, _, _, x in held)
+            ids, name = int(rows["n"].sum()), f"{piece:08d}-{number:06d}.bin"
+            _put(shards, name, [np.array([(MAGIC, len(held), ids, len(control), len(data))], HEAD).tobytes(), rows.tobytes(), control, data])
+            return pa.RecordBatch.from_pylist([{"name": name, "piece": piece, "number": number, "documents": len(held), "ids": ids}])
 
         for batch in batches:
-            if not len(batch):
-                continue
-            names, pieces = batch.column(0).to_pylist(), batch.column(2)
-            flat, at = _flat(batch.column(1))
-            coded_ranks = rank_of[flat]
-            piece = pieces[0].as_py()
-            for k, doc in enumerate(names):
-                held.append((doc, coded_ranks[at[k] : at[k + 1]]))
-                size += 2 * len(held[-1][1])
+            for doc, n, control, data, piece in zip(*(column.to_pylist() for column in batch.columns)):
+                held.append((doc, n, control, data))
+                size += len(control) + len(data)
                 if size >= shard_bytes:
                     yield close()
                     number, held, size = number + 1, [], 0
@@ -207,9 +261,10 @@ def write(docs: DataFrame, folder: str | None = None, text: str = "text", key: s
 
     # Rows alike in id and ids may stand in any order; a number spreads them over files.
     keys = ["doc_id", "_hash", "_number"]
-    numbered = coded.select("doc_id", "ids", F.xxhash64("ids").alias("_hash"), F.monotonically_increasing_id().alias("_number"))
-    ordered = numbered.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "ids", F.spark_partition_id().cast("bigint").alias("piece"))
-    ordered.mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
+    packed = coded.mapInArrow(compact, "doc_id bigint, n bigint, control binary, data binary")
+    numbered = packed.select("*", F.xxhash64("control", "data").alias("_hash"), F.monotonically_increasing_id().alias("_number"))
+    ordered = numbered.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "n", "control", "data", F.spark_partition_id().cast("bigint").alias("piece"))
+    ordered.mapInArrow(store, MANIFEST).write.parquet(f"{folder}/manifest")
     return folder
 
 
@@ -232,12 +287,12 @@ def read(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 raw = np.frombuffer(content.as_buffer(), np.uint8)
-                magic, documents, n, controls, length = np.frombuffer(raw, HEAD, 1)[0].tolist()
+                magic, documents, _, controls, length = np.frombuffer(raw, HEAD, 1)[0].tolist()
                 if magic != MAGIC or len(raw) != HEAD.itemsize + ROW.itemsize * documents + controls + length:
                     raise ValueError(f"{name} is not a whole file of token ids")
                 rows, at = np.frombuffer(raw, ROW, documents, HEAD.itemsize), HEAD.itemsize + ROW.itemsize * documents
-                ids = by_rank[unpack(raw[at : at + controls], raw[at + controls :], n)]
                 size = rows["n"].astype(np.int64)
+                ids = by_rank[unpack(raw[at : at + controls], raw[at + controls :], size)]
                 begin = np.cumsum(size) - size
                 cut = [ids[a : a + m] for a, m in zip(begin, size)]
                 arrays = [pa.array(rows["id"].astype(np.int64), mask=rows["known"] == 0), pa.array(begin), pa.array(size), pa.array([zlib.crc32(x) for x in cut], pa.int64()),

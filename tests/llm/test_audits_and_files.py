@@ -156,11 +156,13 @@ def test_every_order_of_filters_by_hand(spark):
 
 def test_control_bytes_round_trip():
     rng = np.random.default_rng(1)
-    for n in (0, 1, 3, 4, 5, 1000):
+    for sizes in ([], [0], [1, 0, 3], [4, 5, 1000, 2]):
+        sizes = np.array(sizes, np.int64)
+        n = int(sizes.sum())
         ranks = (rng.integers(0, 1 << 32, n, np.uint64) >> rng.integers(0, 32, n, np.uint64)).astype(np.uint32)
-        control, data = token_files.pack(ranks)
-        assert (token_files.unpack(np.frombuffer(control, np.uint8), np.frombuffer(data, np.uint8), n) == ranks).all()
-        assert len(control) == -(-n // 4)
+        control, at, data, begin = token_files.pack(ranks, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
+        assert (token_files.unpack(control, data, sizes) == ranks).all()
+        assert len(control) == at[-1] == (-(-sizes // 4)).sum() and len(data) == begin[-1]
 
 
 @pytest.mark.parametrize("shard_bytes", [200, 4 << 20])
