@@ -1,8 +1,10 @@
-"""Terrain from elevation rasters held as a long table (tile, row, col, z); row 0 is north.
+"""Terrain from elevation rasters held as a long table (tile, kind, row, col, z); row 0 is north.
 
-Everything a sample needs is linear in cells and in running box sums of its tile, so one
-join on (tile, row, col) and one aggregation serve the elevation, the slope kernel and
-every neighbourhood mean, whatever the radius.
+A tile may come in several kinds; it is always known by its name and kind. Everything a
+sample needs is linear in cells and in sums of rectangles. Sums run inside blocks of
+cells, and only in blocks that a sample reads, so a few stations in a large tile touch a few
+blocks of it; one join and one aggregation then serve the elevation, the slope kernel and every
+neighbourhood mean, whatever the radius.
 """
 
 from __future__ import annotations
@@ -15,6 +17,9 @@ from fieldcast.functions.physics import aspect_components, metres_per_degree
 from fieldcast.operators.quality import valid_elevation
 from fieldcast.operators.spatial import covering
 
+TILE = ["tile", "kind"]
+#: Cells along the side of a block of running sums.
+BLOCK = 64
 TPI_RADII_M = (300.0, 2000.0)
 FLAT = 1e-12
 NODATA = -32768.0
@@ -43,8 +48,8 @@ def known_height(dem: DataFrame) -> Column:
 def horn_grid(dem: DataFrame, dx_m: float, dy_m: float) -> DataFrame:
     """Slope and aspect of every cell that has all eight neighbours with known heights."""
     dem = dem.withColumn("z", known_height(dem))
-    along = W.partitionBy("tile", "row").orderBy("col")
-    across = W.partitionBy("tile", "col").orderBy("row")
+    along = W.partitionBy(*TILE, "row").orderBy("col")
+    across = W.partitionBy(*TILE, "col").orderBy("row")
     west, east = F.lag("z").over(along), F.lead("z").over(along)
     whole = (F.lag("col").over(along) == F.col("col") - 1) & (F.lead("col").over(along) == F.col("col") + 1)
     rows = dem.withColumns(
@@ -73,8 +78,8 @@ def _sliding(value: str, spec: W, radius: int) -> Column:
 def tpi_grid(dem: DataFrame, radius: int) -> DataFrame:
     """Elevation minus the mean of the known heights in the square around each cell, clipped at the tile edge."""
     dem = dem.withColumn("z", known_height(dem))
-    along = W.partitionBy("tile", "row").orderBy("col")
-    across = W.partitionBy("tile", "col").orderBy("row")
+    along = W.partitionBy(*TILE, "row").orderBy("col")
+    across = W.partitionBy(*TILE, "col").orderBy("row")
     rows = dem.withColumns({"_one": F.col("z").isNotNull().cast("double"), "_k": F.coalesce("z", F.lit(0.0))}).withColumns(
         {"_z": _sliding("_k", along, radius), "_n": _sliding("_one", along, radius)}
     )
@@ -89,25 +94,26 @@ def fill_window(dem: DataFrame, by: list[str], nodata: float = -32768.0) -> Data
     return clean.join(means, by).withColumn("z_clean", F.coalesce("_ok", "_mean")).drop("_ok", "_mean")
 
 
-def box_sums(dem: DataFrame) -> DataFrame:
-    """Per cell: value, validity and sums over the rectangle from the tile's north-west corner."""
-    along = W.partitionBy("tile", "row").orderBy("col").rowsBetween(W.unboundedPreceding, 0)
-    across = W.partitionBy("tile", "col").orderBy("row").rowsBetween(W.unboundedPreceding, 0)
+def block_sums(cells: DataFrame) -> DataFrame:
+    """Per cell (tile, kind, row, col, z, nodata): value, validity and sums over the rectangle from its block's north-west corner."""
+    block = [*TILE, "_brow", "_bcol"]
     valid = valid_elevation(F.col("z"), F.col("nodata"))
-    cells = dem.withColumns({"_v": F.coalesce(valid, F.lit(0.0)), "_k": valid.isNotNull().cast("double")})
-    rows = cells.withColumns({"_rv": F.sum("_v").over(along), "_rk": F.sum("_k").over(along)})
+    placed = cells.withColumns({"_brow": F.floor(F.col("row") / BLOCK), "_bcol": F.floor(F.col("col") / BLOCK), "_v": F.coalesce(valid, F.lit(0.0)), "_k": valid.isNotNull().cast("double")})
+    # Dealt by block once; both windows then find their rows in place.
+    dealt = placed.repartition(*block)
+    along = W.partitionBy(*block, "row").orderBy("col").rowsBetween(W.unboundedPreceding, 0)
+    across = W.partitionBy(*block, "col").orderBy("row").rowsBetween(W.unboundedPreceding, 0)
+    rows = dealt.withColumns({"_rv": F.sum("_v").over(along), "_rk": F.sum("_k").over(along)})
     return rows.select(
-        "tile", "row", "col",
-        F.col("_v").alias("value"), F.col("_k").alias("known"),
-        F.sum("_rv").over(across).alias("sum_value"), F.sum("_rk").over(across).alias("sum_known"),
-    )
+        *TILE, "row", "col", F.col("_v").alias("value"), F.col("_k").alias("known"), F.sum("_rv").over(across).alias("sum_value"), F.sum("_rk").over(across).alias("sum_known"),
+    )
 
 
 def tile_for_points(points: DataFrame, tiles: DataFrame) -> DataFrame:
-    """The preferred tile of each distinct coordinate (lowest `priority`, then name)."""
+    """The preferred tile of each distinct coordinate (lowest `priority`, then name and kind)."""
     sites = points.select("latitude", "longitude").distinct()
-    fields = [c for c in tiles.columns if c not in ("priority", "tile")]
-    record = F.struct("priority", "tile", *fields)
+    fields = [c for c in tiles.columns if c not in ("priority", *TILE)]
+    record = F.struct("priority", *TILE, *fields)
     best = covering(sites, tiles).groupBy("latitude", "longitude").agg(F.min(record).alias("_best"))
     return best.select("latitude", "longitude", "_best.*")
 
@@ -179,11 +185,18 @@ def _lookups(boxes: int) -> Column:
     ]
     for dr, dc, east, south in HORN:
         cells.append(cell(f"row_kernel + {dr}", f"col_kernel + {dc}", w_east=east, w_south=south))
+    parts = [f"array({', '.join(cells)})"]
     for i in range(boxes):
-        for row, vertical in ((f"row_hi{i} - 1", 1.0), (f"row_lo{i} - 1", -1.0)):
-            for col, horizontal in ((f"col_hi{i} - 1", 1.0), (f"col_lo{i} - 1", -1.0)):
-                cells.append(cell(row, col, **{f"w_box{i}": vertical * horizontal}))
-    return F.expr(f"array({', '.join(cells)})")
+        # A rectangle is the sum of its pieces in each block it meets; of a piece's four corners those outside the block count nothing.
+        def ends(axis: str) -> str:
+            low, high = f"greatest({axis}_lo{i}, b * {BLOCK})", f"least({axis}_hi{i}, b * {BLOCK} + {BLOCK})"
+            corners = f"array(named_struct('at', {high} - 1, 'w', 1.0D), named_struct('at', {low} - 1, 'w', -1.0D))"
+            blocks = f"sequence({axis}_lo{i} div {BLOCK}, ({axis}_hi{i} - 1) div {BLOCK})"
+            return f"flatten(transform({blocks}, b -> filter({corners}, x -> x.at >= b * {BLOCK})))"
+
+        pair = cell("r.at", "c.at", **{f"w_box{i}": "r.w * c.w"})
+        parts.append(f"flatten(transform({ends('row')}, r -> transform({ends('col')}, c -> {pair})))")
+    return F.expr(f"concat({', '.join(parts)})")
 
 
 def sample_terrain(
@@ -196,14 +209,16 @@ def sample_terrain(
     """
     boxes = len(radii) + 1
     located = _geometry(row_col(tile_for_points(points, tiles)), radii)
-    site = ["latitude", "longitude", "tile", "kind", "dx_m", "dy_m"]
+    sizes = [((F.col(f"row_hi{i}") - F.col(f"row_lo{i}")) * (F.col(f"col_hi{i}") - F.col(f"col_lo{i}"))).alias(f"_cells{i}") for i in range(boxes)]
+    site = ["latitude", "longitude", *TILE, "dx_m", "dy_m", *[f"_cells{i}" for i in range(boxes)]]
     # A tile too small for the kernel keeps its site, with nothing to read.
     wanted = F.when((F.col("n_rows") >= 3) & (F.col("n_cols") >= 3), _lookups(boxes))
-    asked = located.select(*site, F.explode_outer(wanted).alias("_cell")).select(*site, "_cell.*")
-    needed = dem.join(located.select("tile").distinct(), "tile", "left_semi").join(
-        tiles.select("tile", "nodata"), "tile"
-    )
-    read = asked.join(box_sums(needed), ["tile", "row", "col"], "left")
+    asked = located.select("*", *sizes).select(*site, F.explode_outer(wanted).alias("_cell")).select(*site, "_cell.*")
+    asked = asked.withColumns({"_brow": F.floor(F.col("row") / BLOCK), "_bcol": F.floor(F.col("col") / BLOCK)})
+    block = [*TILE, "_brow", "_bcol"]
+    cells = dem.drop("nodata").withColumns({"_brow": F.floor(F.col("row") / BLOCK), "_bcol": F.floor(F.col("col") / BLOCK)})
+    needed = cells.join(asked.select(*block).distinct(), block, "left_semi").join(tiles.select(*TILE, "nodata"), TILE).drop("_brow", "_bcol")
+    read = asked.join(block_sums(needed), [*TILE, "row", "col"], "left")
     gap = 1.0 - F.col("known")
     sums = []
     for name in ("z", "east", "south"):
@@ -213,8 +228,6 @@ def sample_terrain(
         weight = F.col(f"w_box{i}")
         sums.append(F.sum(weight * F.col("sum_value")).alias(f"_sum{i}"))
         sums.append(F.sum(weight * F.col("sum_known")).alias(f"_known{i}"))
-        # Corners also give the size of the box, known or not.
-        sums.append(F.sum(weight * (F.col("row") + 1) * (F.col("col") + 1)).alias(f"_cells{i}"))
     facts = read.groupBy(*site).agg(*sums)
     # Invalid cells count with the mean of the valid cells of the widest window.
     mean = F.when(F.col("_known0") > 0.5, F.col("_sum0") / F.nullif(F.col("_known0"), F.lit(0.0)))
@@ -292,20 +305,22 @@ def bilinear(points: DataFrame, dem: DataFrame, tiles: DataFrame) -> DataFrame:
             for dc in (0, 1)
         ]
     )
-    asked = sites.select("latitude", "longitude", "tile", F.explode(corners).alias("_c")).select(
-        "latitude", "longitude", "tile", "_c.*"
-    )
+    asked = sites.select("latitude", "longitude", *TILE, F.explode(corners).alias("_c")).select("latitude", "longitude", *TILE, "_c.*")
     return (
-        asked.join(dem, ["tile", "row", "col"])
-        .groupBy("latitude", "longitude", "tile")
+        asked.join(dem, [*TILE, "row", "col"])
+        .groupBy("latitude", "longitude", *TILE)
         .agg(F.when(F.count("z") == F.count(F.lit(1)), F.sum(F.col("weight") * F.col("z"))).alias("elevation_m"))
     )
 
 
 def nearest_cell(points: DataFrame, dem: DataFrame, tiles: DataFrame) -> DataFrame:
-    """Cell under a point by truncation, tile chosen by whole degree; impossible heights are null."""
-    square = tiles.select(
-        F.floor("south").alias("_lat"), F.floor("west").alias("_lon"), "tile", "n_rows", "n_cols"
+    """Cell under a point by truncation; impossible heights are null.
+
+    The tile is the preferred one (lowest priority, then name and kind) of the point's whole degree.
+    """
+    ranked = F.struct("priority", *TILE, "n_rows", "n_cols")
+    square = tiles.groupBy(F.floor("south").alias("_lat"), F.floor("west").alias("_lon")).agg(F.min(ranked).alias("_t")).select(
+        "_lat", "_lon", "_t.tile", "_t.kind", "_t.n_rows", "_t.n_cols"
     )
     asked = points.withColumns({"_lat": F.floor("latitude"), "_lon": F.floor("longitude")}).join(
         square, ["_lat", "_lon"], "left"
@@ -318,7 +333,7 @@ def nearest_cell(points: DataFrame, dem: DataFrame, tiles: DataFrame) -> DataFra
     )
     height = F.when((F.col("z") > -500) & (F.col("z") < 9000), F.col("z"))
     return (
-        placed.join(dem, ["tile", "row", "col"], "left")
+        placed.join(dem, [*TILE, "row", "col"], "left")
         .withColumn("elevation_m", height)
         .drop("_lat", "_lon", "n_rows", "n_cols", "z")
     )

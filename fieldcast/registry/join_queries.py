@@ -82,15 +82,16 @@ def _(spark, sf):
 
 
 @query("j6_point_in_tile", "location_id:s tile:s kind:s",
-       f"""WITH {t.LOCATIONS_SQL}, {t.DEM_SQL}, hit AS (SELECT location_id, tile, kind, row_number() OVER (PARTITION BY location_id ORDER BY priority, tile) AS r
+       f"""WITH {t.LOCATIONS_SQL}, {t.DEM_SQL}, hit AS (SELECT location_id, tile, kind, row_number() OVER (PARTITION BY location_id ORDER BY priority, tile, kind) AS r
        FROM locations JOIN tiles ON latitude BETWEEN south AND north AND longitude BETWEEN west AND east) SELECT * FROM hit WHERE r = 1""")
 def _(spark, sf):
     places = t.locations(spark, sf)
     return places.join(terrain.tile_for_points(places, t.tiles(spark, sf)), ["latitude", "longitude"])
 
 
-@query("j7_tile_by_degree", "location_id:s tile:s",
-       f"WITH {t.LOCATIONS_SQL}, {t.DEM_SQL} SELECT location_id, tile FROM locations LEFT JOIN tiles ON floor(latitude) = south AND floor(longitude) = west")
+@query("j7_tile_by_degree", "location_id:s tile:s kind:s",
+       f"""WITH {t.LOCATIONS_SQL}, {t.DEM_SQL}, best AS (SELECT * FROM tiles QUALIFY row_number() OVER (PARTITION BY south, west ORDER BY priority, tile, kind) = 1)
+       SELECT location_id, tile, kind FROM locations LEFT JOIN best ON floor(latitude) = south AND floor(longitude) = west""")
 def _(spark, sf):
     return terrain.nearest_cell(t.locations(spark, sf), t.dem(spark, sf), t.tiles(spark, sf))
 

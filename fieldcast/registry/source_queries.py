@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import functions as F
 
 from fieldcast.plans import extraction
@@ -95,37 +97,80 @@ def _(spark, sf):
     return spark.read.schema(OBS_HOURLY).json(path)
 
 
-@query("s12_raster_cells", "tile:s row:i col:i z:d",
-       f"""WITH {t.DEM_SQL}, grid AS (SELECT tile, i // 40 AS row, i % 40 AS col FROM (SELECT DISTINCT tile FROM dem) CROSS JOIN (SELECT unnest(range(1600)) AS i))
-       SELECT tile, row, col, coalesce(z, -32768.0e0) AS z FROM grid LEFT JOIN dem USING (tile, row, col)""")
-def _(spark, sf):
-    # Tiles of 40 x 40 cells packed as big-endian 16-bit numbers, cells without data as nodata.
+SQUARE = "grid AS (SELECT tile, kind, i // 40 AS row, i % 40 AS col FROM (SELECT DISTINCT tile, kind FROM dem) CROSS JOIN (SELECT unnest(range(1600)) AS i))"
+
+
+def squares(spark, sf):
+    """Every cell of the 40 x 40 squares, those without data as nodata, with its two bytes in hex."""
     cells = t.dem(spark, sf)
-    square = cells.select("tile").distinct().select("tile", F.explode(F.expr("sequence(0L, 1599L)")).alias("_i"))
-    square = square.select("tile", F.floor(c("_i") / 40).alias("row"), (c("_i") % 40).alias("col"))
-    filled = square.join(cells, ["tile", "row", "col"], "left").withColumn("z", F.coalesce("z", F.lit(-32768.0)))
-    number = F.lpad(F.hex(F.pmod(c("z").cast("int"), F.lit(65536))), 4, "0")
-    packed = filled.groupBy("tile").agg(F.sort_array(F.collect_list(F.struct("row", "col", number.alias("h")))).alias("_c"))
-    content = F.unhex(F.array_join(F.transform("_c", lambda x: x["h"]), ""))
-    return rasters.decode_tiles(packed.select("tile", content.alias("content")))
+    square = cells.select("tile", "kind").distinct().select("tile", "kind", F.explode(F.expr("sequence(0L, 1599L)")).alias("_i"))
+    square = square.select("tile", "kind", F.floor(c("_i") / 40).alias("row"), (c("_i") % 40).alias("col"))
+    filled = square.join(cells, ["tile", "kind", "row", "col"], "left").withColumn("z", F.coalesce("z", F.lit(-32768.0)))
+    return filled.withColumn("h", F.lpad(F.hex(F.pmod(c("z").cast("int"), F.lit(65536))), 4, "0"))
+
+
+def packed(spark, sf):
+    """Tiles of 40 x 40 cells as big-endian 16-bit numbers."""
+    cells = squares(spark, sf).groupBy("tile", "kind").agg(F.sort_array(F.collect_list(F.struct("row", "col", "h"))).alias("_c"))
+    return cells.select("tile", "kind", F.array_join(F.transform("_c", lambda x: x["h"]), "").alias("h"))
+
+
+@query("s12_raster_cells", "tile:s kind:s row:i col:i z:d",
+       f"WITH {t.DEM_SQL}, {SQUARE} SELECT tile, kind, row, col, coalesce(z, -32768.0e0) AS z FROM grid LEFT JOIN dem USING (tile, kind, row, col) WHERE kind = 'srtm_hgt'")
+def _(spark, sf):
+    raw = packed(spark, sf).filter("kind = 'srtm_hgt'")
+    return rasters.decode_tiles(raw.select("tile", "kind", F.unhex("h").alias("content")))
+
+
+def tagged(spark, sf):
+    """The tiles as big-endian GeoTIFF files: one strip, cells of 1/39 degree, the corner as a tie point, nodata as text."""
+    def entry(tag: int, kind: int, count: int, value: str) -> str:
+        return f"{tag:04X}{kind:04X}{count:08X}{value}"
+
+    # Eleven entries end at 8 + 2 + 132 + 4; scale, tie point, keys and nodata follow, then the cells.
+    scale_at, tie_at, keys_at, text_at, cells_at = 146, 170, 218, 234, 242
+    rows = [
+        entry(256, 3, 1, "00280000"), entry(257, 3, 1, "00280000"), entry(258, 3, 1, "00100000"), entry(259, 3, 1, "00010000"), entry(273, 4, 1, f"{cells_at:08X}"),
+        entry(279, 4, 1, f"{3200:08X}"), entry(339, 3, 1, "00020000"), entry(33550, 12, 3, f"{scale_at:08X}"), entry(33922, 12, 6, f"{tie_at:08X}"),
+        entry(34735, 3, 8, f"{keys_at:08X}"), entry(42113, 2, 7, f"{text_at:08X}"),
+    ]
+    number = lambda v: struct.pack(">d", v).hex().upper()
+    before = "4D4D002A00000008" + f"{len(rows):04X}" + "".join(rows) + "00000000" + number(1 / 39) * 2 + number(0.0) * 4
+    after = number(0.0) + "00010001000000010400000000010002" + "-32768\0".encode().hex().upper() + "00"
+    # Corners are whole degrees on a small sheet, so their eight bytes come from a table.
+    bytes_of = F.create_map(*[F.lit(x) for v in range(-180, 181) for x in (float(v), number(float(v)))])
+    placed = packed(spark, sf).join(t.tiles(spark, sf).select("tile", "kind", "west", "north"), ["tile", "kind"]).filter("kind = 'cartodem_geotiff'")
+    content = F.concat(F.lit(before), bytes_of[c("west")], bytes_of[c("north")], F.lit(after), c("h"))
+    return placed.select("tile", "kind", F.concat(F.lit("/dem/"), "tile", F.lit(".tif")).alias("path"), F.unhex(content).alias("content")).withColumn("length", F.octet_length("content").cast("bigint"))
+
+
+@query("s12_geotiff_cells", "tile:s kind:s row:i col:i z:d",
+       f"WITH {t.DEM_SQL}, {SQUARE} SELECT tile, kind, row, col, coalesce(z, -32768.0e0) AS z FROM grid LEFT JOIN dem USING (tile, kind, row, col) WHERE kind = 'cartodem_geotiff'")
+def _(spark, sf):
+    return rasters.decode_tiles(tagged(spark, sf))
+
+
+@query("s13_geotiff_catalogue", "tile:s kind:s priority:i west:d north:d east:d south:d n_rows:i n_cols:i px_lat:d nodata:d",
+       f"""WITH {t.DEM_SQL} SELECT tile, kind, 0 AS priority, west, north, west + 40 / 39.0e0 AS east, north - 40 / 39.0e0 AS south, 40 AS n_rows, 40 AS n_cols, 1 / 39.0e0 AS px_lat, -32768.0e0 AS nodata
+       FROM tiles WHERE kind = 'cartodem_geotiff'""")
+def _(spark, sf):
+    return rasters.catalogue(tagged(spark, sf))
 
 
 PATHS_SQL = """paths AS (SELECT p_partkey, '/dem/' || CASE WHEN p_partkey % 2 = 0 THEN 'N' ELSE 'S' END || printf('%02dE%03d', p_size, p_partkey % 180) || '_' || p_partkey ||
-  CASE p_partkey % 4 WHEN 0 THEN '.tif' WHEN 1 THEN '.hgt' WHEN 2 THEN '.TIFF' ELSE '.txt' END AS path, CASE WHEN p_partkey % 3 = 0 THEN 25934402 ELSE 2884802 END AS length FROM part)"""
+  CASE p_partkey % 4 WHEN 0 THEN '.tif' WHEN 1 THEN '.hgt' WHEN 2 THEN '.HGT' ELSE '.txt' END AS path, CASE p_partkey % 5 WHEN 0 THEN 25934402 WHEN 1 THEN 2884803 ELSE 2884802 END AS length FROM part)"""
 
 
 @query("s13_tile_catalogue", "tile:s kind:s priority:i south:d west:d north:d east:d n_rows:i px_lat:d",
-       f"""WITH {PATHS_SQL} SELECT regexp_extract(path, '([^/]+)\\.[^.]+$', 1) AS tile, CASE WHEN p_partkey % 4 = 1 THEN 'srtm_hgt' ELSE 'cartodem_geotiff' END AS kind,
-       CASE WHEN p_partkey % 4 = 1 THEN 1 ELSE 0 END AS priority, s AS south, w AS west, s + 1 AS north, w + 1 AS east, side AS n_rows, 1.0e0 / (side - 1) AS px_lat
+       f"""WITH {PATHS_SQL} SELECT regexp_extract(path, '([^/]+)\\.[^.]+$', 1) AS tile, 'srtm_hgt' AS kind, 1 AS priority, s AS south, w AS west, s + 1 AS north, w + 1 AS east, side AS n_rows, 1.0e0 / (side - 1) AS px_lat
        FROM (SELECT paths.*, CASE WHEN p_partkey % 2 = 0 THEN 1.0e0 ELSE -1.0e0 END * p_size AS s, 1.0e0 * (p_partkey % 180) AS w, CASE WHEN length >= 25934402 THEN 3601 ELSE 1201 END AS side
-       FROM paths JOIN part USING (p_partkey)) WHERE p_partkey % 4 <> 3""")
+       FROM paths JOIN part USING (p_partkey)) WHERE p_partkey % 4 IN (1, 2) AND length % 2 = 0""")
 def _(spark, sf):
     key = c("p_partkey")
     name = F.format_string("%s%02dE%03d_%d", F.when(key % 2 == 0, "N").otherwise("S"), c("p_size"), key % 180, key)
-    suffix = F.when(key % 4 == 0, ".tif").when(key % 4 == 1, ".hgt").when(key % 4 == 2, ".TIFF").otherwise(".txt")
-    listing = t.table(spark, sf, "part").select(
-        F.concat(F.lit("/dem/"), name, suffix).alias("path"), F.when(key % 3 == 0, 25934402).otherwise(2884802).alias("length")
-    )
+    suffix = F.when(key % 4 == 0, ".tif").when(key % 4 == 1, ".hgt").when(key % 4 == 2, ".HGT").otherwise(".txt")
+    size = F.when(key % 5 == 0, 25934402).when(key % 5 == 1, 2884803).otherwise(2884802)
+    listing = t.table(spark, sf, "part").select(F.concat(F.lit("/dem/"), name, suffix).alias("path"), size.alias("length"))
     return rasters.catalogue(listing)
 
 

@@ -231,30 +231,36 @@ def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- elevation raster: 40 x 40 cells per tile of one degree ----------------------------------
-DEM_SQL = """dem AS (
+#: Every third tile comes in two kinds that differ by seven metres.
+DEM_SQL = """dem_cells AS (
   SELECT printf('T_%04d', p_partkey // 1600) AS tile, (p_partkey % 1600) // 40 AS row, p_partkey % 40 AS col,
-    CASE WHEN p_partkey % 97 = 0 THEN -32768.0e0 ELSE 10.0e0 * p_size END AS z, -32768.0e0 AS nodata,
-    p_partkey // 1600 AS tile_no
+    CASE WHEN p_partkey % 97 = 0 THEN -32768.0e0 ELSE 10.0e0 * p_size END AS z, p_partkey // 1600 AS tile_no
   FROM part),
+dem AS (
+  SELECT tile, CASE WHEN tile_no % 3 = 1 THEN 'cartodem_geotiff' ELSE 'srtm_hgt' END AS kind, row, col, z, -32768.0e0 AS nodata, tile_no FROM dem_cells
+  UNION ALL SELECT tile, 'srtm_hgt', row, col, CASE WHEN z > -500 THEN z + 7 ELSE z END, -32768.0e0, tile_no FROM dem_cells WHERE tile_no % 3 = 1),
 tiles AS (
-  SELECT tile, CASE WHEN tile_no % 3 = 1 THEN 'cartodem_geotiff' ELSE 'srtm_hgt' END AS kind,
-    CASE WHEN tile_no % 3 = 1 THEN 0 ELSE 1 END AS priority,
+  SELECT tile, kind, CASE WHEN kind = 'cartodem_geotiff' THEN 0 ELSE 1 END AS priority,
     73.0e0 + tile_no // 10 AS west, 24.0e0 + tile_no % 10 AS south,
     74.0e0 + tile_no // 10 AS east, 25.0e0 + tile_no % 10 AS north,
     max(row) + 1 AS n_rows, max(col) + 1 AS n_cols, 1.0e0 / greatest(max(row), 1) AS px_lat, 1.0e0 / greatest(max(col), 1) AS px_lon,
     -32768.0e0 AS nodata
-  FROM dem GROUP BY tile, tile_no)"""
+  FROM dem GROUP BY tile, kind, tile_no)"""
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
-    return table(spark, sf_dir, "part").select(
+    cells = table(spark, sf_dir, "part").select(
         F.floor(key / 1600).alias("tile_no"),
         F.format_string("T_%04d", F.floor(key / 1600)).alias("tile"),
         F.floor(key % 1600 / 40).alias("row"),
         (key % 40).alias("col"),
         F.when(key % 97 == 0, -32768.0).otherwise(10.0 * F.col("p_size")).alias("z"),
     )
+    first, known = F.col("tile_no") % 3 == 1, F.col("z") > -500
+    kinds = F.when(first, F.array(F.lit("cartodem_geotiff"), F.lit("srtm_hgt"))).otherwise(F.array(F.lit("srtm_hgt")))
+    both = cells.withColumn("kind", F.explode(kinds))
+    return both.withColumn("z", F.when((F.col("tile_no") % 3 == 1) & (F.col("kind") == "srtm_hgt") & known, F.col("z") + 7.0).otherwise(F.col("z")))
 
 
 @planned
@@ -265,15 +271,14 @@ def dem(spark: SparkSession, sf_dir: str) -> DataFrame:
 @planned
 def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     no = F.col("tile_no")
-    first = no % 3 == 1
     return (
         _cells(spark, sf_dir)
-        .groupBy("tile", "tile_no")
+        .groupBy("tile", "kind", "tile_no")
         .agg(F.max("row").alias("_r"), F.max("col").alias("_c"))
         .select(
             "tile",
-            F.when(first, "cartodem_geotiff").otherwise("srtm_hgt").alias("kind"),
-            F.when(first, 0).otherwise(1).alias("priority"),
+            "kind",
+            F.when(F.col("kind") == "cartodem_geotiff", 0).otherwise(1).alias("priority"),
             (73.0 + F.floor(no / 10)).alias("west"),
             (24.0 + no % 10).alias("south"),
             (74.0 + F.floor(no / 10)).alias("east"),

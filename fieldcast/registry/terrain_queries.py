@@ -16,7 +16,7 @@ PLACES = "latitude:d longitude:d"
 RADII = (3000.0, 9000.0)
 
 FRACTIONS_SQL = """sites AS (SELECT DISTINCT latitude, longitude FROM locations),
-hit AS (SELECT * FROM (SELECT sites.*, tiles.*, row_number() OVER (PARTITION BY latitude, longitude ORDER BY priority, tile) AS pick
+hit AS (SELECT * FROM (SELECT sites.*, tiles.*, row_number() OVER (PARTITION BY latitude, longitude ORDER BY priority, tile, kind) AS pick
   FROM sites JOIN tiles ON latitude BETWEEN south AND north AND longitude BETWEEN west AND east) WHERE pick = 1),
 frac AS (SELECT *, (north - latitude) / px_lat - 0.5e0 AS row_f, (longitude - west) / px_lon - 0.5e0 AS col_f,
   px_lon * abs(111412.84e0 * cos(radians(latitude)) - 93.5e0 * cos(3 * radians(latitude))) AS dx_m,
@@ -28,17 +28,17 @@ def sites(spark, sf):
     return terrain.row_col(terrain.tile_for_points(t.locations(spark, sf), t.tiles(spark, sf)))
 
 
-@query("r1_row_and_column", f"{PLACES} tile:s row_f:d col_f:d", f"WITH {SITES_SQL} SELECT * FROM frac")
+@query("r1_row_and_column", f"{PLACES} tile:s kind:s row_f:d col_f:d", f"WITH {SITES_SQL} SELECT * FROM frac")
 def _(spark, sf):
     return sites(spark, sf)
 
 
-@query("r2_filled_cells", "tile:s row:i col:i z_clean:d",
-       f"""WITH {t.DEM_SQL} SELECT tile, row, col, coalesce(CASE WHEN z BETWEEN -500 AND 9000 THEN z END, avg(CASE WHEN z BETWEEN -500 AND 9000 THEN z END)
-       OVER (PARTITION BY tile, row // 10, col // 10)) AS z_clean FROM dem""")
+@query("r2_filled_cells", "tile:s kind:s row:i col:i z_clean:d",
+       f"""WITH {t.DEM_SQL} SELECT tile, kind, row, col, coalesce(CASE WHEN z BETWEEN -500 AND 9000 THEN z END, avg(CASE WHEN z BETWEEN -500 AND 9000 THEN z END)
+       OVER (PARTITION BY tile, kind, row // 10, col // 10)) AS z_clean FROM dem""")
 def _(spark, sf):
     cells = t.dem(spark, sf).withColumns({"wr": F.floor(c("row") / 10), "wc": F.floor(c("col") / 10)})
-    return terrain.fill_window(cells, ["tile", "wr", "wc"])
+    return terrain.fill_window(cells, [*terrain.TILE, "wr", "wc"])
 
 
 BOUND = "least(n_{a} - 2, greatest(0, CAST(floor({b}_f) AS BIGINT)))"
@@ -49,8 +49,8 @@ BOUND = "least(n_{a} - 2, greatest(0, CAST(floor({b}_f) AS BIGINT)))"
        w AS (SELECT *, least(1.0e0, greatest(0.0e0, row_f - r0)) AS fr, least(1.0e0, greatest(0.0e0, col_f - c0)) AS fc FROM k)
        , known AS (SELECT * REPLACE (CASE WHEN z BETWEEN -500 AND 9000 THEN z END AS z) FROM dem)
        SELECT latitude, longitude, (a.z * (1 - fc) + b.z * fc) * (1 - fr) + (d.z * (1 - fc) + e.z * fc) * fr AS elevation_m FROM w
-       JOIN known a ON a.tile = w.tile AND a.row = r0 AND a.col = c0 JOIN known b ON b.tile = w.tile AND b.row = r0 AND b.col = c0 + 1
-       JOIN known d ON d.tile = w.tile AND d.row = r0 + 1 AND d.col = c0 JOIN known e ON e.tile = w.tile AND e.row = r0 + 1 AND e.col = c0 + 1""")
+       JOIN known a ON a.tile = w.tile AND a.kind = w.kind AND a.row = r0 AND a.col = c0 JOIN known b ON b.tile = w.tile AND b.kind = w.kind AND b.row = r0 AND b.col = c0 + 1
+       JOIN known d ON d.tile = w.tile AND d.kind = w.kind AND d.row = r0 + 1 AND d.col = c0 JOIN known e ON e.tile = w.tile AND e.kind = w.kind AND e.row = r0 + 1 AND e.col = c0 + 1""")
 def _(spark, sf):
     return terrain.bilinear(t.locations(spark, sf), t.dem(spark, sf), t.tiles(spark, sf))
 
@@ -65,27 +65,27 @@ def neighbours9(value: str = "z") -> str:
 
 
 HORN_SQL = f"""{t.DEM_SQL}, known AS (SELECT * FROM dem WHERE z BETWEEN -500 AND 9000),
-nine AS (SELECT d.tile, d.row, d.col, count(*) AS cells, {neighbours9('n.z')} FROM known d JOIN known n ON n.tile = d.tile AND n.row BETWEEN d.row - 1 AND d.row + 1
-  AND n.col BETWEEN d.col - 1 AND d.col + 1 GROUP BY 1, 2, 3 HAVING count(*) = 9),
+nine AS (SELECT d.tile, d.kind, d.row, d.col, count(*) AS cells, {neighbours9('n.z')} FROM known d JOIN known n ON n.tile = d.tile AND n.kind = d.kind AND n.row BETWEEN d.row - 1 AND d.row + 1
+  AND n.col BETWEEN d.col - 1 AND d.col + 1 GROUP BY 1, 2, 3, 4 HAVING count(*) = 9),
 slopes AS (SELECT *, ((z02 + 2 * z12 + z22) - (z00 + 2 * z10 + z20)) / 240.0e0 AS dz_east, ((z20 + 2 * z21 + z22) - (z00 + 2 * z01 + z02)) / 240.0e0 AS dz_south FROM nine)"""
 ASPECT = "CASE WHEN NOT (abs({e}) < 1e-12 AND abs({s}) < 1e-12) THEN (degrees(atan2(-({e}), {s})) + 360) % 360 END"
 
 
-@query("r4_horn_slope", "tile:s row:i col:i slope_deg:d",
+@query("r4_horn_slope", "tile:s kind:s row:i col:i slope_deg:d",
        f"WITH {HORN_SQL} SELECT *, degrees(atan(sqrt(dz_east ** 2 + dz_south ** 2))) AS slope_deg FROM slopes")
 def _(spark, sf):
     return terrain.horn_grid(t.dem(spark, sf), 30.0, 30.0)
 
 
-@query("r5_downslope_aspect", "tile:s row:i col:i aspect_deg:d",
+@query("r5_downslope_aspect", "tile:s kind:s row:i col:i aspect_deg:d",
        f"WITH {HORN_SQL} SELECT *, {ASPECT.format(e='dz_east', s='dz_south')} AS aspect_deg FROM slopes")
 def _(spark, sf):
     return terrain.horn_grid(t.dem(spark, sf), 30.0, 30.0)
 
 
-@query("r6_topographic_position", "tile:s row:i col:i tpi_m:d",
-       f"""WITH {t.DEM_SQL} SELECT d.tile, d.row, d.col, any_value(CASE WHEN d.z BETWEEN -500 AND 9000 THEN d.z END) - avg(CASE WHEN n.z BETWEEN -500 AND 9000 THEN n.z END) AS tpi_m FROM dem d JOIN dem n ON n.tile = d.tile
-       AND n.row BETWEEN d.row - 3 AND d.row + 3 AND n.col BETWEEN d.col - 3 AND d.col + 3 GROUP BY 1, 2, 3""")
+@query("r6_topographic_position", "tile:s kind:s row:i col:i tpi_m:d",
+       f"""WITH {t.DEM_SQL} SELECT d.tile, d.kind, d.row, d.col, any_value(CASE WHEN d.z BETWEEN -500 AND 9000 THEN d.z END) - avg(CASE WHEN n.z BETWEEN -500 AND 9000 THEN n.z END) AS tpi_m FROM dem d JOIN dem n ON n.tile = d.tile AND n.kind = d.kind
+       AND n.row BETWEEN d.row - 3 AND d.row + 3 AND n.col BETWEEN d.col - 3 AND d.col + 3 GROUP BY 1, 2, 3, 4""")
 def _(spark, sf):
     return terrain.tpi_grid(t.dem(spark, sf), 3)
 
@@ -126,7 +126,7 @@ w1 AS (SELECT *, CAST(round_even(row_f - row_lo0, 0) AS BIGINT) + row_lo0 AS row
   {BOUND.format(a='rows', b='row')} AS r0, {BOUND.format(a='cols', b='col')} AS c0 FROM w0),
 w2 AS (SELECT *, least(n_rows - 2, greatest(1, row_mid)) AS row_k, least(n_cols - 2, greatest(1, col_mid)) AS col_k, least(1.0e0, greatest(0.0e0, row_f - r0)) AS fr,
   least(1.0e0, greatest(0.0e0, col_f - c0)) AS fc, {_boxes(1, RADII[0])}, {_boxes(2, RADII[1])} FROM w1),
-cells AS (SELECT w2.*, dem.row, dem.col, CASE WHEN dem.z BETWEEN -500 AND 9000 THEN dem.z END AS zv FROM w2 JOIN dem ON dem.tile = w2.tile AND {_inside(0)}),
+cells AS (SELECT w2.*, dem.row, dem.col, CASE WHEN dem.z BETWEEN -500 AND 9000 THEN dem.z END AS zv FROM w2 JOIN dem ON dem.tile = w2.tile AND dem.kind = w2.kind AND {_inside(0)}),
 clean AS (SELECT *, coalesce(zv, avg(zv) OVER (PARTITION BY latitude, longitude)) AS zc FROM cells),
 facts AS (SELECT latitude, longitude, tile, kind, any_value(dx_m) AS dx, any_value(dy_m) AS dy, any_value(fr) AS fr, any_value(fc) AS fc, {cells},
   avg(zc) FILTER ({_inside(1)}) AS m1, avg(zc) FILTER ({_inside(2)}) AS m2 FROM clean GROUP BY latitude, longitude, tile, kind),
@@ -154,12 +154,12 @@ def _(spark, sf):
     return sampled(spark, sf)
 
 
-@query("r8_nearest_cell", "location_id:s tile:s row:d col:d elevation_m:d",
-       f"""WITH {t.LOCATIONS_SQL}, {t.DEM_SQL}, p AS (SELECT location_id, tile, least(n_rows - 1, greatest(0, CAST(trunc((1 - (latitude - floor(latitude))) * (n_rows - 1)) AS BIGINT))) AS row,
+@query("r8_nearest_cell", "location_id:s tile:s kind:s row:d col:d elevation_m:d",
+       f"""WITH {t.LOCATIONS_SQL}, {t.DEM_SQL}, p AS (SELECT location_id, tile, kind, least(n_rows - 1, greatest(0, CAST(trunc((1 - (latitude - floor(latitude))) * (n_rows - 1)) AS BIGINT))) AS row,
        least(n_cols - 1, greatest(0, CAST(trunc((longitude - floor(longitude)) * (n_cols - 1)) AS BIGINT))) AS col
-       FROM locations LEFT JOIN tiles ON floor(latitude) = south AND floor(longitude) = west)
-       SELECT p.location_id, p.tile, CASE WHEN p.tile IS NOT NULL THEN p.row END AS row, CASE WHEN p.tile IS NOT NULL THEN p.col END AS col, CASE WHEN z > -500 AND z < 9000 THEN z END AS elevation_m
-       FROM p LEFT JOIN dem ON dem.tile = p.tile AND dem.row = p.row AND dem.col = p.col""")
+       FROM locations LEFT JOIN (SELECT * FROM tiles QUALIFY row_number() OVER (PARTITION BY south, west ORDER BY priority, tile, kind) = 1) ON floor(latitude) = south AND floor(longitude) = west)
+       SELECT p.location_id, p.tile, p.kind, CASE WHEN p.tile IS NOT NULL THEN p.row END AS row, CASE WHEN p.tile IS NOT NULL THEN p.col END AS col, CASE WHEN z > -500 AND z < 9000 THEN z END AS elevation_m
+       FROM p LEFT JOIN dem ON dem.tile = p.tile AND dem.kind = p.kind AND dem.row = p.row AND dem.col = p.col""")
 def _(spark, sf):
     found = terrain.nearest_cell(t.locations(spark, sf).drop("elevation_m"), t.dem(spark, sf), t.tiles(spark, sf))
     covered = c("tile").isNotNull()
@@ -226,7 +226,7 @@ def _(spark, sf):
     return soil(spark, sf)
 
 
-@query("p20_valid_elevation", "tile:s row:i col:i elevation_m:d",
+@query("p20_valid_elevation", "tile:s kind:s row:i col:i elevation_m:d",
        f"WITH {t.DEM_SQL} SELECT *, CASE WHEN z - 60 BETWEEN -500 AND 9000 AND z <> nodata THEN z - 60 END AS elevation_m FROM dem")
 def _(spark, sf):
     return t.dem(spark, sf).withColumn("elevation_m", valid_elevation(c("z") - 60.0, F.lit(-32828.0)))
