@@ -151,9 +151,16 @@ def engineer_zone_features(
     radii: tuple[float, float] = terrain.TPI_RADII_M,
 ) -> DataFrame:
     """Fleet training table: raster terrain where a tile covers the station, else the lattice."""
-    rows = with_baselines(with_domain(obs, obs), source=obs)
-    rows = rows.withColumns(physics.calendar_columns(F.col("timestamp")))
-    stations = station_list(obs)
+    return finish_zone_features(with_baselines(obs, source=obs), dem, tiles, radii, obs)
+
+
+def finish_zone_features(
+    based: DataFrame, dem: DataFrame | None = None, tiles: DataFrame | None = None, radii: tuple[float, float] = terrain.TPI_RADII_M, source: DataFrame | None = None
+) -> DataFrame:
+    """The rest of the fleet training table for hours that have their baselines; `source` are the same hours before that work."""
+    source = based if source is None else source
+    rows = with_domain(based, source).withColumns(physics.calendar_columns(F.col("timestamp")))
+    stations = station_list(source)
     ground = spatial.lattice_terrain(stations, spatial.FLEET_RADIUS_DEG, ["zone_id"])
     if dem is not None:
         raster = terrain.sample_terrain(stations, dem, tiles, radii)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldcast.operators import boosting, metrics, model_registry, residual_models, splits
-from fieldcast.plans import features, fleet, forecasts
+from fieldcast.plans import features, fleet, forecasts, ingest
 from fieldcast.registry import tables as t
 from fieldcast.registry.aggregate_queries import ERRORS, GAP_SQL, SCORED_SQL, SEASON_CASE, SPLIT_SQL, compare_sql, errors_sql, gap, scored
 from fieldcast.registry.base import query
+from fieldcast.registry.feature_queries import RADII, ZONE_SQL, shifted_tiles
 from fieldcast.session import settle, shared_folder
 
 c = F.col
@@ -237,14 +238,17 @@ def _(spark, sf):
     return forecasts.downscale(rows, registry, registry.agg(F.min("zone_id")).first()[0])
 
 
-@query("d23_zone_ingest", "zone_id:s stations:i rows:i",
-       f"WITH {t.OBS_SQL} SELECT zone_id, count(DISTINCT point_id) AS stations, count(*) AS rows FROM obs GROUP BY 1")
+@query("d23_zone_ingest", "zone_id:s stations:i rows:i mean_baseline:d mean_delta:d mean_position:d mean_slope:d mean_insolation:d",
+       f"""WITH {ZONE_SQL} SELECT zone_id, count(DISTINCT point_id) AS stations, count(*) AS rows, avg(baseline_temp_c) AS mean_baseline, avg(abs(delta_elevation_m)) AS mean_delta,
+       avg(topographic_position_index) AS mean_position, avg(slope_magnitude_deg) AS mean_slope, avg(sloped_solar_insolation) AS mean_insolation FROM complete GROUP BY 1""")
 def _(spark, sf):
     rows, table = t.obs(spark, sf), shared_folder(spark)
     # Low stations land first, then high ones alone, then everything: later hours of all stations.
     early = F.dayofmonth("timestamp") <= 14
-    fleet.ingest_zones(spark, rows.where((c("elevation_m") < 500) & early), table)
-    fleet.ingest_zones(spark, rows.where((c("elevation_m") >= 500) & early), table)
-    fleet.ingest_zones(spark, rows, table)
-    landed = spark.read.parquet(table).groupBy("zone_id", "point_id").agg(F.count(F.lit(1)).alias("n"))
-    return landed.groupBy("zone_id").agg(F.count(F.lit(1)).alias("stations"), F.sum("n").alias("rows"))
+    ingest.ingest_zones(spark, rows.where((c("elevation_m") < 500) & early), table)
+    ingest.ingest_zones(spark, rows.where((c("elevation_m") >= 500) & early), table)
+    ingest.ingest_zones(spark, rows, table)
+    return ingest.zone_table(spark, table, t.dem(spark, sf), shifted_tiles(spark, sf), RADII).groupBy("zone_id").agg(
+        F.count_distinct("point_id").alias("stations"), F.count(F.lit(1)).alias("rows"), F.avg("baseline_temp_c").alias("mean_baseline"), F.avg(F.abs("delta_elevation_m")).alias("mean_delta"),
+        F.avg("topographic_position_index").alias("mean_position"), F.avg("slope_magnitude_deg").alias("mean_slope"), F.avg("sloped_solar_insolation").alias("mean_insolation"),
+    )
