@@ -104,9 +104,15 @@ def near_rows(
     )
     blocks = rows.withColumn(BLOCK, F.explode(homes))
     spec = W.partitionBy(*key, BLOCK).orderBy(row_no)
+    trailing = {name: make for name, make in columns.items() if isinstance(make, TrailingSum)}
+    if trailing:
+        # Dealt by block once; every window below finds its rows in place.
+        blocks = blocks.repartition(*key, BLOCK)
+        for name, make in trailing.items():
+            blocks = blocks.withColumns(make.parts(name, [*key, BLOCK], row_no))
     # Filtering after the windows keeps the copied rows visible to them.
-    result = blocks.withColumns({name: make(spec) for name, make in columns.items()})
-    result = result.filter(F.col(BLOCK) == home).drop(BLOCK)
+    result = blocks.withColumns({name: make(spec) if name not in trailing else make.whole(name, spec) for name, make in columns.items()})
+    result = result.filter(F.col(BLOCK) == home).drop(BLOCK, *[part for name in trailing for part in TrailingSum.names(name)])
     return result if numbered else result.drop(row_no)
 
 
@@ -115,14 +121,54 @@ def difference(column: str, steps: int) -> Callable[[WindowSpec], Column]:
     return lambda w: F.coalesce(F.col(column) - F.lag(column, steps).over(w), F.lit(0.0))
 
 
-def trailing_sum(column: str, rows: int) -> Callable[[WindowSpec], Column]:
-    """Sum of the last `rows` rows, as a difference of two growing sums (constant work per row)."""
-    def make(w: WindowSpec) -> Column:
-        upto, before = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(W.unboundedPreceding, -rows)
-        total = F.sum(column).over(upto) - F.coalesce(F.sum(column).over(before), F.lit(0.0))
-        return F.when(F.count(column).over(upto) > F.count(column).over(before), total)
+class TrailingSum:
+    """Sum of the last `rows` rows, for `near_rows` with at least `rows` - 1 of them in reach.
 
-    return make
+    The series is cut into stretches of `rows` rows, summed from both ends. A window ends in one
+    stretch and begins in the one before, so it is the front of the one plus the rear of the other:
+    constant work per row, and a value that is not finite touches only windows that hold it.
+    """
+
+    def __init__(self, column: str, rows: int):
+        self.column, self.rows, self.row_no = column, rows, ""
+
+    @staticmethod
+    def names(name: str) -> list[str]:
+        return [f"_{part}_{name}" for part in ("front", "rear", "front_n", "rear_n")]
+
+    def parts(self, name: str, keys: list[str], row_no: str) -> dict[str, Column]:
+        self.row_no = row_no
+        stretch = W.partitionBy(*keys, F.floor((F.col(row_no) - 1) / self.rows)).rowsBetween(W.unboundedPreceding, 0)
+        up, down = stretch.orderBy(row_no), stretch.orderBy(F.desc(row_no))
+        made = [F.sum(self.column).over(up), F.sum(self.column).over(down), F.count(self.column).over(up), F.count(self.column).over(down)]
+        return dict(zip(self.names(name), [F.coalesce(x, F.lit(0.0)) if k < 2 else x for k, x in enumerate(made)]))
+
+    def whole(self, name: str, w: WindowSpec) -> Column:
+        front, rear, front_n, rear_n = self.names(name)
+        # The last row of a stretch has its window in that stretch alone.
+        last = F.col(self.row_no) % self.rows == 0
+        begun, begun_n = (F.when(~last, F.lag(c, self.rows - 1).over(w)) for c in (rear, rear_n))
+        return F.when(F.col(front_n) + F.coalesce(begun_n, F.lit(0)) > 0, F.col(front) + F.coalesce(begun, F.lit(0.0)))
+
+    def __call__(self, w: WindowSpec) -> Column:
+        """The plain window, for short series."""
+        return F.sum(self.column).over(w.rowsBetween(-self.rows + 1, 0))
+
+
+def trailing_sum(column: str, rows: int) -> TrailingSum:
+    return TrailingSum(column, rows)
+
+
+def first_rows(df: DataFrame, key: list[str], order: str, rows: int, name: str = "_row_no", lots: int = 64) -> DataFrame:
+    """The first `rows` rows of each key, numbered; rows without a time come first.
+
+    Trimmed map-side: a task keeps that many rows of a key, they meet in `lots` lots, and what
+    is left of those meets per key. So a key with a large share of all rows is never sorted whole.
+    """
+    lot = F.pmod(F.xxhash64(order), F.lit(lots))
+    some = F.row_number().over(W.partitionBy(*key, "_lot").orderBy(order))
+    dealt = df.withColumn("_lot", lot).withColumn("_some", some).filter(F.col("_some") <= rows).drop("_some", "_lot")
+    return dealt.withColumn(name, F.row_number().over(W.partitionBy(*key).orderBy(order))).filter(F.col(name) <= rows)
 
 
 def first_known(df: DataFrame, key: list[str], order: str, columns: dict[str, str]) -> DataFrame:

@@ -209,15 +209,18 @@ def serving_features(
     """Model inputs of a forecast series, with defaults for what the forecast lacks.
 
     `terrain_rows` has the key, a 2 km position index, slope and aspect components. `hours`
-    keeps the first rows only; a forecast is short, so its windows are plain ones.
+    keeps the first rows only, trimmed before they meet; what is left is short. Without it a
+    series may be of any length and is worked on in blocks.
     """
-    rows = timeseries.number_rows(forecast, key, "timestamp", "_row_no", short=True)
-    if hours is not None:
-        rows = rows.filter(F.col("_row_no") <= hours)
-    start = {"_start": lambda w: F.first("temperature_2m_c").over(w)}
-    rows = timeseries.near_rows(rows, key, "timestamp", start, short=True)
+    short = hours is not None
+    rows = timeseries.first_rows(forecast, key, "timestamp", hours) if short else timeseries.number_rows(forecast, key, "timestamp", "_row_no")
+    if short:
+        rows = timeseries.near_rows(rows, key, "timestamp", {"_start": lambda w: F.first("temperature_2m_c").over(w)}, short=True)
+    else:
+        begun = rows.filter("_row_no = 1").select(*key, F.col("temperature_2m_c").alias("_start"))
+        rows = meet(rows, begun, key)
     lag = {"thermal_inertia_lag_3h": timeseries.forecast_lag("temperature_2m_c", "_row_no", "_start")}
-    rows = timeseries.near_rows(rows, key, "timestamp", lag, back=3, short=True).drop("_row_no", "_start")
+    rows = timeseries.near_rows(rows, key, "timestamp", lag, back=3, numbered="_row_no", short=short).drop("_row_no", "_start")
     rows = serving_defaults(rows, covariates)
     neutral = dict(zip(TERRAIN, spatial.NO_NEIGHBOURS.values()))
     if terrain_rows is not None:

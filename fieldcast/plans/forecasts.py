@@ -34,7 +34,9 @@ def region_filter(zones: DataFrame, region: str) -> DataFrame:
 
 def first_hours(forecast: DataFrame, key: list[str], hours: int | Column) -> DataFrame:
     """The first N rows of each location's forecast."""
-    limit = F.lit(hours) if isinstance(hours, int) else hours
+    if isinstance(hours, int):
+        return timeseries.first_rows(forecast, key, "timestamp", hours).drop("_row_no")
+    limit = hours
     numbered = timeseries.number_rows(forecast, key, "timestamp", "_row_no")
     return numbered.filter(F.col("_row_no") <= limit).drop("_row_no")
 
