@@ -174,17 +174,25 @@ def _(spark, sf):
     return rasters.catalogue(listing)
 
 
+#: The entities of the given pages.
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&amp;", "&")]
+
+
 def _clean_sql(block: str) -> str:
-    body = f"regexp_replace({block}, '<[^>]*>', ' ', 'g')"
-    for entity, char in bulletins.ENTITIES:
+    """The strings between the tags of a block, each without white space around it."""
+    body = "s"
+    for entity, char in ENTITIES:
         body = f"replace({body}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
-    return f"trim(regexp_replace({body}, '\\s+', ' ', 'g'), ' ')"
+    strings = f"list_transform(string_split_regex({block}, '<[^>]*>'), lambda s: regexp_replace({body}, '^\\s+|\\s+$', '', 'g'))"
+    return f"array_to_string(list_filter({strings}, lambda s: s <> ''), ' ')"
 
 
 def _paragraph_sql(tags: str, least: int) -> str:
-    block = rf"(?is)<(?:{tags})(?:\s[^>]*)?>((?:[^<]+|</?(?:{bulletins.INLINE})\b[^>]*>)*)"
-    blocks = f"list_transform(regexp_extract_all(page, '{block}', 1), lambda b: {_clean_sql('b')})"
-    return f"list_filter({blocks}, lambda x: length(x) >= {least})"
+    """Blocks up to the next tag of a block. The given pages have none within another."""
+    ends = "|".join(sorted(bulletins.BLOCKS | {"html"}))
+    marked = f"regexp_replace(page, '(?i)(</?(?:{ends})\\b)', chr(1) || '\\1', 'g')"
+    pieces = f"list_filter(string_split({marked}, chr(1)), lambda b: regexp_matches(b, '(?is)^<(?:{tags})(?:\\s[^>]*)?>'))"
+    return f"list_filter(list_transform({pieces}, lambda b: {_clean_sql('b')}), lambda x: length(x) >= {least})"
 
 
 @query("s14_bulletin_pages", "page_id:i raw_text:s source:s source_status:s district:s",
