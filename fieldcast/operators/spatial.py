@@ -1,7 +1,8 @@
 """Zone routing, regular lattices, neighbourhoods and footprint matching.
 
 Range conditions are turned into equality on grid cells before they are checked exactly,
-so no plan here needs a nested-loop join.
+so no plan here needs a nested-loop join. A crowded cell is dealt out as pairs of lots of its
+two sides, so no join key holds more than a bounded number of rows of either.
 """
 
 from __future__ import annotations
@@ -17,6 +18,10 @@ METRES_PER_DEGREE_EW = 100000.0
 TRAINING_RADIUS_DEG = 0.28
 FLEET_RADIUS_DEG = 0.45
 LATTICE_INSET_DEG = 0.1
+#: Rows of one side that may share a cell before it is cut into lots.
+CROWD = 2000
+#: Sides of footprint cells are powers of two of a degree between these.
+FINEST, COARSEST = -10, 9
 NO_NEIGHBOURS = {"tpi": 0.0, "slope": 0.5, "aspect_sin": 0.0, "aspect_cos": 1.0}
 
 
@@ -108,13 +113,32 @@ def _around(value: str, size: float) -> Column:
     return F.explode(F.array(cell - 1, cell, cell + 1))
 
 
-def _within(left: DataFrame, right: DataFrame, domain: list[str], radius: float) -> DataFrame:
+def meet_in_cells(left: DataFrame, right: DataFrame, keys: list[str], crowd: int = CROWD) -> DataFrame:
+    """Inner join on cells in which a crowded cell becomes many keys.
+
+    Where a cell has more than `crowd` rows on a side, that side falls into lots and the other is
+    copied to each: every pair still meets once, in a key of about `crowd` rows a side. Only the
+    crowded cells are listed, of which there are few.
+    """
+    sizes = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_l")).join(right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_r")), keys)
+    lots = sizes.select(*keys, *[F.ceil(F.col(n) / crowd).cast("int").alias(m) for n, m in (("_l", "_lots_l"), ("_r", "_lots_r"))]).filter("_lots_l > 1 or _lots_r > 1")
+
+    def dealt(side: DataFrame, own: str, own_lots: str, other: str, other_lots: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64(*side.columns), F.coalesce(own_lots, F.lit(1))).cast("int")
+        copies = F.explode(F.sequence(F.lit(0), F.coalesce(other_lots, F.lit(1)) - 1))
+        return side.join(lots, keys, "left").withColumn(own, mine).withColumn(other, copies).drop("_lots_l", "_lots_r")
+
+    a, b = dealt(left, "_i", "_lots_l", "_j", "_lots_r"), dealt(right, "_j", "_lots_r", "_i", "_lots_l")
+    return a.join(b, [*keys, "_i", "_j"]).drop("_i", "_j")
+
+
+def _within(left: DataFrame, right: DataFrame, domain: list[str], radius: float, crowd: int = CROWD) -> DataFrame:
     """Pairs of different coordinates at most `radius` degrees apart; `right` columns start with n_."""
     near = right.withColumns({"_row": _cell("n_latitude", radius), "_col": _cell("n_longitude", radius)})
     asked = left.withColumn("_row", _around("latitude", radius)).withColumn("_col", _around("longitude", radius))
     d_lat = F.col("n_latitude") - F.col("latitude")
     d_lon = F.col("n_longitude") - F.col("longitude")
-    pairs = asked.join(near, [*domain, "_row", "_col"]).withColumns(
+    pairs = meet_in_cells(asked, near, [*domain, "_row", "_col"], crowd).withColumns(
         {"d_lat": d_lat, "d_lon": d_lon, "distance_deg": F.sqrt(d_lat * d_lat + d_lon * d_lon)}
     )
     return pairs.filter((F.col("distance_deg") > 0) & (F.col("distance_deg") <= radius)).drop("_row", "_col")
@@ -127,7 +151,7 @@ def _sites(points: DataFrame, domain: list[str]) -> DataFrame:
     )
 
 
-def neighbours(points: DataFrame, radius: float, domain: list[str] | None = None) -> DataFrame:
+def neighbours(points: DataFrame, radius: float, domain: list[str] | None = None, crowd: int = CROWD) -> DataFrame:
     """Pairs of different coordinates within `radius` degrees.
 
     The neighbouring side carries the number of points there and their elevation sum, so
@@ -136,7 +160,7 @@ def neighbours(points: DataFrame, radius: float, domain: list[str] | None = None
     domain = domain or []
     sites = _sites(points, domain)
     other = sites.withColumnsRenamed({"latitude": "n_latitude", "longitude": "n_longitude"})
-    return _within(sites.drop("n_count", "n_sum"), other, domain, radius)
+    return _within(sites.drop("n_count", "n_sum"), other, domain, radius, crowd)
 
 
 def _pull(delta: str, metres: float) -> Column:
@@ -144,7 +168,7 @@ def _pull(delta: str, metres: float) -> Column:
     return F.signum(delta) / F.greatest(F.lit(1e-5), F.abs(F.col(delta) * metres))
 
 
-def neighbourhood(points: DataFrame, radius: float, domain: list[str] | None = None) -> DataFrame:
+def neighbourhood(points: DataFrame, radius: float, domain: list[str] | None = None, crowd: int = CROWD) -> DataFrame:
     """Mean neighbour elevation and mean N-S / E-W gradients of each point.
 
     Points that share a coordinate are first merged into one site with a count and an
@@ -152,7 +176,7 @@ def neighbourhood(points: DataFrame, radius: float, domain: list[str] | None = N
     meets its neighbours as a single row and no pair of points is ever formed.
     """
     domain = domain or []
-    pairs = neighbours(points, radius, domain).withColumns(
+    pairs = neighbours(points, radius, domain, crowd).withColumns(
         {"_ns": _pull("d_lat", METRES_PER_DEGREE_NS), "_ew": _pull("d_lon", METRES_PER_DEGREE_EW)}
     )
     count, total = F.col("n_count"), F.col("n_sum")
@@ -203,20 +227,35 @@ def lattice_terrain(points: DataFrame, radius: float, domain: list[str] | None =
     )
 
 
-def degree_cells(low: str, high: str) -> Column:
-    return F.explode(F.sequence(F.floor(F.col(low)), F.floor(F.col(high))))
+def _level(west: Column, south: Column, east: Column, north: Column) -> Column:
+    """The finest cell size, as a power of two of a degree, that no side of a footprint exceeds."""
+    side = F.greatest(east - west, north - south, F.lit(2.0**FINEST))
+    return F.least(F.ceil(F.log2(side)).cast("int"), F.lit(COARSEST))
 
 
-def covering(points: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Join points to the boxes (west, south, east, north) that cover them, edges included."""
-    cells = boxes.withColumn("_row", degree_cells("south", "north")).withColumn(
-        "_col", degree_cells("west", "east")
-    )
-    asked = points.withColumns({"_row": F.floor("latitude"), "_col": F.floor("longitude")})
+def covering(points: DataFrame, boxes: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """Join points to the boxes (west, south, east, north) that cover them, edges included.
+
+    A box lies in cells of about its own size, at most four of them, so a large footprint is not
+    cut into many cells and a small one does not meet points far away. Points ask the cell they lie
+    in once for every size that occurs; sizes are a bounded number. Rows without all their
+    coordinates match nothing.
+    """
+    edges = [F.col(e) for e in ("west", "south", "east", "north")]
+    sized = boxes.withColumn("_size", _level(*edges)).filter("_size is not null and west <= east and south <= north")
+    levels = sorted(r[0] for r in sized.select("_size").distinct().collect())
+    step = F.pow(F.lit(2.0), F.col("_size"))
+
+    def cells(low: Column, high: Column) -> Column:
+        return F.explode(F.sequence(F.floor(low / step), F.floor(high / step)))
+
+    covers = sized.withColumn("_row", cells(edges[1], edges[3])).withColumn("_col", cells(edges[0], edges[2]))
+    asked = points.withColumn("_size", F.explode(F.array(*[F.lit(v) for v in levels]) if levels else F.array().cast("array<int>")))
+    asked = asked.withColumns({"_row": F.floor(F.col("latitude") / step), "_col": F.floor(F.col("longitude") / step)})
     hit = F.col("latitude").between(F.col("south"), F.col("north")) & F.col("longitude").between(
         F.col("west"), F.col("east")
     )
-    return asked.join(cells, ["_row", "_col"]).filter(hit).drop("_row", "_col")
+    return meet_in_cells(asked, covers, ["_size", "_row", "_col"], crowd).filter(hit).drop("_size", "_row", "_col")
 
 
 def overlapping_scenes(
