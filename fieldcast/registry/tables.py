@@ -54,31 +54,35 @@ ZONES_SQL = f"""zones AS (SELECT * FROM (VALUES {values(catalogs.zone_rows())})
 
 # --- hourly observations: three users make a station, 36 stations a zone -------------------
 OBS_SQL = f"""{ZONES_SQL},
-first_event AS (
-  SELECT user_id // 3 AS point_no, date_trunc('hour', ts) AS timestamp, min(event_id) AS event_no,
-    arg_min(value, event_id) AS v, arg_min(CAST(json_extract_string(props, '$.k') AS INTEGER), event_id) AS k
-  FROM events GROUP BY 1, 2),
+readings AS (
+  SELECT user_id // 3 AS point_no, date_trunc('hour', ts) AS timestamp, event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
+    CAST(round(100 * value) AS BIGINT) % 4000 AS cents FROM events),
+hours AS (
+  SELECT point_no, timestamp, CAST(sum(event_id) AS BIGINT) AS event_no, CAST(sum(k) % 100 AS INTEGER) AS k, (sum(cents) // count(*)) / 100.0e0 AS warmth,
+    CAST(sum(k) // count(*) AS DOUBLE) AS mean_k, sum(CASE WHEN event_id % 11 = 0 THEN CAST(k % 30 AS DOUBLE) ELSE 0.0e0 END) AS rain, CAST(sum(event_id % 25) // count(*) AS DOUBLE) AS wind,
+    max(event_id % 25 + k % 7) AS gust, CAST(sum(k % 5) // count(*) AS DOUBLE) AS soil, CAST(sum(event_id % 35) // count(*) AS DOUBLE) AS moisture,
+    CAST(sum(k % 6) // count(*) AS DOUBLE) AS thirst, CAST(sum((7 * k) % 100) // count(*) AS DOUBLE) AS chance
+  FROM readings GROUP BY 1, 2),
 placed AS (
   SELECT *, (point_no // 36) % 15 + 1 AS zone_no, point_no % 36 AS slot, hour(timestamp) AS h,
-    300.0e0 + 20 * ((37 * point_no) % 23) AS elevation_m,
-    5.0e0 + CAST(round(100 * v) AS BIGINT) % 4000 / 100.0e0 AS temperature_2m_c
-  FROM first_event),
+    300.0e0 + 20 * ((37 * point_no) % 23) AS elevation_m, 5.0e0 + warmth AS temperature_2m_c
+  FROM hours),
 obs AS (
   SELECT printf('GRID_%03d', point_no) AS point_id, zone_id, timestamp, point_no, event_no, k,
     round(south + 0.1e0 + 0.36e0 * (slot // 6) + 0.005e0 * ((point_no // 540) % 20), 4) AS latitude,
     round(west + 0.1e0 + 0.36e0 * (slot % 6), 4) AS longitude,
     elevation_m, temperature_2m_c,
-    k + 1.0e0 AS relative_humidity_2m_pct,
+    mean_k + 1.0e0 AS relative_humidity_2m_pct,
     1013.0e0 - elevation_m / 8.3e0 AS surface_pressure_hpa,
-    CASE WHEN event_no % 11 = 0 THEN CAST(k % 30 AS DOUBLE) ELSE 0.0e0 END AS precipitation_mm,
-    CAST(event_no % 25 AS DOUBLE) AS wind_speed_10m_kmh,
-    CAST(event_no % 25 + k % 7 AS DOUBLE) AS wind_gusts_10m_kmh,
+    rain AS precipitation_mm,
+    wind AS wind_speed_10m_kmh,
+    CAST(gust AS DOUBLE) AS wind_gusts_10m_kmh,
     round(greatest(0.0e0, 1000.0e0 * sin(pi() * (h - 6) / 12.0e0)), 3) AS solar_radiation_w_m2,
     0.9e0 * round(greatest(0.0e0, 1000.0e0 * sin(pi() * (h - 6) / 12.0e0)), 3) AS shortwave_radiation_w_m2,
-    temperature_2m_c + (k % 5) - 2.0e0 AS soil_temperature_0_to_7cm_c,
-    0.05e0 + (event_no % 35) / 100.0e0 AS soil_moisture_0_to_7cm_m3m3,
-    CASE WHEN h BETWEEN 6 AND 18 THEN 0.1e0 + (k % 6) / 10.0e0 ELSE 0.0e0 END AS et0_evapotranspiration_mm,
-    CAST((7 * k) % 100 AS DOUBLE) AS rain_probability_pct
+    temperature_2m_c + soil - 2.0e0 AS soil_temperature_0_to_7cm_c,
+    0.05e0 + moisture / 100.0e0 AS soil_moisture_0_to_7cm_m3m3,
+    CASE WHEN h BETWEEN 6 AND 18 THEN 0.1e0 + thirst / 10.0e0 ELSE 0.0e0 END AS et0_evapotranspiration_mm,
+    chance AS rain_probability_pct
   FROM placed JOIN zones USING (zone_no))"""
 
 
@@ -91,19 +95,20 @@ def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "value",
         F.get_json_object("props", "$.k").cast("int").alias("k"),
     )
-    first = events.groupBy("point_no", "timestamp").agg(
-        F.min("event_id").alias("event_no"), F.min_by("value", "event_id").alias("v"), F.min_by("k", "event_id").alias("k")
-    )
-    placed = first.select(
-        "point_no", "timestamp", "event_no", "v", "k",
-        (F.floor(F.col("point_no") / 36) % 15 + 1).cast("int").alias("zone_no"),
-        (F.col("point_no") % 36).alias("slot"),
-        F.hour("timestamp").alias("h"),
-        (300.0 + 20.0 * ((37 * F.col("point_no")) % 23)).alias("elevation_m"),
-    )
+    event, k, n = F.col("event_id"), F.col("k"), F.count(F.lit(1))
+    cents = F.round(100 * F.col("value")).cast("bigint") % 4000
+    mean = lambda x: F.floor(F.sum(x) / n).cast("double")
+    # Every event of an hour counts: whole means of what is measured, sums of what falls.
+    hours = events.groupBy("point_no", "timestamp").agg(
+        F.sum(event).alias("event_no"), (F.sum(k) % 100).cast("int").alias("k"), (mean(cents) / 100.0).alias("warmth"), mean(k).alias("mean_k"),
+        F.sum(F.when(event % 11 == 0, (k % 30).cast("double")).otherwise(0.0)).alias("rain"), mean(event % 25).alias("wind"), F.max(event % 25 + k % 7).alias("gust"),
+        mean(k % 5).alias("soil"), mean(event % 35).alias("moisture"), mean(k % 6).alias("thirst"), mean((7 * k) % 100).alias("chance"),
+    )
+    placed = hours.withColumns({
+        "zone_no": (F.floor(F.col("point_no") / 36) % 15 + 1).cast("int"), "slot": F.col("point_no") % 36, "h": F.hour("timestamp"), "elevation_m": 300.0 + 20.0 * ((37 * F.col("point_no")) % 23),
+    })
     zones = catalogs.zones(spark).select("zone_no", "zone_id", "south", "west")
-    event, k, h = F.col("event_no"), F.col("k"), F.col("h")
-    temp = 5.0 + F.round(100 * F.col("v")).cast("bigint") % 4000 / 100.0
+    h, temp = F.col("h"), 5.0 + F.col("warmth")
     sun = F.round(F.greatest(F.lit(0.0), 1000.0 * F.sin(F.lit(math.pi) * (h - 6) / 12.0)), 3)
     shift = 0.005 * (F.floor(F.col("point_no") / 540) % 20)
     return placed.join(F.broadcast(zones), "zone_no").select(
@@ -113,17 +118,17 @@ def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.col("west") + 0.1 + 0.36 * (F.col("slot") % 6), 4).alias("longitude"),
         "elevation_m",
         temp.alias("temperature_2m_c"),
-        (k + 1.0).alias("relative_humidity_2m_pct"),
+        (F.col("mean_k") + 1.0).alias("relative_humidity_2m_pct"),
         (1013.0 - F.col("elevation_m") / 8.3).alias("surface_pressure_hpa"),
-        F.when(event % 11 == 0, (k % 30).cast("double")).otherwise(0.0).alias("precipitation_mm"),
-        (event % 25).cast("double").alias("wind_speed_10m_kmh"),
-        (event % 25 + k % 7).cast("double").alias("wind_gusts_10m_kmh"),
+        F.col("rain").alias("precipitation_mm"),
+        F.col("wind").alias("wind_speed_10m_kmh"),
+        F.col("gust").cast("double").alias("wind_gusts_10m_kmh"),
         sun.alias("solar_radiation_w_m2"),
         (0.9 * sun).alias("shortwave_radiation_w_m2"),
-        (temp + k % 5 - 2.0).alias("soil_temperature_0_to_7cm_c"),
-        (0.05 + event % 35 / 100.0).alias("soil_moisture_0_to_7cm_m3m3"),
-        F.when(h.between(6, 18), 0.1 + k % 6 / 10.0).otherwise(0.0).alias("et0_evapotranspiration_mm"),
-        ((7 * k) % 100).cast("double").alias("rain_probability_pct"),
+        (temp + F.col("soil") - 2.0).alias("soil_temperature_0_to_7cm_c"),
+        (0.05 + F.col("moisture") / 100.0).alias("soil_moisture_0_to_7cm_m3m3"),
+        F.when(h.between(6, 18), 0.1 + F.col("thirst") / 10.0).otherwise(0.0).alias("et0_evapotranspiration_mm"),
+        F.col("chance").alias("rain_probability_pct"),
     )
 
 
