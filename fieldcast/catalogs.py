@@ -5,26 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 # --- fixed values: agro-climatic zones --------------------------------------------------
-# number, name, focus, south edge, west edge. Every box is two degrees wide and high, both
-# ends included; the centroid is the middle of the box.
+# number, name, focus, south, north, west and east edge, latitude and longitude of the centroid; edges are included
 ZONES = [
-    (1, "Western Himalayan", "Kangra–Kullu–Mandi", 31.0, 76.0),
-    (2, "Eastern Himalayan", "Brahmaputra Valley", 25.5, 91.0),
-    (3, "Lower Gangetic", "Bengal Delta Basin", 22.0, 87.5),
-    (4, "Middle Gangetic", "Bihar–Eastern UP", 25.0, 84.0),
-    (5, "Upper Gangetic", "Western UP Doab", 27.5, 77.5),
-    (6, "Trans-Gangetic", "Punjab–Haryana", 29.5, 75.5),
-    (7, "Eastern Plateau", "Chota Nagpur", 22.5, 84.5),
-    (8, "Central Plateau", "Malwa Plateau", 22.5, 75.5),
-    (9, "Western Plateau", "Maharashtra Deccan", 18.5, 73.5),
-    (10, "Southern Plateau", "Telangana–Rayalaseema", 16.5, 77.5),
-    (11, "East Coast Plains", "Krishna Delta & AP", 15.5, 80.0),
-    (12, "West Coast & Ghats", "Konkan–Western Ghats", 15.0, 73.0),
-    (13, "Gujarat Plains", "Saurashtra–C. Gujarat", 21.5, 71.0),
-    (14, "Western Dry", "Semi-Arid Rajasthan", 26.0, 75.0),
-    (15, "Islands Region", "Andaman Maritime Arc", 11.0, 92.0),
+    (1, "Western Himalayan", "Kangra–Kullu–Mandi", 31.0, 33.0, 76.0, 78.0, 32.0, 77.0),
+    (2, "Eastern Himalayan", "Brahmaputra Valley", 25.5, 27.5, 91.0, 93.0, 26.5, 92.0),
+    (3, "Lower Gangetic", "Bengal Delta Basin", 22.0, 24.0, 87.5, 89.5, 23.0, 88.5),
+    (4, "Middle Gangetic", "Bihar–Eastern UP", 25.0, 27.0, 84.0, 86.0, 26.0, 85.0),
+    (5, "Upper Gangetic", "Western UP Doab", 27.5, 29.5, 77.5, 79.5, 28.5, 78.5),
+    (6, "Trans-Gangetic", "Punjab–Haryana", 29.5, 31.5, 75.5, 77.5, 30.5, 76.5),
+    (7, "Eastern Plateau", "Chota Nagpur", 22.5, 24.5, 84.5, 86.5, 23.5, 85.5),
+    (8, "Central Plateau", "Malwa Plateau", 22.5, 24.5, 75.5, 77.5, 23.5, 76.5),
+    (9, "Western Plateau", "Maharashtra Deccan", 18.5, 20.5, 73.5, 75.5, 19.5, 74.5),
+    (10, "Southern Plateau", "Telangana–Rayalaseema", 16.5, 18.5, 77.5, 79.5, 17.5, 78.5),
+    (11, "East Coast Plains", "Krishna Delta & AP", 15.5, 17.5, 80.0, 82.0, 16.5, 81.0),
+    (12, "West Coast & Ghats", "Konkan–Western Ghats", 15.0, 17.0, 73.0, 75.0, 16.0, 74.0),
+    (13, "Gujarat Plains", "Saurashtra–C. Gujarat", 21.5, 23.5, 71.0, 73.0, 22.5, 72.0),
+    (14, "Western Dry", "Semi-Arid Rajasthan", 26.0, 28.0, 75.0, 77.0, 27.0, 76.0),
+    (15, "Islands Region", "Andaman Maritime Arc", 11.0, 13.0, 92.0, 94.0, 12.0, 93.0),
 ]
-ZONE_SIZE_DEG = 2.0
 LIVE_ZONE = "ACZ_14"
 LIVE_NOTICE = "Live in-memory 1km downscaling active for Zone XIV."
 OTHER_NOTICE = (
@@ -150,11 +148,7 @@ BHOONIDHI_ATTRIBUTION = (
 
 def zone_rows() -> list[tuple]:
     """(zone_id, zone_no, name, focus, south, north, west, east, center_lat, center_lon)."""
-    half = ZONE_SIZE_DEG / 2
-    return [
-        (f"ACZ_{no:02d}", no, name, focus, s, s + ZONE_SIZE_DEG, w, w + ZONE_SIZE_DEG, s + half, w + half)
-        for no, name, focus, s, w in ZONES
-    ]
+    return [(f"ACZ_{no:02d}", no, *rest) for no, *rest in ZONES]
 
 
 ZONE_FIELDS = (

@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldcast import catalogs
 from fieldcast.functions import spraying
 from fieldcast.functions.text import fixed
-from fieldcast.operators import timeseries
+from fieldcast.operators import metrics, timeseries
 
 # --- fixed values ----------------------------------------------------------------------
 RAINFAST_HOURS = 4
@@ -224,14 +225,41 @@ def temperature_anomalies(daily: DataFrame, normal: DataFrame, key: list[str]) -
     return rows.withColumns({"heat_wave": heat, "cold_wave": chill})
 
 
-def climatology(anomalies: DataFrame, key: list[str]) -> DataFrame:
-    return anomalies.groupBy(*key).agg(
+def season_start(date: Column) -> Column:
+    """First day of the season that a date lies in."""
+    month, begun = F.month(date), None
+    for _, months in catalogs.SEASONS:
+        begun = (F if begun is None else begun).when(month.isin(months), F.lit(min(months)))
+    return F.make_date(F.year(date), begun, F.lit(1))
+
+
+def climatology(daily: DataFrame, key: list[str], period: tuple[int, int], asked: DataFrame, ahead: int = 7) -> DataFrame:
+    """How the season so far and the coming days compare with the local climate, one row per location.
+
+    `asked` has the key and `as_of`: the season runs from its first day to that day, the forecast over the
+    `ahead` days behind it. Temperatures are compared over all days. A location without days in a
+    window has nulls there.
+    """
+    normal = normals(daily, key, period)
+    placed = daily.join(asked.select(*key, "as_of"), key)
+    windows = {
+        "season": (F.col("date") >= season_start(F.col("as_of"))) & (F.col("date") <= F.col("as_of")),
+        "forecast": (F.col("date") > F.col("as_of")) & (F.col("date") <= F.date_add("as_of", ahead)),
+    }
+    warmth = temperature_anomalies(daily, normal, key).groupBy(*key).agg(
         F.count(F.lit(1)).alias("days"),
         F.avg("tmax_departure_c").alias("mean_tmax_departure_c"),
         F.avg("tmin_departure_c").alias("mean_tmin_departure_c"),
         F.count_if(F.col("heat_wave") != "none").alias("heat_wave_days"),
         F.count_if(F.col("cold_wave") != "none").alias("cold_wave_days"),
     )
+    within = F.when(F.year("date").between(*period), F.year("date"))
+    years = daily.groupBy(*key).agg(F.count_distinct(within).alias("normal_years"))
+    table = warmth.join(asked.select(*key, "as_of"), key).join(years, key)
+    for name, inside in windows.items():
+        rain = rainfall_departure(placed.filter(inside).drop("as_of"), normal, key)
+        table = table.join(rain.withColumnsRenamed({c: f"{name}_{c}" for c in rain.columns if c not in key}), key, "left")
+    return table.withColumns({"normal_period": F.lit(f"{period[0]}-{period[1]}"), "imd_season": metrics.season(F.col("as_of"))})
 
 
 def rule_advisories(facts: DataFrame, rules: DataFrame, key: list[str]) -> DataFrame:

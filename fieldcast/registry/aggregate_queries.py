@@ -215,7 +215,7 @@ def _(spark, sf):
        FROM points JOIN m USING (zone_id)) WHERE anchor_rank <= 8""")
 def _(spark, sf):
     rows = t.obs(spark, sf)
-    points = t.points(spark, sf).join(F.broadcast(baselines.domain_elevation(rows)), "zone_id")
+    points = t.points(spark, sf).join(baselines.domain_elevation(rows), "zone_id")
     return splits.anchor_points(points, ["zone_id"])
 
 

@@ -75,41 +75,41 @@ THRESHOLDS = [(crop, stage, 350.0 * (ordinal - 1)) for crop, stage, ordinal, *_
 SOWN_SQL = f"""{t.DAILY_SQL},
 thresholds AS (SELECT * FROM (VALUES {t.values(THRESHOLDS)}) AS s(crop_key, stage, gdd_threshold)),
 crop_list AS (SELECT row_number() OVER () - 1 AS crop_no, * FROM (VALUES {t.values([(x[0], x[3], x[6]) for x in catalogs.CROPS])}) AS c(crop_key, base_temp_c, upper_temp_c)),
-sowings AS (SELECT DISTINCT point_id, crop_key, base_temp_c, upper_temp_c, DATE '1996-06-15' AS sowing_date FROM daily JOIN crop_list ON CAST(substr(point_id, 4) AS BIGINT) % 6 = crop_no),
-grown AS (SELECT d.point_id, date, crop_key, sowing_date, greatest(0.0e0, (greatest(least(tmax_c, upper_temp_c), base_temp_c) + greatest(least(tmin_c, upper_temp_c), base_temp_c)) / 2 - base_temp_c) AS dd
-  FROM daily d JOIN sowings USING (point_id) WHERE date >= sowing_date AND date < DATE '1997-01-01')"""
+sowings AS (SELECT DISTINCT point_id, year(date) AS year, crop_key, base_temp_c, upper_temp_c, make_date(year(date), 6, 15) AS sowing_date FROM daily JOIN crop_list ON CAST(substr(point_id, 4) AS BIGINT) % 6 = crop_no),
+grown AS (SELECT d.point_id, year(date) AS year, date, crop_key, sowing_date, greatest(0.0e0, (greatest(least(tmax_c, upper_temp_c), base_temp_c) + greatest(least(tmin_c, upper_temp_c), base_temp_c)) / 2 - base_temp_c) AS dd
+  FROM daily d JOIN sowings ON sowings.point_id = d.point_id AND sowings.year = year(date) WHERE date >= sowing_date)"""
 
 
 def sown(spark, sf):
-    """A season sown in June 1996, reported as of the end of that year."""
-    rows = t.daily(spark, sf).filter(c("date") < F.lit("1997-01-01").cast("date"))
+    """A season sown in June of every year, reported as of the end of that year."""
+    rows = t.daily(spark, sf).withColumn("year", F.year("date"))
     names = F.array(*[F.lit(x[0]) for x in catalogs.CROPS])
     number = F.substring("point_id", 4, 20).cast("bigint") % 6
-    stations = t.daily(spark, sf).select("point_id").distinct().withColumn("crop_key", F.element_at(names, (number + 1).cast("int")))
+    stations = rows.select("point_id", "year").distinct().withColumn("crop_key", F.element_at(names, (number + 1).cast("int")))
     limits = catalogs.crops(spark).select("crop_key", "base_temp_c", c("critical_max_temp_c").alias("upper_temp_c"))
-    sowings = stations.join(F.broadcast(limits), "crop_key").withColumn("sowing_date", F.lit("1996-06-15").cast("date"))
+    sowings = stations.join(F.broadcast(limits), "crop_key").withColumn("sowing_date", F.make_date("year", F.lit(6), F.lit(15)))
     stages = spark.createDataFrame(THRESHOLDS, "crop_key string, stage string, gdd_threshold double")
     return rows, sowings, F.broadcast(stages)
 
 
-@query("c4_phenology", "point_id:s crop_key:s observed_days:i accumulated_gdd:d days_after_sowing:i current_stage:s next_stage:s gdd_to_next_stage:d stage_progress_pct:d",
-       f"""WITH {SOWN_SQL}, total AS (SELECT point_id, crop_key, sum(dd) AS accumulated_gdd, count(*) AS observed_days, date_diff('day', min(sowing_date), max(date)) AS days_after_sowing FROM grown GROUP BY 1, 2),
+@query("c4_phenology", "point_id:s year:i crop_key:s observed_days:i accumulated_gdd:d days_after_sowing:i current_stage:s next_stage:s gdd_to_next_stage:d stage_progress_pct:d",
+       f"""WITH {SOWN_SQL}, total AS (SELECT point_id, year, crop_key, sum(dd) AS accumulated_gdd, count(*) AS observed_days, date_diff('day', min(sowing_date), max(date)) AS days_after_sowing FROM grown GROUP BY 1, 2, 3),
        steps AS (SELECT total.*, max(gdd_threshold) FILTER (gdd_threshold <= accumulated_gdd) AS done, min(gdd_threshold) FILTER (gdd_threshold > accumulated_gdd) AS todo,
          arg_max(stage, gdd_threshold) FILTER (gdd_threshold <= accumulated_gdd) AS current_stage, arg_min(stage, gdd_threshold) FILTER (gdd_threshold > accumulated_gdd) AS next_stage
          FROM total JOIN thresholds USING (crop_key) GROUP BY ALL)
        SELECT *, todo - accumulated_gdd AS gdd_to_next_stage, (accumulated_gdd - done) / nullif(todo - done, 0) * 100 AS stage_progress_pct FROM steps""")
 def _(spark, sf):
     rows, sowings, stages = sown(spark, sf)
-    return reports.phenology(rows, sowings, stages, ["point_id"])
+    return reports.phenology(rows, sowings, stages, ["point_id", "year"])
 
 
-@query("c4_stage_dates", "point_id:s crop_key:s stage:s gdd_threshold:d date:y basis:s",
-       f"""WITH {SOWN_SQL}, run AS (SELECT *, sum(dd) OVER (PARTITION BY point_id ORDER BY date ROWS UNBOUNDED PRECEDING) AS g FROM grown)
-       SELECT point_id, crop_key, stage, gdd_threshold, min(run.date) FILTER (g >= gdd_threshold) AS date, CASE WHEN min(run.date) FILTER (g >= gdd_threshold) IS NULL THEN 'not_reached' ELSE 'observed' END AS basis
+@query("c4_stage_dates", "point_id:s year:i crop_key:s stage:s gdd_threshold:d date:y basis:s",
+       f"""WITH {SOWN_SQL}, run AS (SELECT *, sum(dd) OVER (PARTITION BY point_id, year ORDER BY date ROWS UNBOUNDED PRECEDING) AS g FROM grown)
+       SELECT point_id, year, crop_key, stage, gdd_threshold, min(run.date) FILTER (g >= gdd_threshold) AS date, CASE WHEN min(run.date) FILTER (g >= gdd_threshold) IS NULL THEN 'not_reached' ELSE 'observed' END AS basis
        FROM run JOIN thresholds USING (crop_key) GROUP BY ALL""")
 def _(spark, sf):
     rows, sowings, stages = sown(spark, sf)
-    return reports.stage_dates(rows, sowings, stages, ["point_id"])
+    return reports.stage_dates(rows, sowings, stages, ["point_id", "year"])
 
 
 NORMAL_SQL = f"""{t.DAILY_SQL},
@@ -144,11 +144,38 @@ def _(spark, sf):
     return anomalies(spark, sf)
 
 
-@query("c7_climatology", "point_id:s days:i mean_tmax_departure_c:d mean_tmin_departure_c:d heat_wave_days:i cold_wave_days:i",
-       f"""WITH {ANOMALY_SQL} SELECT point_id, count(*) AS days, avg(tmax_departure_c) AS mean_tmax_departure_c, avg(tmin_departure_c) AS mean_tmin_departure_c,
-       count(*) FILTER (heat_wave <> 'none') AS heat_wave_days, count(*) FILTER (cold_wave <> 'none') AS cold_wave_days FROM anomaly GROUP BY 1""")
+def _departed(name: str, where: str) -> str:
+    """Rain of a station's days within a window against its normal."""
+    pct = f"CASE WHEN {name}_normal_mm >= 1 THEN ({name}_rainfall_mm - {name}_normal_mm) / {name}_normal_mm * 100 END"
+    return f"""{name}_sums AS (SELECT point_id, min(date) AS {name}_start_date, max(date) AS {name}_end_date, count(*) AS {name}_days, sum(precipitation_mm) AS {name}_rainfall_mm, sum(nr) AS {name}_normal_mm
+      FROM joined JOIN asked USING (point_id) WHERE {where} GROUP BY 1),
+    {name}_rain AS (SELECT *, CASE WHEN {name}_normal_mm < 1 THEN 'Dry season' WHEN {name}_rainfall_mm <= 0 THEN 'No Rain' WHEN round(pct) >= 60 THEN 'Large Excess' WHEN round(pct) >= 20 THEN 'Excess'
+      WHEN round(pct) >= -19 THEN 'Normal' WHEN round(pct) >= -59 THEN 'Deficient' WHEN round(pct) >= -99 THEN 'Large Deficient' ELSE 'No Rain' END AS {name}_category, pct AS {name}_departure_pct
+      FROM (SELECT *, {pct} AS pct FROM {name}_sums))"""
+
+
+CLIMATE_SQL = f"""{ANOMALY_SQL},
+asked AS (SELECT *, make_date(year(as_of), CASE WHEN month(as_of) < 3 THEN 1 WHEN month(as_of) < 6 THEN 3 WHEN month(as_of) < 10 THEN 6 ELSE 10 END, 1) AS begun FROM (SELECT point_id, max(date) - 7 AS as_of FROM daily GROUP BY 1)),
+{_departed('season', 'date BETWEEN begun AND as_of')}, {_departed('forecast', 'date > as_of AND date <= as_of + 7')},
+warmth AS (SELECT point_id, count(*) AS days, avg(tmax_departure_c) AS mean_tmax_departure_c, avg(tmin_departure_c) AS mean_tmin_departure_c,
+  count(*) FILTER (heat_wave <> 'none') AS heat_wave_days, count(*) FILTER (cold_wave <> 'none') AS cold_wave_days FROM anomaly GROUP BY 1),
+years AS (SELECT point_id, count(DISTINCT year(date)) FILTER (year(date) BETWEEN 1991 AND 2000) AS normal_years FROM daily GROUP BY 1),
+climate AS (SELECT *, '1991-2000' AS normal_period, CASE WHEN month(as_of) < 3 THEN 'Winter (Jan-Feb)' WHEN month(as_of) < 6 THEN 'Pre-Monsoon Summer (Mar-May)' WHEN month(as_of) < 10 THEN 'Monsoon (Jun-Sep)' ELSE 'Post-Monsoon (Oct-Dec)' END AS imd_season
+  FROM warmth JOIN asked USING (point_id) JOIN years USING (point_id) LEFT JOIN season_rain USING (point_id) LEFT JOIN forecast_rain USING (point_id))"""
+RAIN_PART = "{0}_start_date:y {0}_end_date:y {0}_days:i {0}_rainfall_mm:d {0}_normal_mm:d {0}_departure_pct:d {0}_category:s"
+
+
+def climate(spark, sf):
+    """As of a week before each station's last day: the days after it stand for the forecast."""
+    rows = t.daily(spark, sf)
+    asked = rows.groupBy("point_id").agg(F.date_sub(F.max("date"), 7).alias("as_of"))
+    return reports.climatology(rows, ["point_id"], PERIOD, asked)
+
+
+@query("c7_climatology", f"point_id:s as_of:y normal_period:s normal_years:i imd_season:s {RAIN_PART.format('season')} {RAIN_PART.format('forecast')} days:i mean_tmax_departure_c:d mean_tmin_departure_c:d heat_wave_days:i cold_wave_days:i",
+       f"WITH {CLIMATE_SQL} SELECT * FROM climate")
 def _(spark, sf):
-    return reports.climatology(anomalies(spark, sf), ["point_id"])
+    return climate(spark, sf)
 
 
 @query("c8_power_daily", "point_id:s date:y t2m_c:d precip_corr_mm:d rh2m_pct:d",
