@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldcast import catalogs
-from fieldcast.operators import indices, lookups
-from fieldcast.plans import features, reports
+from fieldcast.operators import indices, lookups, timeseries
+from fieldcast.plans import features, fleet, forecasts, reports
+from fieldcast.registry import feature_queries, join_queries
 from fieldcast.registry import tables as t
-from fieldcast.registry.base import query
+from fieldcast.registry.base import ORACLES, query
 from fieldcast.registry.index_queries import DEFAULT_STRESS
 from fieldcast.sources import weather
 
@@ -213,9 +214,72 @@ def _(spark, sf):
     )
 
 
-@query("c10_combined_payload", "zone_id:s point_id:s payload:s")
+def own_station(rows):
+    """Daily stations under the ids of the hourly ones: station n there is point n - 1 here."""
+    return rows.withColumn("point_id", F.format_string("GRID_%03d", F.substring("point_id", 4, 20).cast("bigint") - 1))
+
+
+def payload(spark, sf):
+    """All parts of a location's report; a part it has no data for is left out of its document."""
+    key, series, rows = ["point_id"], t.series(spark, sf), t.obs(spark, sf)
+    first = F.min_by(F.struct("timestamp", "temperature_2m_c", "relative_humidity_2m_pct", "wind_speed_10m_kmh"), "timestamp").alias("_b")
+    day = rows.groupBy("point_id", F.to_date("timestamp").alias("date")).agg(
+        F.max("temperature_2m_c").alias("temperature_max_c"), F.min("temperature_2m_c").alias("temperature_min_c"), F.sum("precipitation_mm").alias("precipitation_sum_mm"),
+        F.max("rain_probability_pct").alias("precipitation_probability_pct"),
+    )
+    outlook = timeseries.first_rows(day, key, "date", 7).drop("_row_no")
+    rules = spark.createDataFrame(RULES, "rule_id string, metric string, comparison string, threshold double, risk_level string, action string")
+    facts = indices.stress_indices(series, KEY).select("point_id", "heat_stress_hours", "mean_vpd_kpa", "inversion_strength_c", "gdd_accumulated_c_days")
+    grown, sowings, stages = sown(spark, sf)
+    stage = reports.phenology(grown, sowings, stages, ["point_id", "year"]).groupBy("point_id").agg(F.max_by(F.struct("year", "crop_key", "current_stage", "next_stage", "accumulated_gdd"), "year").alias("_p"))
+    points = t.points(spark, sf).select("zone_id", "point_id", "latitude", "longitude", "elevation_m")
+    served = forecasts.downscale(feature_queries.serving(spark, sf, 1))
+    parts = {
+        "agro_climatic_zone": points.join(catalogs.zones(spark).select("zone_id", "zone_no", "zone_name", "focus_domain"), "zone_id", "left"),
+        "baseline_weather": rows.groupBy(*key).agg(first).select("point_id", "_b.*"),
+        "downscaled_weather": served.select("point_id", "timestamp", "baseline_value", "downscaled_value", "confidence_score"),
+        "advisory": reports.rule_advisories(facts, rules, key),
+        "bhoonidhi": fleet.satellite_context(points, join_queries.items(spark, sf), key).select("point_id", "matched_items", "soil_moisture_m3_m3", "collections", "attribution"),
+        "daily_forecast": outlook.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("date", "temperature_max_c", "temperature_min_c", "precipitation_sum_mm", "precipitation_probability_pct"))).alias("days")),
+        "spray_windows": reports.spray_summary(reports.spray_assessment(series, KEY), KEY).drop("zone_id"),
+        "phenology": own_station(stage.select("point_id", "_p.*")),
+        "climatology": own_station(climate(spark, sf)),
+    }
+    return reports.combined(parts, key)
+
+
+@query("c10_combined_payload", "point_id:s payload:s")
 def _(spark, sf):
-    series = t.series(spark, sf)
-    return reports.combined(
-        {"indices": indices.indices(series, KEY), "spray_windows": reports.spray_summary(reports.spray_assessment(series, KEY), KEY)}, KEY
-    )
+    return payload(spark, sf)
+
+
+def _part(name: str) -> str:
+    return f"({ORACLES[name]})"
+
+
+GRID = "printf('GRID_%03d', CAST(substr(point_id, 4) AS BIGINT) - 1) AS point_id"
+
+
+@query("c10_payload_fields",
+       "point_id:s zone_name:s temperature:d served:d confidence:d risk:s matched:i days:i first_max:d windows:i horizon:i year:i stage:s season:s heat_days:i season_rain:d",
+       f"""WITH {t.OBS_SQL}, {join_queries.ITEMS_SQL}, points AS (SELECT DISTINCT point_id, zone_id, latitude, longitude FROM obs),
+       base AS (SELECT point_id, arg_min(temperature_2m_c, timestamp) AS temperature FROM obs GROUP BY 1),
+       served AS (SELECT point_id, arg_min(downscaled_value, timestamp) AS served, arg_min(confidence_score, timestamp) AS confidence FROM {_part('d5_downscaled_forecast')} GROUP BY 1),
+       near AS (SELECT point_id, count(*) AS matched FROM points l JOIN items i ON l.latitude BETWEEN i.latitude - 0.25e0 AND i.latitude + 0.25e0 AND l.longitude BETWEEN i.longitude - 0.25e0 AND i.longitude + 0.25e0 GROUP BY 1),
+       days AS (SELECT point_id, CAST(timestamp AS DATE) AS date, max(temperature_2m_c) AS warmest FROM obs GROUP BY 1, 2),
+       outlook AS (SELECT point_id, least(count(*), 7) AS days, arg_min(warmest, date) AS first_max FROM days GROUP BY 1),
+       stages AS (SELECT {GRID}, max(year) AS year, arg_max(current_stage, year) AS stage FROM {_part('c4_phenology')} GROUP BY 1),
+       climate AS (SELECT {GRID}, imd_season AS season, heat_wave_days AS heat_days, season_rainfall_mm AS season_rain FROM {_part('c7_climatology')})
+       SELECT point_id, zone_name, temperature, served, confidence, a.risk_level AS risk, coalesce(matched, 0) AS matched, days, first_max, windows, horizon_h AS horizon, year, stage, season, heat_days, season_rain
+       FROM points LEFT JOIN zones USING (zone_id) JOIN base USING (point_id) JOIN served USING (point_id) LEFT JOIN {_part('c9_rule_advisories')} a USING (point_id) LEFT JOIN near USING (point_id) JOIN outlook USING (point_id)
+       LEFT JOIN {_part('c2_spray_summary')} s USING (point_id) LEFT JOIN stages USING (point_id) LEFT JOIN climate USING (point_id)""")
+def _(spark, sf):
+    # Read back from the documents, as a client would.
+    at = lambda path, kind="string": F.get_json_object("payload", f"$.{path}").cast(kind)
+    return payload(spark, sf).select(
+        "point_id", at("agro_climatic_zone.zone_name").alias("zone_name"), at("baseline_weather.temperature_2m_c", "double").alias("temperature"),
+        at("downscaled_weather.downscaled_value", "double").alias("served"), at("downscaled_weather.confidence_score", "double").alias("confidence"), at("advisory.risk_level").alias("risk"),
+        at("bhoonidhi.matched_items", "bigint").alias("matched"), F.json_array_length(at("daily_forecast.days")).alias("days"), at("daily_forecast.days[0].temperature_max_c", "double").alias("first_max"),
+        at("spray_windows.windows", "bigint").alias("windows"), at("spray_windows.horizon_h", "bigint").alias("horizon"), at("phenology.year", "bigint").alias("year"), at("phenology.current_stage").alias("stage"),
+        at("climatology.imd_season").alias("season"), at("climatology.heat_wave_days", "bigint").alias("heat_days"), at("climatology.season_rainfall_mm", "double").alias("season_rain"),
+    )
