@@ -45,7 +45,7 @@ def assembler(features: list[str]) -> VectorAssembler:
 def forest(trees: int = 300, depth: int = 14, seed: int = 42) -> RandomForestRegressor:
     return RandomForestRegressor(
         labelCol=TARGET, featuresCol="features", predictionCol="predicted_residual_c", numTrees=trees,
-        maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed, maxMemoryInMB=2048,
+        maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed, maxMemoryInMB=512,
     )
 
 

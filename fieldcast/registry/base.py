@@ -51,6 +51,9 @@ def query(name: str, columns: str, sql: str | None = None):
 
     def register(build: Callable[[SparkSession, str], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            from fieldcast.registry import tables
+
+            tables.forget()
             spark.conf.set("spark.sql.session.timeZone", "UTC")
             return build(spark, sf_dir).select(*[_spark(*c) for c in spec])
 

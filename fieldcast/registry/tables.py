@@ -18,8 +18,13 @@ from fieldcast import catalogs
 _PLANS: dict[tuple, DataFrame] = {}
 
 
+def forget() -> None:
+    """Drop the plans kept, so that a table written anew is listed anew; called before each registered query."""
+    _PLANS.clear()
+
+
 def planned(build):
-    """Keep the plan (never the rows) a function builds, once per Spark application and argument."""
+    """Keep the plan (never the rows) a function builds, for as long as one query is put together."""
     @wraps(build)
     def reuse(spark: SparkSession, *args) -> DataFrame:
         key = (build.__name__, spark.sparkContext.applicationId, id(spark), *args)
