@@ -63,7 +63,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_sentence_pieces")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sentence_pieces.encode(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.sha2(F.concat("begins", "ends"), 256).alias("spans_sha256"))
 
 
 @query("op6_fixed_block_anchors")

@@ -6,21 +6,27 @@ merges the pair of the best score, leftmost first, until none is left, and every
 projected through that record to its span of source bytes.
 
 Pieces never cross from a word into the space symbol before the next one (this is read off
-the vocabulary, not assumed), so words are merged on their own and remembered; the memory
-of a worker is bounded and only saves time.
+the vocabulary, not assumed), so words are merged on their own and remembered: their ids,
+how many source bytes each id takes, and the bytes they decode to. Where the character map
+changes nothing, a batch of texts is cut into words by Arrow, each different word is looked
+up once, and ids, spans and decoded texts are put together for the whole batch by numpy. The
+memory of a worker is bounded by letters and only saves time.
 """
 
 from __future__ import annotations
 
+import gc
 import heapq
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +34,12 @@ from fieldcast.llm.rows import whole
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 MARK = "▁"
-#: Words a worker remembers at most.
-REMEMBERED = 200_000
+#: Letters of words that a worker remembers at once, and bytes of texts that are encoded together.
+REMEMBERED, TOGETHER = 6 << 20, 2 << 20
+#: Up to so many characters the best pair is looked for in a list, beyond in a heap.
+SHORT = 32
+#: Stands between words while a batch is cut; a text that holds it goes its own way.
+CUT = "\x01"
 
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -94,7 +104,10 @@ class Pieces:
         parted = not any(p[0] != MARK and p[1] == MARK for p in pairs)
         lines = not any("\n" in p for p in pairs)
         self.unit = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n" if parted and lines else f"{MARK}*[^{MARK}]+|{MARK}+" if parted else r"(?s).+")
+        self.cut = f"({self.unit.pattern})" if parted else None
         self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.letters = 0
+        self.bank = Bank(self)
 
     def normalise(self, text: str) -> tuple[list[str], list[int], list[int]]:
         """Characters after normalisation, and from which byte to which of the source each of them stands for."""
@@ -123,6 +136,18 @@ class Pieces:
     def merge(self, unit: str) -> list[str]:
         """The pieces of a stretch of normalised text."""
         n, scores = len(unit), self.scores
+        if n <= SHORT:
+            parts, get, none = list(unit), scores.get, -np.inf
+            pairs = [get(a + b, none) for a, b in zip(unit, unit[1:])]
+            while pairs and (best := max(pairs)) > none:
+                i = pairs.index(best)
+                parts[i] += parts.pop(i + 1)
+                del pairs[i]
+                if i < len(pairs):
+                    pairs[i] = get(parts[i] + parts[i + 1], none)
+                if i:
+                    pairs[i - 1] = get(parts[i - 1] + parts[i], none)
+            return parts
         parts, after, before = list(unit), list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(-scores[p], i, p) for i in range(n - 1) if (p := unit[i : i + 2]) in scores]
         heapq.heapify(heap)
@@ -145,15 +170,21 @@ class Pieces:
             return [self.ids[piece]]
         return [self.bytes[b] for b in piece.encode()] if self.fallback else [self.unknown]
 
-    def _unit(self, unit: str) -> tuple[bytes, bytes]:
+    def _numbers(self, unit: str) -> tuple[list[int], list[int]]:
         """Ids of a stretch and how many source bytes each takes, a space symbol standing for one byte."""
         ids, sizes = [], []
         for piece in self.merge(unit):
             some = self.ids_of(piece)
             ids += some
-            sizes += [0] * (len(some) - 1) + [sum(1 if ch == MARK else len(ch.encode()) for ch in piece)]
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
+            sizes += [0] * (len(some) - 1) + [len(piece) if piece.isascii() else len(piece.encode()) - 2 * piece.count(MARK)]
+        return ids, sizes
+
+    def _unit(self, unit: str) -> tuple[bytes, bytes]:
+        """Both as bytes, remembered."""
+        ids, sizes = self._numbers(unit)
+        if self.letters >= REMEMBERED:
+            self.known, self.letters = {}, 0
+        self.letters += len(unit)
         found = self.known[unit] = np.array(ids, np.uint32).tobytes(), np.array(sizes, np.int32).tobytes()
         return found
 
@@ -225,6 +256,93 @@ class Pieces:
         return "".join(out)
 
 
+    def together(self, text: str) -> bool:
+        """Whether a text can be encoded with others."""
+        return bool(text) and self.cut is not None and not self.map.units and not self.squeeze and self.escape and MARK not in text and CUT not in text
+
+    def encode_together(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids with begin and end, where each text's begin, begins and ends of their spans, decoded bytes, and where each text's begin."""
+        marked = pc.replace_substring(texts.cast(pa.large_string()), " ", MARK)
+        if self.prefix:
+            marked = pc.binary_join_element_wise(pa.scalar(MARK, pa.large_string()), marked, pa.scalar("", pa.large_string()))
+        split = pc.split_pattern(pc.replace_substring_regex(marked, self.cut, "\\1" + CUT), CUT)
+        words = split.flatten().dictionary_encode()
+        bank = self.bank
+        unit = bank.places(words.dictionary.to_pylist())
+        ends = np.cumsum(split.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+        firsts = np.concatenate([[0], ends[:-1]])
+        codes = unit[words.indices.to_numpy(zero_copy_only=False)]
+        leads = np.frombuffer(bank.marked, np.uint8)[codes[firsts]].astype(np.int64)
+        codes = np.insert(codes, np.column_stack([firsts, ends]).ravel(), np.tile([bank.BEGIN, bank.END], len(ends)))
+        last = ends + 2 * np.arange(1, len(ends) + 1)
+
+        def gather(flat: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            begin = np.concatenate([[0], stops])[codes]
+            length = stops[codes] - begin
+            after = np.cumsum(length)
+            return flat[np.arange(after[-1]) + np.repeat(begin - (after - length), length)], np.concatenate([[0], after[last - 1]])
+
+        id_stops, text_stops = np.frombuffer(bank.id_stops, np.int64), np.frombuffer(bank.text_stops, np.int64)
+        ids, at = gather(np.frombuffer(bank.ids, np.uint32), id_stops)
+        sizes = gather(np.frombuffer(bank.sizes, np.int32), id_stops)[0].astype(np.int64)
+        if self.prefix:  # the mark in front stands for nothing
+            some = np.flatnonzero(sizes)
+            sizes[some[np.searchsorted(some, at[:-1])]] -= 1
+        total = np.cumsum(sizes)
+        stop = total - np.repeat(np.concatenate([[0], total])[at[:-1]], np.diff(at))
+        text, begun = gather(np.frombuffer(bank.text, np.uint8), text_stops)
+        if self.prefix:  # and is nothing again
+            drop = np.flatnonzero(leads)
+            text = np.delete(text, begun[:-1][drop])
+            begun = begun - np.concatenate([[0], np.cumsum(leads)])
+        return ids, at, (stop - sizes).astype(np.int32), stop.astype(np.int32), text, begun
+
+
+class Bank:
+    """Words with their ids, the source bytes of each id and their decoded bytes, end to end; a word is known by its place."""
+
+    BEGIN, END = 0, 1
+
+    def __init__(self, model: Pieces):
+        self.model = model
+        self._empty()
+
+    def _empty(self) -> None:
+        self.known, self.letters = {"": 2}, 0
+        self.ids, self.sizes, self.text, self.marked, self.id_stops, self.text_stops = bytearray(), bytearray(), bytearray(), bytearray(), array("q"), array("q")
+        for numbers in ([self.model.begin], [self.model.end], []):
+            self._add(numbers, [0] * len(numbers), b"", False)
+
+    def _add(self, numbers: list[int], sizes: list[int], text: bytes, marked: bool) -> None:
+        self.ids += array("I", numbers).tobytes()
+        self.sizes += array("i", sizes).tobytes()
+        self.text += text
+        self.marked.append(marked)
+        self.id_stops.append(len(self.ids) // 4)
+        self.text_stops.append(len(self.text))
+
+    def places(self, words: list[str]) -> np.ndarray:
+        """The place of each word; those not known are merged."""
+        if self.letters >= REMEMBERED:
+            self._empty()
+        model, known = self.model, self.known
+        kinds, pieces_, surfaces = model.kinds, model.pieces, model.surfaces
+        # Nothing here refers to itself, and the collector would walk the whole memory again and again.
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            for word in words:
+                if word not in known:
+                    numbers, sizes = model._numbers(word)
+                    known[word] = len(self.marked)
+                    self._add(numbers, sizes, b"".join([surfaces[i] for i in numbers]), kinds[numbers[0]] in (NORMAL, UNUSED) and pieces_[numbers[0]][0] == MARK)
+                    self.letters += len(word)
+        finally:
+            if collecting:
+                gc.enable()
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
+
 @cache
 def pieces(path: str = MODEL) -> Pieces:
     return Pieces(path)
@@ -242,21 +360,39 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", model: str
     columns are not looked at.
     """
 
+    names = ["doc_id", "n_tokens", "ids", "begins", "ends", "decoded"]
+
+    def binary(values: np.ndarray, at: np.ndarray, kind: pa.DataType = pa.binary()) -> pa.Array:
+        width = values.dtype.itemsize
+        wide = pa.large_string() if kind == pa.string() else pa.large_binary()
+        return pa.Array.from_buffers(wide, len(at) - 1, [None, pa.py_buffer(np.ascontiguousarray(at * width)), pa.py_buffer(np.ascontiguousarray(values))]).cast(kind)
+
+    def many(own: Pieces, ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+        found, at, begins, ends, back, begun = own.encode_together(texts)
+        shown = binary(back, begun, pa.string()) if decoded else pa.nulls(len(ids), pa.string())
+        return pa.RecordBatch.from_arrays([ids, pa.array(np.diff(at), pa.int64()), binary(found, at), binary(begins, at), binary(ends, at), shown], names)
+
+    def one(own: Pieces, id_: int | None, text: str) -> dict:
+        ids, begins, ends = own.encode(text)
+        ids = np.concatenate([[own.begin], ids, [own.end]]).astype(np.uint32)
+        last = ends[-1:] if len(ends) else np.zeros(1, np.int32)
+        begins, ends = (np.concatenate([np.zeros(1, np.int32), x, last]).astype(np.int32) for x in (begins, ends))
+        return {"doc_id": id_, "n_tokens": len(ids), "ids": ids.tobytes(), "begins": begins.tobytes(), "ends": ends.tobytes(), "decoded": own.decode(ids.tolist()) if decoded else None}
+
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("begins", pa.binary()), ("ends", pa.binary()), ("decoded", pa.string())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(model)
         for batch in batches:
-            rows = []
-            for value in batch.column("text"):
-                data = value.as_py()
-                ids, begins, ends = own.encode(data)
-                ids = np.concatenate([[own.begin], ids, [own.end]]).astype(np.uint32)
-                last = ends[-1:] if len(ends) else np.zeros(1, np.int32)
-                begins, ends = (np.concatenate([np.zeros(1, np.int32), x, last]) for x in (begins, ends))
-                rows.append((len(ids), ids.tobytes(), begins.tobytes(), ends.tobytes(), own.decode(ids.tolist()) if decoded else None))
-            n, ids, begins, ends, back = zip(*rows) if rows else [()] * 5
-            yield pa.record_batch({
-                "doc_id": batch.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids": pa.array(ids, pa.binary()), "begins": pa.array(begins, pa.binary()),
-                "ends": pa.array(ends, pa.binary()), "decoded": pa.array(back, pa.string()),
-            })
+            ids, texts = batch.column("doc_id"), batch.column("text")
+            values = texts.to_pylist()
+            joint = np.array([own.together(v) for v in values], bool)
+            size = np.cumsum(np.where(joint, np.fromiter(map(len, values), np.int64, len(values)), 0)) // TOGETHER
+            for group in np.unique(size[joint]):
+                at = pa.array(np.flatnonzero(joint & (size == group)))
+                yield many(own, ids.take(at), texts.take(at))
+            alone = np.flatnonzero(~joint).tolist()
+            if alone:
+                yield pa.RecordBatch.from_pylist([one(own, ids[k].as_py(), values[k]) for k in alone], schema)
 
     return docs.select(F.col(key).cast("bigint").alias("doc_id"), whole(text).alias("text")).mapInArrow(run, ENCODED)
