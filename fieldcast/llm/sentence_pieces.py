@@ -35,7 +35,7 @@ from fieldcast.llm.rows import whole
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 MARK = "▁"
 #: Letters of words that a worker remembers at once, and bytes of texts that are encoded together.
-REMEMBERED, TOGETHER = 6 << 20, 2 << 20
+REMEMBERED, TOGETHER = 8 << 20, 2 << 20
 #: Up to so many characters the best pair is looked for in a list, beyond in a heap.
 SHORT = 32
 #: Stands between words while a batch is cut; a text that holds it goes its own way.
