@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldcast.operators import boosting, model_registry, residual_models
+from fieldcast.operators import boosting, forest, model_registry, residual_models
 from fieldcast.plans import fleet, forecasts
 from fieldcast.session import shared_folder
 
@@ -134,6 +134,52 @@ def test_importances_are_shares(spark):
         assert sum(shares.values()) == pytest.approx(1.0) and shares["c"] == min(shares.values())
 
 
+def _plain_tree(codes, y, weight, tree, s, node=0, level=0):
+    """Leaf mean of each row, one node after the other."""
+    out = np.full(len(y), np.average(y, weights=weight) if weight.sum() else 0.0)
+    if level == s.depth or weight.sum() < 2 * s.least:
+        return out
+    best = (1e-9, None, None)
+    for k in forest.looked_at(tree, level, codes.shape[1], s)[node - (2**level - 1)].tolist():
+        for cut in range(s.bins):
+            left = codes[:, k] <= cut
+            a, b = weight[left].sum(), weight[~left].sum()
+            if min(a, b) >= s.least:
+                gain = ((y * weight)[left].sum() ** 2 / a + (y * weight)[~left].sum() ** 2 / b - (y * weight).sum() ** 2 / (a + b)) / boosting.SCALE**2
+                best = max(best, (gain, -k, -cut), key=lambda x: x[0])
+    if best[1] is not None:
+        right = codes[:, -best[1]] > -best[2]
+        for side in (0, 1):
+            at = right == side
+            out[at] = _plain_tree(codes[at], y[at], weight[at], tree, s, 2 * node + 1 + side, level + 1)
+    return out
+
+
+def test_a_tree_of_the_forest_is_grown_node_by_node():
+    rng = np.random.default_rng(4)
+    codes, ids, s = rng.integers(0, 8, (300, 6)).astype(np.uint8), rng.integers(-(2**62), 2**62, 300), forest.Settings(depth=4, bins=8)
+    y = np.round((codes[:, 0] + (codes[:, 1] > 3) * codes[:, 2] + rng.random(300)) * boosting.SCALE)
+    for tree in range(3):
+        weight = forest.times(ids, tree, s)
+        assert 0.5 < (weight > 0).mean() < 0.75 and 0.8 < weight.mean() < 1.2
+        feature, bin_, value, _ = forest.grow(codes, y, ids, tree, s)
+        node = np.zeros(300, int)
+        for _ in range(s.depth):
+            node = boosting.step(codes, node, feature, bin_)
+        seen = weight > 0
+        assert value[node][seen] == pytest.approx(_plain_tree(codes[seen], y[seen], weight[seen], tree, s))
+
+
+def test_a_forest_is_the_same_in_any_order_and_predicts(spark):
+    rows, s = _rows(spark).withColumn("residual_anomaly_c", F.col("y")), forest.Settings(trees=20, depth=6)
+    trees = forest.fit(rows, INPUTS, "y", s)
+    assert sorted(map(str, trees.collect())) == sorted(map(str, forest.fit(rows.repartition(2), INPUTS, "y", s).collect())) and trees.count() == 21
+    known = rows.withColumn("baseline_temp_c", F.lit(0.0))
+    scored = residual_models.forest_score(known, known, INPUTS, s).toPandas()
+    assert len(scored) == 480 and np.mean((scored["predicted_residual_c"] - scored["y"]) ** 2) < 0.1 * scored["y"].var()
+    assert forest.fit(rows.limit(0), INPUTS, "y", s).count() == 0
+
+
 def test_every_small_model_has_a_task_of_its_own(spark):
     """Models dealt by the hash of their names may share a task, which then takes as long as both."""
     zones = [f"Z{i}" for i in range(12)]
