@@ -41,6 +41,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, whose five-word shingles have a Jaccard similarity of 0.8 or more.
 
+    SimHash blocks, the method of op8, choose candidates, MinHash bands those that they lose; the exact similarity decides.
     The one with the smallest id stays, a null id last, and of several texts with that id one. Null
     and wordless texts are one group. Rows alike in id and text are one document and stay together.
     """

@@ -1,6 +1,8 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles; MinHash bands only choose what is compared.
+"""Near-duplicates by the exact Jaccard similarity of word shingles; SimHash blocks and MinHash bands choose what is compared.
 
-A text is the set of hashes of its word shingles. Its MinHash values are cut into bands, and
+A text is the set of hashes of its word shingles. Texts whose SimHash fingerprints link (`simhash.links`)
+are candidates. At similarity 0.8 fingerprints differ in some ten bits and seldom link, so those that
+they lose are chosen by a second way: a text's MinHash values are cut into bands, and
 texts that agree in a band are candidates: with 24 bands of 5 values a pair at similarity 0.8
 meets in one with a chance of 0.9999, and at 0.9 or more practically always. Each band hangs
 its texts on one of them, so candidates are stars, never pairs, and their components are the
@@ -23,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldcast.llm import simhash
 from fieldcast.llm.components import components
 from fieldcast.llm.rows import utf8
 from fieldcast.session import settle
@@ -34,14 +37,7 @@ SLICE = 1 << 12
 
 def shingles(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
     """The different hashes of a text's word shingles, sorted; a shorter text is one shingle, a wordless one has none."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined, n = b" ".join(words), max(1, len(words) - shingle + 1)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts, stops = [0, *ends[: n - 1].tolist()], (ends - 1)[min(shingle, len(words)) - 1 :].tolist()
-    one = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((one(joined[a:b], seed) for a, b in zip(starts, stops)), np.uint64, n))
+    return np.unique(simhash.hashes(text, shingle, seed))
 
 
 def _mixers(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +109,7 @@ def _linked(sets: list[np.ndarray], similarity: float) -> Iterator[tuple[int, np
 
 
 def near_duplicates(
-    docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, values: int = VALUES, seed: int = SEED, mass: int = MASS
+    docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, values: int = VALUES, seed: int = SEED, mass: int = MASS, bits: int = simhash.BITS, blocks: int = simhash.BLOCKS
 ) -> DataFrame:
     """doc_id, component_id: the smallest doc_id reachable over links of at least `similarity`; row, component: numbers of the row's id and text and of its component.
 
@@ -126,23 +122,31 @@ def near_duplicates(
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, keys = [], [], []
+            nodes, sizes, keys, prints = [], [], [], []
             for value in utf8(batch.column("text")):
-                own = shingles(value, shingle, seed)
+                every = simhash.hashes(value, shingle, seed)
+                own = np.unique(every)
+                prints.append(simhash.majority(every))
                 nodes.append(xxhash.xxh64_intdigest(own.tobytes(), seed))
                 sizes.append(len(own))
                 keys.append(band_keys(own, factors, terms, bands))
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * bands, pa.int32()), flat)
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "row": batch.column("row"), "node": pa.array(np.array(nodes, np.uint64).view(np.int64)), "size": pa.array(sizes, pa.int64()), "keys": lists})
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "row": batch.column("row"), "node": pa.array(np.array(nodes, np.uint64).view(np.int64)), "size": pa.array(sizes, pa.int64()), "print": pa.array(np.array(prints, np.uint64).view(np.int64)), "keys": lists})
 
-    sketched = settle(slim.mapInArrow(sketch, "doc_id bigint, row bigint, node bigint, size bigint, keys array<bigint>"))
+    sketched = settle(slim.mapInArrow(sketch, "doc_id bigint, row bigint, node bigint, size bigint, print bigint, keys array<bigint>"))
     nodes = settle(sketched.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.first("size").alias("size")))
     keyed = sketched.select("node", F.explode("keys").alias("key"))
     heads = keyed.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").select("key", "head")
-    blocks = settle(components(keyed.join(heads, "key").where("node != head").select("node", "head"), "node", "head").withColumnRenamed("component", "block"))
-
-    placed = nodes.join(blocks, "node").select("row", "node", "block", "size")
+    banded = keyed.join(heads, "key").where("node != head").select("node", "head")
+    # Texts of one fingerprint hang on one of them, and such heads on each other where their fingerprints link.
+    printed = settle(sketched.groupBy("print").agg(F.min("node").alias("head")))
+    alike = sketched.select("node", "print").join(printed, "print").where("node != head").select("node", "head")
+    ends = [printed.select(F.col("print").alias(side), F.col("head").alias(name)) for side, name in (("a", "node"), ("b", "head"))]
+    close = simhash.links(printed.select("print"), bits, blocks).join(ends[0], "a").join(ends[1], "b").where("node != head").select("node", "head")
+    reached = settle(components(banded.union(alike).union(close), "node", "head").withColumnRenamed("component", "block"))
+
+    placed = nodes.join(reached, "node").select("row", "node", "block", "size")
     crowded = placed.groupBy("block").agg(F.ceil(F.sum("size") / mass).cast("int").alias("parts")).where("parts > 1")
     placed = placed.join(crowded, "block", "left").select("row", "node", "block", F.coalesce("parts", F.lit(1)).alias("parts"))
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")

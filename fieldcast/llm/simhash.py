@@ -31,20 +31,29 @@ SHINGLE, SEED, BITS, BLOCKS, DENSE = 4, 42, 4, 7, 4096
 SLICE = 1 << 15
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The SimHash of a text's word shingles: a bit is set where it is set in over half their hashes."""
+def hashes(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """The hashes of a text's word shingles in order, repeats included; a shorter text is one shingle, a wordless one has none."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, n = b" ".join(words), max(1, len(words) - shingle + 1)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts, stops = [0, *ends[: n - 1].tolist()], (ends - 1)[min(shingle, len(words)) - 1 :].tolist()
     one = xxhash.xxh64_intdigest
+    return np.fromiter((one(joined[a:b], seed) for a, b in zip(starts, stops)), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """A bit is set where it is set in over half the hashes."""
     set_ = np.zeros(64, np.int64)
-    for i in range(0, n, SLICE):
-        some = np.fromiter((one(joined[a:b], seed) for a, b in zip(starts[i : i + SLICE], stops[i : i + SLICE])), np.uint64)
-        set_ += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(set_ * 2 > n, bitorder="little").view(np.uint64)[0])
+    for i in range(0, len(hashes), SLICE):
+        set_ += np.unpackbits(hashes[i : i + SLICE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(set_ * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """The SimHash of a text's word shingles."""
+    return majority(hashes(text, shingle, seed))
 
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:

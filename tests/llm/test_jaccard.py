@@ -7,7 +7,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from fieldcast.llm import jaccard
+from fieldcast.llm import jaccard, simhash
 from tests.llm import corpus
 
 SF = "/root/testdata/sf0.001"
@@ -70,3 +70,14 @@ def test_near_copies_in_parts_and_awkward_rows(spark, mass):
 def test_near_copies_of_the_given_documents(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").limit(600).collect()]
     assert _made(spark, rows) == _survivors(rows)
+
+
+def test_simhash_blocks_choose_candidates(spark):
+    """One band of sixty values lets hardly a pair meet; near copies whose fingerprints link are found all the same."""
+    rows = planted()
+    sets, prints = [_set(t) for _, t in rows], [simhash.fingerprint(t.encode(), jaccard.SHINGLE, jaccard.SEED) for _, t in rows]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= simhash.BITS and _similar(sets[i], sets[j])]
+    assert len(pairs) > 10
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    root = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs, bands=1, values=60).collect()}
+    assert all(root[i] == root[j] for i, j in pairs)
