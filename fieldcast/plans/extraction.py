@@ -33,10 +33,10 @@ ADVICE = r"(?im)^\s*(?:crop\s+)?advis(?:ory|ories)\s*:\s*([^\n]+)$"
 
 
 def _numbers(text: Column, pattern: str) -> Column:
-    """Every number of either group, as an array of doubles."""
-    low = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    high = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
-    return F.array_compact(F.transform(F.concat(low, high), lambda v: v.try_cast("double")))
+    """Every number of either group, as an array of doubles. The text is searched once; the groups are read off the short matches."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    both = F.transform(found, lambda m: F.array(F.regexp_extract(m, pattern, 1), F.regexp_extract(m, pattern, 2)))
+    return F.array_compact(F.transform(F.flatten(both), lambda v: v.try_cast("double")))
 
 
 def _first(text: Column, pattern: str, group: int = 1) -> Column:
