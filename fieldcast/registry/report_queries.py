@@ -221,7 +221,9 @@ def own_station(rows):
 
 def payload(spark, sf):
     """All parts of a location's report; a part it has no data for is left out of its document."""
-    key, series, rows = ["point_id"], t.series(spark, sf), t.obs(spark, sf)
+    # Nearly every part passes over both tables, some several times: events and line items are read and grouped once.
+    rows, _ = t.stored(t.obs, spark, sf), t.stored(t.daily, spark, sf, drop=("order_no", "status"))
+    key, series = ["point_id"], t.series(spark, sf)
     first = F.min_by(F.struct("timestamp", "temperature_2m_c", "relative_humidity_2m_pct", "wind_speed_10m_kmh"), "timestamp").alias("_b")
     day = rows.groupBy("point_id", F.to_date("timestamp").alias("date")).agg(
         F.max("temperature_2m_c").alias("temperature_max_c"), F.min("temperature_2m_c").alias("temperature_min_c"), F.sum("precipitation_mm").alias("precipitation_sum_mm"),

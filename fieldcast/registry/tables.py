@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldcast import catalogs
+from fieldcast.session import settle
 
 
 _PLANS: dict[tuple, DataFrame] = {}
@@ -35,6 +36,16 @@ def planned(build):
     return reuse
 
 
+def stored(build, spark: SparkSession, *args, drop: tuple[str, ...] = ()) -> DataFrame:
+    """Write the rows of a planned function once; for as long as the query is put together, all that build on it read them.
+
+    Without the columns to `drop`, which then are not worked out either.
+    """
+    rows = settle(build(spark, *args).drop(*drop))
+    _PLANS[(build.__name__, spark.sparkContext.applicationId, id(spark), *args)] = rows
+    return rows
+
+
 @planned
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
