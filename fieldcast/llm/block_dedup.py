@@ -164,7 +164,7 @@ def later_passages(docs: DataFrame, text: str = "text", key: str = "doc_id", win
         return pa.table({"doc_id": texts.ids} | columns | {"kept": columns["kept"].cast(pa.string())})
 
     flag = np.dtype(np.uint8)
-    said = c.answer(c.ask(chunks, None, 0, first, bits, 5), _met, bits, {0: flag}, 5)
-    said = c.answer(c.ask(chunks, said, 1, second, bits), _earliest, bits, {0: FIRST, 1: CONTEXT})
-    said = c.answer(c.ask(chunks, said, 2, third, bits), _earliest, bits, {0: FIRST})
+    said = [c.answer(c.ask(chunks, [], 0, first, bits, 5), _met, bits, {0: flag}, 5)]
+    said.append(c.answer(c.ask(chunks, said, 1, second, bits), _earliest, bits, {0: FIRST, 1: CONTEXT}))
+    said.append(c.answer(c.ask(chunks, said, 2, third, bits), _earliest, bits, {0: FIRST}))
     return c.finish(chunks, said, result, KEPT)

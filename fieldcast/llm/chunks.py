@@ -7,8 +7,9 @@ keys that fall there. The shard answers all chunks in one row each, the answers
 order of the keys, and the chunk takes up the next round with all answers it has had so far.
 
 A key that a third of all texts have reaches its shard once for each chunk, whatever its
-count. All rounds are one lazy plan: texts are shuffled once and the exchange is reused,
-and a lost executor costs what Spark recomputes of it.
+count. All rounds are one lazy plan: texts and the answers of each round are shuffled to
+their chunks once, and later rounds reuse those exchanges; a lost executor costs what Spark
+recomputes of it.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ CHUNK_BYTES = 4 << 20
 #: Bytes of text whose keys one shard is sized for.
 SHARD_BYTES = 16 << 20
 
-#: step and kind of question, shard (negative: an answer on its way back to its chunk again), chunk, sorted keys, what goes with each of them.
+#: step and kind of question, shard, chunk, sorted keys, what goes with each of them.
 ROWS = "step int, kind int, shard bigint, chunk bigint, keys binary, load binary, note binary"
 _SCHEMA = pa.schema([("step", pa.int32()), ("kind", pa.int32()), ("shard", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("load", pa.binary()), ("note", pa.binary())])
 
@@ -37,7 +38,7 @@ Question = tuple[int, np.ndarray, np.ndarray]
 
 
 def chunked(docs: DataFrame, text: str = "text", key: str = "doc_id", chunk_bytes: int = CHUNK_BYTES, extra: dict[str, Column] | None = None) -> tuple[DataFrame, int]:
-    """Bundles of rows (doc_id, text with null as empty, extra columns) by chunk; how many high bits of a key name its shard."""
+    """A row for each chunk with bundles of its rows (doc_id, text with null as empty, extra columns); how many high bits of a key name its shard."""
     extra = extra or {}
     slim = docs.select(F.col(key).cast("bigint").alias("doc_id"), whole(text).alias("text"), *(v.alias(k) for k, v in extra.items()))
     size = slim.agg(F.sum(F.octet_length("text") + F.lit(8))).first()[0] or 0
@@ -61,7 +62,7 @@ def chunked(docs: DataFrame, text: str = "text", key: str = "doc_id", chunk_byte
             yield pa.record_batch({"chunk": pa.array(names, pa.int64()), "texts": pa.array(bundles, pa.binary())})
 
     dealt = slim.select(chunk, "doc_id", "text", *extra).mapInArrow(bundle, "chunk bigint, texts binary")
-    return dealt, max(0, math.ceil(math.log2(max(1, size / SHARD_BYTES))))
+    return dealt.groupBy("chunk").agg(F.collect_list("texts").alias("texts")), max(0, math.ceil(math.log2(max(1, size / SHARD_BYTES))))
 
 
 class Texts:
@@ -69,7 +70,7 @@ class Texts:
 
     def __init__(self, table: pa.Table):
         self.chunk = table["chunk"][0].as_py()
-        table = pa.concat_tables([pa.ipc.open_stream(b.as_buffer()).read_all() for b in table["texts"]]).combine_chunks()
+        table = pa.concat_tables([pa.ipc.open_stream(b.as_buffer()).read_all() for b in table["texts"][0].values]).combine_chunks()
         ids = table["doc_id"].to_numpy(zero_copy_only=False) if not table["doc_id"].null_count else table["doc_id"].fill_null(np.iinfo(np.int64).max).to_numpy()
         order = np.argsort(ids, kind="stable")
         if len(ids) > len(np.unique(ids)):
@@ -123,8 +124,9 @@ def _table(rows: list[tuple]) -> pa.Table:
 class Said:
     """The answers a chunk has had: by step and kind, in the order of the keys it asked about."""
 
-    def __init__(self, table: pa.Table | None):
-        self.rows = sorted(zip(*(table[c].to_pylist() for c in ("step", "kind", "shard", "load", "note", "chunk"))), key=lambda r: r[:3]) if table is not None else []
+    def __init__(self, table: pa.Table):
+        rows = [r for name in table.column_names if name.startswith("said_") for r in table[name][0].as_py() or ()]
+        self.rows = sorted((tuple(r[c] for c in ("step", "kind", "shard", "load", "note")) for r in rows), key=lambda r: r[:3])
 
     def of(self, step: int, kind: int, kind_of: np.dtype | type) -> np.ndarray:
         return _loads([r[3] for r in self.rows if r[:2] == (step, kind)], kind_of)
@@ -133,35 +135,31 @@ class Said:
         return np.array([np.frombuffer(r[4], kind_of) for r in self.rows if r[0] == step and r[4]])
 
 
-def ask(chunks: DataFrame, before: DataFrame | None, step: int, questions: Callable[[Texts, Said], list[Question]], bits: int, width: int = 8, everywhere: bool = False) -> DataFrame:
-    """What every chunk asks in this step, and the answers it has had, which travel along."""
+def _beside(chunks: DataFrame, before: list[DataFrame]) -> DataFrame:
+    """Chunks with the answers to each step so far. Texts and answers lie by chunk already, so nothing is shuffled for the join."""
+    for k, said in enumerate(before):
+        chunks = chunks.join(said.select("chunk", F.col("said").alias(f"said_{k}")).hint("merge"), "chunk", "left")
+    return chunks
+
 
-    def rows(texts: pa.Table, said: pa.Table | None) -> pa.Table:
-        if not texts.num_rows:
-            return _table([])
-        here = Texts(texts)
-        out = [row for kind, keys, load in questions(here, Said(said)) for row in _send(step, here.chunk, kind, keys, load, bits, width, everywhere)]
-        if said is not None and said.num_rows:
-            # Home again by way of a shard of its own; the old shard number is its place in the order.
-            for s, k, shard, c, _, load, note in zip(*(said[c].to_pylist() for c in _SCHEMA.names)):
-                out.append((s, k, -1 - here.chunk, c, shard.to_bytes(8, "little"), load, note))
-        return _table(out)
+def ask(chunks: DataFrame, before: list[DataFrame], step: int, questions: Callable[[Texts, Said], list[Question]], bits: int, width: int = 8, everywhere: bool = False) -> DataFrame:
+    """What every chunk asks in this step, knowing the answers it has had."""
 
-    if before is None:
-        return chunks.groupBy("chunk").applyInArrow(lambda t: rows(t, None), ROWS)
-    return chunks.groupBy("chunk").cogroup(before.groupBy("chunk")).applyInArrow(rows, ROWS)
+    def rows(own: pa.Table) -> pa.Table:
+        here = Texts(own)
+        return _table([row for kind, keys, load in questions(here, Said(own)) for row in _send(step, here.chunk, kind, keys, load, bits, width, everywhere)])
+
+    return _beside(chunks, before).groupBy("chunk").applyInArrow(rows, ROWS)
 
 
 def answer(asked: DataFrame, decide: Callable[..., np.ndarray | tuple[np.ndarray, np.ndarray]], bits: int, load: dict[int, np.dtype | type], width: int = 8) -> DataFrame:
-    """The answers to all questions of a shard: decide(kind, keys, load, chunk of each entry) gives one for each entry.
+    """The answers to all questions, by chunk. For a shard, decide(kind, keys, load, chunk of each entry) gives one for each entry.
 
     A pair (answers, note) also sends a note, such as the shard's totals, to every chunk that asked there.
     """
 
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(zip(*(table[c].to_pylist() for c in _SCHEMA.names)), key=lambda r: (r[3], r[0], r[1]))  # in one order whatever arrives first
-        if rows[0][2] < 0:
-            return _table([(s, k, int.from_bytes(keys, "little"), c, None, l, n) for s, k, _, c, keys, l, n in rows])
         kind, shard = rows[0][1], rows[0][2] & 0xFFFFFFFF
         own = [unpack(r[4], width) for r in rows]
         sizes = [len(x) for x in own]
@@ -173,15 +171,17 @@ def answer(asked: DataFrame, decide: Callable[..., np.ndarray | tuple[np.ndarray
         ends = np.cumsum(sizes)
         return _table([(r[0], kind, shard, r[3], None, pack(found[e - n : e]), note.tobytes() if note is not None else None) for r, n, e in zip(rows, sizes, ends.tolist())])
 
-    return asked.groupBy("shard").applyInArrow(run, ROWS)
+    found = asked.groupBy("shard").applyInArrow(run, ROWS)
+    return found.groupBy("chunk").agg(F.collect_list(F.struct("step", "kind", "shard", "load", "note")).alias("said"))
 
 
-def finish(chunks: DataFrame, before: DataFrame, result: Callable[[Texts, Said], pa.Table], schema: str) -> DataFrame:
+def finish(chunks: DataFrame, before: list[DataFrame], result: Callable[[Texts, Said], pa.Table], schema: str) -> DataFrame:
     """The rows that every chunk makes of its texts and all answers."""
-    def run(texts: pa.Table, said: pa.Table) -> pa.Table:
-        return result(Texts(texts), Said(said))
 
-    return chunks.groupBy("chunk").cogroup(before.groupBy("chunk")).applyInArrow(run, schema)
+    def run(own: pa.Table) -> pa.Table:
+        return result(Texts(own), Said(own))
+
+    return _beside(chunks, before).groupBy("chunk").applyInArrow(run, schema)
 
 
 class Groups:

@@ -181,7 +181,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", thr
         return pa.table({"doc_id": texts.ids} | {name: pa.array(v, kinds[name]) for name, v in rows.items()} | texts.extra)
 
     bit = np.dtype(np.uint8)
-    said = c.answer(c.ask(chunks, None, 0, first, bits, 5), _repeated, bits, {0: bit}, 5)
-    said = c.answer(c.ask(chunks, said, 1, second, bits), _second, bits, {0: bit, 1: CONTEXT})
-    said = c.answer(c.ask(chunks, said, 2, third, bits), _repeated, bits, {0: bit})
+    said = [c.answer(c.ask(chunks, [], 0, first, bits, 5), _repeated, bits, {0: bit}, 5)]
+    said.append(c.answer(c.ask(chunks, said, 1, second, bits), _second, bits, {0: bit, 1: CONTEXT}))
+    said.append(c.answer(c.ask(chunks, said, 2, third, bits), _repeated, bits, {0: bit}))
     return c.finish(chunks, said, result, schema)

@@ -178,8 +178,8 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", key: str = "doc
         })
 
     number = np.dtype(np.uint32)
-    said = c.answer(c.ask(chunks, None, 0, tokens, bits, everywhere=True), _vocabulary, bits, {0: number})
+    said = [c.answer(c.ask(chunks, [], 0, tokens, bits, everywhere=True), _vocabulary, bits, {0: number})]
     for d in range(1, depth + 1):
-        said = c.answer(c.ask(chunks, said, 2 * d - 1, pairs(d), bits, WIDTH), _total, bits, {0: number}, WIDTH)
-        said = c.answer(c.ask(chunks, said, 2 * d, contexts(d), bits), _kinds(gain), bits, {0: WORTH})
+        said.append(c.answer(c.ask(chunks, said, 2 * d - 1, pairs(d), bits, WIDTH), _total, bits, {0: number}, WIDTH))
+        said.append(c.answer(c.ask(chunks, said, 2 * d, contexts(d), bits), _kinds(gain), bits, {0: WORTH}))
     return c.finish(chunks, said, result, SCORES)
