@@ -7,9 +7,10 @@ keys that fall there. The shard answers all chunks in one row each, the answers
 order of the keys, and the chunk takes up the next round with all answers it has had so far.
 
 A key that a third of all texts have reaches its shard once for each chunk, whatever its
-count. All rounds are one lazy plan: texts and the answers of each round are shuffled to
+count. All rounds can be one lazy plan: texts and the answers of each round are shuffled to
 their chunks once, and later rounds reuse those exchanges; a lost executor costs what Spark
-recomputes of it.
+recomputes of it. With many rounds, texts and answers are better written as they come
+(`keep`, `settle`): the questions of a round then leave the disks before the next one asks.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldcast.llm.rows import buffers, whole
+from fieldcast.session import settle
 
 CHUNK_BYTES = 4 << 20
 #: Bytes of text whose keys one shard is sized for.
@@ -37,8 +39,11 @@ _SCHEMA = pa.schema([("step", pa.int32()), ("kind", pa.int32()), ("shard", pa.in
 Question = tuple[int, np.ndarray, np.ndarray]
 
 
-def chunked(docs: DataFrame, text: str = "text", key: str = "doc_id", chunk_bytes: int = CHUNK_BYTES, extra: dict[str, Column] | None = None) -> tuple[DataFrame, int]:
-    """A row for each chunk with bundles of its rows (doc_id, text with null as empty, extra columns); how many high bits of a key name its shard."""
+def chunked(docs: DataFrame, text: str = "text", key: str = "doc_id", chunk_bytes: int = CHUNK_BYTES, extra: dict[str, Column] | None = None, keep: bool = False) -> tuple[DataFrame, int]:
+    """A row for each chunk with bundles of its rows (doc_id, text with null as empty, extra columns); how many high bits of a key name its shard.
+
+    keep: bundles are written once, for rounds that are queries of their own.
+    """
     extra = extra or {}
     slim = docs.select(F.col(key).cast("bigint").alias("doc_id"), whole(text).alias("text"), *(v.alias(k) for k, v in extra.items()))
     size = slim.agg(F.sum(F.octet_length("text") + F.lit(8))).first()[0] or 0
@@ -62,6 +67,8 @@ def chunked(docs: DataFrame, text: str = "text", key: str = "doc_id", chunk_byte
             yield pa.record_batch({"chunk": pa.array(names, pa.int64()), "texts": pa.array(bundles, pa.binary())})
 
     dealt = slim.select(chunk, "doc_id", "text", *extra).mapInArrow(bundle, "chunk bigint, texts binary")
+    if keep:
+        dealt = settle(dealt)
     return dealt.groupBy("chunk").agg(F.collect_list("texts").alias("texts")), max(0, math.ceil(math.log2(max(1, size / SHARD_BYTES))))
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldcast.llm import chunks as c
+from fieldcast.session import settle
 
 #: Words of context at most; occurrences and gain (natural log units) a state needs; discount of its counts.
 DEPTH, LEAST, GAIN, DISCOUNT = 2, 64, 24.0, 0.6
@@ -135,7 +136,7 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", key: str = "doc
     A null text is empty and is its end alone; a null mark teaches; a null id is as good as
     any; repeated rows teach twice. No rows give no rows; other columns are not looked at.
     """
-    chunks, bits = c.chunked(docs, text, key, CHUNK_BYTES, extra={"held": F.coalesce(held_out, F.lit(False))})
+    chunks, bits = c.chunked(docs, text, key, CHUNK_BYTES, extra={"held": F.coalesce(held_out, F.lit(False))}, keep=True)
 
     def state(texts: c.Texts, said: c.Said, levels: int, gains: bool) -> _State:
         s = _State(texts, texts.extra["held"].to_numpy(), bits, least)
@@ -178,8 +179,9 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", key: str = "doc
         })
 
     number = np.dtype(np.uint32)
-    said = [c.answer(c.ask(chunks, [], 0, tokens, bits, everywhere=True), _vocabulary, bits, {0: number})]
+    # Each round is a query of its own: only its answers stay, so the disks hold the questions of one round at a time.
+    said = [settle(c.answer(c.ask(chunks, [], 0, tokens, bits, everywhere=True), _vocabulary, bits, {0: number}))]
     for d in range(1, depth + 1):
-        said.append(c.answer(c.ask(chunks, said, 2 * d - 1, pairs(d), bits, WIDTH), _total, bits, {0: number}, WIDTH))
-        said.append(c.answer(c.ask(chunks, said, 2 * d, contexts(d), bits), _kinds(gain), bits, {0: WORTH}))
+        said.append(settle(c.answer(c.ask(chunks, said, 2 * d - 1, pairs(d), bits, WIDTH), _total, bits, {0: number}, WIDTH)))
+        said.append(settle(c.answer(c.ask(chunks, said, 2 * d, contexts(d), bits), _kinds(gain), bits, {0: WORTH})))
     return c.finish(chunks, said, result, SCORES)

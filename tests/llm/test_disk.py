@@ -1,4 +1,4 @@
-"""What joins leave on the disks, and which keys near lines share."""
+"""What rounds and joins leave on the disks, and which keys near lines share."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from fieldcast.llm import line_join
+from fieldcast.llm import line_join, suffix_tree
 from fieldcast.session import FREE_SHUFFLES, settle
 from tests.llm import corpus
 
@@ -28,6 +28,12 @@ def test_settled_rows_leave_no_shuffle_files(spark):
     assert rows.count() == 1000 and rows.agg(F.sum("s")).first()[0] == sum(range(10_000))
 
 
+def test_questions_of_the_suffix_tree_are_gone_when_it_scores(spark):
+    docs = corpus.frame(spark, [(i, "kolmi run at sea") for i in range(20)] + [(30, None)])
+    plan = suffix_tree.score(docs, F.col("doc_id") % 4 == 1, least=2, gain=0.5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") <= 2  # the one that scores; adaptive plans may print it twice
+
+
 def test_near_lines_share_a_key_and_keys_are_few(spark):
     rng = random.Random(7)
     pairs = []
