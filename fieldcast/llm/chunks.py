@@ -9,8 +9,9 @@ order of the keys, and the chunk takes up the next round with all answers it has
 A key that a third of all texts have reaches its shard once for each chunk, whatever its
 count. All rounds can be one lazy plan: texts and the answers of each round are shuffled to
 their chunks once, and later rounds reuse those exchanges; a lost executor costs what Spark
-recomputes of it. With many rounds, texts and answers are better written as they come
-(`keep`, `settle`): the questions of a round then leave the disks before the next one asks.
+recomputes of it. With many rounds, what they need of the texts and the answers are better written
+as they come (`written`, `settle`): the questions of a round then leave the disks before the next
+one asks, and texts are not read again.
 """
 
 from __future__ import annotations
@@ -31,6 +32,9 @@ CHUNK_BYTES = 4 << 20
 #: Bytes of text whose keys one shard is sized for.
 SHARD_BYTES = 16 << 20
 
+#: Bytes of text whose words are hashed at a time.
+HASH_BYTES = 1 << 17
+
 #: step and kind of question, shard, chunk, sorted keys, what goes with each of them.
 ROWS = "step int, kind int, shard bigint, chunk bigint, keys binary, load binary, note binary"
 _SCHEMA = pa.schema([("step", pa.int32()), ("kind", pa.int32()), ("shard", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("load", pa.binary()), ("note", pa.binary())])
@@ -39,11 +43,8 @@ _SCHEMA = pa.schema([("step", pa.int32()), ("kind", pa.int32()), ("shard", pa.in
 Question = tuple[int, np.ndarray, np.ndarray]
 
 
-def chunked(docs: DataFrame, text: str = "text", key: str = "doc_id", chunk_bytes: int = CHUNK_BYTES, extra: dict[str, Column] | None = None, keep: bool = False) -> tuple[DataFrame, int]:
-    """A row for each chunk with bundles of its rows (doc_id, text with null as empty, extra columns); how many high bits of a key name its shard.
-
-    keep: bundles are written once, for rounds that are queries of their own.
-    """
+def chunked(docs: DataFrame, text: str = "text", key: str = "doc_id", chunk_bytes: int = CHUNK_BYTES, extra: dict[str, Column] | None = None) -> tuple[DataFrame, int]:
+    """A row for each chunk with bundles of its rows (doc_id, text with null as empty, extra columns); how many high bits of a key name its shard."""
     extra = extra or {}
     slim = docs.select(F.col(key).cast("bigint").alias("doc_id"), whole(text).alias("text"), *(v.alias(k) for k, v in extra.items()))
     size = slim.agg(F.sum(F.octet_length("text") + F.lit(8))).first()[0] or 0
@@ -67,8 +68,6 @@ def chunked(docs: DataFrame, text: str = "text", key: str = "doc_id", chunk_byte
             yield pa.record_batch({"chunk": pa.array(names, pa.int64()), "texts": pa.array(bundles, pa.binary())})
 
     dealt = slim.select(chunk, "doc_id", "text", *extra).mapInArrow(bundle, "chunk bigint, texts binary")
-    if keep:
-        dealt = settle(dealt)
     return dealt.groupBy("chunk").agg(F.collect_list("texts").alias("texts")), max(0, math.ceil(math.log2(max(1, size / SHARD_BYTES))))
 
 
@@ -99,8 +98,8 @@ def pack(rows: np.ndarray) -> bytes:
 
     Sorted keys and small counts have planes that hardly change.
     """
-    planes = np.ascontiguousarray(rows).view(np.uint8).reshape(len(rows), -1).T if len(rows) else rows
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    planes = np.ascontiguousarray(np.ascontiguousarray(rows).view(np.uint8).reshape(len(rows), -1).T) if len(rows) else rows
+    return zstandard.ZstdCompressor(level=1).compress(planes.data if len(rows) else b"")
 
 
 def unpack(data: bytes, width: int) -> np.ndarray:
@@ -113,6 +112,25 @@ def _loads(rows: list[bytes], kind: np.dtype | type) -> np.ndarray:
     return np.concatenate([unpack(r, kind.itemsize) for r in rows]).view(kind).ravel() if rows else np.zeros(0, kind)
 
 
+def written(chunks: DataFrame, work: Callable[[Texts], dict[str, np.ndarray]], kinds: dict[str, np.dtype]) -> DataFrame:
+    """A row for each chunk with the arrays, named in `kinds`, that `work` makes of its texts; written once, for rounds that are queries of their own."""
+
+    def run(own: pa.Table) -> pa.Table:
+        here = Texts(own)
+        made = work(here)
+        return pa.table({"chunk": pa.array([here.chunk], pa.int64())} | {k: pa.array([pack(made[k].astype(kind))], pa.binary()) for k, kind in kinds.items()})
+
+    return settle(chunks.groupBy("chunk").applyInArrow(run, "chunk bigint, " + ", ".join(f"{k} binary" for k in kinds)))
+
+
+class Written:
+    """The arrays of a chunk as `written` wrote them."""
+
+    def __init__(self, table: pa.Table, kinds: dict[str, np.dtype]):
+        self.chunk = table["chunk"][0].as_py()
+        self.arrays = {k: _loads([table[k][0].as_py()], kind) for k, kind in kinds.items()}
+
+
 def _send(step: int, chunk: int, kind: int, keys: np.ndarray, load: np.ndarray, bits: int, width: int, everywhere: bool) -> Iterator[tuple]:
     of = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
     own = np.ascontiguousarray(((keys << np.uint64(bits)) if width < 8 else keys) >> np.uint64(64 - 8 * width))
@@ -149,11 +167,11 @@ def _beside(chunks: DataFrame, before: list[DataFrame]) -> DataFrame:
     return chunks
 
 
-def ask(chunks: DataFrame, before: list[DataFrame], step: int, questions: Callable[[Texts, Said], list[Question]], bits: int, width: int = 8, everywhere: bool = False) -> DataFrame:
-    """What every chunk asks in this step, knowing the answers it has had."""
+def ask(chunks: DataFrame, before: list[DataFrame], step: int, questions: Callable[..., list[Question]], bits: int, width: int = 8, everywhere: bool = False, read: Callable[[pa.Table], Texts | Written] = Texts) -> DataFrame:
+    """What every chunk asks in this step, knowing the answers it has had. questions(what `read` makes of its row, Said)."""
 
     def rows(own: pa.Table) -> pa.Table:
-        here = Texts(own)
+        here = read(own)
         return _table([row for kind, keys, load in questions(here, Said(own)) for row in _send(step, here.chunk, kind, keys, load, bits, width, everywhere)])
 
     return _beside(chunks, before).groupBy("chunk").applyInArrow(rows, ROWS)
@@ -182,20 +200,53 @@ def answer(asked: DataFrame, decide: Callable[..., np.ndarray | tuple[np.ndarray
     return found.groupBy("chunk").agg(F.collect_list(F.struct("step", "kind", "shard", "load", "note")).alias("said"))
 
 
-def finish(chunks: DataFrame, before: list[DataFrame], result: Callable[[Texts, Said], pa.Table], schema: str) -> DataFrame:
-    """The rows that every chunk makes of its texts and all answers."""
+def finish(chunks: DataFrame, before: list[DataFrame], result: Callable[..., pa.Table], schema: str, read: Callable[[pa.Table], Texts | Written] = Texts) -> DataFrame:
+    """The rows that every chunk makes of its texts, or of what `read` makes of its row, and all answers."""
 
     def run(own: pa.Table) -> pa.Table:
-        return result(Texts(own), Said(own))
+        return result(read(own), Said(own))
 
     return _beside(chunks, before).groupBy("chunk").applyInArrow(run, schema)
 
 
+def order(keys: np.ndarray) -> np.ndarray:
+    """The stable order of 64-bit keys.
+
+    Numbers are sorted several times faster than places, so the leading bits in which keys differ are sorted with each
+    place behind them. Keys that differ only in what was cut off may come out in the wrong order; then places are sorted.
+    """
+    if len(keys) < 2:
+        return np.arange(len(keys))
+    low = (len(keys) - 1).bit_length()
+    same = 64 - (int(keys.min()) ^ int(keys.max())).bit_length()
+    if same == 64:
+        return np.arange(len(keys))
+    cut, behind = np.uint64(low), np.arange(len(keys), dtype=np.uint64)
+    behind |= ((keys << np.uint64(same)) >> cut) << cut
+    behind.sort()
+    behind &= np.uint64((1 << low) - 1)
+    found = behind.view(np.int64)
+    ordered = keys[found]
+    # If keys are in order so are the places of equal ones, since nothing stands between them.
+    return found if (ordered[1:] >= ordered[:-1]).all() else np.argsort(keys, kind="stable")
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct 64-bit keys in order, and which of them each key is."""
+    by = order(keys)
+    ordered = keys[by]
+    first = np.ones(len(keys), bool)
+    first[1:] = ordered[1:] != ordered[:-1]
+    back = np.empty(len(keys), np.int64)
+    back[by] = np.cumsum(first) - 1
+    return ordered[first], back
+
+
 class Groups:
     """Equal keys among entries: sums and the like over each group, spread back to its entries."""
 
     def __init__(self, keys: np.ndarray):
-        self.order = np.argsort(keys, kind="stable")
+        self.order = order(keys)
         ordered = keys[self.order]
         self.starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(keys) else np.zeros(0, np.int64)
         self.sizes = np.diff(np.append(self.starts, len(keys)))
@@ -267,9 +318,15 @@ def words(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def word_hashes(texts: Texts, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    data = _LOWER[texts.bytes] if lower else texts.bytes
-    # Lengths go in so that no word is the continuation of another in value.
-    return Stretches(BYTES[data]).hash(starts, ends) + (ends - starts).astype(np.uint64)
+    out = np.empty(len(starts), np.uint64)
+    # A block of whole words at a time: a hash does not depend on where its word stands, and eight bytes for each byte of a chunk are many.
+    cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(texts.bytes), HASH_BYTES)), len(starts)))
+    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        a, b, at = starts[i:j], ends[i:j], starts[i]
+        data = texts.bytes[at : b[-1]]
+        # Lengths go in so that no word is the continuation of another in value.
+        out[i:j] = Stretches(BYTES[_LOWER[data] if lower else data]).hash(a - at, b - at) + (b - a).astype(np.uint64)
+    return out
 
 
 def sliding_least(values: np.ndarray, n: int) -> np.ndarray:

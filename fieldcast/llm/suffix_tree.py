@@ -12,6 +12,8 @@ Words and contexts are counted over all texts in rounds of questions between chu
 and shards of the key space: per depth one round for how often a word follows a context, and
 one for what each context gains. Gains are sums over occurrences, which chunks add up by
 themselves, so a context before a third of all words is one number for each chunk.
+Texts are read once: a chunk writes its distinct words and which of them each token is, and
+all rounds and the scores go on from there.
 """
 
 from __future__ import annotations
@@ -65,22 +67,36 @@ def _kinds(gain: float):
     return decide
 
 
+#: What a chunk writes of its texts: ids, marks (1 held out, 2 null id), tokens of each, distinct tokens, which of them each token is.
+WORDS = {"ids": np.dtype(np.int64), "marks": np.dtype(np.uint8), "sizes": np.dtype(np.int64), "keys": np.dtype(np.uint64), "back": np.dtype(np.uint32)}
+
+
+def _words(texts: c.Texts) -> dict[str, np.ndarray]:
+    starts, ends, at = c.words(texts)
+    n = len(texts.ids)
+    at = at + np.arange(n + 1)  # one end token after the words of each text
+    tokens = np.full(len(starts) + n, _END, np.uint64)
+    word = np.ones(len(tokens), bool)
+    word[at[1:] - 1] = False
+    tokens[word] = c.word_hashes(texts, starts, ends, lower=True)
+    keys, back = c.distinct(tokens)
+    null = texts.ids.is_null().to_numpy().astype(np.uint8)
+    return {"ids": texts.ids.fill_null(0).to_numpy(), "marks": texts.extra["held"].to_numpy() + 2 * null, "sizes": np.diff(at), "keys": keys, "back": back.astype(np.uint32)}
+
+
 class _State:
-    """What a chunk knows after each step; worked out anew each time from its texts and the answers."""
+    """What a chunk knows after each step; worked out anew each time from its words and the answers."""
 
-    def __init__(self, texts: c.Texts, held: np.ndarray, bits: int, least: int):
+    def __init__(self, words: c.Written, bits: int, least: int):
         self.bits, self.least = bits, least
-        starts, ends, at = c.words(texts)
-        n = len(texts.ids)
-        self.at = at + np.arange(n + 1)  # one end token after the words of each text
-        self.tokens = np.full(len(starts) + n, _END, np.uint64)
-        word = np.ones(len(self.tokens), bool)
-        word[self.at[1:] - 1] = False
-        self.tokens[word] = c.word_hashes(texts, starts, ends, lower=True)
-        self.doc = np.repeat(np.arange(n), np.diff(self.at))
+        marks, sizes = words.arrays["marks"], words.arrays["sizes"]
+        self.ids, self.held = pa.array(words.arrays["ids"], mask=marks >= 2), marks % 2 == 1
+        self.at = np.concatenate([[0], np.cumsum(sizes)])
+        self.keys, self.back = words.arrays["keys"], words.arrays["back"]
+        self.tokens = self.keys[self.back]
+        self.doc = np.repeat(np.arange(len(sizes)), sizes)
         self.place = np.arange(len(self.tokens)) - self.at[:-1][self.doc]
-        self.train = ~held[self.doc]
-        self.keys, self.back = np.unique(c.cut(self.tokens, bits), return_inverse=True)
+        self.train = ~self.held[self.doc]
 
     def counted(self, back: np.ndarray, n: int, of: np.ndarray | slice = slice(None)) -> np.ndarray:
         return np.bincount(back, self.train[of], n).astype(np.uint32)
@@ -98,13 +114,22 @@ class _State:
         """Tokens whose `depth` words before are a candidate, and what stands before each of them."""
         index = np.flatnonzero((self.place >= depth) & self.state)
         self.of = index[self.often[index - 1] >= self.least]
-        self.before = self.context[self.of - 1]
-        self.pair_keys, self.pair_back = np.unique(c.cut(c.mix(self.before * np.uint64(3) + c.mix(self.tokens[self.of] ^ np.uint64(depth))), self.bits, WIDTH), return_inverse=True)
-        self.context_keys, self.context_back = np.unique(self.before, return_inverse=True)
+        before = self.context[self.of - 1]
+        self.pairs = c.mix(before * np.uint64(3) + c.mix(self.tokens[self.of] ^ np.uint64(depth)))
+        self.pair_keys, self.pair_back = c.distinct(c.cut(self.pairs, self.bits, WIDTH))
+        if depth > 1:
+            self.context_keys, self.context_back = c.distinct(before)
+        else:  # contexts are words, whose order is known
+            own = self.back[self.of - 1]
+            there = np.bincount(own, minlength=len(self.keys)) > 0
+            self.context_keys, self.context_back = self.keys[there], (np.cumsum(there) - 1)[own]
+
+    def followed(self, said: c.Said, depth: int) -> None:
+        """How often each candidate's context is followed by its token."""
+        self.follow = (said.of(2 * depth - 1, 0, np.uint32)[self.pair_back] if len(self.of) else np.zeros(0)).astype(np.float64)
 
-    def gains(self, said: c.Said, depth: int) -> np.ndarray:
+    def gains(self) -> np.ndarray:
         """What each context gains on this chunk's training texts, and its share of the different words that follow."""
-        self.follow = (said.of(2 * depth - 1, 0, np.uint32)[self.pair_back] if len(self.of) else np.zeros(0)).astype(np.float64)
         some = self.train[self.of]
         out = np.zeros(len(self.context_keys), WORTH)
         seen = np.maximum(self.follow, 1)
@@ -121,7 +146,7 @@ class _State:
         share = np.maximum(follow - DISCOUNT, 0) / often + DISCOUNT * kinds[kept] / often * np.exp(self.log[of])
         self.log[of] = np.log(np.maximum(share, 1e-300))
         context, n, state = np.zeros(len(self.tokens), np.uint64), np.zeros(len(self.tokens)), np.zeros(len(self.tokens), bool)
-        context[self.of] = c.mix(self.before * np.uint64(3) + c.mix(self.tokens[self.of] ^ np.uint64(depth)))
+        context[self.of] = self.pairs
         n[self.of] = self.follow
         state[of] = True
         self.context, self.often, self.state = context, n, state
@@ -136,52 +161,53 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", key: str = "doc
     A null text is empty and is its end alone; a null mark teaches; a null id is as good as
     any; repeated rows teach twice. No rows give no rows; other columns are not looked at.
     """
-    chunks, bits = c.chunked(docs, text, key, CHUNK_BYTES, extra={"held": F.coalesce(held_out, F.lit(False))}, keep=True)
+    chunks, bits = c.chunked(docs, text, key, CHUNK_BYTES, extra={"held": F.coalesce(held_out, F.lit(False))})
+    chunks = c.written(chunks, _words, WORDS)
 
-    def state(texts: c.Texts, said: c.Said, levels: int, gains: bool) -> _State:
-        s = _State(texts, texts.extra["held"].to_numpy(), bits, least)
-        if levels or gains:
+    def state(words: c.Written, said: c.Said, levels: int, followed: bool) -> _State:
+        s = _State(words, bits, least)
+        if levels or followed:
             s.root(said)
         for d in range(1, levels + 1):
             s.candidates(d)
-            if d < levels or gains:
-                s.gains(said, d)
+            if d < levels or followed:
+                s.followed(said, d)
             if d < levels:
                 s.descend(said, d)
         return s
 
-    def tokens(texts: c.Texts, said: c.Said) -> list[c.Question]:
-        s = state(texts, said, 0, False)
+    def tokens(words: c.Written, said: c.Said) -> list[c.Question]:
+        s = state(words, said, 0, False)
         return [(0, s.keys, s.counted(s.back, len(s.keys)))]
 
     def pairs(d: int):
-        def questions(texts: c.Texts, said: c.Said) -> list[c.Question]:
-            s = state(texts, said, d, False)
+        def questions(words: c.Written, said: c.Said) -> list[c.Question]:
+            s = state(words, said, d, False)
             return [(0, s.pair_keys, s.counted(s.pair_back, len(s.pair_keys), s.of))] if len(s.of) else []
 
         return questions
 
     def contexts(d: int):
-        def questions(texts: c.Texts, said: c.Said) -> list[c.Question]:
-            s = state(texts, said, d, False)
-            return [(0, s.context_keys, s.gains(said, d))] if len(s.of) else []
+        def questions(words: c.Written, said: c.Said) -> list[c.Question]:
+            s = state(words, said, d, True)
+            return [(0, s.context_keys, s.gains())] if len(s.of) else []
 
         return questions
 
-    def result(texts: c.Texts, said: c.Said) -> pa.Table:
-        s = state(texts, said, depth, True)
+    def result(words: c.Written, said: c.Said) -> pa.Table:
+        s = state(words, said, depth, True)
         s.descend(said, depth)
-        n = len(texts.ids)
+        n = len(s.ids)
         per = lambda v: np.bincount(s.doc, v, n) if n else np.zeros(0)
         return pa.table({
-            "doc_id": texts.ids, "held_out": texts.extra["held"], "n_tokens": pa.array(np.diff(s.at)), "n_known": pa.array(per(s.count > 0).astype(np.int64)),
+            "doc_id": s.ids, "held_out": pa.array(s.held), "n_tokens": pa.array(np.diff(s.at)), "n_known": pa.array(per(s.count > 0).astype(np.int64)),
             "train_tokens": pa.array(np.full(n, s.n)), "base_score": pa.array(per(s.base) / np.log(10)), "score": pa.array(per(s.log) / np.log(10)),
         })
 
-    number = np.dtype(np.uint32)
+    number, read = np.dtype(np.uint32), lambda own: c.Written(own, WORDS)
     # Each round is a query of its own: only its answers stay, so the disks hold the questions of one round at a time.
-    said = [settle(c.answer(c.ask(chunks, [], 0, tokens, bits, everywhere=True), _vocabulary, bits, {0: number}))]
+    said = [settle(c.answer(c.ask(chunks, [], 0, tokens, bits, everywhere=True, read=read), _vocabulary, bits, {0: number}))]
     for d in range(1, depth + 1):
-        said.append(settle(c.answer(c.ask(chunks, said, 2 * d - 1, pairs(d), bits, WIDTH), _total, bits, {0: number}, WIDTH)))
-        said.append(settle(c.answer(c.ask(chunks, said, 2 * d, contexts(d), bits), _kinds(gain), bits, {0: WORTH})))
-    return c.finish(chunks, said, result, SCORES)
+        said.append(settle(c.answer(c.ask(chunks, said, 2 * d - 1, pairs(d), bits, WIDTH, read=read), _total, bits, {0: number}, WIDTH)))
+        said.append(settle(c.answer(c.ask(chunks, said, 2 * d, contexts(d), bits, read=read), _kinds(gain), bits, {0: WORTH})))
+    return c.finish(chunks, said, result, SCORES, read)

@@ -34,6 +34,15 @@ def test_questions_of_the_suffix_tree_are_gone_when_it_scores(spark):
     assert plan.count("FlatMapGroupsInArrow") <= 2  # the one that scores; adaptive plans may print it twice
 
 
+def test_suffix_tree_reads_texts_once(spark):
+    docs = corpus.frame(spark, [(i, f"kolmi run at sea {i}") for i in range(20)] + [(30, None), (None, "Kolmi"), (None, "kolmi run"), (30, "")])
+    got = suffix_tree.score(docs, F.col("doc_id") % 4 == 1, least=2, gain=0.5)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "keys#" in plan and "texts" not in plan and "text#" not in plan  # words stand in for the texts
+    rows = sorted((r.doc_id is None, r.doc_id or 0, r.held_out, r.n_tokens) for r in got.collect())
+    assert rows == sorted([(False, i, i % 4 == 1, 6) for i in range(20)] + [(False, 30, False, 1)] * 2 + [(True, 0, False, 2), (True, 0, False, 3)])
+
+
 def test_near_lines_share_a_key_and_keys_are_few(spark):
     rng = random.Random(7)
     pairs = []
