@@ -192,3 +192,21 @@ def test_every_small_model_has_a_task_of_its_own(spark):
         boosting.settle = whole
     used = seen[-1].select("model", F.spark_partition_id().alias("task")).distinct().collect()
     assert len({r["task"] for r in used}) == len({r["model"] for r in used}) == 12
+
+
+def test_packs_of_inputs_give_the_trees_of_single_ones(monkeypatch):
+    """A wide node is summed once for each pack of inputs, so there must be fewer packs than inputs; also where rows change their order."""
+    rng = np.random.default_rng(8)
+    hour, height = rng.integers(0, 24, 900), rng.integers(0, 20, 900)
+    columns = np.stack([hour, (hour * 7) % 24, height, 19 - height, rng.integers(0, 64, 900), rng.integers(0, 64, 900), np.zeros(900, int)]).astype(np.uint8)
+    y, held, ids = columns[4] / 9.0 + (hour > 6) * height + rng.random(900), rng.random(900) < 0.2, rng.integers(-(2**62), 2**62, 900)
+    packs = boosting.packed(columns)
+    assert len(packs) < 4 and sorted(k for p in packs for k in p.inputs) == list(range(7))
+    assert all((p.of[at][p.codes] == columns[k]).all() for p in packs for at, k in enumerate(p.inputs))
+    settings, grown = dataclasses.replace(QUICK, trees=12, bins=64, depth=5, patience=20), []
+    for wide in (10_000, 20):
+        monkeypatch.setattr(boosting, "WIDE", wide)
+        monkeypatch.setattr(boosting, "REORDER", 4)
+        grown.append(boosting.grow(columns, y, held, ids, settings))
+    assert grown[0].best == grown[1].best and len(grown[0].trees) == 12
+    assert all(np.array_equal(a, b) for one, other in zip(grown[0].trees, grown[1].trees) for a, b in zip(one, other))
