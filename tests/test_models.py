@@ -210,3 +210,32 @@ def test_packs_of_inputs_give_the_trees_of_single_ones(monkeypatch):
         grown.append(boosting.grow(columns, y, held, ids, settings))
     assert grown[0].best == grown[1].best and len(grown[0].trees) == 12
     assert all(np.array_equal(a, b) for one, other in zip(grown[0].trees, grown[1].trees) for a, b in zip(one, other))
+
+
+def test_a_task_of_the_forest_holds_a_piece_of_the_matrix_at_a_time(spark, monkeypatch):
+    """Rows come piece by piece, the same pieces for every level, and trees in groups that fit the memory; the trees are those of all rows at once."""
+    rng, s = np.random.default_rng(5), forest.Settings(trees=4, depth=6, bins=8)
+    codes, ids = rng.integers(0, 8, (900, 6)).astype(np.uint8), rng.integers(-(2**62), 2**62, 900)
+    y = np.round((codes[:, 0] + (codes[:, 1] > 3) * codes[:, 2] + rng.random(900)) * boosting.SCALE)
+    whole = [forest.grow(codes, y, ids, tree, s) for tree in range(4)]
+    spans = [(0, 1), (1, 400), (400, 900)]
+    some = forest.grow_some(lambda: ((codes[a:b], y[a:b], ids[a:b]) for a, b in spans), [0, 1, 2, 3], 6, s)
+    assert all(np.array_equal(a, b) for one, other in zip(whole, some) for a, b in zip(one, other))
+    at_once = [forest.at_once(n, 21, residual_models.FOREST) for n in (100, 1_000_000, 24_000_000)]
+    assert at_once[0] > at_once[1] > at_once[2] == 1
+    rows = _rows(spark).withColumn("residual_anomaly_c", F.col("y"))
+    kept = sorted(map(str, forest.fit(rows, INPUTS, "y", s).collect()))
+    monkeypatch.setattr(forest, "KEPT", 0)
+    monkeypatch.setattr(forest, "MEMORY", 1)
+    assert kept == sorted(map(str, forest.fit(rows, INPUTS, "y", s).collect())) and len(kept) == 5
+
+
+def test_pieces_are_whole_and_alike_every_time(tmp_path, spark, monkeypatch):
+    monkeypatch.setattr(forest, "PIECE", 50)
+    rows = spark.range(333).selectExpr("id", "cast(id as double) as y", "unhex(lpad(hex(id), 4, '0')) as codes").repartition(7)
+    rows.mapInArrow(lambda batches: forest.blocks(batches, 2), "rows bigint, codes binary, y binary, id binary").write.parquet(f"{tmp_path}/m")
+    files = sorted(spark.read.parquet(f"{tmp_path}/m").inputFiles())
+    first, second = (list(forest.pieces(files, 2)) for _ in range(2))
+    assert len(first) > 2 and all(np.array_equal(a, b) for one, other in zip(first, second, strict=True) for a, b in zip(one, other))
+    codes, y, ids = (np.concatenate(x) for x in zip(*first))
+    assert sorted(ids.tolist()) == list(range(333)) and np.array_equal(y, ids * boosting.SCALE) and np.array_equal(codes @ [256, 1], ids)
